@@ -1,19 +1,11 @@
-"""Queries of the core operators."""
+"""All core queries, gathered from their modules."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tallyforge.plans import q_curation, q_joins, q_metrics, q_nested, q_parse, q_streams  # noqa: F401
+from tallyforge.plans.catalog import QUERIES, Query
+from tallyforge.plans.q_metrics import latency_summary  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tallyforge.operators import nested
-from tallyforge.session import table
-
-
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.call_conditions(table(spark, d, "disagreements")).select("source_line", "msg_pos", "call_pos", "cond_pos", "reply_pos")
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
