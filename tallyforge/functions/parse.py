@@ -24,6 +24,11 @@ DELTA = "struct<role:string,content:string,reasoning:string,reasoning_content:st
 EVENT = f"struct<choices:array<struct<index:int,delta:{DELTA},message:{DELTA},finish_reason:string>>,usage:struct<prompt_tokens:double,completion_tokens:double,input_tokens:double,output_tokens:double>,model:string>"
 
 
+def strip(text: Column) -> Column:
+    """A text without outer white space of any kind."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 # -- events and responses --------------------------------------------------
 
 
@@ -119,15 +124,15 @@ def task_text(messages: Column, marker: str = "task") -> Column:
     holding = F.filter(messages, lambda m: (m["role"] == "user") & m["content"].rlike(pattern))
     raw = F.regexp_extract(F.try_element_at(holding, F.lit(-1))["content"], pattern, 1)
     # a task may be one JSON string
-    decoded = F.from_json(F.concat(F.lit('{"v":'), F.trim(raw), F.lit("}")), "v string")["v"]
-    return F.when(F.size(holding) > 0, F.when(F.trim(raw).rlike('(?s)^".*"$'), F.coalesce(decoded, raw)).otherwise(raw))
+    decoded = F.from_json(F.concat(F.lit('{"v":'), strip(raw), F.lit("}")), "v string")["v"]
+    return F.when(F.size(holding) > 0, F.when(strip(raw).rlike('(?s)^".*"$'), F.coalesce(decoded, raw)).otherwise(raw))
 
 
 def after_task(messages: Column, marker: str = "task") -> Column:
     """What follows the closing marker in the message that ``task_text`` reads."""
     holding = F.filter(messages, lambda m: (m["role"] == "user") & m["content"].rlike(f"(?s)<{marker}>(.*?)</{marker}>"))
     content = F.try_element_at(holding, F.lit(-1))["content"]
-    return F.trim(F.regexp_replace(content, f"(?s)^.*?<{marker}>.*?</{marker}>", ""))
+    return strip(F.regexp_replace(content, f"(?s)^.*?<{marker}>.*?</{marker}>", ""))
 
 
 def baseline_label(names: Column, content: Column, status: Column, many: str = "null") -> Column:
@@ -137,7 +142,7 @@ def baseline_label(names: Column, content: Column, status: Column, many: str = "
     """
     distinct = F.array_distinct(F.filter(names, lambda n: n.isNotNull()))
     several = F.raise_error(F.lit("more than one tool in a response")).cast("string") if many == "raise" else F.lit(None).cast("string")
-    return F.when(F.coalesce(status, F.lit(0)) != 200, None).when(F.size(distinct) > 1, several).when(F.size(distinct) == 1, F.get(distinct, 0)).when(F.trim(content) != "", NO_SKILL)
+    return F.when(F.coalesce(status, F.lit(0)) != 200, None).when(F.size(distinct) > 1, several).when(F.size(distinct) == 1, F.get(distinct, 0)).when(strip(content) != "", NO_SKILL)
 
 
 def phase(messages: Column) -> Column:
@@ -160,7 +165,7 @@ def arguments_or_empty(text: Column) -> Column:
 
 def first_nonblank(*candidates: Column) -> Column:
     """The first candidate that is neither null nor blank, trimmed."""
-    return F.coalesce(*(F.when(F.trim(c) != "", F.trim(c)) for c in candidates))
+    return F.coalesce(*(F.when(strip(c) != "", strip(c)) for c in candidates))
 
 
 def redact(text: Column, secret: str) -> Column:
@@ -172,7 +177,7 @@ def redact(text: Column, secret: str) -> Column:
 
 def answer_json(text: Column) -> Column:
     """The JSON object of an answer: without code fences, whole or the widest brace pair in it."""
-    bare = F.trim(F.regexp_replace(text, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", ""))
+    bare = strip(F.regexp_replace(text, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", ""))
     inner = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
     parses = lambda t: F.try_parse_json(t).isNotNull() & t.startswith("{")
     return F.when(parses(bare), bare).when(parses(inner), inner)
@@ -188,7 +193,7 @@ def label_answer(text: Column, labels: Column) -> Column:
 
 def letter_answer(content: Column, finish_reason: Column, choices: Column) -> Column:
     """The choice behind a single letter A-Z; null unless the response stopped by itself and the letter is in use."""
-    letter = F.trim(content)
+    letter = strip(content)
     place = F.ascii(letter) - 64
     return F.when((finish_reason == "stop") & letter.rlike("^[A-Z]$") & (place <= F.size(choices)), F.get(choices, place - 1))
 
@@ -224,10 +229,14 @@ def predict(kind: Column, choice: Column, p: Column) -> Column:
     return F.when(kind == "choice", choice).when(kind == "noul", (F.get(p, 0) > 0.5).cast("string")).when(kind == "score", (-best["i"]).cast("string"))
 
 
+def _share_of(votes: Column, option: str) -> Column:
+    return F.size(F.filter(votes, lambda v: v == option))
+
+
 def vote_share(votes: Column, options: Iterable[str]) -> Column:
     """Share of votes for each option; null without votes."""
     n = F.size(votes).cast("double")
-    return F.when(n > 0, F.map_from_arrays(F.array(*map(F.lit, options)), F.array(*(F.size(F.filter(votes, lambda v, o=o: v == o)) / n for o in options))))
+    return F.when(n > 0, F.map_from_arrays(F.array(*map(F.lit, options)), F.array(*(_share_of(votes, o) / n for o in options))))
 
 
 def modal(shares: Column, gold: Column) -> Column:
@@ -247,7 +256,7 @@ def short_hash(text: Column) -> Column:
 
 def csv_cell(text: Column) -> Column:
     """Trimmed, non-blank parts of a comma-separated cell."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: strip(x)), lambda x: x != "")
 
 
 def letter_codes(choices: Column) -> Column:

@@ -129,11 +129,11 @@ def auroc(df: DataFrame, score: str, positive: str, by: Sequence[str] = ()) -> D
     Equal scores are counted before anything is ordered, so the window holds distinct scores only.
     """
     valid = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(positive).isNotNull())
-    tied = valid.groupBy(*by, score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"))
-    order = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = tied.withColumn("before", F.coalesce(F.sum(F.col("p") + F.col("q")).over(order), F.lit(0)))
-    mean_rank = F.col("before") + (F.col("p") + F.col("q") + 1) / 2
-    sums = ranked.groupBy(*by).agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"), F.sum(F.col("p") * mean_rank).alias("_r"))
+    tied = valid.select(*by, F.col(score).alias("_s"), F.col(positive).alias("_y")).groupBy(*by, "_s").agg(F.count_if("_y").alias("_p"), F.count_if(~F.col("_y")).alias("_q"))
+    order = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = tied.withColumn("_before", F.coalesce(F.sum(F.col("_p") + F.col("_q")).over(order), F.lit(0)))
+    mean_rank = F.col("_before") + (F.col("_p") + F.col("_q") + 1) / 2
+    sums = ranked.groupBy(*by).agg(F.sum("_p").alias("positives"), F.sum("_q").alias("negatives"), F.sum(F.col("_p") * mean_rank).alias("_r"))
     return sums.select(*by, "positives", "negatives", stats.ranks_to_auroc(F.col("_r"), F.col("positives"), F.col("negatives")).alias("auroc"))
 
 

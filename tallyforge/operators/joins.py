@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyforge.functions.parse import match_key, token_set
 from tallyforge.operators import aggregates
@@ -128,6 +129,7 @@ def longest_match(texts: DataFrame, text: str, needles: DataFrame, needle: str,
     spark = texts.sparkSession
     usable = needles.where(F.length(needle) >= least).select(F.col(needle_id).alias("i"), F.col(needle).alias("n"))
     kind, id_kind = texts.schema[key].dataType.simpleString(), needles.schema[needle_id].dataType.simpleString()
+    id_type = to_arrow_type(needles.schema[needle_id].dataType)
     schema, out = f"key {kind}, needle_id {id_kind}, length int", None
     blocks, block, size = [], {}, 0
     for row in usable.groupBy("n").agg(F.min("i").alias("i")).toLocalIterator():
@@ -157,7 +159,7 @@ def longest_match(texts: DataFrame, text: str, needles: DataFrame, needle: str,
                         keys.append(k)
                         ids.append(best[1])
                         lengths.append(-best[0])
-                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(ids) if ids else pa.array([], pa.int64()), pa.array(lengths, pa.int32())], names=["key", "needle_id", "length"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(ids, id_type), pa.array(lengths, pa.int32())], names=["key", "needle_id", "length"])
 
         found = texts.where(F.col(text).isNotNull()).select(key, F.col(text).cast("string")).mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)

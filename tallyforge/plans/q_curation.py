@@ -1 +1,146 @@
-"""Queries; see the modules beside."""
+"""Rules, contrast groups, audits and converted sources."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyforge.operators import curation as cu
+from tallyforge.plans.catalog import query
+from tallyforge.sources import adapters
+
+_RULES = [({"late": "supported", "cheap": "refuted"}, "escalate"), ({"late": "refuted"}, "close"), ({"taxed": "unknown"}, "ask"), ({"late": "supported", "taxed": "supported"}, "escalate")]
+
+
+def _facts(t):
+    state = lambda c: F.when(c, "supported").when(~c, "refuted").otherwise("unknown")
+    facts = F.create_map(F.lit("late"), state(F.col("l_returnflag") == "R"), F.lit("cheap"), state(F.col("l_extendedprice") < 20000), F.lit("taxed"), state(F.when(F.col("l_tax") != 0.04, F.col("l_tax") > 0.04)))
+    return t.lineitem.select("l_orderkey", "l_linenumber", facts.alias("facts"))
+
+
+@query(
+    """WITH f AS (SELECT l_returnflag = 'R' late, l_extendedprice < 20000 cheap, CASE WHEN l_tax <> 0.04 THEN l_tax > 0.04 END taxed FROM lineitem),
+    d AS (SELECT list_distinct(list_filter([CASE WHEN late AND NOT cheap THEN 'escalate' END, CASE WHEN NOT late THEN 'close' END, CASE WHEN taxed IS NULL THEN 'ask' END, CASE WHEN late AND taxed THEN 'escalate' END], lambda x: x IS NOT NULL)) t FROM f)
+    SELECT CASE len(t) WHEN 0 THEN 'abstain' WHEN 1 THEN 'decided' ELSE 'conflict' END AS outcome, CASE WHEN len(t) = 1 THEN t[1] END AS target, count(*) AS n FROM d GROUP BY ALL"""
+)
+def rule_decisions(t):
+    return cu.decide(_facts(t), "facts", cu.rule_literal(_RULES)).groupBy("outcome", "target").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH s AS (SELECT unnest(['supported', 'refuted', 'unknown']) s), a AS (SELECT l.s late, c.s cheap, t.s taxed FROM s l, s c, s t),
+    d AS (SELECT list_distinct(list_filter([CASE WHEN late = 'supported' AND cheap = 'refuted' THEN 'escalate' END, CASE WHEN late = 'refuted' THEN 'close' END, CASE WHEN taxed = 'unknown' THEN 'ask' END, CASE WHEN late = 'supported' AND taxed = 'supported' THEN 'escalate' END], lambda x: x IS NOT NULL)) t FROM a)
+    SELECT CASE len(t) WHEN 0 THEN 'abstain' WHEN 1 THEN 'decided' ELSE 'conflict' END AS outcome, count(*) AS n FROM d GROUP BY ALL"""
+)
+def rule_enumeration(t):
+    every = cu.facts_of(cu.assignments(t.spark, ["late", "cheap", "taxed"]), "assignment")
+    return cu.decide(every, "facts", cu.rule_literal(_RULES)).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query('SELECT 1::INT AS plan, * FROM (VALUES (0, 2), (1, 2)) v("left", "right")')
+def rule_overlaps(t):
+    rows = [(1, i, target, when) for i, (when, target) in enumerate(_RULES)]
+    rules = t.spark.createDataFrame(rows, "plan int, rule int, target string, `when` map<string,string>")
+    return cu.overlapping_rules(rules, "plan")
+
+
+@query("SELECT variant, count(*) AS n, count(DISTINCT target) AS targets FROM (SELECT unnest(['base', 'removed', 'counterfactual', 'paraphrase', 'distractor']) AS variant, CASE WHEN variant = 'removed' THEN 'none' WHEN variant = 'counterfactual' THEN 'no' ELSE 'yes' END AS target FROM orders) GROUP BY variant")
+def contrast_variants(t):
+    text = F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" was paid."))
+    jobs = t.orders.select("o_orderkey", text.alias("state"), F.lit("was paid").alias("evidence"), F.lit("was not paid").alias("counter_evidence"), F.lit("has been settled").alias("paraphrase"), F.lit("It rained.").alias("distractor"), F.lit("yes").alias("target"), F.lit("no").alias("counter_target"), F.lit("none").alias("missing_target"))
+    return cu.contrast_groups(jobs, "o_orderkey").groupBy("variant").agg(F.count("*").alias("n"), F.count_distinct("target").alias("targets"))
+
+
+@query("SELECT l_orderkey, CASE WHEN n <> 2 THEN 'variants' END AS problem FROM (SELECT l_orderkey, count(*) n FROM lineitem GROUP BY 1) WHERE n <> 2")
+def incomplete_groups(t):
+    rows = t.lineitem.select("l_orderkey", F.lit("line").alias("variant"), F.monotonically_increasing_id().alias("state"), F.lit("x").alias("target"))
+    return cu.group_problems(rows, "l_orderkey", ["line", "line"]).where("problem = 'variants'")
+
+
+@query(
+    """SELECT 'repeated id' AS violation, count(*) AS n FROM (SELECT id FROM decision_records GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'repeated input', count(*) FROM (SELECT sha256(input.state) FROM decision_records GROUP BY 1 HAVING count(*) > 1)
+    UNION ALL SELECT 'held-out family', count(*) FROM decision_records WHERE lower(trim(split)) = 'train' AND family IN (SELECT family FROM decision_records WHERE lower(trim(split)) = 'test')"""
+)
+def release_violations(t):
+    rows = t.decision_records.select("id", "family", F.sha2("input.state", 256).alias("input_sha256"), F.lower(F.trim("split")).alias("split"))
+    full = rows.withColumns({"source_id": F.col("id"), "source_sha256": F.col("input_sha256"), "group_id": F.col("family"), "variant": F.lit("x"), "state": F.col("input_sha256"), "target": F.lit("x")})
+    sources = rows.select("id", "family", F.col("input_sha256").alias("sha256")).dropDuplicates(["id"])
+    audit = cu.release_audit(full, sources, rows.where("split = 'test'").select("family", "input_sha256"), ["x"])
+    train = cu.release_audit(full.where("split = 'train'"), sources, rows.where("split = 'test'").select("family", "input_sha256"), ["x"])
+    parts = {"repeated id": audit["repeated id"], "repeated input": audit["repeated input"], "held-out family": train["held-out family"]}
+    out = None
+    for name, violations in parts.items():
+        part = violations.agg(F.count("*").alias("n")).select(F.lit(name).alias("violation"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT user_id, n AS attempts FROM (SELECT user_id, count(*) n, count(*) FILTER (event_type = 'purchase' AND value > 45) a FROM events GROUP BY 1) WHERE n >= 2 AND a = 0")
+def refinable_sources(t):
+    rows = t.events.withColumn("accepted", (F.col("event_type") == "purchase") & (F.col("value") > 45)).withColumns({"quota": F.lit(10), "made": F.lit(2)})
+    return cu.refinable(rows, "user_id", "accepted", "quota", "made").select("user_id", "attempts")
+
+
+@query("SELECT i AS ordinal, ['a', 'b', 'c'][i // 6 + 1] AS subject, i % 6 AS slot, ['text', 'object'][(i // 6 + i % 6) % 2 + 1] AS format, ['choice', 'noul', 'score'][i % 6 % 3 + 1] AS kind FROM range(18) t(i)")
+def coverage_plan(t):
+    return cu.coverage_plan(t.spark, ["a", "b", "c"], ["text", "object"], ["choice", "noul", "score"], 6, 1).drop("held_out")
+
+
+@query("SELECT id, 3::INT AS messages, input.state || chr(10) || chr(10) || input.questions['decision'].instructions || chr(10) || chr(10) || input.questions['decision'].criteria AS user, reference.target AS answer FROM decision_records WHERE input.state IS NOT NULL")
+def training_messages(t):
+    rows = cu.training_messages(t.decision_records.where("input.state is not null"), "Judge the case.")
+    return rows.select("id", F.size("messages").alias("messages"), F.col("messages")[1]["content"].alias("user"), F.col("messages")[2]["content"].alias("answer"))
+
+
+@query("SELECT input.state AS state, input.questions['decision'].type AS type, reference.target AS label, id, family FROM decision_records")
+def suite_records(t):
+    rows = cu.suite_record(t.decision_records, "own")
+    return rows.select("state", F.col("questions")["decision"]["type"].alias("type"), F.col("questions")["decision"]["label"].alias("label"), "_meta.id", "_meta.family")
+
+
+@query("SELECT place, n_name, n_regionkey FROM (SELECT row_number() OVER (ORDER BY sha256('{\"n_name\":\"' || n_name || '\"}')) AS place, n_name, n_regionkey FROM nation)")
+def worksheet_with_key(t):
+    sheet, key = cu.worksheet_and_key(t.nation, ["n_name"], ["n_regionkey"], "n_name")
+    return sheet.join(key, "place")
+
+
+@query("SELECT 'paws-' || l_orderkey || '-' || l_linenumber AS id, CASE WHEN l_linenumber = 1 THEN 'true' ELSE 'false' END AS target FROM lineitem WHERE l_linenumber <= 2")
+def converted_pairs(t):
+    """Rows of the paws layout through its adapter."""
+    raw = t.lineitem.where("l_linenumber <= 2").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.lit("a").alias("sentence1"), F.lit("b").alias("sentence2"), (F.col("l_linenumber") == 1).cast("int").alias("label"))
+    return adapters.accepted(adapters.convert("paws", raw)).select("id", "target")
+
+
+@query("SELECT 'multinli-' || l_orderkey AS id, round(count(*) FILTER (l_returnflag = 'N') / count(*), 9) AS neutral FROM lineitem GROUP BY l_orderkey HAVING count(*) FILTER (l_returnflag = 'N') >= greatest(count(*) FILTER (l_returnflag = 'A'), count(*) FILTER (l_returnflag = 'R')) AND count(*) FILTER (l_returnflag = 'N') > 0")
+def converted_votes(t):
+    """Rows of the multinli layout: votes as distributions, and gold only where it is modal."""
+    names = F.create_map(*(F.lit(x) for x in ("A", "entailment", "N", "neutral", "R", "contradiction")))
+    raw = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(names[F.col("l_returnflag")]).alias("annotator_labels")).withColumn("gold_label", F.lit("neutral"))
+    n = lambda v: F.size(F.filter("annotator_labels", lambda x: x == v))
+    raw = raw.where((n("neutral") > 0) & (n("neutral") >= F.greatest(n("entailment"), n("contradiction")))).select(F.col("l_orderkey").cast("string").alias("pairID"), F.col("l_orderkey").cast("string").alias("promptID"), F.lit("p").alias("sentence1"), F.lit("h").alias("sentence2"), "gold_label", "annotator_labels")
+    return adapters.accepted(adapters.convert("multinli", raw)).select("id", F.round(F.col("distribution")["neutral"], 9).alias("neutral"))
+
+
+@query("SELECT 'squad2-' || l_orderkey || '-' || l_linenumber AS id, CASE WHEN l_quantity > 25 THEN 'true' ELSE 'false' END AS target FROM lineitem")
+def converted_questions(t):
+    """Rows of the nested squad2 layout: document, paragraph, question."""
+    answers = F.when(F.col("l_quantity") > 25, F.array(F.struct(F.lit("x").alias("text"), F.lit(0).alias("answer_start")))).otherwise(F.array().cast("array<struct<text:string,answer_start:int>>"))
+    qas = F.struct(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.lit("q").alias("question"), answers.alias("answers"), (F.col("l_quantity") <= 25).alias("is_impossible"))
+    paragraphs = t.lineitem.groupBy("l_orderkey").agg(F.struct(F.col("l_orderkey").cast("string").alias("context"), F.collect_list(qas).alias("qas")).alias("p"))
+    documents = paragraphs.select(F.array(F.struct(F.lit("t").alias("title"), F.array("p").alias("paragraphs"))).alias("data"))
+    return adapters.accepted(adapters.convert("squad2", documents)).select("id", "target")
+
+
+@query("SELECT 'summeval-' || l_orderkey || '-' || p AS id, greatest(0, least(4, floor(v + 0.5) - 1))::INT::VARCHAR AS target FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_tax) - 1 p, 1 + l_tax * 50 v FROM lineitem)")
+def converted_scores(t):
+    """Rows of the summeval layout: parallel arrays of summaries and scores."""
+    each = F.struct("l_linenumber", "l_quantity", F.lit("s").alias("s"), (1 + F.col("l_tax") * 50).alias("v"))
+    raw = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(each)).alias("a"))
+    raw = raw.select(F.col("l_orderkey").cast("string").alias("id"), F.lit("t").alias("text"), F.transform("a", lambda x: x["s"]).alias("machine_summaries"), F.transform("a", lambda x: x["v"]).alias("relevance"))
+    return adapters.accepted(adapters.convert("summeval", raw)).select("id", "target")
+
+
+@query("SELECT count(*) FILTER (l_shipdate IS NOT NULL) AS converted, 0::BIGINT AS skipped, count(*) FILTER (length(l_orderkey::VARCHAR) > 4) AS dropped_over_length, count(*) FILTER (length(l_orderkey::VARCHAR) <= 4) AS kept FROM lineitem")
+def build_counts(t):
+    raw = t.lineitem.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("l_orderkey").cast("string").alias("sentence1"), F.lit("b").alias("sentence2"), F.lit(1).alias("label"))
+    made = adapters.convert("paws", raw)
+    return adapters.build_summary(made, F.length(F.get_json_object("state", "$.sentence1")), 4)

@@ -65,8 +65,6 @@ def valid_metrics(t):
     return rows.select("api_url", "latency_count", F.round("latency_total", 4).alias("latency_total"), F.round("latency_mean", 6).alias("latency_mean"))
 
 
-_LATEST = "(SELECT id, arg_max(prediction, result_no) prediction, arg_max(coalesce(error, ''), result_no) error FROM results GROUP BY id)"
-
 
 def _latest(t):
     return t.results.groupBy("id").agg(F.max_by(F.struct("prediction", "error"), "result_no").alias("r")).select("id", "r.prediction", "r.error")
@@ -75,7 +73,7 @@ def _latest(t):
 @query(
     f"""SELECT phase, count(*) AS rows, count(baseline_skill) AS comparable, count(*) FILTER (g AND coalesce(baseline_skill = prediction, false)) AS agreed,
     round(avg((g AND coalesce(baseline_skill = prediction, false))::INT) FILTER (baseline_skill IS NOT NULL), 9) AS agreement, count(*) FILTER (g) AS successes, round(avg((baseline_skill = prediction)::INT) FILTER (g), 9) AS agreement_success_only
-    FROM (SELECT d.phase, d.baseline_skill, r.prediction, coalesce(r.error, 'x') = '' AND r.prediction IS NOT NULL AND d.baseline_skill IS NOT NULL g FROM disagreements d LEFT JOIN (SELECT id, arg_max(struct_pack(p := prediction, e := coalesce(error, '')), result_no) x, x.p prediction, x.e error FROM results GROUP BY id) r USING (id)) GROUP BY phase"""
+    FROM (SELECT d.phase, d.baseline_skill, r.x.p AS prediction, r.x.e IS NULL AND r.x.p IS NOT NULL AND d.baseline_skill IS NOT NULL g FROM disagreements d LEFT JOIN (SELECT id, arg_max(struct_pack(p := prediction, e := error), result_no) x FROM results GROUP BY id) r USING (id)) GROUP BY phase"""
 )
 def agreement_by_phase(t):
     rows = t.disagreements.select("id", "phase", "baseline_skill").join(_latest(t), "id", "left")
@@ -165,7 +163,8 @@ def accuracy_with_interval(t):
 def paired_runs(t):
     line = F.concat_ws("-", "l_orderkey", "l_linenumber", F.monotonically_increasing_id())
     runs = F.explode(F.create_map(F.lit("a"), F.col("l_quantity") > 25, F.lit("b"), F.col("l_discount") > 0.05, F.lit("c"), F.col("l_tax") > 0.04))
-    out = run_pairs(t.lineitem.select(line.alias("id"), runs.alias("run", "correct")), "id", "run", "correct")
+    numbered = t.lineitem.withColumn("id", line)
+    out = run_pairs(numbered.select("id", runs.alias("run", "correct")), "id", "run", "correct")
     return out.select("left", "right", "both", "neither", "left_only", "right_only", F.round("p_value", 6).alias("p_value"))
 
 

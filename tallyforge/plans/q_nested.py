@@ -30,9 +30,9 @@ def p4_plan_steps(t):
 
 
 @query(
-    """SELECT source_line, json_extract_string(result, '$.prediction') AS prediction, json_extract_string(result, '$.raw_response.model') AS model,
-    json_extract_string(result, '$.raw_response.usage.input_tokens')::BIGINT AS input_tokens, json_extract_string(result, '$.raw_response.usage.output_tokens')::BIGINT AS output_tokens
-    FROM disagreements WHERE json_valid(result)"""
+    """WITH r AS (SELECT source_line, result, json_extract_string(result, '$.raw_response') x FROM disagreements WHERE json_valid(result)), u AS (SELECT *, CASE WHEN json_valid(x) THEN json_extract_string(x, '$.usage') END y FROM r)
+    SELECT source_line, json_extract_string(result, '$.prediction') AS prediction, CASE WHEN json_valid(x) THEN json_extract_string(x, '$.model') END AS model,
+    CASE WHEN json_valid(y) THEN json_extract_string(y, '$.input_tokens')::BIGINT END AS input_tokens, CASE WHEN json_valid(y) THEN json_extract_string(y, '$.output_tokens')::BIGINT END AS output_tokens FROM u"""
 )
 def p4_results(t):
     rows = nested.result_tables(t.disagreements)
