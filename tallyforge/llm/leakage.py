@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tallyforge.functions.rolling import code_points, joined_windows, mix, windows
+from tallyforge.functions.rolling import code_points, joined_windows
 from tallyforge.functions.text import WORD, bare, words
 
 WORDS, CHARACTERS = 12, 30
@@ -128,6 +129,7 @@ def leaked_spans(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     """
     spark = documents.sparkSession
     schema = f"{doc_id} {documents.schema[doc_id].dataType.simpleString()}, {item_id} {items.schema[item_id].dataType.simpleString()}, begin int, end int"
+    id_type = to_arrow_type(items.schema[item_id].dataType)
     source = documents.select(doc_id, F.col(text).cast("string").alias("_text")).where(F.col("_text").isNotNull() & F.col(doc_id).isNotNull())
     out = None
     for block in _blocks(items, item_id, text, lang):
@@ -150,7 +152,7 @@ def leaked_spans(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
                             spans = [(places[at][p][0], places[at][p + table.width - 1][1]) for p in starts]
                             rows += [(piece[at][0], table.items[item].item_id, *span) for span in merge_spans(spans)]
                 ids, of, begin, end = zip(*rows) if rows else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(of), pa.array(begin, pa.int32()), pa.array(end, pa.int32())] if rows else [pa.array([], kind), pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.int32())], names=[doc_id, item_id, "begin", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(of, id_type), pa.array(begin, pa.int32()), pa.array(end, pa.int32())], names=[doc_id, item_id, "begin", "end"])
 
         part = source.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)

@@ -1,0 +1,19 @@
+import os
+
+import pytest
+
+from tallyforge.llm import oracles, queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_each_problem_has_its_queries():
+    names = queries.queries()
+    assert {n[1] for n in names} == set("12356789")
+    assert set(oracles.oracle_sql()) <= set(names)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_runs_on_the_smallest_tables(spark, name):
+    assert queries.queries()[name](spark, SF).count() >= 0
