@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tallyforge.functions.rolling import code_points, joined_windows
+from tallyforge.functions.rolling import code_points, joined_windows, window_runs
 from tallyforge.functions.text import WORD, bare, words
 
 WORDS, CHARACTERS = 12, 30
@@ -49,17 +49,18 @@ class Grams:
         """(text number, position, item number) of each verified window of the token sequences ``texts``."""
         if not self.items:
             return
-        hashes, owner, position = joined_windows([self.values(t) for t in texts], self.width)
-        maybe = np.flatnonzero(self.present[(hashes >> np.uint64(64 - _TABLE)).astype(np.int64)])
-        left = np.searchsorted(self.hashes, hashes[maybe], "left")
-        right = np.searchsorted(self.hashes, hashes[maybe], "right")
-        for at, lo, hi in zip(maybe[right > left].tolist(), left[right > left].tolist(), right[right > left].tolist()):
-            text, p = int(owner[at]), int(position[at])
-            window = texts[text][p : p + self.width]
-            for k in range(lo, hi):
-                item, q = int(self.owner[k]), int(self.position[k])
-                if self.items[item].tokens[q : q + self.width] == window:
-                    yield text, p, item
+        for hashes, owner, position in window_runs([self.values(t) for t in texts], self.width):
+            maybe = np.flatnonzero(self.present[(hashes >> np.uint64(64 - _TABLE)).astype(np.int64)])
+            left = np.searchsorted(self.hashes, hashes[maybe], "left")
+            right = np.searchsorted(self.hashes, hashes[maybe], "right")
+            some = right > left
+            for at, lo, hi in zip(maybe[some].tolist(), left[some].tolist(), right[some].tolist()):
+                text, p = int(owner[at]), int(position[at])
+                window = texts[text][p : p + self.width]
+                for k in range(lo, hi):
+                    item, q = int(self.owner[k]), int(self.position[k])
+                    if self.items[item].tokens[q : q + self.width] == window:
+                        yield text, p, item
 
 
 def _lowered(text: str) -> tuple[str, list[int]]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.rolling import BASE, OTHER_BASE, code_points, joined_windows
+from tallyforge.functions.rolling import OTHER_BASE, code_points, window_runs
 from tallyforge.llm import bits
 from tallyforge.llm.overlap import key64
 from tallyforge.operators.stages import stage
@@ -52,9 +52,10 @@ def _pieces(keys, texts):
 def _block_hashes(batch: pa.RecordBatch):
     """(classes, block hashes) of the texts of a batch (cls, text)."""
     for piece in _pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        hashes, owner, position = joined_windows([code_points(t) for _, t in piece], BLOCK)
-        aligned = position % BLOCK == 0
-        yield np.array([c for c, _ in piece], np.int64)[owner[aligned]], hashes[aligned]
+        classes = np.array([c for c, _ in piece], np.int64)
+        for hashes, owner, position in window_runs([code_points(t) for _, t in piece], BLOCK):
+            aligned = position % BLOCK == 0
+            yield classes[owner[aligned]], hashes[aligned]
 
 
 class SharedSpans:
@@ -90,10 +91,10 @@ class SharedSpans:
         def probe(batches):
             for batch in batches:
                 for piece in _pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    hashes, owner, position = joined_windows([code_points(t) for _, t in piece], BLOCK)
-                    maybe = bits.maybe_present(present.value, hashes)
                     classes = np.array([c for c, _ in piece], np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[maybe].view(np.int64)), pa.array(classes[owner[maybe]]), pa.array(position[maybe].astype(np.int32))], names=["hash", "cls", "at"])
+                    for hashes, owner, position in window_runs([code_points(t) for _, t in piece], BLOCK):
+                        maybe = bits.maybe_present(present.value, hashes)
+                        yield pa.RecordBatch.from_arrays([pa.array(hashes[maybe].view(np.int64)), pa.array(classes[owner[maybe]]), pa.array(position[maybe].astype(np.int32))], names=["hash", "cls", "at"])
 
         blocks = self.texts.mapInArrow(index, "hash long, cls long").groupBy("hash").agg(F.min("cls").alias("least"), F.max("cls").alias("most"))
         probes = self.texts.mapInArrow(probe, "hash long, cls long, at int")
@@ -115,29 +116,26 @@ class SharedSpans:
                 places = dict(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()))
                 for piece in _pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     parts = [code_points(t) for _, t in piece]
-                    h1, owner, position = joined_windows(parts, SPAN)
-                    h2, _, _ = joined_windows(parts, SPAN, OTHER_BASE, 1)
-                    wanted = np.zeros(len(h1), bool)
-                    first = np.concatenate(([0], np.cumsum([max(0, len(p) - SPAN + 1) for p in parts])))
-                    marks = np.zeros(len(h1) + 1, np.int32)
+                    room = np.array([len(p) - SPAN + 1 for p in parts], np.int64)
+                    first = np.cumsum(room) - room
+                    marks = np.zeros(int(room.sum()) + 1, np.int32)
                     for i, (cls, _) in enumerate(piece):
                         at = np.asarray(places[cls], np.int64)
-                        room = first[i + 1] - first[i]
-                        begin, end = np.clip(at - (SPAN - BLOCK), 0, room), np.clip(at + 1, 0, room)
-                        np.add.at(marks, first[i] + begin, 1)
-                        np.add.at(marks, first[i] + end, -1)
+                        np.add.at(marks, first[i] + np.clip(at - (SPAN - BLOCK), 0, room[i]), 1)
+                        np.add.at(marks, first[i] + np.clip(at + 1, 0, room[i]), -1)
                     wanted = np.cumsum(marks[:-1]) > 0
-                    solid = [np.concatenate(([0], np.cumsum(~np.fromiter(map(str.isspace, t), bool, len(t))))) for _, t in piece]
-                    offsets = np.concatenate(([0], np.cumsum([len(s) for s in solid])))
-                    counts = np.concatenate(solid).astype(np.int32)
-                    owner, position = owner[wanted], position[wanted]
-                    at = offsets[owner] + position
+                    solid = [np.concatenate(([0], np.cumsum(~np.fromiter(map(str.isspace, t), bool, len(t))))).astype(np.int32) for _, t in piece]
+                    offsets = np.cumsum([len(s) for s in solid]) - np.array([len(s) for s in solid])
+                    counts, whole = np.concatenate(solid), np.array([s[-1] for s in solid], np.int32)
                     classes = np.array([c for c, _ in piece], np.int64)
-                    whole = np.array([s[-1] for s in solid], np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h1[wanted].view(np.int64)), pa.array(h2[wanted].view(np.int64)), pa.array(classes[owner]), pa.array(position.astype(np.int32)), pa.array(counts[at]), pa.array(counts[at + SPAN]), pa.array(whole[owner])],
-                        names=["h1", "h2", "cls", "at", "before", "upto", "blankless"],
-                    )
+                    for (h1, owner, position), (h2, _, _) in zip(window_runs(parts, SPAN), window_runs(parts, SPAN, OTHER_BASE, 1)):
+                        keep = wanted[first[owner] + position]
+                        owner, position = owner[keep], position[keep]
+                        at = offsets[owner] + position
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(h1[keep].view(np.int64)), pa.array(h2[keep].view(np.int64)), pa.array(classes[owner]), pa.array(position.astype(np.int32)), pa.array(counts[at]), pa.array(counts[at + SPAN]), pa.array(whole[owner])],
+                            names=["h1", "h2", "cls", "at", "before", "upto", "blankless"],
+                        )
 
         return joined.mapInArrow(extend, "h1 long, h2 long, cls long, at int, before int, upto int, blankless int")
 

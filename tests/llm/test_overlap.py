@@ -63,13 +63,21 @@ def test_near_the_threshold_few_pairs_are_missed():
     for _ in range(300):
         common, own = 40, 5  # 40 / 50 = 0.8 exactly
         values = rng.choice(1 << 32, size=common + 2 * own, replace=False).astype(np.uint32)
-        flat = np.concatenate([values[: common + own], values[:common], values[common + own :]])
-        keys = ov.band_keys(ov.signatures(flat, np.array([0, common + own])))
+        keys = ov.band_keys(ov.signatures([values[: common + own], np.concatenate([values[:common], values[common + own :]])]))
         missed += not (keys[:, 0] == keys[:, 1]).any()
         trials += 1
     assert missed / trials < 0.01
 
 
+def test_signatures_do_not_depend_on_the_other_sets():
+    rng = np.random.default_rng(5)
+    sets = [rng.integers(0, 1 << 32, rng.integers(1, 90), dtype=np.uint32) for _ in range(700)] + [rng.integers(0, 1 << 32, 100_000, dtype=np.uint32)]
+    together = ov.signatures(sets)
+    for i in (0, 13, 699, 700):
+        assert (together[:, i] == ov.signatures([sets[i]])[:, 0]).all()
+        assert (together[7, i] == ((sets[i] ^ ov.XORS[7]) * ov.ODDS[7]).min()).all()
+
+
 def test_bit_array_never_forgets(spark):
     hashes = np.random.default_rng(1).integers(0, 1 << 63, 100_000, dtype=np.uint64)
     array = np.zeros(bits.BITS // 8, np.uint8)
