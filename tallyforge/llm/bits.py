@@ -1,8 +1,8 @@
 """A fixed-size bit array of 64-bit hashes, built on the executors.
 
-Two bits are set for each hash.  The array has 2^27 bits, 16 MB, whatever the
+Two bits are set for each hash.  The array has 2^28 bits, 32 MB, whatever the
 data; each task folds its hashes into its own array, slices of equal number are
-or-ed together, and only the finished array, a constant 16 MB, reaches the
+or-ed together, and only the finished array, a constant 32 MB, reaches the
 driver to be broadcast.  It answers "certainly absent" or "maybe present", so a
 probe side may drop what is certainly absent before a shuffle.  When the data
 outgrow it, it drops less; nothing is ever lost.
@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-BITS = 1 << 27
+BITS = 1 << 28
+_SHIFT = 65 - BITS.bit_length()
 SLICES = 64
 _SLICE_BYTES = BITS // 8 // SLICES
 
@@ -26,7 +27,7 @@ def bit_positions(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two bit numbers of each uint64 hash, from its two halves."""
     h = hashes.astype(np.uint64, copy=False)
     mixed = h * np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(37)) & np.uint64(BITS - 1), (mixed >> np.uint64(37)) & np.uint64(BITS - 1)
+    return (h >> np.uint64(_SHIFT)) & np.uint64(BITS - 1), (mixed >> np.uint64(_SHIFT)) & np.uint64(BITS - 1)
 
 
 def set_bits(array: np.ndarray, hashes: np.ndarray) -> None:
