@@ -6,7 +6,6 @@ Logged JSON is handled as text with ``get_json_object`` and ``from_json`` or as
 from __future__ import annotations
 
 import json
-import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -303,6 +302,38 @@ def canonical_state(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), 0), " ")
 
 
+def _json_string(text: Column) -> Column:
+    """A text as a JSON string."""
+    whole = F.to_json(F.struct(text.alias("v")))
+    return F.substring(whole, F.lit(6), F.length(whole) - 6)
+
+
+def _once_each(quotes: Column, text: Column) -> Column:
+    """Exactly two non-empty quotes, each once in the text."""
+    once = lambda q: (F.length(q) > 0) & (F.length(text) - F.length(F.replace(text, q)) == F.length(q))
+    return (F.size(quotes) == 2) & F.forall(quotes, once)
+
+
+def wrap_paragraph(state: Column, original: Column, quotes: Column) -> Column:
+    """A state that is one JSON string put into an object under ``context``, where the original state was an object and both quotes are found; else as it is."""
+    paragraph = F.when(strip(state).startswith('"') & F.try_parse_json(state).isNotNull(), F.try_variant_get(F.try_parse_json(state), "$", "string"))
+    fits = strip(original).startswith("{") & F.try_parse_json(original).isNotNull() & (strip(paragraph) != "") & _once_each(quotes, paragraph)
+    return F.when(fits, F.to_json(F.struct(paragraph.alias("context")))).otherwise(state)
+
+
+def encode_literal(state: Column, original_is_text: Column, quotes: Column) -> Column:
+    """A bare paragraph as a JSON string, where the original state was a text; JSON, and what looks like broken JSON or a fence, stays as it is."""
+    bare = F.try_parse_json(state).isNull() & (strip(state) != "") & ~F.ltrim(state).rlike(r'^\s*([{\["]|```)')
+    return F.when(original_is_text & bare & _once_each(quotes, state), _json_string(state)).otherwise(state)
+
+
+def adapt_input(state: Column, kind: Column, instructions: Column, criteria: Column) -> Column:
+    """struct(context, type, choices, description) of a question for a scorer: only what a model may see; unknown kinds stop."""
+    options = criteria_options(criteria, kind)
+    choices = F.when(kind == "noul", F.array(F.lit("false"), F.lit("true"))).when(kind.isin("choice", "score"), options).otherwise(F.raise_error(F.concat(F.lit("unsupported question type: "), F.coalesce(kind, F.lit("null")))).cast("array<string>"))
+    return F.struct(state.alias("context"), F.when(kind == "noul", "boolean").otherwise("enum").alias("type"), choices.alias("choices"), instructions.alias("description"))
+
+
 # -- what needs Python, in Arrow batches -----------------------------------
 
 
@@ -478,5 +509,3 @@ def with_distractor(states: pd.Series, extra: pd.Series) -> pd.Series:
 
     return pd.Series([add(s, t) for s, t in zip(states, extra)], dtype=object)
 
-
-SEPARATORS = re.compile("[  \u0085]")

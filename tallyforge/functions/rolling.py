@@ -55,3 +55,27 @@ def joined_windows(parts: list[np.ndarray], width: int, base: int = BASE, salt:
     position = np.arange(len(hashes)) - starts[owner]
     inside = position + width <= lengths[owner]
     return hashes[inside], owner[inside], position[inside]
+
+
+def window_runs(parts: list[np.ndarray], width: int, base: int = BASE, salt: int = 0, most: int = 1 << 20):
+    """As ``joined_windows``, in runs of at most ``most`` windows and a little more, so that memory follows neither the number nor the length of the parts."""
+    run: list[np.ndarray] = []
+    names: list[tuple[int, int]] = []
+    size = 0
+
+    def flush():
+        hashes, owner, position = joined_windows(run, width, base, salt)
+        whose = np.array(names, np.int64).reshape(-1, 2)
+        return hashes, whose[owner, 0], position + whose[owner, 1]
+
+    for i, part in enumerate(parts):
+        for offset in range(0, max(0, len(part) - width + 1), most):
+            piece = part[offset : offset + most + width - 1]
+            run.append(piece)
+            names.append((i, offset))
+            size += len(piece)
+            if size >= most:
+                yield flush()
+                run, names, size = [], [], 0
+    if run:
+        yield flush()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import parse as pr
 from tallyforge.functions import stats
-from tallyforge.functions.rolling import code_points, joined_windows, windows
+from tallyforge.functions.rolling import code_points, joined_windows, window_runs, windows
 from tallyforge.functions.text import bare, state_words, words
 
 
@@ -95,6 +95,22 @@ def test_python_backed_functions(spark):
     assert one(spark, pr.text_on_path(F.lit('{"a": [{"b": "x"}]}'), F.array(F.lit("a"), F.lit("0"), F.lit("b"))).alias("n"))["n"] == "x"
 
 
+def test_requests(spark):
+    array = lambda *xs: F.array(*map(F.lit, xs))
+    r = one(
+        spark,
+        pr.wrap_paragraph(F.lit('"The sky is blue."'), F.lit('{"a": 1}'), array("sky", "blue")).alias("w"), pr.wrap_paragraph(F.lit('"sky sky"'), F.lit('{"a": 1}'), array("sky", "blue")).alias("v"),
+        pr.encode_literal(F.lit('Say "hi" now'), F.lit(True), array("Say", "now")).alias("e"), pr.encode_literal(F.lit('{"broken'), F.lit(True), array("b", "k")).alias("b"), pr.encode_literal(F.lit("Say now"), F.lit(False), array("Say", "now")).alias("n"),
+        pr.adapt_input(F.lit("s"), F.lit("score"), F.lit("i"), F.lit('["low", "high"]')).alias("a"), pr.adapt_input(F.lit("s"), F.lit("choice"), F.lit("i"), F.lit('{"x": "1", "y": "2"}')).alias("c"),
+        pr.route_payload(array("f"), array("does f"), F.lit("q"), F.lit("plan"), "m", "question").alias("q"),
+    )
+    assert r["w"] == '{"context":"The sky is blue."}' and r["v"] == '"sky sky"' and r["e"] == '"Say \\"hi\\" now"' and r["b"] == '{"broken' and r["n"] == "Say now"
+    assert list(r["a"]["choices"]) == ["0", "1"] and list(r["c"]["choices"]) == ["x", "y"] and r["a"]["type"] == "enum"
+    assert '"current_plan"' not in r["q"] and pr.NO_SKILL in r["q"]
+    with pytest.raises(Exception, match="unsupported question type"):
+        one(spark, pr.adapt_input(F.lit("s"), F.lit("essay"), F.lit("i"), F.lit("{}")).alias("x"))
+
+
 def test_small_expressions(spark):
     r = one(
         spark, pr.span_edit(F.lit("a.b.a"), F.lit("b"), F.lit("c")).alias("e"), pr.span_edit(F.lit("aa"), F.lit("a"), F.lit("c")).alias("n"), pr.csv_cell(F.lit(" a, ,b ")).alias("c"),
@@ -115,6 +131,15 @@ def test_rolling_windows_equal_exactly_where_texts_do(texts, width):
     assert len(set(seen.values())) == len(seen)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab", max_size=30), max_size=5), st.integers(1, 4), st.integers(1, 7))
+def test_runs_hold_the_same_windows(texts, width, most):
+    parts = [code_points(t) for t in texts]
+    whole = list(zip(*(x.tolist() for x in joined_windows(parts, width))))
+    runs = [w for run in window_runs(parts, width, most=most) for w in zip(*(x.tolist() for x in run))]
+    assert [(o, p) for _, o, p in runs] == [(o, p) for _, o, p in whole] and [h for h, _, _ in runs] == [h for h, _, _ in whole]
+
+
 def test_rolling_windows_do_not_depend_on_place():
     a, b = windows(code_points("xxhello"), 5), windows(code_points("hello"), 5)
     assert a[2] == b[0] and len(windows(code_points("abc"), 4)) == 0
