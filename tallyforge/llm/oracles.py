@@ -36,7 +36,7 @@ def _percentiles(value: str, by: str, source: str) -> str:
     marks = ", ".join(f"round(arg_min(mark, (sign, bucket)) FILTER (upto > floor({q} * (total - 1))), 6) AS p{q * 100:g}" for q in (0.5, 0.9, 0.95, 0.99))
     return f"""WITH s AS ({_sketch(value, by or '1 AS one', source)}),
     t AS (SELECT *, sum(n) OVER ({part} ORDER BY sign, bucket) upto, sum(n) OVER ({part}) total, sign * {2 / (g + 1)!r} * pow({g!r}, bucket * sign) mark FROM s)
-    SELECT {keys}max(total)::BIGINT AS n, {marks}, {ERROR} AS error_bound FROM t {f'GROUP BY {by}' if by else ''}"""
+    SELECT {keys}max(total)::BIGINT AS n, {marks}, {ERROR}::DOUBLE AS error_bound FROM t {f'GROUP BY {by}' if by else ''}"""
 
 
 _RESULTS = "(SELECT called_at::DATE AS day, raw_response.model AS model, api_url, latency_ms FROM results)"

@@ -178,6 +178,17 @@ class CrossSplitOverlap:
         own = self.sets.groupBy("cls").agg(F.count_if(F.col("side") == "t").alias("t"), F.count_if(F.col("side") == "e").alias("e")).where("t > 0 and e > 0")
         return self.class_pairs().unionByName(own.select(F.col("cls").alias("cls_t"), F.col("cls").alias("cls_e"), F.lit(1.0).alias("similarity")))
 
+    def held_counts(self) -> DataFrame:
+        """(e, pairs): each record of side ``e`` with the number of its pairs, counted by class; no pair of records is formed."""
+        members = self.sets.select("key", "side", "cls")
+        train = members.where(F.col("side") == "t").groupBy(F.col("cls").alias("cls_t")).agg(F.count("*").alias("n"))
+        by_class = self.linked_classes().join(train, "cls_t").groupBy("cls_e").agg(F.sum("n").alias("pairs"))
+        return members.where(F.col("side") == "e").select(F.col("key").alias("e"), F.col("cls").alias("cls_e")).join(by_class, "cls_e").select("e", "pairs")
+
+    def classes(self) -> DataFrame:
+        """(key, cls): the class of each record that has words."""
+        return self.sets.select("key", "cls")
+
     def record_pairs(self) -> DataFrame:
         """(t, e, similarity): every pair of records."""
         members = self.sets.select("key", "side", "cls")

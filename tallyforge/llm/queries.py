@@ -72,20 +72,16 @@ def p2_baseline_phase(spark: SparkSession, d: str) -> DataFrame:
     return _baseline(spark, d, "phase")
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.decision_overlap(table(spark, d, "decision_records")).record_pairs()
-
-
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select(F.least("t", "e").alias("record_no_a"), F.greatest("t", "e").alias("record_no_b")).distinct()
+    pairs = overlap.decision_overlap(table(spark, d, "decision_records")).record_pairs()
+    return pairs.select(F.least("t", "e").alias("record_no_a"), F.greatest("t", "e").alias("record_no_b")).distinct()
 
 
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping pairs and held-out records, by split and source family of the held-out record."""
     held = table(spark, d, "decision_records").select(F.col("record_no").alias("e"), components.clean_split(F.col("split")).alias("split"), components.clean_link(F.col("source_family")).alias("source_family"))
-    # pairs are counted for each record before its labels are joined
-    counted = _pairs(spark, d).groupBy("e").agg(F.count("*").alias("n"))
-    return counted.join(held, "e").groupBy("split", "source_family").agg(F.sum("n").alias("pairs"), F.count("*").alias("records"))
+    counted = overlap.decision_overlap(table(spark, d, "decision_records")).held_counts()
+    return counted.join(held, "e").groupBy("split", "source_family").agg(F.sum("pairs").alias("pairs"), F.count("*").alias("records"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -153,6 +149,11 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.SharedSpans(table(spark, d, "documents")).extents().select("doc_id", "extent")
 
 
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Each document with a shared span: how many of its non-blank characters such spans cover."""
+    return spans.SharedSpans(table(spark, d, "documents")).extents()
+
+
 def p9_stretches(spark: SparkSession, d: str) -> DataFrame:
     return spans.SharedSpans(table(spark, d, "documents")).document_stretches()
 

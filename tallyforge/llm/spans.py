@@ -148,7 +148,8 @@ class SharedSpans:
     def extents(self) -> DataFrame:
         """(doc_id, extent, shared_chars, blankless): how much of each document is shared; documents without a shared span are left out.
 
-        The text of a class with several documents is shared as a whole; then ``shared_chars`` is null.
+        ``blankless`` counts the non-blank characters of a text and ``shared_chars`` those within shared spans.  The text of a class with
+        several documents is shared as a whole; where no other class shares any of it, both counts are null.
         """
         order = Window.partitionBy("cls").orderBy("at")
         fresh = F.col("upto") - F.greatest("before", F.coalesce(F.lag("upto").over(order), F.lit(0)))
@@ -156,7 +157,7 @@ class SharedSpans:
         copies = self.members.groupBy("cls").agg(F.count_distinct("doc").alias("docs")).where("docs > 1")
         by_class = covered.join(copies, "cls", "full")
         extent = F.when(F.col("docs").isNotNull() | (F.col("shared_chars") == F.col("blankless")), "whole").when(F.col("shared_chars") * 2 >= F.col("blankless"), "most").otherwise("part")
-        return self.members.join(by_class, "cls").select(F.col("doc").alias(self.doc_id), extent.alias("extent"), F.when(F.col("docs").isNull(), F.col("shared_chars")).alias("shared_chars"), "blankless").distinct()
+        return self.members.join(by_class, "cls").select(F.col("doc").alias(self.doc_id), extent.alias("extent"), F.when(F.col("docs").isNull(), F.col("shared_chars")).otherwise(F.col("blankless")).cast("long").alias("shared_chars"), F.col("blankless").cast("long").alias("blankless")).distinct()
 
     def stretches(self) -> DataFrame:
         """(cls, begin, end): maximal stretches in which each window of SPAN characters occurs in another class."""
@@ -165,5 +166,8 @@ class SharedSpans:
         return self.shared_windows().select("cls", "at", run.alias("run")).groupBy("cls", "run").agg(F.min("at").alias("begin"), (F.max("at") + SPAN).alias("end")).drop("run")
 
     def document_stretches(self) -> DataFrame:
-        """(doc_id, begin, end): the stretches of every document; of copies, one that is the whole text is not repeated here."""
-        return self.members.join(self.stretches(), "cls").select(F.col("doc").alias(self.doc_id), "begin", "end")
+        """(doc_id, begin, end): the stretches of every document; that of a document with exact copies is its whole text."""
+        copied = self.members.groupBy("cls").agg(F.count_distinct("doc").alias("docs")).where("docs > 1").select("cls")
+        whole = self.documents.join(copied, "cls", "left_semi").select("doc", F.lit(0).alias("begin"), F.length("text").alias("end"))
+        parts = self.members.join(copied, "cls", "left_anti").join(self.stretches(), "cls").select("doc", "begin", "end")
+        return whole.unionByName(parts).select(F.col("doc").alias(self.doc_id), "begin", "end")

@@ -47,6 +47,14 @@ def test_pairs_equal_brute_force(spark, rows):
     assert pairs(frame(spark, rows)) == expected
 
 
+def test_counts_equal_the_pairs(spark, rows):
+    got = {r["e"]: r["pairs"] for r in ov.CrossSplitOverlap(frame(spark, rows), "no", "state", F.col("side")).held_counts().collect()}
+    expected = {}
+    for _, e in brute(rows):
+        expected[e] = expected.get(e, 0) + 1
+    assert got == expected
+
+
 def test_empty_sides(spark, rows):
     df = frame(spark, rows)
     assert pairs(df.where("side = 't'")) == set() and pairs(df.limit(0)) == set()

@@ -58,9 +58,9 @@ def test_stretches_are_maximal(spark):
     rng = random.Random(2)
     text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
     a, b = text(300), text(160)
-    docs = [(1, text(50) + "#" + a + "#" + text(40)), (2, "%" + a + "%" + b + "!"), (3, b)]
+    docs = [(1, text(50) + "#" + a + "#" + text(40)), (2, "%" + a + "%" + b + "!"), (3, b), (4, a[:155] + "?"), (5, a[:155] + "?")]
     got = sorted(map(tuple, sp.SharedSpans(frame(spark, docs)).document_stretches().collect()))
-    assert got == [(1, 51, 351), (2, 1, 301), (2, 302, 462), (3, 0, 160)]
+    assert got == [(1, 51, 351), (2, 1, 301), (2, 302, 462), (3, 0, 160), (4, 0, 156), (5, 0, 156)]
 
 
 def test_empty_and_short(spark):
