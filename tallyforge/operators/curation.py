@@ -129,9 +129,16 @@ def contrast_groups(jobs: DataFrame, key: str) -> DataFrame:
 
 
 def group_problems(groups: DataFrame, key: str, variants: Sequence[str]) -> DataFrame:
-    """(key, problem): groups whose variants are not exactly those expected, not all different, or all of one label."""
-    made = groups.groupBy(key).agg(F.array_sort(F.collect_list("variant")).alias("v"), F.count_distinct("state").alias("states"), F.count_distinct("target").alias("labels"), F.count("*").alias("n"))
-    checks = F.array_compact(F.array(F.when(F.col("v") != F.array_sort(F.array(*map(F.lit, variants))), "variants"), F.when(F.col("states") < F.col("n"), "equal variants"), F.when(F.col("labels") < 2, "one label")))
+    """(key, problem): groups whose variants are not exactly those expected, not all different, or all of one label.
+
+    Variants are counted before they are compared, so a group of any size is a few counts.
+    """
+    wanted = {v: list(variants).count(v) for v in variants}
+    want = F.create_map(*(F.lit(x) for kv in wanted.items() for x in kv))
+    counted = groups.groupBy(key, "variant").agg(F.count("*").alias("n"))
+    right = counted.groupBy(key).agg(((F.count("*") == len(wanted)) & F.bool_and(F.coalesce(want[F.col("variant")] == F.col("n"), F.lit(False)))).alias("right"))
+    made = groups.groupBy(key).agg(F.count_distinct("state").alias("states"), F.count_distinct("target").alias("labels"), F.count("*").alias("n")).join(right, key)
+    checks = F.array_compact(F.array(F.when(~F.col("right"), "variants"), F.when(F.col("states") < F.col("n"), "equal variants"), F.when(F.col("labels") < 2, "one label")))
     return made.select(key, F.explode(checks).alias("problem"))
 
 

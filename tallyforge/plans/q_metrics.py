@@ -350,7 +350,7 @@ def budget_breach(t):
     return ag.budget_breach(t.events, "event_id", "value", 50000.005)
 
 
-@query("SELECT lang, min(w) AS least, max(w) AS most FROM (SELECT lang, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) w FROM documents WHERE text IS NOT NULL) GROUP BY lang")
+@query("SELECT lang, min(w)::INT AS least, max(w)::INT AS most FROM (SELECT lang, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) w FROM documents WHERE text IS NOT NULL) GROUP BY lang")
 def word_ranges(t):
     w = F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), 0))
     return t.documents.where("text is not null").groupBy("lang").agg(F.min(w).alias("least"), F.max(w).alias("most"))

@@ -23,7 +23,7 @@ def _stream(first, second, done: bool = True):
     return F.concat(F.lit(": keep-alive\r\n\r\n"), event(first), event(second), usage, F.lit("data: [DONE]\r\n\r\n" if done else ""))
 
 
-@query("SELECT gold_no, question AS content, 7.0 AS prompt_tokens, (length(question) // 2)::DOUBLE AS completion_tokens FROM gold_template WHERE question IS NOT NULL")
+@query("SELECT gold_no, question AS content, 7.0::DOUBLE AS prompt_tokens, (length(question) // 2)::DOUBLE AS completion_tokens FROM gold_template WHERE question IS NOT NULL")
 def streamed_answers(t):
     q, half = F.col("question"), F.floor(F.length("question") / 2).cast("int")
     rows = t.gold_template.where(q.isNotNull()).withColumn("body", _stream(F.substring(q, F.lit(1), half), F.substring(q, half + 1, F.length(q))))
