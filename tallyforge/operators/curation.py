@@ -31,12 +31,24 @@ def rule_targets(facts: Column, rules: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.filter(rules, holds), lambda r: r["target"])))
 
 
-def decide(df: DataFrame, facts: str, rules: Column) -> DataFrame:
+def _literal_targets(facts: Column, rules: Sequence[tuple[Mapping[str, str], str]]) -> Column:
+    """As ``rule_targets``, with each rule written out as a plain condition."""
+    state = lambda atom: F.coalesce(facts[atom], F.lit("unknown"))
+    made = []
+    for when, target in rules:
+        holds = F.lit(True)
+        for atom, wanted in when.items():
+            holds = holds & (state(atom) == wanted)
+        made.append(F.when(holds, F.lit(target)))
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(*made))))
+
+
+def decide(df: DataFrame, facts: str, rules: Column | Sequence[tuple[Mapping[str, str], str]]) -> DataFrame:
     """``df`` with targets, target and outcome: what unordered sufficient-condition rules say about each row's facts.
 
-    No target: ``abstain``; one: ``decided``; several: ``conflict``.  The rules are a column, a literal or the row's own, so nothing is joined.
+    No target: ``abstain``; one: ``decided``; several: ``conflict``.  The rules are a column, such as the row's own, or given as (conditions, target) and then compiled; nothing is joined.
     """
-    marked = df.withColumn("targets", rule_targets(F.col(facts), rules))
+    marked = df.withColumn("targets", rule_targets(F.col(facts), rules) if isinstance(rules, Column) else _literal_targets(F.col(facts), rules))
     n = F.size("targets")
     return marked.withColumn("target", F.when(n == 1, F.get("targets", 0))).withColumn("outcome", F.when(n == 0, "abstain").when(n == 1, "decided").otherwise("conflict"))
 
@@ -142,7 +154,7 @@ def group_problems(groups: DataFrame, key: str, variants: Sequence[str]) -> Data
     return made.select(key, F.explode(checks).alias("problem"))
 
 
-def emit_rows(groups: DataFrame, verified: DataFrame, rules: Column, key: str, variant: str = "variant") -> tuple[DataFrame, DataFrame]:
+def emit_rows(groups: DataFrame, verified: DataFrame, rules: Column | Sequence[tuple[Mapping[str, str], str]], key: str, variant: str = "variant") -> tuple[DataFrame, DataFrame]:
     """(rows, issues): variants whose verified facts agree with the intended ones and decide one target.
 
     ``groups`` (key, variant, state, intended map<atom, state>); ``verified`` (key, variant, atom, state).

@@ -226,11 +226,14 @@ def jaccard_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, pr
     frequency = every.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("f"))
     ordered = every.select("k", "side", F.explode("t").alias("w")).join(frequency, "w").groupBy("k", "side").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "w"))), lambda x: x["w"]).alias("t"))
     n = F.size("t")
-    prefix = ordered.select("k", "side", "t", F.explode(F.slice("t", F.lit(1), (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))).alias("w"))
+    prefix = ordered.select("k", "side", "t", F.posexplode(F.slice("t", F.lit(1), (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))).alias("i", "w"))
     sides = F.lit(True) if prior is None else (F.col("a.side") == "old") & (F.col("b.side") == "new")
     order = F.col("a.k") < F.col("b.k") if prior is None else F.lit(True)
     sizes = (F.size("a.t") >= F.size("b.t") * threshold - 1e-9) & (F.size("b.t") >= F.size("a.t") * threshold - 1e-9)
-    candidates = prefix.alias("a").join(prefix.alias("b"), (F.col("a.w") == F.col("b.w")) & order & sides & sizes).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.col("a.t").alias("ta"), F.col("b.t").alias("tb"))
+    # the tokens before and after the shared one bound the overlap
+    most = F.least("a.i", "b.i") + F.least(F.size("a.t") - F.col("a.i"), F.size("b.t") - F.col("b.i"))
+    enough = most >= (F.size("a.t") + F.size("b.t")) * (threshold / (1 + threshold)) - 1e-9
+    candidates = prefix.alias("a").join(prefix.alias("b"), (F.col("a.w") == F.col("b.w")) & order & sides & sizes & enough).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.col("a.t").alias("ta"), F.col("b.t").alias("tb"))
     shared = F.size(F.array_intersect("ta", "tb"))
     near = candidates.withColumn("similarity", shared / (F.size("ta") + F.size("tb") - shared)).where(F.col("similarity") >= threshold).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     if prior is not None:

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.stages import spread
+
 NODE_FIELDS = "record long, pre long, post long, parent_pre long, depth int, node_type string, path string, name string, pos long, kind string, value string, attrs map<string,string>"
 _ROWS = 20_000
 
@@ -118,7 +120,7 @@ def nodes(df: DataFrame, key: str, json_column: str, node_types: Mapping[str, st
     Null, empty and unparsable texts give no nodes; a text that is a JSON scalar gives its root if typed.  Repeated
     input rows repeat their nodes.  Only ``key`` and ``json_column`` are read, so other columns can't clash.
     """
-    source = df.select(F.col(key).alias("key"), F.col(json_column).cast("string").alias("doc"), F.monotonically_increasing_id().alias("record")).where(F.col("doc").isNotNull())
+    source = spread(df.select(F.col(key).alias("key"), F.col(json_column).cast("string").alias("doc")).where(F.col("doc").isNotNull())).withColumn("record", F.monotonically_increasing_id())
     schema = f"{key} {df.schema[key].dataType.simpleString()}, {NODE_FIELDS}"
     patterns = [(name, re.compile(rx if isinstance(rx, str) else rx[0]), None if isinstance(rx, str) else rx[1]) for name, rx in node_types.items()]
     arrow = pa.schema([("record", pa.int64()), ("pre", pa.int64()), ("post", pa.int64()), ("parent_pre", pa.int64()), ("depth", pa.int32()), ("node_type", pa.string()), ("path", pa.string()), ("name", pa.string()), ("pos", pa.int64()), ("kind", pa.string()), ("value", pa.string()), ("attrs", pa.map_(pa.string(), pa.string()))])

@@ -60,3 +60,20 @@ def release_stages() -> None:
             _delete(spark, path)
         except Exception:  # the session has ended; the folder's owner cleans up
             pass
+
+
+_NARROW = {"Project", "Filter", "LogicalRelation", "Relation", "SubqueryAlias"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A plain scan of fewer partitions than there are cores, spread over all of them; anything else as it is.
+
+    Files of one row group give one task, which Python work would then wait for.  Large inputs have more partitions than cores and are not
+    shuffled.  Only scans with projections and filters are looked at: asking others for their partitions would run them.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    names = {line.strip(" +-:|").split(" ")[0].split("[")[0] for line in plan.toString().splitlines() if line.strip()}
+    if not names <= _NARROW:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

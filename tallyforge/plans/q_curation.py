@@ -23,7 +23,7 @@ def _facts(t):
     SELECT CASE len(t) WHEN 0 THEN 'abstain' WHEN 1 THEN 'decided' ELSE 'conflict' END AS outcome, CASE WHEN len(t) = 1 THEN t[1] END AS target, count(*) AS n FROM d GROUP BY ALL"""
 )
 def rule_decisions(t):
-    return cu.decide(_facts(t), "facts", cu.rule_literal(_RULES)).groupBy("outcome", "target").agg(F.count("*").alias("n"))
+    return cu.decide(_facts(t), "facts", _RULES).groupBy("outcome", "target").agg(F.count("*").alias("n"))
 
 
 @query(

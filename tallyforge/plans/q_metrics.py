@@ -161,9 +161,8 @@ def accuracy_with_interval(t):
     SELECT *, round(CASE WHEN left_only + right_only = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(left_only, right_only) + 1), lambda i: exp(lgamma(left_only + right_only + 1) - lgamma(i + 1) - lgamma(left_only + right_only - i + 1) - (left_only + right_only) * ln(2))))) END, 6) AS p_value FROM k"""
 )
 def paired_runs(t):
-    line = F.concat_ws("-", "l_orderkey", "l_linenumber", F.monotonically_increasing_id())
     runs = F.explode(F.create_map(F.lit("a"), F.col("l_quantity") > 25, F.lit("b"), F.col("l_discount") > 0.05, F.lit("c"), F.col("l_tax") > 0.04))
-    numbered = t.lineitem.withColumn("id", line)
+    numbered = t.lineitem.withColumn("id", F.monotonically_increasing_id())
     out = run_pairs(numbered.select("id", runs.alias("run", "correct")), "id", "run", "correct")
     return out.select("left", "right", "both", "neither", "left_only", "right_only", F.round("p_value", 6).alias("p_value"))
 

@@ -14,6 +14,8 @@ def test_unknown_is_not_refuted_and_conflicts_show(spark):
     rules = cu.rule_literal([({"a": "refuted"}, "no"), ({"a": "supported", "b": "supported"}, "yes"), ({"b": "supported"}, "maybe")])
     df = spark.createDataFrame([(1, {"a": "unknown", "b": "refuted"}), (2, {"a": "refuted", "b": "refuted"}), (3, {"a": "supported", "b": "supported"}), (4, {}), (5, None)], "i int, f map<string,string>")
     got = {r["i"]: (r["outcome"], r["target"]) for r in cu.decide(df, "f", rules).collect()}
+    plain = [({"a": "refuted"}, "no"), ({"a": "supported", "b": "supported"}, "yes"), ({"b": "supported"}, "maybe")]
+    assert {r["i"]: (r["outcome"], r["target"]) for r in cu.decide(df, "f", plain).collect()} == got
     assert got == {1: ("abstain", None), 2: ("decided", "no"), 3: ("conflict", None), 4: ("abstain", None), 5: ("abstain", None)}
 
 
