@@ -46,17 +46,18 @@ def hash_to_min(edges: DataFrame) -> DataFrame:
     """
     edges = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull())
     pairs = edges.select(F.explode(F.array(*(F.struct(F.col(x).alias("node"), F.col(y).alias("member")) for x, y in ("ab", "ba", "aa", "bb")))).alias("p")).select("p.*")
-    clusters, before = stage(pairs.distinct(), "clusters"), None
+    clusters = stage(pairs.distinct(), "clusters")
     for _ in range(MAX_ROUNDS):
         minimum = clusters.groupBy("node").agg(F.min("member").alias("least"))
-        sent = clusters.join(minimum, "node").select(F.explode(F.array(F.struct(F.col("least").alias("node"), F.col("member")), F.struct(F.col("member").alias("node"), F.col("least").alias("member")))).alias("p")).select("p.*")
-        after = stage(sent.distinct(), "clusters")
+        # open: a node that is not the least of its cluster holds more than that least one
+        is_open = (F.col("node") != F.col("least")) & (F.col("member") != F.col("least"))
+        known = clusters.join(minimum, "node").select("node", "member", "least", is_open.alias("open"))
+        sent = known.select(F.explode(F.array(F.struct(F.col("least").alias("node"), F.col("member")), F.struct(F.col("member").alias("node"), F.col("least").alias("member")))).alias("p"), "open").select("p.*", "open")
+        after = stage(sent.groupBy("node", "member").agg(F.max("open").alias("open")), "clusters")
         drop_stage(clusters)
         clusters = after
-        now = clusters.agg(F.count("*"), F.sum(F.xxhash64("node", "member").cast("decimal(20,0)"))).first()
-        if now == before:
+        if not clusters.agg(F.max("open")).first()[0]:
             return clusters.groupBy("node").agg(F.min("member").alias("component"))
-        before = now
     raise RuntimeError(f"clusters still change after {MAX_ROUNDS} rounds")
 
 

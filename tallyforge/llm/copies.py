@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import bare, parse_container, scalar_text
+from tallyforge.operators.stages import spread
 
 
 def _digest(data: bytes) -> bytes:
@@ -80,7 +81,7 @@ def forms(df: DataFrame, key: str, text: str) -> DataFrame:
                     texts.append(made[1])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(digests, pa.binary()), pa.array(texts, pa.string())], names=["no", "digest", "form"])
 
-    return source.mapInArrow(run, f"no {kind}, digest binary, form string")
+    return spread(source).mapInArrow(run, f"no {kind}, digest binary, form string")
 
 
 def copy_groups(rows: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyforge.functions.rolling import code_points, joined_windows, window_runs
 from tallyforge.functions.text import WORD, bare, words
+from tallyforge.operators.stages import spread
 
 WORDS, CHARACTERS = 12, 30
 BLOCK_CHARS = 8_000_000
@@ -131,7 +132,7 @@ def leaked_spans(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     spark = documents.sparkSession
     schema = f"{doc_id} {documents.schema[doc_id].dataType.simpleString()}, {item_id} {items.schema[item_id].dataType.simpleString()}, begin int, end int"
     id_type = to_arrow_type(items.schema[item_id].dataType)
-    source = documents.select(doc_id, F.col(text).cast("string").alias("_text")).where(F.col("_text").isNotNull() & F.col(doc_id).isNotNull())
+    source = spread(documents.select(doc_id, F.col(text).cast("string").alias("_text")).where(F.col("_text").isNotNull() & F.col(doc_id).isNotNull()))
     out = None
     for block in _blocks(items, item_id, text, lang):
         shared = spark.sparkContext.broadcast(block)

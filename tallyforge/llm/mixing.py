@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.sampling import crossings, ranked
-from tallyforge.operators.stages import stage
+from tallyforge.operators.stages import spread, stage
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
@@ -24,7 +24,7 @@ def token_counts(df: DataFrame, columns: list[str], text: str = "text", tokenize
 
     ``tokenizer`` is a file of ranks that every executor can read.
     """
-    source = df.select(*columns, F.col(text).cast("string").alias("_text"))
+    source = spread(df.select(*columns, F.col(text).cast("string").alias("_text")))
 
     def run(batches):
         import tiktoken

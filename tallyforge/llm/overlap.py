@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.text import state_words
 from tallyforge.llm import bits
 from tallyforge.llm.components import clean_split
-from tallyforge.operators.stages import stage
+from tallyforge.operators.stages import spread, stage
 
 ROWS, BANDS = 11, 88
 THRESHOLD = 0.8
@@ -105,7 +105,7 @@ def word_sets(df: DataFrame, key: str, text: str, side: Column, words_of: Callab
             rows = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(classes, pa.int64()), pa.array(texts, pa.string())], names=["key", "side", "cls", "words"])
 
-    return source.mapInArrow(run, f"key {kind}, side string, cls long, words string")
+    return spread(source).mapInArrow(run, f"key {kind}, side string, cls long, words string")
 
 
 def _batch_buckets(batch: pa.RecordBatch):

@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.stages import stage
+
 RUN_ROWS = 50_000
 
 
@@ -59,7 +61,7 @@ class TargetSample:
         self.seed = seed
         wanted = targets.select(*CATEGORY, *(clean_label(F.col(c)).alias(f"c_{c}") for c in CATEGORY), F.coalesce("target_permille", F.lit(0)).alias("target_permille"), F.coalesce("min_rows", F.lit(0)).alias("min_rows"))
         labels = records.select("id", *(clean_label(F.col(c)).alias(f"c_{c}") for c in CATEGORY)).where(F.col("id").isNotNull())
-        self.eligible = labels.join(wanted, [f"c_{c}" for c in CATEGORY]).select("id", *CATEGORY).distinct()
+        self.eligible = stage(labels.join(wanted, [f"c_{c}" for c in CATEGORY]).select("id", *CATEGORY).distinct(), "eligible")
         self.size = self.eligible.select("id").distinct().count() * size_permille // 1000
         counts = self.eligible.groupBy(*CATEGORY).agg(F.count("*").alias("eligible"))
         target = F.col("target_permille") * F.lit(self.size).cast("long")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.rolling import OTHER_BASE, code_points, window_runs
 from tallyforge.llm import bits
 from tallyforge.llm.overlap import key64
-from tallyforge.operators.stages import stage
+from tallyforge.operators.stages import spread, stage
 
 SPAN = 150
 BLOCK = 75
@@ -75,7 +75,7 @@ class SharedSpans:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), batch.column(1)], names=["doc", "cls", "text"])
 
         self.doc_id = doc_id
-        self.documents = source.mapInArrow(classed, f"doc {kind}, cls long, text string")
+        self.documents = spread(source).mapInArrow(classed, f"doc {kind}, cls long, text string")
         self.members = stage(self.documents.select("doc", "cls"), "members")
         self.texts = self.documents.select("cls", "text")
 
