@@ -2,8 +2,8 @@
 
 Two bits are set for each hash.  The array has 2^27 bits, 16 MB, whatever the
 data; each task folds its hashes into its own array, slices of equal number are
-or-ed together, and only the finished array, a constant 16 MB, reaches the
-driver to be broadcast.  It answers "certainly absent" or "maybe present", so a
+or-ed together, at most FAN of them at once, in as many rounds as that takes, and
+only the finished array, a constant 16 MB, reaches the driver to be broadcast.  It answers "certainly absent" or "maybe present", so a
 probe side may drop what is certainly absent before a shuffle.  When the data
 outgrow it, it drops less; nothing is ever lost.
 """
@@ -16,10 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BITS = 1 << 27
 _SHIFT = 65 - BITS.bit_length()
 SLICES = 64
+FAN = 64
 _SLICE_BYTES = BITS // 8 // SLICES
 
 
@@ -60,14 +62,20 @@ def build(source: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterable[np.n
                 if part.any():
                     yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["slice", "bits"])
 
+    schema = "slice int, part int, bits binary"
+
     def either(table: pa.Table) -> pa.Table:
         array = np.zeros(_SLICE_BYTES, np.uint8)
         for bits in table.column("bits"):
             array |= np.frombuffer(bits.as_buffer(), np.uint8)
-        return pa.table({"slice": table.column("slice")[:1], "bits": pa.array([array.tobytes()], pa.binary())})
+        return pa.table({"slice": table.column("slice")[:1], "part": table.column("part")[:1], "bits": pa.array([array.tobytes()], pa.binary())})
 
-    slices = source.mapInArrow(fold, "slice int, bits binary").groupBy("slice").applyInArrow(either, "slice int, bits binary")
+    slices = source.mapInArrow(fold, "slice int, bits binary").select("slice", F.spark_partition_id().alias("part"), "bits")
+    parts = source.rdd.getNumPartitions()
+    while parts > 1:
+        parts = -(-parts // FAN)
+        slices = slices.withColumn("part", (F.col("part") % parts).cast("int")).groupBy("slice", "part").applyInArrow(either, schema)
     whole = np.zeros(BITS // 8, np.uint8)
     for row in slices.toLocalIterator():
-        whole[row["slice"] * _SLICE_BYTES : (row["slice"] + 1) * _SLICE_BYTES] = np.frombuffer(row["bits"], np.uint8)
+        whole[row["slice"] * _SLICE_BYTES : (row["slice"] + 1) * _SLICE_BYTES] |= np.frombuffer(row["bits"], np.uint8)
     return source.sparkSession.sparkContext.broadcast(whole)

@@ -93,6 +93,12 @@ def test_bit_array_never_forgets(spark):
     assert bits.maybe_present(array, hashes).all()
     others = np.random.default_rng(2).integers(0, 1 << 63, 100_000, dtype=np.uint64)
     assert bits.maybe_present(array, others).mean() < 0.01
-    df = spark.range(0, 5000, 1, 5)
+    for parts, fan in ((1, 64), (5, 64), (7, 2)):
+        bits.FAN = fan
+        built_bits_hold_every_hash(spark.range(0, 5000, 1, parts))
+    bits.FAN = 64
+
+
+def built_bits_hold_every_hash(df):
     built = bits.build(df, lambda batch: [batch.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)])
     assert bits.maybe_present(built.value, np.arange(5000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).all()
