@@ -20,8 +20,32 @@ def p4_conditions(t):
 
 @query()
 def p4_messages(t):
-    rows = nested.call_nodes(t.disagreements).where("node_type = 'message'")
-    return rows.select("source_line", "msg_pos", "role", F.col("ref").alias("tool_call_id"))
+    return nested.messages(t.disagreements)
+
+
+@query()
+def p4_states(t):
+    return nested.states(t.disagreements)
+
+
+@query()
+def p4_calls(t):
+    return nested.calls(t.disagreements)
+
+
+@query()
+def p4_arguments(t):
+    return nested.call_arguments(t.disagreements)
+
+
+@query()
+def p4_argument_fields(t):
+    return nested.argument_fields(t.disagreements)
+
+
+@query()
+def p4_condition_values(t):
+    return nested.condition_values(t.disagreements)
 
 
 @query()
@@ -42,6 +66,46 @@ def p4_results(t):
     ).drop("record")
 
 
+@query(
+    """SELECT source_line, json_extract_string(result, '$.id') AS id, json_extract_string(result, '$.prediction') AS prediction, json_extract_string(result, '$.confidence')::DOUBLE AS confidence,
+    json_extract_string(result, '$.latency_ms')::DOUBLE AS latency_ms, json_extract_string(result, '$.attempts')::BIGINT AS attempts, json_extract_string(result, '$.error') AS error FROM disagreements WHERE json_valid(result)"""
+)
+def p4_result_records(t):
+    attrs = F.col("attrs")
+    rows = nested.result_tables(t.disagreements).where("node_type = 'result'")
+    return rows.select("source_line", attrs["id"].alias("id"), attrs["prediction"].alias("prediction"), *(F.expr(f"try_cast(attrs['{c}'] AS {kind})").alias(c) for c, kind in (("confidence", "double"), ("latency_ms", "double"), ("attempts", "long"))), attrs["error"].alias("error"))
+
+
+_RESPONSE = "r AS (SELECT source_line, json_extract_string(result, '$.raw_response') x FROM disagreements WHERE json_valid(result)), a AS (SELECT source_line, json_extract(x, '$.answers') y, unnest(json_keys(x, '$.answers')) question, generate_subscripts(json_keys(x, '$.answers'), 1) - 1 answer_pos FROM r WHERE json_valid(x)), b AS (SELECT source_line, answer_pos, question, json_extract(y, '$.\"' || question || '\"') z FROM a)"
+
+
+@query(
+    f"""WITH {_RESPONSE} SELECT source_line, answer_pos, question, json_extract_string(z, '$.type') AS type, json_extract_string(z, '$.choice') AS choice, json_extract_string(z, '$.confidence')::DOUBLE AS confidence FROM b"""
+)
+def p4_result_answers(t):
+    attrs = F.col("attrs")
+    rows = nested.result_tables(t.disagreements).where("node_type = 'answer'")
+    return rows.select("source_line", "answer_pos", F.col("answer").alias("question"), attrs["type"].alias("type"), attrs["choice"].alias("choice"), F.expr("try_cast(attrs['confidence'] AS double)").alias("confidence"))
+
+
+@query(
+    f"""WITH {_RESPONSE}, p AS (SELECT source_line, answer_pos, question, json_extract(z, '$.probabilities') q, unnest(json_keys(z, '$.probabilities')) "option", generate_subscripts(json_keys(z, '$.probabilities'), 1) - 1 option_pos FROM b)
+    SELECT source_line, answer_pos, question, option_pos::INT AS option_pos, "option", json_extract_string(q, '$."' || "option" || '"')::DOUBLE AS probability FROM p"""
+)
+def p4_result_probabilities(t):
+    rows = nested.result_tables(t.disagreements).where("node_type = 'probabilities'")
+    return rows.select("source_line", "answer_pos", F.col("answer").alias("question"), F.posexplode("attrs").alias("option_pos", "option", "p")).select("source_line", "answer_pos", "question", "option_pos", "option", F.expr("try_cast(p AS double)").alias("probability"))
+
+
+@query(
+    """WITH r AS (SELECT source_line, json_extract_string(result, '$.raw_response') x FROM disagreements WHERE json_valid(result)), u AS (SELECT source_line, json_extract(x, '$.usage') y FROM r WHERE json_valid(x))
+    SELECT source_line, json_extract_string(y, '$.input_tokens')::BIGINT AS input_tokens, json_extract_string(y, '$.output_tokens')::BIGINT AS output_tokens FROM u WHERE json_type(y) = 'OBJECT'"""
+)
+def p4_result_usage(t):
+    rows = nested.result_tables(t.disagreements).where("node_type = 'usage' AND kind = 'object'")
+    return rows.select("source_line", *(F.expr(f"try_cast(attrs['{c}'] AS long)").alias(c) for c in ("input_tokens", "output_tokens")))
+
+
 @query(
     """SELECT result_no, raw_response.model AS model, unnest(map_keys(raw_response.answers)) AS question, NULL::VARCHAR AS option FROM results WHERE false
     UNION ALL SELECT result_no, model, question, unnest(map_keys(probabilities)) FROM (SELECT result_no, raw_response.model AS model, unnest(map_keys(raw_response.answers)) AS question, unnest(map_values(raw_response.answers)).probabilities AS probabilities FROM results)"""
