@@ -317,12 +317,16 @@ def result_tables(df: DataFrame, key: str = "source_line", result: str = "result
     return typed.select(key, "record", "node_type", "pre", "post", "parent_pre", F.coalesce(enclosing(key, "answer", "name"), F.when(is_answer, F.col("name"))).alias("answer"), "answer_pos", "kind", "value", "attrs")
 
 
+def answer_rows(results: DataFrame, key: str = "result_no") -> DataFrame:
+    """``raw_response`` of typed result rows as one row for each answer, with its position; the shape is fixed, so the interval labels are too
+    and the explode stays in the JVM.  Rows without a response give none."""
+    answers = results.select(key, F.col("raw_response.model").alias("model"), F.posexplode("raw_response.answers").alias("answer_pos", "question", "answer"))
+    return answers.select(key, "answer_pos", "model", "question", F.col("answer.type").alias("type"), F.col("answer.choice").alias("choice"), F.col("answer.confidence").alias("confidence"), F.col("answer.probabilities").alias("probabilities"))
+
+
 def response_answers(results: DataFrame, key: str = "result_no") -> DataFrame:
-    """``raw_response`` of typed result rows as one row for each answer and option; the shape is fixed, so the interval labels are too
-    and the explode stays in the JVM.  Rows without a response give none; an answer without probabilities gives one row."""
-    answers = results.select(key, F.col("raw_response.model").alias("model"), F.explode("raw_response.answers").alias("question", "answer"))
-    options = answers.select(key, "model", "question", F.col("answer.type").alias("type"), F.col("answer.choice").alias("choice"), F.col("answer.confidence").alias("confidence"), F.explode_outer("answer.probabilities").alias("option", "probability"))
-    return options
+    """One row for each answer and option, with their positions; an answer without probabilities gives one row."""
+    return answer_rows(results, key).select(key, "answer_pos", "model", "question", "type", "choice", "confidence", F.posexplode_outer("probabilities").alias("option_pos", "option", "probability"))
 
 
 def response_usage(results: DataFrame, key: str = "result_no") -> DataFrame:

@@ -114,6 +114,24 @@ def p4_answers(t):
     return nested.response_answers(t.results).where("option is not null").select("result_no", "model", "question", "option")
 
 
+@query(
+    """SELECT result_no, (p - 1)::INT AS answer_pos, model, e[p].key AS question, e[p].value.type AS type, e[p].value.choice AS choice, e[p].value.confidence AS confidence
+    FROM (SELECT result_no, raw_response.model AS model, map_entries(raw_response.answers) e, unnest(range(1, len(map_entries(raw_response.answers)) + 1)) p FROM results)"""
+)
+def p4_response_answers(t):
+    return nested.answer_rows(t.results).drop("probabilities")
+
+
+@query(
+    """WITH a AS (SELECT result_no, map_entries(raw_response.answers) e, unnest(range(1, len(map_entries(raw_response.answers)) + 1)) p FROM results), o AS (SELECT result_no, (p - 1)::INT AS answer_pos, e[p].key AS question, map_entries(e[p].value.probabilities) e FROM a),
+    x AS (SELECT *, unnest(CASE WHEN len(e) > 0 THEN range(1, len(e) + 1) ELSE [NULL] END) p FROM o)
+    SELECT result_no, answer_pos, question, (p - 1)::INT AS option_pos, e[p].key AS "option", e[p].value AS probability FROM x"""
+)
+def p4_response_probabilities(t):
+    """An answer without probabilities has one row whose option is null."""
+    return nested.response_answers(t.results).select("result_no", "answer_pos", "question", "option_pos", "option", "probability")
+
+
 @query("SELECT result_no, raw_response.model AS model, raw_response.usage.input_tokens AS input_tokens, raw_response.usage.output_tokens AS output_tokens FROM results WHERE raw_response.usage IS NOT NULL")
 def p4_usage(t):
     return nested.response_usage(t.results)

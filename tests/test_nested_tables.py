@@ -3,10 +3,11 @@
 import json
 import os
 
+import duckdb
 import pytest
 
 from tallyforge.operators import nested
-from tallyforge.plans import queries
+from tallyforge.plans import oracles, queries
 
 SF = "/root/testdata/sf0.001"
 CONDITION = {"field": "a", "operator": "IN", "values": ["1", 2, {"x": None}], "note": None}
@@ -105,3 +106,20 @@ def test_queries_hold_every_call_and_message(spark):
         "messages": run("p4_messages").count(), "content": run("p4_messages").where("content is not null").count(), "calls": run("p4_calls").count(), "named": run("p4_calls").where("name is not null").count(),
         "arguments": run("p4_arguments").count(), "fields": run("p4_argument_fields").count(), "values": run("p4_condition_values").count(), "states": run("p4_states").count(),
     }
+
+
+def test_responses_keep_every_answer(spark, tmp_path):
+    schema = "result_no long, raw_response struct<model:string,answers:map<string,struct<type:string,choice:string,confidence:double,probabilities:map<string,double>>>,usage:struct<input_tokens:bigint,output_tokens:bigint>>"
+    answers = {"q1": ("choice", "x", 0.5, {"x": 0.5, "y": 0.25}), "q2": ("noul", "n", None, {}), "q3": ("noul", "n", 1.0, None)}
+    spark.createDataFrame([(1, ("m", answers, None)), (2, None)], schema).write.parquet(f"{tmp_path}/results.parquet")
+    known, sql = queries.queries(), oracles.oracle_sql()
+    made = known["p4_response_answers"](spark, str(tmp_path))
+    assert rows(made, "result_no", "model", "question", "type", "choice", "confidence") == [(1, "m", "q1", "choice", "x", 0.5), (1, "m", "q2", "noul", "n", None), (1, "m", "q3", "noul", "n", 1.0)]
+    assert rows(made, "answer_pos") == [(0,), (1,), (2,)]
+    made = known["p4_response_probabilities"](spark, str(tmp_path))
+    assert rows(made, "question", "option", "probability") == [("q1", "x", 0.5), ("q1", "y", 0.25), ("q2", None, None), ("q3", None, None)]
+    for name in ("p4_response_answers", "p4_response_probabilities"):
+        df, c = known[name](spark, str(tmp_path)), duckdb.connect()
+        c.execute(f"CREATE VIEW results AS SELECT * FROM '{tmp_path}/results.parquet/*.parquet'")
+        done = c.execute(sql[name])
+        assert [d[0] for d in done.description] == df.columns and sorted(done.fetchall(), key=str) == rows(df, *df.columns)
