@@ -56,6 +56,14 @@ def incomplete_groups(t):
     return cu.group_problems(rows, "l_orderkey", ["line", "line"]).where("problem = 'variants'")
 
 
+def _counted(audit):
+    out = None
+    for name, violations in audit.items():
+        part = violations.agg(F.count("*").alias("n")).select(F.lit(name).alias("violation"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(
     """SELECT 'repeated id' AS violation, count(*) AS n FROM (SELECT id FROM decision_records GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'repeated input', count(*) FROM (SELECT sha256(input.state) FROM decision_records GROUP BY 1 HAVING count(*) > 1)
     UNION ALL SELECT 'held-out family', count(*) FROM decision_records WHERE lower(trim(split)) = 'train' AND family IN (SELECT family FROM decision_records WHERE lower(trim(split)) = 'test')"""
@@ -67,11 +75,26 @@ def release_violations(t):
     audit = cu.release_audit(full, sources, rows.where("split = 'test'").select("family", "input_sha256"), ["x"])
     train = cu.release_audit(full.where("split = 'train'"), sources, rows.where("split = 'test'").select("family", "input_sha256"), ["x"])
     parts = {"repeated id": audit["repeated id"], "repeated input": audit["repeated input"], "held-out family": train["held-out family"]}
-    out = None
-    for name, violations in parts.items():
-        part = violations.agg(F.count("*").alias("n")).select(F.lit(name).alias("violation"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _counted(parts)
+
+
+@query(
+    """WITH r AS (SELECT record_no, id, family, sha256(input.state) AS h, reference.target AS target, lower(trim(split)) AS split FROM decision_records), held AS (SELECT family, h FROM r WHERE split IN ('validation', 'eval', 'test')), train AS (SELECT * FROM r WHERE split = 'train'),
+    s AS (SELECT id, family, h FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY record_no) = 1), g AS (SELECT family, count(*) n, count(DISTINCT h) states, count(DISTINCT target) labels FROM r WHERE family IS NOT NULL GROUP BY family)
+    SELECT 'repeated id' AS violation, count(*) AS n FROM (SELECT id FROM r GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'repeated input', count(*) FROM (SELECT h FROM r GROUP BY h HAVING count(*) > 1)
+    UNION ALL SELECT 'provenance', coalesce(sum(CASE WHEN s.id IS NULL THEN 1 ELSE (r.h IS DISTINCT FROM s.h)::INT + (r.family IS DISTINCT FROM s.family)::INT END), 0)::BIGINT FROM r LEFT JOIN s ON r.id = s.id
+    UNION ALL SELECT 'held-out family', count(*) FROM train WHERE family IN (SELECT family FROM held) UNION ALL SELECT 'held-out input', count(*) FROM train WHERE h IN (SELECT h FROM held)
+    UNION ALL SELECT 'groups', coalesce(sum((n <> 1)::INT + (states < n)::INT + (labels < 2)::INT), 0)::BIGINT FROM g"""
+)
+def release_audit_counts(t):
+    """All checks of the audit.  Held out are validation, eval and test; a record's source is the first record of its id; each family is a group that should hold one base record and, as every group, two labels."""
+    sha = F.sha2("input.state", 256)
+    rows = t.decision_records.select("record_no", "id", "family", sha.alias("input_sha256"), F.lower(F.trim("split")).alias("split"), F.col("id").alias("source_id"), sha.alias("source_sha256"), F.col("family").alias("group_id"), F.lit("base").alias("variant"), sha.alias("state"), F.col("reference.target").alias("target"))
+    sources = rows.groupBy("id").agg(F.min(F.struct("record_no", "family", F.col("input_sha256").alias("sha256"))).alias("s")).select("id", "s.family", "s.sha256")
+    held_out = rows.where(F.col("split").isin("validation", "eval", "test")).select("family", "input_sha256")
+    audit = cu.release_audit(rows, sources, held_out, ["base"])
+    train = cu.release_audit(rows.where("split = 'train'"), sources, held_out, ["base"])
+    return _counted(audit | {name: train[name] for name in ("held-out family", "held-out input")})
 
 
 @query("SELECT user_id, n AS attempts FROM (SELECT user_id, count(*) n, count(*) FILTER (event_type = 'purchase' AND value > 45) a FROM events GROUP BY 1) WHERE n >= 2 AND a = 0")
