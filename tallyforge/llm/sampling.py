@@ -54,7 +54,8 @@ class TargetSample:
     Categories are sorted and laid end to end, each id as long as its inclusion probability; ids within a category lie in random order;
     one random start selects every id that a whole number falls into.  Each category thus gets its target rounded up or down.  Where
     that is below ``min_rows``, the next ids in the random order are added.  Null targets and floors count as 0; with no eligible ids the
-    sample is empty and every category with a positive floor is short.
+    sample is empty and every category with a positive floor is short.  An id whose rows fall into several categories is eligible in
+    each, but is placed in the least of them, and the sample is planned from what is placed.
     """
 
     def __init__(self, records: DataFrame, targets: DataFrame, size_permille: int = 100, seed: int = 0):
@@ -64,6 +65,7 @@ class TargetSample:
         self.eligible = stage(labels.join(wanted, [f"c_{c}" for c in CATEGORY]).select("id", *CATEGORY).distinct(), "eligible")
         self.size = self.eligible.select("id").distinct().count() * size_permille // 1000
         counts = self.eligible.groupBy(*CATEGORY).agg(F.count("*").alias("eligible"))
+        self.placed = self.eligible.groupBy("id").agg(F.min(F.struct(*CATEGORY)).alias("c")).select("id", "c.*")
         target = F.col("target_permille") * F.lit(self.size).cast("long")
         self.categories = (
             wanted.select(*CATEGORY, "target_permille", "min_rows")
@@ -79,24 +81,24 @@ class TargetSample:
 
     def plan(self) -> DataFrame:
         """Categories with start, rate and the ids that the floor adds; as many rows as targets."""
-        length = F.least(F.col("eligible").cast("double"), F.col("target_rows"))
+        placed = self.placed.groupBy(*CATEGORY).agg(F.count("*").alias("placed"))
+        length = F.least(F.col("placed").cast("double"), F.col("target_rows"))
         ordered = Window.orderBy(*CATEGORY).rowsBetween(Window.unboundedPreceding, -1)
-        plan = self.categories.withColumn("start", F.lit(random.Random(self.seed).random()) + F.coalesce(F.sum(length).over(ordered), F.lit(0.0))).withColumn("rate", F.when(F.col("eligible") > 0, length / F.col("eligible")).otherwise(0.0))
-        taken = crossings(F.col("start"), F.col("rate"), F.col("eligible"))
-        return plan.withColumn("added", F.greatest(F.lit(0), F.least(F.col("eligible"), F.col("min_rows")) - taken))
+        plan = self.categories.join(placed, CATEGORY, "left").fillna(0, ["placed"]).withColumn("start", F.lit(random.Random(self.seed).random()) + F.coalesce(F.sum(length).over(ordered), F.lit(0.0))).withColumn("rate", F.when(F.col("placed") > 0, length / F.col("placed")).otherwise(0.0))
+        taken = crossings(F.col("start"), F.col("rate"), F.col("placed"))
+        return plan.withColumn("added", F.greatest(F.lit(0), F.least(F.col("placed"), F.col("min_rows")) - taken))
 
     def rows(self) -> DataFrame:
         """(id, domain, qtype, subtopic) of the sample."""
-        one = self.eligible.groupBy("id").agg(F.min(F.struct(*CATEGORY)).alias("c")).select("id", "c.*")
-        placed = ranked(one, CATEGORY, "id", self.seed).join(self.plan().select(*CATEGORY, "start", "rate", "added"), CATEGORY)
+        placed = ranked(self.placed, CATEGORY, "id", self.seed).join(self.plan().select(*CATEGORY, "start", "rate", "added"), CATEGORY)
         upto = crossings(F.col("start"), F.col("rate"), F.col("k"))
         hit = upto > crossings(F.col("start"), F.col("rate"), F.col("k") - 1)
         return placed.where(hit | (F.col("k") - upto <= F.col("added"))).select("id", *CATEGORY)
 
     def report(self) -> DataFrame:
-        """Each category with its target, its floor, what there was and what the sample has."""
+        """Each category with its target, its floor, what there was and what the sample has; met if there were enough ids and the sample has the floor and the target, rounded down."""
         got = self.rows().groupBy(*CATEGORY).agg(F.count("*").alias("sampled"))
-        return self.categories.join(got, CATEGORY, "left").fillna(0, ["sampled"]).withColumn("met", F.col("eligible") >= F.col("needed"))
+        return self.categories.join(got, CATEGORY, "left").fillna(0, ["sampled"]).withColumn("met", (F.col("eligible") >= F.col("needed")) & (F.col("sampled") >= F.greatest(F.col("min_rows").cast("long"), F.expr(f"target_permille * {self.size}L div 1000L"))))
 
 
 def target_sample(records: DataFrame, targets: DataFrame, **options) -> TargetSample:

@@ -96,3 +96,12 @@ def test_token_counts_are_those_of_the_tokenizer(spark):
     df = spark.createDataFrame([(1, "Hello world"), (2, ""), (3, None), (4, "中文" * 1000)], "i int, text string").withColumn("_text", F.lit("no"))
     got = {r["i"]: r["tokens"] for r in mixing.token_counts(df, ["i"]).collect()}
     assert got[1] == 2 and got[2] == 0 and got[3] == 0 and got[4] > 500
+
+
+def test_ids_of_two_categories_count_where_they_are_placed(spark):
+    df = records(spark, ("a", "x", 600), ("b", "y", 400)).unionByName(spark.createDataFrame([(f"ax{i}", "b", "choice", "y", 0, 0.0, 0.0) for i in range(300)], R))
+    made = sampling.TargetSample(df, targets(spark, ("a", "x", 500, 1), ("b", "y", 500, 1)))
+    assert made.size == 100 and Counter(r["domain"] for r in made.rows().collect()) == {"a": 50, "b": 50}
+    scarce = records(spark, ("a", "x", 100), ("b", "y", 5)).unionByName(spark.createDataFrame([(f"ax{i}", "b", "choice", "y", 0, 0.0, 0.0) for i in range(50)], R))
+    report = {r["domain"]: r for r in sampling.TargetSample(scarce, targets(spark, ("a", "x", 500, 1), ("b", "y", 500, 20))).report().collect()}
+    assert report["b"]["eligible"] == 55 and report["b"]["sampled"] == 5 and not report["b"]["met"] and report["a"]["met"]
