@@ -195,14 +195,14 @@ def charged_or_reserved(cost: Column, reservation: Column) -> Column:
 def budget_breach(df: DataFrame, order: str, amount: str, budget: float) -> DataFrame:
     """(first_over): the first place in order at which the running amount exceeds the budget; null if it never does.
 
-    Blocks of the order are summed first, and only the block in which the budget runs out is looked at row by row, so no task orders all rows.
+    Blocks of the order are summed first; rows are then summed within their block, on top of the blocks before it, so no task orders all rows.
+    Amounts may be negative.
     """
-    block = (F.col(order).cast("long") / 10_000).cast("long")
-    sums = df.groupBy(block.alias("_b")).agg(F.sum(amount).alias("s"))
-    running = sums.withColumn("upto", F.sum("s").over(Window.orderBy("_b"))).withColumn("most", F.col("upto"))
-    over = running.where(F.col("upto") > budget).agg(F.min(F.struct("_b", (F.col("upto") - F.col("s")).alias("before")))["_b"].alias("_b"), F.min(F.struct("_b", (F.col("upto") - F.col("s")).alias("before")))["before"].alias("before"))
-    inside = df.withColumn("_b", block).join(over, "_b").withColumn("upto", F.col("before") + F.sum(amount).over(Window.partitionBy("_b").orderBy(order)))
-    return inside.where(F.col("upto") > budget).agg(F.min(order).alias("first_over"))
+    blocked = df.withColumn("_b", (F.col(order).cast("long") / 10_000).cast("long"))
+    sums = blocked.groupBy("_b").agg(F.sum(amount).alias("s"))
+    before = sums.select("_b", F.coalesce(F.sum("s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = blocked.withColumn("within", F.coalesce(F.sum(amount).over(Window.partitionBy("_b").orderBy(order)), F.lit(0)))
+    return inside.join(before, "_b").where(F.col("before") + F.col("within") > budget).agg(F.min(order).alias("first_over"))
 
 
 def stage_rollup(df: DataFrame, stage: str, amounts: Sequence[str], questions: int, total: str = "total") -> DataFrame:
