@@ -76,7 +76,8 @@ class SharedSpans:
 
         self.doc_id = doc_id
         self.documents = spread(source).mapInArrow(classed, f"doc {kind}, cls long, text string")
-        self.members = stage(self.documents.select("doc", "cls"), "members")
+        blankless = F.length(F.regexp_replace("text", r"(?U)[\s\x1c-\x1f]", ""))
+        self.members = stage(self.documents.select("doc", "cls", blankless.alias("blankless")), "members")
         self.texts = self.documents.select("cls", "text")
 
     def hits(self) -> DataFrame:
@@ -102,9 +103,9 @@ class SharedSpans:
         return found.groupBy("cls").agg(F.sort_array(F.collect_set("at")).alias("positions"))
 
     def windows(self) -> DataFrame:
-        """(h1, h2, cls, at, before, upto, blankless): each window of SPAN characters that holds a hit.
+        """(h1, h2, cls, at, before, upto): each window of SPAN characters that holds a hit.
 
-        ``before`` and ``upto`` count the non-blank characters before its begin and its end, ``blankless`` those of the text.
+        ``before`` and ``upto`` count the non-blank characters before its begin and its end.
         """
         # one document of each class carries its text to the hits
         carriers = self.members.groupBy("cls").agg(F.min("doc").alias("doc"))
@@ -126,18 +127,18 @@ class SharedSpans:
                     wanted = np.cumsum(marks[:-1]) > 0
                     solid = [np.concatenate(([0], np.cumsum(~np.fromiter(map(str.isspace, t), bool, len(t))))).astype(np.int32) for _, t in piece]
                     offsets = np.cumsum([len(s) for s in solid]) - np.array([len(s) for s in solid])
-                    counts, whole = np.concatenate(solid), np.array([s[-1] for s in solid], np.int32)
+                    counts = np.concatenate(solid)
                     classes = np.array([c for c, _ in piece], np.int64)
                     for (h1, owner, position), (h2, _, _) in zip(window_runs(parts, SPAN), window_runs(parts, SPAN, OTHER_BASE, 1)):
                         keep = wanted[first[owner] + position]
                         owner, position = owner[keep], position[keep]
                         at = offsets[owner] + position
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(h1[keep].view(np.int64)), pa.array(h2[keep].view(np.int64)), pa.array(classes[owner]), pa.array(position.astype(np.int32)), pa.array(counts[at]), pa.array(counts[at + SPAN]), pa.array(whole[owner])],
-                            names=["h1", "h2", "cls", "at", "before", "upto", "blankless"],
+                            [pa.array(h1[keep].view(np.int64)), pa.array(h2[keep].view(np.int64)), pa.array(classes[owner]), pa.array(position.astype(np.int32)), pa.array(counts[at]), pa.array(counts[at + SPAN])],
+                            names=["h1", "h2", "cls", "at", "before", "upto"],
                         )
 
-        return joined.mapInArrow(extend, "h1 long, h2 long, cls long, at int, before int, upto int, blankless int")
+        return joined.mapInArrow(extend, "h1 long, h2 long, cls long, at int, before int, upto int")
 
     def shared_windows(self) -> DataFrame:
         """The windows that another class has too."""
@@ -149,11 +150,11 @@ class SharedSpans:
         """(doc_id, extent, shared_chars, blankless): how much of each document is shared; documents without a shared span are left out.
 
         ``blankless`` counts the non-blank characters of a text and ``shared_chars`` those within shared spans.  The text of a class with
-        several documents is shared as a whole; where no other class shares any of it, both counts are null.
+        several documents is shared as a whole.
         """
         order = Window.partitionBy("cls").orderBy("at")
         fresh = F.col("upto") - F.greatest("before", F.coalesce(F.lag("upto").over(order), F.lit(0)))
-        covered = self.shared_windows().select("cls", "blankless", fresh.alias("fresh")).groupBy("cls").agg(F.sum("fresh").alias("shared_chars"), F.max("blankless").alias("blankless"))
+        covered = self.shared_windows().select("cls", fresh.alias("fresh")).groupBy("cls").agg(F.sum("fresh").alias("shared_chars"))
         copies = self.members.groupBy("cls").agg(F.count_distinct("doc").alias("docs")).where("docs > 1")
         by_class = covered.join(copies, "cls", "full")
         extent = F.when(F.col("docs").isNotNull() | (F.col("shared_chars") == F.col("blankless")), "whole").when(F.col("shared_chars") * 2 >= F.col("blankless"), "most").otherwise("part")

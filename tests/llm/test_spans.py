@@ -73,3 +73,10 @@ def test_repeated_row_is_not_another_document(spark):
     rng = random.Random(1)
     t = "".join(rng.choice("abcdefgh") for _ in range(400))
     assert sp.SharedSpans(frame(spark, [(1, t), (1, t)])).extents().count() == 0
+
+
+def test_copies_that_no_third_text_shares_have_counts(spark):
+    t = "".join(chr(97 + i * i % 23) + " \x1c\u3000\n"[i % 5 :][:1] for i in range(200))
+    got = {tuple(r) for r in sp.SharedSpans(frame(spark, [(1, t), (2, t), (3, "z" * 10)])).extents().collect()}
+    n = sum(not c.isspace() for c in t)
+    assert got == {(1, "whole", n, n), (2, "whole", n, n)}
