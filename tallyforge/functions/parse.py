@@ -209,7 +209,8 @@ def target_key(target: Column, kind: Column) -> Column:
 
 def criteria_options(criteria: Column, kind: Column) -> Column:
     """Options in their order: keys of an object, levels of an array as texts."""
-    levels = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.json_array_length(criteria) - 1)), lambda i: i.cast("string"))
+    n = F.json_array_length(criteria)
+    levels = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1)), lambda i: i.cast("string")))
     return F.when(kind == "score", levels).otherwise(F.json_object_keys(criteria))
 
 

@@ -200,6 +200,21 @@ def quarantine_reasons(t):
     return rejected.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+@query(
+    """WITH r AS (SELECT input.questions['decision'].type AS kind, input.questions['decision'].criteria AS c, reference.target AS t, reference.distribution AS d FROM decision_records),
+    j AS (SELECT kind, CASE WHEN json_valid(c) THEN c END AS c, CASE WHEN json_valid(t) THEN t END AS t, d FROM r),
+    o AS (SELECT kind, d, CASE WHEN kind = 'score' THEN CASE WHEN json_type(c) = 'ARRAY' AND json_array_length(c) > 0 THEN list_transform(range(0, json_array_length(c)::BIGINT), lambda i: i::VARCHAR) END WHEN json_type(c) = 'OBJECT' THEN json_keys(c) END AS options,
+    CASE WHEN kind = 'noul' AND json_type(t) = 'BOOLEAN' OR kind = 'score' AND json_type(t) IN ('UBIGINT', 'BIGINT') OR kind = 'choice' AND json_type(t) = 'VARCHAR' THEN json_extract_string(t, '$') END AS key FROM j)
+    SELECT reason, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN NOT coalesce(kind IN ('choice', 'noul', 'score'), false) THEN 'type' END, CASE WHEN NOT coalesce(len(options) > 0, false) THEN 'criteria' END, CASE WHEN NOT coalesce(list_contains(options, key), false) THEN 'target' END,
+    CASE WHEN d IS NOT NULL AND NOT coalesce(list_sort(map_keys(d)) = list_sort(options), false) THEN 'distribution keys' END, CASE WHEN d IS NOT NULL AND NOT coalesce(abs(list_sum(map_values(d)) - 1) <= 1e-6, false) THEN 'distribution sum' END], lambda x: x IS NOT NULL)) AS reason FROM o) GROUP BY reason"""
+)
+def record_quarantine_reasons(t):
+    """Records that break any of the record rules."""
+    q = F.col("input.questions")["decision"]
+    _, rejected = va.quarantine(t.decision_records, va.record_rules(q["type"], q["criteria"], F.col("reference.target"), F.col("reference.distribution")))
+    return rejected.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
 @query("SELECT count(*) AS rows FROM lineitem WHERE l_quantity BETWEEN 1 AND 50")
 def demanded_rows(t):
     return va.demand(t.lineitem, {"quantity": F.col("l_quantity").between(1, 50)}).agg(F.count("*").alias("rows"))
