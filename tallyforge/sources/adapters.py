@@ -47,9 +47,9 @@ def register(adapter: SourceAdapter) -> SourceAdapter:
     return adapter
 
 
-def convert(name: str, raw: DataFrame) -> DataFrame:
-    """All rows of a source with their status; a row whose status is ``raise`` stops when it is read."""
-    made = REGISTRY[name].record(raw).select(*COLUMNS)
+def convert(name: str, raw: DataFrame, **options: str) -> DataFrame:
+    """All rows of a source with their status; a row whose status is ``raise`` stops when it is read.  ``options`` go to the adapter, as massive's locale."""
+    made = REGISTRY[name].record(raw, **options).select(*COLUMNS)
     return made.where(F.when(F.col("status") == "raise", F.raise_error(F.concat(F.lit(f"{name}: "), F.col("reason"))).cast("boolean")).otherwise(True))
 
 
@@ -95,9 +95,39 @@ def vitaminc(raw: DataFrame) -> DataFrame:
     return _made(raw, "vitaminc", "choice", _c("unique_id"), _c("case_id"), _texts(claim=_c("claim"), evidence=_c("evidence")), F.lit(None).cast("string") if not labels else _object(_spelt(labels)), F.when(_c("label").isin(labels), _text(_c("label"))))
 
 
-def massive(raw: DataFrame) -> DataFrame:
-    """Test rows of one locale; the scenario is the target among the raw table's scenarios."""
-    return _made(raw, "massive", "choice", F.concat_ws("-", "locale", "id"), F.concat(F.lit("massive-"), _c("id").cast("string")), _c("utt"), F.to_json(F.create_map(_c("scenario"), _c("scenario"))), _text(_c("scenario")), skip=_c("partition") != "test")
+MASSIVE_CRITERIA = {
+    "alarm": "Setting, changing, or querying alarms.",
+    "audio": "Volume, mute, or audio output settings.",
+    "calendar": "Events, meetings, reminders on a calendar.",
+    "cooking": "Recipes and cooking instructions.",
+    "datetime": "The current time, date, or time conversions.",
+    "email": "Reading, sending, or checking email and contacts.",
+    "general": "Small talk, jokes, greetings, or general assistant control such as repeat or confirm.",
+    "iot": "Controlling lights, plugs, heating, cleaners, coffee machines, or wemo devices.",
+    "lists": "Creating, querying, or removing list items.",
+    "music": "Music preferences, likes, or music settings, not playing a specific item.",
+    "news": "News headlines or updates.",
+    "play": "Playing a specific song, podcast, radio, audiobook, or game.",
+    "qa": "Factual questions, definitions, math, currency, stock prices.",
+    "recommendation": "Suggestions for events, movies, or locations.",
+    "social": "Social media posts or queries.",
+    "takeaway": "Food orders and delivery status.",
+    "transport": "Taxis, tickets, traffic, or travel directions.",
+    "weather": "Weather forecasts or conditions.",
+}
+
+
+def massive(raw: DataFrame, locale: str | None = None) -> DataFrame:
+    """Test rows of one locale; the scenario is the target among the 18 scenarios.
+
+    Rows of other partitions and locales and blank utterances are skipped; an unknown scenario stops.  Without ``locale`` the table must be of one locale, else every row stops.
+    """
+    of_one = raw.crossJoin(F.broadcast(raw.agg((F.count_distinct("locale") > 1).alias("_several")))) if locale is None else raw.withColumn("_several", F.lit(False))
+    known = F.coalesce(_c("scenario").isin(list(MASSIVE_CRITERIA)), F.lit(False))
+    elsewhere = ~_c("partition").eqNullSafe(F.lit("test")) | (F.lit(False) if locale is None else ~_c("locale").eqNullSafe(F.lit(locale)))
+    blank = F.coalesce(_c("utt").rlike(r"(?U)^[\s\x1c-\x1f]*$"), F.lit(True))
+    skip = ~_c("_several") & (elsewhere | known & blank)
+    return _made(of_one, "massive", "choice", F.concat_ws("-", "locale", "id"), F.concat(F.lit("massive-"), _c("id").cast("string")), _c("utt"), _object(MASSIVE_CRITERIA), _text(_c("scenario")), skip=skip, bad=~known | _c("_several"))
 
 
 def boolq(raw: DataFrame) -> DataFrame:
