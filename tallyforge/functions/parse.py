@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyforge.functions.text import load_json
+
 NO_SKILL = "__no_skill__"
 FAILED = "__error_or_missing__"
 
@@ -383,8 +385,8 @@ def _flat(value) -> Iterator[str]:
 
 def _loaded(text: str | None):
     try:
-        return json.loads(text) if text is not None else None
-    except (ValueError, RecursionError):
+        return load_json(text) if text is not None else None
+    except ValueError:
         return text
 
 

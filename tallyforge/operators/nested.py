@@ -20,7 +20,6 @@ types in ``whole``, its other fields too, as JSON text.
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterable, Mapping
 
@@ -28,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions.text import dump_json, load_json
 from tallyforge.operators.stages import spread
 
 NODE_FIELDS = "record long, pre long, post long, parent_pre long, depth int, node_type string, path string, name string, pos long, kind string, value string, attrs map<string,string>"
 _ROWS = 20_000
+_PATH = 4_096
 
 
 def _opened(value):
@@ -43,8 +44,8 @@ def _opened(value):
         if head not in ("{", "[", '"'):
             return value
         try:
-            inner = json.loads(value)
-        except (ValueError, RecursionError):
+            inner = load_json(value)
+        except ValueError:
             return value
         if isinstance(inner, (dict, list)):
             return inner
@@ -69,7 +70,7 @@ def _kind(value) -> str:
 def _scalar(value) -> str | None:
     if value is None or isinstance(value, str):
         return value
-    return json.dumps(value, ensure_ascii=False)
+    return dump_json(value)
 
 
 def _encodable(value):
@@ -86,6 +87,13 @@ def _attrs(value: dict, apart: Mapping[str, type] | None) -> list[tuple]:
     return [(k, _scalar(v)) for k, v in value.items() if k not in apart or not isinstance(v, apart[k])]
 
 
+def _longer(path: str, sep: str, step: str) -> str:
+    """The path of a child; paths of over _PATH characters end in ``…`` and stay as they are, so that memory doesn't grow with the square of the depth."""
+    if len(path) > _PATH:
+        return path if path.endswith("…") else path + "…"
+    return path + sep + step
+
+
 def walk_nodes(root, type_of, whole: Mapping[str, Mapping[str, type]] = {}) -> list[list]:
     """Node rows of one record, in pre-order; ``type_of(path)`` gives None or a node's type and the field it must have."""
     rows: list[list] = []
@@ -107,14 +115,13 @@ def walk_nodes(root, type_of, whole: Mapping[str, Mapping[str, type]] = {}) -> l
             at = len(rows)
             rows.append([pre, None, parent, depth, node_type, path, name, pos, kind, None if kind in ("object", "array") else _scalar(value), attrs])
         if kind == "object":
-            stack.append((None, path, None, None, None, 0, at))
-            base = "" if path == "$" else path + "."
+            stack.append((None, None, None, None, None, 0, at))
             for key, child in reversed(value.items()):
                 step = key if "." not in key and "[" not in key else key.replace(".", "?").replace("[", "?")
-                stack.append((child, base + step, key, None, pre, depth + 1, None))
+                stack.append((child, step if path == "$" else _longer(path, ".", step), key, None, pre, depth + 1, None))
         elif kind == "array":
-            stack.append((None, path, None, None, None, 0, at))
-            inner = path + "[]"
+            stack.append((None, None, None, None, None, 0, at))
+            inner = _longer(path, "", "[]")
             for i in range(len(value) - 1, -1, -1):
                 stack.append((value[i], inner, None, i, pre, depth + 1, None))
         else:
@@ -127,7 +134,7 @@ def walk_nodes(root, type_of, whole: Mapping[str, Mapping[str, type]] = {}) -> l
 def nodes(df: DataFrame, key: str, json_column: str, node_types: Mapping[str, str | tuple[str, str]], whole: Mapping[str, Mapping[str, type]] = {}) -> DataFrame:
     """The node table ``key + NODE_FIELDS`` of a JSON text column; ``record`` tells input rows of one key apart.
 
-    Null, empty and unparsable texts give no nodes; a text that is a JSON scalar gives its root if typed.  Repeated
+    Null, empty and unparsable texts give no nodes, but rows of ``rejects``; a text that is a JSON scalar gives its root if typed.  Repeated
     input rows repeat their nodes.  Only ``key`` and ``json_column`` are read, so other columns can't clash.  ``whole`` names, for each
     node type whose objects and arrays belong into attrs, the fields that don't, as they have nodes of their own, and their type.
     """
@@ -158,8 +165,8 @@ def nodes(df: DataFrame, key: str, json_column: str, node_types: Mapping[str, st
             like, keys, out = batch.schema.field(0).type, [], []
             for k, doc, record in zip(*(c.to_pylist() for c in batch.columns)):
                 try:
-                    root = json.loads(doc)
-                except (ValueError, RecursionError):
+                    root = load_json(doc)
+                except ValueError:  # these are the rows of rejects()
                     continue
                 own = walk_nodes(root, type_of, whole)
                 out += [(record, *x) for x in own]
@@ -173,6 +180,29 @@ def nodes(df: DataFrame, key: str, json_column: str, node_types: Mapping[str, st
     return source.mapInArrow(run, schema)
 
 
+def rejects(df: DataFrame, key: str, json_column: str) -> DataFrame:
+    """(key, reason) of the rows that ``nodes`` has nothing of: ``null``, ``empty`` or ``not JSON``, with one row for each input row.  Depth is no reason."""
+    kind = df.schema[key].dataType.simpleString()
+    source = spread(df.select(F.col(key).alias("key"), F.col(json_column).cast("string").alias("doc")))
+
+    def reason(doc: str | None) -> str | None:
+        if doc is None:
+            return "null"
+        if not doc.strip():
+            return "empty"
+        try:
+            load_json(doc)
+        except ValueError:
+            return "not JSON"
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        for batch in batches:
+            reasons = [reason(doc) for doc in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(reasons, pa.string())], names=[key, "reason"])
+
+    return source.mapInArrow(run, f"`{key}` {kind}, reason string").where("reason is not null")
+
+
 def enclosing(key: str, node_type: str, column: str = "pre") -> Column:
     """``column`` of the innermost node of ``node_type`` around the current one, for types that do not nest in themselves.
 
