@@ -1,9 +1,9 @@
 """Joins whose left side may have most of its rows under a few keys.
 
-A key is hot if it holds more than 1 / MOST of all rows, so there are fewer than
-MOST hot keys whatever the data, and their list may be broadcast.  Rows of a hot
-key are spread over SALTS shares, and the right side's row for it is repeated
-once for each share; all other keys are joined as usual.
+A key is hot if it holds more than 1 / MOST of all rows and more than LEAST rows,
+so there are fewer than MOST hot keys whatever the data, and their list may be
+broadcast.  Rows of a hot key are spread over SALTS shares, and the right side's
+row for it is repeated once for each share; all other keys are joined as usual.
 """
 
 from __future__ import annotations
@@ -14,21 +14,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST = 200
+LEAST = 50_000
 SALTS = 64
 
 
-def hot_keys(counts: DataFrame, on: Sequence[str], n: str, most: int = MOST) -> DataFrame:
-    """The keys of ``counts(on, n)``, one row for each key, that hold more than 1 / ``most`` of all rows: fewer than ``most`` rows."""
-    total = counts.agg(F.sum(n)).first()[0] or 0
-    return counts.where(F.col(n) > F.lit(total / most)).select(*on)
+def hot_keys(counts: DataFrame, on: Sequence[str], n: str, most: int = MOST, least: int | None = None) -> DataFrame | None:
+    """The keys of ``counts(on, n)``, one row for each key, that hold more than 1 / ``most`` of all rows and more than ``least`` of them; None if there are none."""
+    total, largest = counts.agg(F.sum(n), F.max(n)).first()
+    bound = max((total or 0) / most, LEAST if least is None else least)
+    return counts.where(F.col(n) > F.lit(bound)).select(*on) if (largest or 0) > bound else None
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], hot: DataFrame, spread_by: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], hot: DataFrame | None, spread_by: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
     """``left`` joined with ``right`` on the columns ``on``, hot keys of ``left`` in ``salts`` shares by the hash of ``spread_by``.
 
-    ``hot`` has fewer than MOST rows, as ``hot_keys`` gives them.  Null keys match nothing.  ``how`` is inner, left or left_semi.
+    ``hot`` has fewer than MOST rows, as ``hot_keys`` gives them; without any, this is a plain join.  Null keys match nothing.  ``how`` is inner, left or left_semi.
     """
     on = list(on)
+    if hot is None:
+        return left.join(right, on, how)
     marked = F.broadcast(hot.select(*on).distinct().withColumn("_hot", F.lit(True)))
     share = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
     l = left.join(marked, on, "left").withColumn("_salt", F.when(F.col("_hot"), share).otherwise(0)).drop("_hot")  # noqa: E741

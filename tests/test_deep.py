@@ -47,14 +47,14 @@ def test_deep_record_has_its_nodes_and_rejects_are_told(spark):
 def test_hot_key_is_spread_and_rows_stay(spark):
     rows = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 1000 == 1, None).otherwise(F.concat(F.lit("k"), F.col("id") % 3000)).alias("k"), "id")
     counts = rows.where("k is not null").groupBy("k").agg(F.count("*").alias("n"))
-    hot = hot_keys(counts, ["k"], "n")
+    assert hot_keys(counts, ["k"], "n") is None
+    hot = hot_keys(counts, ["k"], "n", least=100)
     assert [r[0] for r in hot.collect()] == ["hot"] and MOST > 1
     right = counts.select("k", F.col("n").alias("right"))
     joined = spread_join(rows, right, ["k"], hot, "id")
     assert joined.count() == rows.where("k is not null").count() and joined.select("id").distinct().count() == joined.count()
-    assert spread_join(rows, right, ["k"], hot, "id", "left").count() == 20_000
+    assert spread_join(rows, right, ["k"], hot, "id", "left").count() == 20_000 and spread_join(rows, right, ["k"], None, "id").count() == joined.count()
     # no task of the join has the half of the rows that the hot key has
-    shares = joined.groupBy(F.spark_partition_id()).count().collect()
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         plain = spark.conf.get("spark.sql.shuffle.partitions")
