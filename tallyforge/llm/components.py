@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.operators.skew import hot_keys, spread_join
 from tallyforge.operators.stages import drop_stage, stage
 
 SPLIT_BITS = {"train": 1, "validation": 2, "eval": 4, "test": 8}
@@ -46,18 +47,22 @@ def hash_to_min(edges: DataFrame) -> DataFrame:
     """
     edges = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull())
     pairs = edges.select(F.explode(F.array(*(F.struct(F.col(x).alias("node"), F.col(y).alias("member")) for x, y in ("ab", "ba", "aa", "bb")))).alias("p")).select("p.*")
-    clusters = stage(pairs.distinct(), "clusters")
+    clusters = stage(pairs.distinct().withColumn("open", F.lit(True)), "clusters")
     for _ in range(MAX_ROUNDS):
-        minimum = clusters.groupBy("node").agg(F.min("member").alias("least"))
+        minimum = stage(clusters.groupBy("node").agg(F.min("member").alias("least"), F.count("*").alias("n"), F.max("open").alias("open")), "minimum")
+        if not minimum.agg(F.max("open")).first()[0]:
+            drop_stage(clusters)
+            return minimum.select("node", F.col("least").alias("component"))
+        # the least node of a giant component holds most rows
+        hot = hot_keys(minimum, ["node"], "n")
         # open: a node that is not the least of its cluster holds more than that least one
         is_open = (F.col("node") != F.col("least")) & (F.col("member") != F.col("least"))
-        known = clusters.join(minimum, "node").select("node", "member", "least", is_open.alias("open"))
+        known = spread_join(clusters.select("node", "member"), minimum.select("node", "least"), ["node"], hot, "member").select("member", "least", is_open.alias("open"))
         sent = known.select(F.explode(F.array(F.struct(F.col("least").alias("node"), F.col("member")), F.struct(F.col("member").alias("node"), F.col("least").alias("member")))).alias("p"), "open").select("p.*", "open")
         after = stage(sent.groupBy("node", "member").agg(F.max("open").alias("open")), "clusters")
         drop_stage(clusters)
+        drop_stage(minimum)
         clusters = after
-        if not clusters.agg(F.max("open")).first()[0]:
-            return clusters.groupBy("node").agg(F.min("member").alias("component"))
     raise RuntimeError(f"clusters still change after {MAX_ROUNDS} rounds")
 
 
@@ -81,8 +86,12 @@ class RelatedSets:
         name = lambda i: F.struct(F.col(f"v{i}").alias("value"), (F.col("key") * 2 + i).alias("id"))
         values = self.pairs.select(F.explode(F.array(name(0), name(1))).alias("x")).select("x.*").where(F.col("value").isNotNull()).groupBy("value").agg(F.min("id").alias("node"))
         self.values = stage(values, "values")
-        ends = [self.values.select(F.col("value").alias(f"v{i}"), F.col("node").alias(f"n{i}")) for i in (0, 1)]
-        edges = self.pairs.join(ends[0], "v0", "left").join(ends[1], "v1", "left").select(F.coalesce("n0", "n1").alias("a"), F.coalesce("n1", "n0").alias("b"))
+        edges = self.pairs
+        for i in (0, 1):
+            ends = self.values.select(F.col("value").alias(f"v{i}"), F.col("node").alias(f"n{i}"))
+            hot = hot_keys(self.pairs.where(F.col(f"v{i}").isNotNull()).groupBy(f"v{i}").agg(F.count("*").alias("_n")), [f"v{i}"], "_n")
+            edges = spread_join(edges, ends, [f"v{i}"], hot, "key", "left")
+        edges = edges.select(F.coalesce("n0", "n1").alias("a"), F.coalesce("n1", "n0").alias("b"))
         self.labels = stage(self.values.join(hash_to_min(edges), "node").select("value", F.shiftright("component", 1).alias("set_no")), "labels")
 
     def value_sets(self) -> DataFrame:
@@ -91,13 +100,17 @@ class RelatedSets:
 
     def sets(self) -> DataFrame:
         """(set_no, n_records, bits): size and splits of each set."""
-        labelled = self.pairs.withColumn("value", F.coalesce("v0", "v1")).join(self.labels, "value")
+        valued = self.pairs.withColumn("value", F.coalesce("v0", "v1"))
+        hot = hot_keys(valued.groupBy("value").agg(F.count("*").alias("_n")), ["value"], "_n")
+        labelled = spread_join(valued, self.labels, ["value"], hot, "key")
         return labelled.groupBy("set_no").agg(F.sum("n").alias("n_records"), F.bit_or("bits").alias("bits"))
 
     def members(self, sets: DataFrame | None = None) -> DataFrame:
         """(key, set_no), of all records with a value or of those in ``sets(set_no)``."""
         labels = self.labels if sets is None else self.labels.join(sets.select("set_no"), "set_no", "left_semi")
-        return self.rows.where(F.coalesce("v0", "v1").isNotNull()).select("key", F.coalesce("v0", "v1").alias("value")).join(labels, "value").select("key", "set_no")
+        rows = self.rows.where(F.coalesce("v0", "v1").isNotNull()).select("key", F.coalesce("v0", "v1").alias("value"))
+        hot = hot_keys(self.pairs.groupBy(F.coalesce("v0", "v1").alias("value")).agg(F.sum("n").alias("_n")), ["value"], "_n")
+        return spread_join(rows, labels, ["value"], hot, "key").select("key", "set_no")
 
     def torn(self) -> DataFrame:
         """Sets whose records lie in more than one split."""
@@ -116,29 +129,43 @@ def rendezvous(key: Column, weights: Mapping[str, float], seed: int = 0) -> Colu
     return (F.greatest(*scores) if len(scores) > 1 else scores[0])["split"]
 
 
-def assign_splits(df: DataFrame, weights: Mapping[str, float], key: str = "record_no", seed: int = 0, large_share: float = 0.005, **fields) -> DataFrame:
-    """(key, set_no, new_split): every set in one split, shares of records near ``weights``.
+def assign_splits(df: DataFrame, weights: Mapping[str, float], key: str = "record_no", seed: int = 0, large_share: float | None = None, **fields) -> DataFrame:
+    """(key, set_no, new_split): every set in one split by weighted rendezvous hashing, so that shares of sets, and of records but for very large sets, are near ``weights``.
 
-    Sets with at least ``large_share`` of all records, at most 1 / large_share of them, go largest first to the split that is furthest
-    below its share; all others by weighted rendezvous hashing on what is left of each share.  Records without a linking value are sets of their own.
+    A set's split depends on its smallest key, the weights and the seed alone: other records, or more of them, do not move it.  Records without a
+    linking value are sets of their own.  A set that holds a large part of all records puts that part into one split; ``large_sets`` lists
+    such sets.  With ``large_share``, sets with at least that share of all records, at most 1 / large_share of them, go largest first to the
+    split that is furthest below its share, and the others are hashed on what is left; then totals may move a set.
     """
     related = RelatedSets(df, key, **fields)
     alone = related.rows.where(F.coalesce("v0", "v1").isNull()).select("key", F.col("key").alias("set_no"))
-    sizes = stage(related.sets().select("set_no", "n_records"), "sizes")
-    total = related.rows.count()
-    share = {name: w / sum(weights.values()) for name, w in weights.items()}
-    large = sizes.where(F.col("n_records") >= max(2, large_share * total)).orderBy(F.desc("n_records"), "set_no").limit(int(1 / large_share)).collect()
-    left, placed = {name: s * total for name, s in share.items()}, {}
-    for row in large:
-        placed[row["set_no"]] = best = max(left, key=lambda name: (left[name], name))
-        left[best] -= row["n_records"]
-    rest = {name: max(0.0, v) for name, v in left.items()}
-    chosen = rendezvous(F.col("set_no"), rest if any(rest.values()) else share, seed)
-    if placed:
-        chosen = F.coalesce(F.create_map(*(F.lit(x) for kv in placed.items() for x in kv))[F.col("set_no")], chosen)
+    chosen = rendezvous(F.col("set_no"), weights, seed)
+    if large_share is not None:
+        total = related.rows.count()
+        share = {name: w / sum(weights.values()) for name, w in weights.items()}
+        left, placed = {name: s * total for name, s in share.items()}, {}
+        for row in _large(related, total, large_share).collect():
+            placed[row["set_no"]] = best = max(left, key=lambda name: (left[name], name))
+            left[best] -= row["n_records"]
+        rest = {name: max(0.0, v) for name, v in left.items()}
+        chosen = rendezvous(F.col("set_no"), rest if any(rest.values()) else share, seed)
+        if placed:
+            chosen = F.coalesce(F.create_map(*(F.lit(x) for kv in placed.items() for x in kv))[F.col("set_no")], chosen)
     return related.members().unionByName(alone).select(F.col("key").alias(key), "set_no", chosen.alias("new_split"))
 
 
+def _large(related: RelatedSets, total: int, share: float) -> DataFrame:
+    """(set_no, n_records) of the sets with at least that share of all records, the largest first: at most 1 / share rows."""
+    return related.sets().select("set_no", "n_records").where(F.col("n_records") >= max(2, share * total)).orderBy(F.desc("n_records"), "set_no").limit(int(1 / share))
+
+
+def large_sets(df: DataFrame, key: str = "record_no", share: float = 0.005, **fields) -> DataFrame:
+    """(set_no, n_records, share) of the sets that by their size alone move the shares of splits."""
+    related = RelatedSets(df, key, **fields)
+    total = related.rows.count()
+    return _large(related, total, share).withColumn("share", F.col("n_records") / F.lit(max(1, total)))
+
+
 def torn_records(df: DataFrame, key: str = "record_no", **fields) -> DataFrame:
     """(key, set_no): all records of the sets which the present split tears apart."""
     related = RelatedSets(df, key, **fields)

@@ -19,12 +19,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ERROR = 0.01
+LARGEST = 1.7976931348623157e308
+OWN = ("sign", "bucket", "n", "error_bound")
 
 
 def gamma(error: float) -> float:
     if not 0 < error < 1:
         raise ValueError("the error bound must lie between 0 and 1")
-    return (1 + error) / (1 - error)
+    inner = error * (1 - 1e-9)
+    return (1 + inner) / (1 - inner)
 
 
 def valid(column: Column, negatives: bool = False) -> Column:
@@ -42,31 +45,48 @@ def bucket_of(column: Column, error: float = ERROR) -> Column:
     )
 
 
+def _keys(by: Sequence[str]) -> list[str]:
+    if clash := sorted({*by} & {*OWN}):
+        raise ValueError(f"rename the group columns {', '.join(clash)}: sketches have columns of these names")
+    return list(by)
+
+
 def sketch(df: DataFrame, value: str, by: Sequence[str], error: float = ERROR, negatives: bool = False) -> DataFrame:
-    """(by, sign, bucket, n): bucket counts of the valid values of each group.
+    """(by, sign, bucket, error_bound, n): bucket counts of the valid values of each group.
 
     Null, NaN and infinite values don't count, nor negative ones unless ``negatives``; a group with no valid value has no rows; a null
     group key is a group of its own; an empty table gives an empty sketch.
     """
+    by = _keys(by)
     rows = df.where(valid(F.col(value), negatives)).select(*by, bucket_of(F.col(value).cast("double"), error).alias("at"))
-    return rows.groupBy(*by, F.col("at.sign").alias("sign"), F.col("at.bucket").alias("bucket")).agg(F.count("*").alias("n"))
+    return rows.groupBy(*by, F.col("at.sign").alias("sign"), F.col("at.bucket").alias("bucket")).agg(F.lit(float(error)).alias("error_bound"), F.count("*").alias("n"))
 
 
 def merge(sketches: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Sketches of finer groups, days or partitions as those of ``by``; all must have the same error bound."""
-    return sketches.groupBy(*by, "sign", "bucket").agg(F.sum("n").alias("n"))
+    """Sketches of finer groups, days or partitions as those of ``by``.  Buckets of different error bounds stay apart, and ``percentiles`` refuses them."""
+    return sketches.groupBy(*_keys(by), "sign", "bucket", "error_bound").agg(F.sum("n").alias("n"))
+
+
+def _mark(sign: Column, bucket: Column, bound: Column) -> Column:
+    """The value that stands for a bucket, within the bound of all its values.  The power is one below the bucket's upper end, so it is finite for every double."""
+    inner = bound * (1 - 1e-9)
+    g = (1 + inner) / (1 - inner)
+    return sign * F.least(F.lit(LARGEST), F.pow(g, bucket * sign - 1) * (1 + inner))
 
 
-def percentiles(sketches: DataFrame, by: Sequence[str], points: Sequence[float] = (0.5, 0.9, 0.95, 0.99), error: float = ERROR) -> DataFrame:
-    """(by, n, p<point>..., error): the mark of the bucket that holds rank floor(q (n - 1)) + 1 of each group.
+def percentiles(sketches: DataFrame, by: Sequence[str], points: Sequence[float] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
+    """(by, n, p<point>..., error_bound): the mark of the bucket that holds rank floor(q (n - 1)) + 1 of each group.
 
-    The true value v at that rank satisfies |mark - v| <= error |v|.  A group has at most 2 ln(1.8e308 / 4.9e-324) / ln g + 1 buckets,
-    146,000 at an error of 0.01, which bounds the window whatever the number of values.
+    The true value v at that rank satisfies |mark - v| <= error_bound |v|.  A group whose sketches have different bounds stops.  A group has
+    at most 2 ln(1.8e308 / 4.9e-324) / ln g + 1 buckets, 146,000 at an error of 0.01, which bounds the window whatever the number of values.
     """
+    by = _keys(by)
     order = Window.partitionBy(*by).orderBy("sign", "bucket")
     whole = Window.partitionBy(*by)
-    g = gamma(error)
-    mark = F.col("sign") * F.lit(2.0 / (g + 1)) * F.pow(F.lit(g), F.col("bucket") * F.col("sign"))
-    ranked = sketches.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(whole)).withColumn("mark", mark)
-    aggs = [F.min(F.when(F.col("upto") > F.floor(F.lit(float(q)) * (F.col("total") - 1)), F.struct("sign", "bucket", "mark")))["mark"].alias(f"p{q * 100:g}".replace(".", "_")) for q in points]
-    return ranked.groupBy(*by).agg(F.max("total").alias("n"), *aggs).withColumn("error_bound", F.lit(error))
+    ranked = sketches.withColumn("_upto", F.sum("n").over(order)).withColumn("_total", F.sum("n").over(whole))
+    rank = lambda q: F.floor(F.lit(float(q)) * (F.col("_total") - 1))
+    aggs = [F.min(F.when(F.col("_upto") > rank(q), F.struct("sign", "bucket"))).alias(f"p{q * 100:g}".replace(".", "_")) for q in points]
+    made = ranked.groupBy(*by).agg(F.max("_total").alias("n"), *aggs, F.min("error_bound").alias("error_bound"), F.max("error_bound").alias("_other"))
+    same = F.when(F.col("error_bound") == F.col("_other"), F.col("error_bound")).otherwise(F.raise_error(F.lit("sketches have different error bounds")).cast("double"))
+    marks = [_mark(F.col(c)["sign"], F.col(c)["bucket"], F.col("error_bound")).alias(c) for c in (f"p{q * 100:g}".replace(".", "_") for q in points)]
+    return made.select(*by, "n", *marks, F.when(F.col("n").isNotNull(), same).alias("error_bound"))

@@ -14,24 +14,26 @@ from tallyforge.operators.stages import stage
 RUN_ROWS = 50_000
 
 
-def ranked(df: DataFrame, group: Sequence[str], key: str, seed: int = 0) -> DataFrame:
+def ranked(df: DataFrame, group: Sequence[str], key: str, seed: int = 0, level: Column | None = None) -> DataFrame:
     """``df`` with ``k``, the position from 1 of each row in its group in a random order fixed by ``key`` and ``seed``.
 
-    A two-level prefix sum: groups are cut into runs of about RUN_ROWS rows along the random order, runs are counted and their counts
-    summed up, and rows are numbered within their run.  A group that holds most rows is as many runs as its size asks for, so no task
-    holds more than a run.  Null group keys are a group; equal keys are numbered side by side.
+    With ``level``, a whole number, rows lie in order of it, and in random order within equal ones.  A two-level prefix sum: groups are cut
+    into runs of about RUN_ROWS rows along the order, runs are counted and their counts summed up, and rows are numbered within their run.
+    A group that holds most rows is as many runs as its size asks for, so no task holds more than a run.  Null group keys are a group;
+    equal keys are numbered side by side.
     """
     group = list(group)
-    rows = df.withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed)), 1))
-    largest = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    rows = df.withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed)), 1)).withColumn("_level", F.lit(0).cast("long") if level is None else level.cast("long"))
+    largest = rows.groupBy(*group, "_level").count().agg(F.max("count")).first()[0] or 0
     depth = max(0, math.ceil(math.log2(max(1, largest / RUN_ROWS))))
     rows = rows.withColumn("_run", F.shiftrightunsigned(F.col("_h"), 63 - depth) if depth else F.lit(0).cast("long"))
-    counts = rows.groupBy(*group, "_run").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*group).orderBy("_run")) - F.col("_n")).drop("_n")
-    numbered = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*group, "_run").orderBy("_h", key)))
-    same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in [*group, "_run"]]
+    run = ["_level", "_run"]
+    counts = rows.groupBy(*group, *run).agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*group).orderBy(*run)) - F.col("_n")).drop("_n")
+    numbered = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*group, *run).orderBy("_h", key)))
+    same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in [*group, *run]]
     joined = numbered.alias("a").join(before.alias("b"), same)
-    return joined.select("a.*", (F.col("a._i") + F.col("b._before")).cast("long").alias("k")).drop("_h", "_run", "_i")
+    return joined.select("a.*", (F.col("a._i") + F.col("b._before")).cast("long").alias("k")).drop("_h", "_level", "_run", "_i")
 
 
 def crossings(start: Column, rate: Column, k: Column) -> Column:
@@ -75,10 +77,6 @@ class TargetSample:
             .withColumn("needed", F.greatest(F.col("min_rows").cast("long"), F.expr(f"(target_permille * {self.size}L + 999L) div 1000L")))
         )
 
-    def unmet(self) -> DataFrame:
-        """Categories with fewer eligible ids than their target or floor asks for."""
-        return self.categories.where(F.col("eligible") < F.col("needed"))
-
     def plan(self) -> DataFrame:
         """Categories with start, rate and the ids that the floor adds; as many rows as targets."""
         placed = self.placed.groupBy(*CATEGORY).agg(F.count("*").alias("placed"))
@@ -92,13 +90,29 @@ class TargetSample:
         """(id, domain, qtype, subtopic) of the sample."""
         placed = ranked(self.placed, CATEGORY, "id", self.seed).join(self.plan().select(*CATEGORY, "start", "rate", "added"), CATEGORY)
         upto = crossings(F.col("start"), F.col("rate"), F.col("k"))
-        hit = upto > crossings(F.col("start"), F.col("rate"), F.col("k") - 1)
+        hit = (upto > crossings(F.col("start"), F.col("rate"), F.col("k") - 1)) | (F.col("rate") >= 1)
         return placed.where(hit | (F.col("k") - upto <= F.col("added"))).select("id", *CATEGORY)
 
     def report(self) -> DataFrame:
-        """Each category with its target, its floor, what there was and what the sample has; met if there were enough ids and the sample has the floor and the target, rounded down."""
+        """Each category with its target, its floor, what there was and what the sample has.
+
+        ``needed`` is the greater of floor and target rounded up, ``least_rows`` of floor and target rounded down.  ``met`` says that the sample has
+        at least ``least_rows``; ``missing`` is what it lacks of ``needed``, which is below one row of rounding where ``met`` holds.  ``target_share`` is that of
+        the targets, ``actual_share`` that of the rows sampled: what short categories lack isn't placed elsewhere, so others' rows
+        stay at their targets and their shares grow a little.
+        """
         got = self.rows().groupBy(*CATEGORY).agg(F.count("*").alias("sampled"))
-        return self.categories.join(got, CATEGORY, "left").fillna(0, ["sampled"]).withColumn("met", (F.col("eligible") >= F.col("needed")) & (F.col("sampled") >= F.greatest(F.col("min_rows").cast("long"), F.expr(f"target_permille * {self.size}L div 1000L"))))
+        least = F.greatest(F.col("min_rows").cast("long"), F.expr(f"target_permille * {self.size}L div 1000L"))
+        joined = self.categories.join(got, CATEGORY, "left").fillna(0, ["sampled"]).withColumn("least_rows", least)
+        whole = Window.partitionBy()
+        return joined.withColumns({
+            "met": F.col("sampled") >= F.col("least_rows"), "missing": F.greatest(F.lit(0).cast("long"), F.col("needed") - F.col("sampled")),
+            "target_share": F.col("target_permille") / 1000.0, "actual_share": F.try_divide(F.col("sampled"), F.sum("sampled").over(whole)),
+        })
+
+    def unmet(self) -> DataFrame:
+        """Categories whose sample lacks rows because fewer ids are eligible than target or floor ask for."""
+        return self.report().where((F.col("missing") > 0) & (F.col("eligible") < F.col("needed")))
 
 
 def target_sample(records: DataFrame, targets: DataFrame, **options) -> TargetSample:

@@ -59,7 +59,7 @@ def test_sets_equal_union_find(spark, rows):
 def test_assignment_keeps_sets_together_and_near_the_weights(spark):
     rows = [(i, None, f"f{i // 3}", None) for i in range(6000)] + [(10_000 + i, None, "hot", f"h{i}") for i in range(2000)]
     df = frame(spark, rows)
-    got = co.assign_splits(df, {"train": 0.7, "eval": 0.2, "test": 0.1, "none": 0})
+    got = co.assign_splits(df, {"train": 0.7, "eval": 0.2, "test": 0.1, "none": 0}, large_share=0.005)
     assert got.count() == 8000
     assert got.groupBy("set_no").agg(F.count_distinct("new_split").alias("n")).where("n > 1").count() == 0
     shares = {r[0]: r[1] / 8000 for r in got.groupBy("new_split").count().collect()}
@@ -88,3 +88,21 @@ def test_weighted_rendezvous_moves_little(spark):
     moved = one.join(two, "id").where("s <> t")
     assert moved.where("t <> 'c'").count() == 0 and abs(moved.count() / 20_000 - 0.2) < 0.02
     assert re.match("a|b", one.first()["s"])
+
+
+def test_other_records_do_not_move_a_set(spark):
+    rows = [(i, None, f"f{i // 3}", None) for i in range(900)]
+    more = rows + [(10_000 + i, None, "hot", None) for i in range(3000)]
+    weights = {"train": 0.7, "eval": 0.3}
+    one, two = (co.assign_splits(frame(spark, r), weights).select("record_no", "set_no", "new_split") for r in (rows, more))
+    assert one.exceptAll(two).count() == 0
+    assert [tuple(r)[:2] for r in co.large_sets(frame(spark, more), share=0.5).collect()] == [(10_000, 3000)]
+
+
+def test_hot_values_are_spread(spark, monkeypatch, rows):
+    from tallyforge.operators import skew
+
+    monkeypatch.setattr(skew, "LEAST", 3)
+    test_sets_equal_union_find(spark, rows)
+    star = [(i, "train" if i % 2 else "test", "hub", f"leaf{i}") for i in range(500)]
+    assert {tuple(r) for r in co.torn_records(frame(spark, star)).collect()} == {(i, 0) for i in range(500)}
