@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import bare, parse_container, scalar_text
-from tallyforge.operators.stages import spread
+from tallyforge.operators.skew import hot_keys, spread_join
+from tallyforge.operators.stages import spread, stage
 
 
 def _digest(data: bytes) -> bytes:
@@ -85,11 +86,22 @@ def forms(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def copy_groups(rows: DataFrame) -> DataFrame:
-    """(digest, form, kept_no, copies): one row for each record that remains, with how many copies it had, itself included."""
+    """(digest, kept_no, copies): one row for each record that remains, with how many copies it had, itself included.
+
+    Rows group by digest and by the whole form, so records of one group are equal in full and not only in their digest.
+    """
     return rows.groupBy("digest", "form").agg(F.min("no").alias("kept_no"), F.count("*").alias("copies"))
 
 
 def copy_pairs(rows: DataFrame) -> DataFrame:
-    """(kept_no, copy_no): each copy but the smallest number of its group.  Groups are counted map-side first and never gathered, so their size doesn't matter."""
-    groups = copy_groups(rows).where("copies > 1").select("digest", "form", "kept_no")
-    return rows.join(groups, ["digest", "form"]).where(F.col("no") > F.col("kept_no")).select("kept_no", F.col("no").alias("copy_no"))
+    """(kept_no, copy_no): each copy but the smallest number of its group.
+
+    Groups are counted map-side first and never gathered.  Rows then look up their group by the 128-bit digest and a 64-bit hash of
+    the form, so forms are shuffled once and not again; rows of a group that holds a large part of all rows are spread over many tasks.
+    """
+    rows = stage(rows, "forms")
+    check = F.xxhash64("form").alias("check")
+    groups = stage(copy_groups(rows).where("copies > 1").select("digest", check, "kept_no", "copies"), "groups")
+    hot = hot_keys(groups, ["digest", "check"], "copies")
+    found = spread_join(rows.select("digest", check, "no"), groups.drop("copies"), ["digest", "check"], hot, "no")
+    return found.where(F.col("no") > F.col("kept_no")).select("kept_no", F.col("no").alias("copy_no"))
