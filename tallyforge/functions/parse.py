@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.functions.text import load_json
+from tallyforge.functions.text import dump_json, load_json
 
 NO_SKILL = "__no_skill__"
 FAILED = "__error_or_missing__"
@@ -273,6 +273,13 @@ def permuted(choices: Column, row_id: Column, seed: int) -> Column:
     return F.transform(F.array_sort(keyed), lambda x: x["c"])
 
 
+def gold_at(choices: Column, gold: Column, place: Column, row_id: Column, seed: int) -> Column:
+    """The choices in an order fixed by seed and row, with ``gold`` at the 0-based ``place``, or at the end if there are fewer; null if gold is no choice."""
+    others = F.filter(permuted(choices, row_id, seed), lambda c: c != gold)
+    at = F.least(place, F.size(others))
+    return F.when(F.array_contains(choices, gold), F.concat(F.slice(others, F.lit(1), at), F.array(gold), F.slice(others, at + 1, F.size(others))))
+
+
 def legend_matches(legend: Column, levels: Column) -> Column:
     """Whether a map of level to text spells exactly the levels in order."""
     expected = F.map_from_arrays(F.transform(F.sequence(F.lit(0), F.size(levels) - 1), lambda i: i.cast("string")), levels)
@@ -434,6 +441,39 @@ def text_on_path(json_texts: pd.Series, paths: pd.Series) -> pd.Series:
     return pd.Series([walk(t, p) for t, p in zip(json_texts, paths)], dtype=object)
 
 
+@F.pandas_udf(T.StringType())
+def edit_at(states: pd.Series, paths: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
+    """A state with the one occurrence of ``old`` in the text at a path replaced by ``new``; all else keeps its place and kind.
+
+    An empty or null path is the state itself, as plain text.  Null where the path leads to no text, ``old`` is blank, equal to ``new`` or not there
+    exactly once.
+    """
+
+    def edit(state, path, a, b):
+        if state is None or a is None or b is None or not a.strip() or a == b:
+            return None
+        steps = list(path) if path is not None else []
+        if not steps:
+            return state.replace(a, b) if state.count(a) == 1 else None
+        root = node = _loaded(state)
+        around, place = None, None
+        for step in steps:
+            around = node
+            if isinstance(node, dict) and step in node:
+                place = step
+            elif isinstance(node, list) and step.isdigit() and int(step) < len(node):
+                place = int(step)
+            else:
+                return None
+            node = node[place]
+        if not isinstance(node, str) or node.count(a) != 1:
+            return None
+        around[place] = node.replace(a, b)
+        return dump_json(root)
+
+    return pd.Series([edit(*x) for x in zip(states, paths, old, new)], dtype=object)
+
+
 @F.pandas_udf(T.IntegerType())
 def changed_words(left: pd.Series, right: pd.Series) -> pd.Series:
     """Most words removed or added between two texts, over whitespace tokens."""

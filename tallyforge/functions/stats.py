@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,22 +33,38 @@ def wilson(correct: Column, total: Column, z: float = Z95) -> Column:
     return F.when(total > 0, F.struct((centre - half).alias("low"), (centre + half).alias("high")))
 
 
+def _log_factorial_rest(n: Column) -> Column:
+    """log n! - (n log n - n + log(2 pi n) / 2): the rest of Stirling's formula, by its series from 16 on and from a short table below."""
+    table = [0.0] + [math.lgamma(k + 1) - (k * math.log(k) - k + 0.5 * math.log(2 * math.pi * k)) for k in range(1, 16)]
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * n * n)) / (n * n)) / (n * n)) / n
+    return F.when(n < 16, F.get(F.array(*map(F.lit, table)), n.cast("int"))).otherwise(series)
+
+
+def _binomial_half(k: Column, n: Column) -> Column:
+    """Probability of ``k`` of ``n`` fair coins, 0 < k < n, from logarithms that do not cancel."""
+    rest = n - k
+    away = (k - rest) / n
+    deviance = k * F.log1p(away) + rest * F.log1p(-away)
+    return F.exp(_log_factorial_rest(n) - _log_factorial_rest(k) - _log_factorial_rest(rest) - deviance) * F.sqrt(n / (2 * math.pi * k * rest))
+
+
 def mcnemar(left_only: Column, right_only: Column) -> Column:
     """Exact two-sided McNemar p value from the discordant counts; 1 where there are none.
 
-    The binomial tail is summed in log space, term by term from the last one, so counts of any size neither overflow nor underflow.
+    The binomial tail is summed downwards from its largest term.  Terms fall at least like exp(-j^2 / n), so those beyond 10 sqrt(n) + 60 add nothing
+    that a double could hold, and a row needs that many steps at most, whatever the counts.
     """
-    n, low = (left_only + right_only).cast("double"), F.least(left_only, right_only).cast("int")
-    first = F.struct((-n * F.log(F.lit(2.0))).alias("term"), (-n * F.log(F.lit(2.0))).alias("total"))
+    n, low = (left_only + right_only).cast("double"), F.least(left_only, right_only).cast("double")
+    steps = F.least(low, F.ceil(10 * F.sqrt(n)) + 60).cast("int")
+    first = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
 
-    def step(acc: Column, k: Column) -> Column:
-        term = acc["term"] + F.log((n - k + 1) / k)
-        top = F.greatest(term, acc["total"])
-        return F.struct(term.alias("term"), (top + F.log(F.exp(term - top) + F.exp(acc["total"] - top))).alias("total"))
+    def step(acc: Column, j: Column) -> Column:
+        term = acc["term"] * (low - j + 1) / (n - low + j)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
 
-    ks = F.when(low > 0, F.sequence(F.lit(1), low)).otherwise(F.array().cast("array<int>"))
-    tail = F.aggregate(ks, first, step)["total"]
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.exp(tail)))
+    js = F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>"))
+    tail = F.when(low == 0, F.pow(F.lit(0.5), n)).otherwise(_binomial_half(low, n) * F.aggregate(js, first, step)["total"])
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
 def calibration_bin(p: Column, bins: int = BINS) -> Column:

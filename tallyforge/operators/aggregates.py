@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import stats
 from tallyforge.functions.parse import FAILED, valid_number
+from tallyforge.operators.ordered import running
 
 
 def metric(x: Column, name: str) -> list[Column]:
@@ -126,12 +127,12 @@ def calibration_bins(df: DataFrame, p: str, right: str, bins: int = stats.BINS)
 def auroc(df: DataFrame, score: str, positive: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, positives, negatives, auroc): ties count half; null if a class is absent.
 
-    Equal scores are counted before anything is ordered, so the window holds distinct scores only.
+    Equal scores are counted before anything is ordered, and ranks come from two-level prefix sums, so no task holds all distinct scores.
     """
+    by = list(by)
     valid = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(positive).isNotNull())
     tied = valid.select(*by, F.col(score).alias("_s"), F.col(positive).alias("_y")).groupBy(*by, "_s").agg(F.count_if("_y").alias("_p"), F.count_if(~F.col("_y")).alias("_q"))
-    order = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = tied.withColumn("_before", F.coalesce(F.sum(F.col("_p") + F.col("_q")).over(order), F.lit(0)))
+    ranked = running(tied, by, ["_s"], {"_before": F.col("_p") + F.col("_q")}, inclusive=False)
     mean_rank = F.col("_before") + (F.col("_p") + F.col("_q") + 1) / 2
     sums = ranked.groupBy(*by).agg(F.sum("_p").alias("positives"), F.sum("_q").alias("negatives"), F.sum(F.col("_p") * mean_rank).alias("_r"))
     return sums.select(*by, "positives", "negatives", stats.ranks_to_auroc(F.col("_r"), F.col("positives"), F.col("negatives")).alias("auroc"))
@@ -233,13 +234,25 @@ def best_candidate(value: Column, *keys: Column) -> Column:
     return F.min_by(value, F.struct(*keys))
 
 
-def dynamic_pivot(df: DataFrame, entity: str, stage: str, occurrence: str, amounts: Sequence[str], stages: Sequence[str]) -> DataFrame:
-    """One row for each entity; for each stage as many columns for each amount as any entity has calls of it, at least one."""
+def dynamic_pivot(df: DataFrame, entity: str, stage: str, occurrence: str, amounts: Sequence[str], stages: Sequence[str], most: int = 2_000) -> DataFrame:
+    """One row for each entity; for each stage as many columns for each amount as any entity has calls of it, at least one.
+
+    More than ``most`` columns stop the run: such a table is better kept long, as ``pivot_cells`` gives it.
+    """
     widest = {r[stage]: r["w"] for r in df.where(F.col(stage).isin(*stages)).groupBy(stage).agg(F.max(occurrence).alias("w")).collect()}
+    width = sum(widest.get(s) or 1 for s in stages) * len(amounts)
+    if width > most:
+        raise ValueError(f"{width} columns are more than {most}; use pivot_cells")
     cells = [(s, i) for s in stages for i in range(1, (widest.get(s) or 1) + 1)]
     return df.groupBy(entity).agg(*(F.max(F.when((F.col(stage) == s) & (F.col(occurrence) == i), F.col(a))).alias(f"{s}_{i}_{a}") for s, i in cells for a in amounts))
 
 
+def pivot_cells(df: DataFrame, entity: str, stage: str, occurrence: str, amounts: Sequence[str]) -> DataFrame:
+    """(entity, stage, occurrence, amount, value): the cells of the pivot that hold a value, whatever its width."""
+    cells = F.explode(F.array(*(F.struct(F.lit(a).alias("amount"), F.col(a).cast("double").alias("value")) for a in amounts)))
+    return df.select(entity, stage, occurrence, cells.alias("x")).groupBy(entity, stage, occurrence, "x.amount").agg(F.max("x.value").alias("value")).where("value is not null")
+
+
 def entity_totals(entities: DataFrame, calls: DataFrame, key: str, amounts: Sequence[str]) -> DataFrame:
     """Every entity with the number of its calls and the sums of their amounts, 0 without calls."""
     sums = calls.groupBy(key).agg(F.count("*").alias("calls"), *(F.sum(a).alias(a) for a in amounts))

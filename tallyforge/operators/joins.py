@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +13,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyforge.functions.parse import match_key, token_set
 from tallyforge.operators import aggregates
+from tallyforge.operators.ordered import SPAN, same, spans
+from tallyforge.operators.skew import hot_keys, spread_join
+from tallyforge.operators.stages import spread, stage
 from tallyforge.operators.validate import demand_none, demand_unique
 
 NEEDLE_BYTES = 64_000_000
@@ -97,57 +102,66 @@ def provenance_mismatches(rows: DataFrame, sources: DataFrame, source_id: str, k
     return looked.select(*(F.col(f"r.{c}") for c in rows.columns), F.explode(F.array_compact(F.array(*checks))).alias("mismatch"))
 
 
-def asof(calls: DataFrame, questions: DataFrame, call_time: str, question_time: str, columns: Sequence[str], by: Sequence[str] = (), tie: str | None = None, slack: str = "1 day") -> DataFrame:
+def asof(calls: DataFrame, questions: DataFrame, call_time: str, question_time: str, columns: Sequence[str], by: Sequence[str] = (), tie: str | None = None) -> DataFrame:
     """Calls with ``columns`` of the latest question at or before them, of the same ``by``; of equal times the first by ``tie``.
 
-    Both sides are laid on one timeline and the last question is carried forward, one sort and no range join.  A timeline is cut into
-    spans of ``slack``: the last question of each span is carried to the spans after it, so that no task holds a whole timeline even without ``by``.
+    Both sides are laid on one timeline and the last question is carried forward, one sort and no range join.  The timeline is cut into spans
+    of about equal row counts, and the last question of each span is carried to the spans after it, so that no task holds a whole timeline, even
+    without ``by`` or where one moment has most rows.  Null keys are a group; calls without a time match nothing.
     """
     by = list(by)
-    span = lambda c: F.date_trunc("day", c) if slack == "1 day" else F.window(c.cast("timestamp"), slack)["start"]
     kept = F.struct(*(F.col(c).alias(c) for c in columns), F.lit(True).alias("_found"))
     tie_key = F.col(tie) if tie else F.lit(0)
-    latest = questions.groupBy(*by, question_time).agg(F.min_by(kept, tie_key).alias("_q"))
-    q = latest.select(*by, F.col(question_time).alias("_t"), F.lit(0).alias("_side"), "_q", F.lit(None).cast(calls.select(F.struct("*").alias("c")).schema["c"].dataType).alias("_c"))
-    c = calls.select(*by, F.col(call_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(latest.schema["_q"].dataType).alias("_q"), F.struct("*").alias("_c"))
-    line = q.unionByName(c).withColumn("_span", span(F.col("_t")))
-    ends = q.withColumn("_span", span(F.col("_t"))).groupBy(*by, "_span").agg(F.max_by("_q", "_t").alias("_end"))
-    every = line.select(*by, "_span").distinct().join(ends, [*by, "_span"], "left")
-    before = every.withColumn("_before", F.last("_end", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))).drop("_end")
-    inside = line.withColumn("_own", F.last("_q", ignorenulls=True).over(Window.partitionBy(*by, "_span").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)))
-    keys = [F.col(f"i.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*by, "_span"]]
-    out = inside.where("_side = 1").alias("i").join(before.alias("b"), keys, "left").select("i._c", F.coalesce("i._own", "b._before").alias("_m"))
+    latest = questions.where(F.col(question_time).isNotNull()).groupBy(*by, question_time).agg(F.min_by(kept, tie_key).alias("_q"))
+    hashable = [f.name for f in calls.schema.fields if "map<" not in f.dataType.simpleString()]
+    hashed = F.xxhash64(*hashable) if hashable else F.lit(0).cast("long")
+    q = latest.select(*by, F.col(question_time).alias("_t"), F.lit(0).alias("_side"), F.lit(0).cast("long").alias("_n"), "_q", F.lit(None).cast(calls.select(F.struct("*").alias("c")).schema["c"].dataType).alias("_c"))
+    c = calls.select(*by, F.col(call_time).alias("_t"), F.lit(1).alias("_side"), hashed.alias("_n"), F.lit(None).cast(latest.schema["_q"].dataType).alias("_q"), F.struct("*").alias("_c"))
+    line = spans(q.unionByName(c), by, ["_t", "_side", "_n"])
+    order = Window.partitionBy(*by).orderBy(SPAN).rowsBetween(Window.unboundedPreceding, -1)
+    ends = line.groupBy(*by, SPAN).agg(F.max_by(F.when(F.col("_q").isNotNull(), F.col("_q")), F.when(F.col("_q").isNotNull(), F.col("_t"))).alias("_end"))
+    before = ends.select(*by, SPAN, F.last("_end", ignorenulls=True).over(order).alias("_before"))
+    inside = line.withColumn("_own", F.last("_q", ignorenulls=True).over(Window.partitionBy(*by, SPAN).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)))
+    out = inside.where("_side = 1").alias("i").join(before.alias("b"), same("i", "b", [*by, SPAN]), "left").select("i._c", F.when(F.col("i._t").isNotNull(), F.coalesce("i._own", "b._before")).alias("_m"))
     return out.select("_c.*", *(F.col(f"_m.{c}").alias(f"matched_{c}") for c in columns))
 
 
+_AUTOMATA: dict[str, tuple] = {}
+
+
+def _automaton(block: tuple[str, dict]):
+    """The automaton of a block of needles, built once in each worker process and kept for the tasks that follow."""
+    name, needles = block
+    if name not in _AUTOMATA:
+        import ahocorasick
+
+        made = ahocorasick.Automaton()
+        for n, i in needles.items():
+            made.add_word(n, (len(n), i))
+        made.make_automaton()
+        _AUTOMATA.clear()
+        _AUTOMATA[name] = made
+    return _AUTOMATA[name]
+
+
 def longest_match(texts: DataFrame, text: str, needles: DataFrame, needle: str, needle_id: str, key: str, least: int = 1) -> DataFrame:
     """(key, needle_id, length): for each text the longest needle it contains, the first by id of equal ones; texts without one are left out.
 
     The needles make one automaton, broadcast once their total size is known to be at most NEEDLE_BYTES; more come in several blocks of that
-    size, one scan of the texts for each.  Each text is read once for all needles.
+    size, of which the driver holds one at a time, with one scan of the texts for each.  Each text is read once for all needles of a block.
     """
     spark = texts.sparkSession
-    usable = needles.where(F.length(needle) >= least).select(F.col(needle_id).alias("i"), F.col(needle).alias("n"))
+    usable = needles.where(F.length(needle) >= least).select(F.col(needle_id).alias("i"), F.col(needle).cast("string").alias("n"))
     kind, id_kind = texts.schema[key].dataType.simpleString(), needles.schema[needle_id].dataType.simpleString()
     id_type = to_arrow_type(needles.schema[needle_id].dataType)
-    schema, out = f"key {kind}, needle_id {id_kind}, length int", None
-    blocks, block, size = [], {}, 0
-    for row in usable.groupBy("n").agg(F.min("i").alias("i")).toLocalIterator():
-        block[row["n"]] = row["i"]
-        size += len(row["n"].encode())
-        if size >= NEEDLE_BYTES:
-            blocks.append(block)
-            block, size = {}, 0
-    for part in [*blocks, block] if block else blocks:
-        shared = spark.sparkContext.broadcast(part)
+    schema = f"key {kind}, needle_id {id_kind}, length int"
+    source = spread(texts.where(F.col(text).isNotNull()).select(key, F.col(text).cast("string").alias("_text")))
 
-        def run(batches, shared=shared):
-            import ahocorasick
+    def scan(block: dict) -> DataFrame:
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
 
-            automaton = ahocorasick.Automaton()
-            for n, i in shared.value.items():
-                automaton.add_word(n, (len(n), i))
-            automaton.make_automaton()
+        def run(batches):
+            automaton = _automaton(shared.value)
             for batch in batches:
                 keys, ids, lengths = [], [], []
                 for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -161,11 +175,23 @@ def longest_match(texts: DataFrame, text: str, needles: DataFrame, needle: str,
                         lengths.append(-best[0])
                 yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(ids, id_type), pa.array(lengths, pa.int32())], names=["key", "needle_id", "length"])
 
-        found = texts.where(F.col(text).isNotNull()).select(key, F.col(text).cast("string")).mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
+        return source.mapInArrow(run, schema)
+
+    found, block, size = [], {}, 0
+    for row in usable.groupBy("n").agg(F.min("i").alias("i")).toLocalIterator():
+        if size >= NEEDLE_BYTES:
+            found.append(stage(scan(block), "matches"))
+            block, size = {}, 0
+        block[row["n"]] = row["i"]
+        size += len(row["n"].encode())
+    if block:
+        found.append(scan(block))
+    if not found:
         return spark.createDataFrame([], schema)
-    return out if len(blocks) + bool(block) == 1 else out.groupBy("key").agg(F.min(F.struct((-F.col("length")).alias("l"), "needle_id")).alias("m")).select("key", F.col("m.needle_id"), (-F.col("m.l")).alias("length"))
+    if len(found) == 1:
+        return found[0]
+    best = F.min(F.struct((-F.col("length")).alias("l"), "needle_id"))
+    return reduce(DataFrame.unionByName, found).groupBy("key").agg(best.alias("m")).select("key", F.col("m.needle_id"), (-F.col("m.l")).alias("length"))
 
 
 def cascade(calls: DataFrame, questions: DataFrame, key: str, text: str, question: str, question_id: str, call_time: str, question_time: str, least_normal: int = 6) -> DataFrame:
@@ -213,32 +239,42 @@ def jaccard_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, pr
     """(a, b, similarity), a < b: pairs of rows whose token sets have a Jaccard similarity of at least ``threshold``; with ``prior``, pairs (prior row, row).
 
     Exact, by prefix filtering: tokens are ordered from rare to common, and sets that are similar enough share a token among the first
-    n - ceil(threshold n) + 1 of each, so only rare tokens are joined on.  Rows with equal token sets are one class, and come out as pairs with
-    the least key of the class, not as all pairs within it.  Null texts and texts without tokens are left out.
+    n - ceil(threshold n) + 1 of each, so only rare tokens are joined on.  Only keys, sizes and places are joined, pairs are made one each,
+    and then the sets of those that are left are fetched.  Rows with equal token sets are one class, and come out as pairs with
+    the least key of the class, not as all pairs within it.  A token that is among the rarest of very many sets, as where one pattern fills a
+    third of the table, is joined in shares.  Null texts and texts without tokens are left out.
     """
 
     def base(side: DataFrame, name: str) -> DataFrame:
         rows = side.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.array_sort(token_set(F.col(text))).alias("t")).where(F.size("t") > 0)
         return rows.withColumn("h", F.sha2(F.array_join("t", " "), 256)).withColumn("side", F.lit(name))
 
-    rows = base(df, "new") if prior is None else base(df, "new").unionByName(base(prior, "old"))
-    every = rows.groupBy("h", "side").agg(F.min("k").alias("k"), F.min("t").alias("t"))
-    frequency = every.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("f"))
-    ordered = every.select("k", "side", F.explode("t").alias("w")).join(frequency, "w").groupBy("k", "side").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "w"))), lambda x: x["w"]).alias("t"))
-    n = F.size("t")
-    prefix = ordered.select("k", "side", "t", F.posexplode(F.slice("t", F.lit(1), (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))).alias("i", "w"))
-    sides = F.lit(True) if prior is None else (F.col("a.side") == "old") & (F.col("b.side") == "new")
-    order = F.col("a.k") < F.col("b.k") if prior is None else F.lit(True)
-    sizes = (F.size("a.t") >= F.size("b.t") * threshold - 1e-9) & (F.size("b.t") >= F.size("a.t") * threshold - 1e-9)
+    rows = stage(base(df, "new") if prior is None else base(df, "new").unionByName(base(prior, "old")), "token-sets")
+    every = stage(rows.groupBy("h", "side", "t").agg(F.min("k").alias("k")), "classes")
+    tokens = every.select("k", "side", F.size("t").alias("n"), F.explode("t").alias("w"))
+    frequency = tokens.groupBy("w").agg(F.count("*").alias("f"))
+    ordered = tokens.join(frequency, "w").groupBy("k", "side", "n").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("t"))
+    n = F.col("n")
+    head = F.slice("t", F.lit(1), (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))
+    prefix = stage(ordered.select("k", "side", "n", F.posexplode(head).alias("i", "x")).select("k", "side", "n", "i", F.col("x.w").alias("w")), "prefixes")
+    a, b = (prefix.select("w", *(F.col(c).alias(f"{c}_{s}") for c in ("k", "side", "n", "i"))) for s in "ab")
+    sides = F.lit(True) if prior is None else (F.col("side_a") == "old") & (F.col("side_b") == "new")
+    order = F.col("k_a") < F.col("k_b") if prior is None else F.lit(True)
+    sizes = (F.col("n_a") >= F.col("n_b") * threshold - 1e-9) & (F.col("n_b") >= F.col("n_a") * threshold - 1e-9)
     # the tokens before and after the shared one bound the overlap
-    most = F.least("a.i", "b.i") + F.least(F.size("a.t") - F.col("a.i"), F.size("b.t") - F.col("b.i"))
-    enough = most >= (F.size("a.t") + F.size("b.t")) * (threshold / (1 + threshold)) - 1e-9
-    candidates = prefix.alias("a").join(prefix.alias("b"), (F.col("a.w") == F.col("b.w")) & order & sides & sizes & enough).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.col("a.t").alias("ta"), F.col("b.t").alias("tb"))
+    most = F.least("i_a", "i_b") + F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
+    enough = most >= (F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9
+    hot = hot_keys(prefix.groupBy("w").agg(F.count("*").alias("c")), ["w"], "c")
+    candidates = spread_join(a, b, ["w"], hot, "k_a").where(order & sides & sizes & enough).select(F.col("k_a").alias("a"), F.col("k_b").alias("b")).distinct()
+    old = every.where(F.col("side") == ("new" if prior is None else "old")).select(F.col("k").alias("a"), F.col("t").alias("ta"))
+    new = every.where("side = 'new'").select(F.col("k").alias("b"), F.col("t").alias("tb"))
+    both = candidates.join(old, "a").join(new, "b")
     shared = F.size(F.array_intersect("ta", "tb"))
-    near = candidates.withColumn("similarity", shared / (F.size("ta") + F.size("tb") - shared)).where(F.col("similarity") >= threshold).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    near = both.select("a", "b", (shared / (F.size("ta") + F.size("tb") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
     if prior is not None:
         return near
-    equal = rows.select("h", F.col("k").alias("b")).join(every.select("h", F.col("k").alias("a")), "h").where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
+    repeated = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("k").alias("a")).where("c > 1")
+    equal = spread_join(rows.select("h", F.col("k").alias("b")), repeated.select("h", "a"), ["h"], hot_keys(repeated, ["h"], "c"), "b").where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
     return near.unionByName(equal)
 
 

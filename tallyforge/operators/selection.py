@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+import hashlib
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,30 +53,45 @@ def family_sample(df: DataFrame, family: str, domain: str, limit: int, seed: int
     return df.join(taken, F.col(family).eqNullSafe(F.col("_f")), "left_semi")
 
 
-def exact_subset(sizes: dict[str, tuple[int, frozenset, dict]], count: int, seed: int) -> list[str]:
-    """Families of exactly ``count`` rows together, with most domains, then the most even types, then the least hash; over a few dozen families on the driver.
+def exact_subset(families: Mapping[str, tuple[str, Mapping[str, int]]], count: int, seed: int, kinds: Sequence[str] = ("choice", "noul", "score")) -> list[str]:
+    """Families that have exactly ``count`` rows together: of most domains, then with the most even rows of ``kinds``, then those first in hash order.
 
-    ``sizes`` gives each family's rows, domains and rows of each type.
+    ``families`` gives each family's domain and its rows of each type.  Evenness is the sum of (len(kinds) n - count)^2.  Of equal choices the
+    one counts whose places in the order of SHA-256 of seed and name come first, compared place by place.  A dynamic programme over
+    domains and, in them, families: a state is the rows of each type so far, with the number of domains and whether the present one is
+    in use, and keeps its first choice, so the work grows with the number of states and not of subsets.  No choice stops.
     """
-    import hashlib
-
-    best = None
-    for r in range(1, len(sizes) + 1):
-        for chosen in combinations(sorted(sizes), r):
-            if sum(sizes[f][0] for f in chosen) != count:
-                continue
-            domains = frozenset().union(*(sizes[f][1] for f in chosen))
-            types: dict = {}
-            for f in chosen:
-                for t, n in sizes[f][2].items():
-                    types[t] = types.get(t, 0) + n
-            spread = max(types.values()) - min(types.values()) if types else 0
-            key = (-len(domains), spread, hashlib.sha256(f"{seed}:{':'.join(chosen)}".encode()).hexdigest())
-            if best is None or key < best[0]:
-                best = (key, list(chosen))
-    if best is None:
+    names = sorted(families, key=lambda f: hashlib.sha256(f"{seed}:{f}".encode()).hexdigest())
+    rows = [tuple(families[f][1].get(k, 0) for k in kinds) for f in names]
+    totals = [sum(families[f][1].values()) for f in names]
+    states: dict[tuple, tuple[int, ...]] = {(0, (0,) * len(kinds), 0): ()}
+    for domain in sorted({families[f][0] for f in names}):
+        inside = {(*state, False): chosen for state, chosen in states.items()}
+        for i in (i for i, f in enumerate(names) if families[f][0] == domain and totals[i] > 0):
+            for (total, by_kind, domains, used), chosen in list(inside.items()):
+                if total + totals[i] > count:
+                    continue
+                state = (total + totals[i], tuple(map(sum, zip(by_kind, rows[i]))), domains + (not used), True)
+                longer = tuple(sorted((*chosen, i)))
+                if state not in inside or longer < inside[state]:
+                    inside[state] = longer
+        states = {}
+        for (*state, _), chosen in inside.items():
+            if (key := tuple(state)) not in states or chosen < states[key]:
+                states[key] = chosen
+    full = [(-domains, sum((len(kinds) * n - count) ** 2 for n in by_kind), chosen) for (total, by_kind, domains), chosen in states.items() if total == count and chosen]
+    if not full:
         raise ValueError("no families have that many rows together")
-    return best[1]
+    return sorted(names[i] for i in min(full)[2])
+
+
+def exact_family_split(df: DataFrame, family: str, domain: str, kind: str, count: int, seed: int, kinds: Sequence[str] = ("choice", "noul", "score"), most: int = 200) -> DataFrame:
+    """Rows of the families that ``exact_subset`` chooses.  A family's domain is its least one; more than ``most`` families stop the run, as the choice is made on the driver."""
+    counted = df.where(F.col(family).isNotNull()).groupBy(family).agg(F.min(domain).alias("_d"), *(F.count_if(F.col(kind) == k).alias(k) for k in kinds), F.count("*").alias("_n")).limit(most + 1).collect()
+    if len(counted) > most:
+        raise ValueError(f"more than {most} families")
+    families = {r[family]: (r["_d"], {k: r[k] for k in kinds} | {"": r["_n"] - sum(r[k] for k in kinds)}) for r in counted}
+    return df.where(F.col(family).isin(exact_subset(families, count, seed, kinds)))
 
 
 def quotas(spark, domains: Sequence[str], kinds: Sequence[str], total: int) -> DataFrame:

@@ -25,6 +25,18 @@ def hot_keys(counts: DataFrame, on: Sequence[str], n: str, most: int = MOST, lea
     return counts.where(F.col(n) > F.lit(bound)).select(*on) if (largest or 0) > bound else None
 
 
+def heavy_keys(df: DataFrame, on: Sequence[str], rows: int, most: int = MOST) -> DataFrame | None:
+    """As ``hot_keys``, for keys that are nearly all different, so that counting them all would cost a shuffle of the table: keys that hold more than 1 / ``most`` of a
+    sample of about 1000 ``most`` rows.  The sample only decides which keys are joined in shares; no row is left out of anything."""
+    part = min(1.0, 1000 * most / max(1, rows))
+    if rows <= LEAST:
+        return None
+    counts = df.select(*on).sample(part, seed=1).groupBy(*on).agg(F.count("*").alias("_n"))
+    bound = part * max(rows / most, LEAST)
+    keys = counts.where(F.col("_n") > F.lit(bound)).select(*on).collect()
+    return df.sparkSession.createDataFrame(keys, df.select(*on).schema) if keys else None
+
+
 def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], hot: DataFrame | None, spread_by: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
     """``left`` joined with ``right`` on the columns ``on``, hot keys of ``left`` in ``salts`` shares by the hash of ``spread_by``.
 

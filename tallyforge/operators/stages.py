@@ -32,11 +32,11 @@ def _delete(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def stage(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` once to the shared folder and return a frame that reads it."""
+def stage(df: DataFrame, label: str = "stage", codec: str = "zstd") -> DataFrame:
+    """Write ``df`` once to the shared folder and return a frame that reads it.  Rows of hashes, which no codec shortens, are better written with ``lz4``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

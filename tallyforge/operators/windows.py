@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.ordered import numbered, running
+
 
 def call_roles(df: DataFrame, question: str, ts: str, tie: str) -> DataFrame:
     """The last call of a question is its ``summary``, the others are ``exec #k`` in order of time."""
@@ -16,15 +18,11 @@ def call_roles(df: DataFrame, question: str, ts: str, tie: str) -> DataFrame:
 
 
 def occurrences(df: DataFrame, question: str, stage: str, ts: str, tie: str, unmatched: str = "UNMATCHED") -> DataFrame:
-    """The number of each call among those of its question and stage; calls without a question are numbered together, by day so that no task holds them all."""
+    """The number of each call among those of its question and stage; calls without a question are numbered together, in spans so that no task holds them all."""
     known = Window.partitionBy(question, stage).orderBy(ts, tie)
     own = df.where(F.col(question).isNotNull()).withColumn("occurrence", F.row_number().over(known).cast("long"))
-    lost = df.where(F.col(question).isNull()).withColumn("_day", F.date_trunc("day", ts))
-    counts = lost.groupBy(stage, "_day").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(stage).orderBy("_day")) - F.col("_n")).drop("_n")
-    numbered = lost.withColumn("_i", F.row_number().over(Window.partitionBy(stage, "_day").orderBy(ts, tie))).alias("l").join(before.alias("b"), F.col(f"l.{stage}").eqNullSafe(F.col(f"b.{stage}")) & F.col("l._day").eqNullSafe(F.col("b._day")))
-    late = numbered.select(*(F.col(f"l.{c}") for c in df.columns), (F.col("l._i") + F.col("b._before")).cast("long").alias("occurrence"))
-    return own.unionByName(late).withColumn(question, F.coalesce(F.col(question).cast("string"), F.lit(unmatched)))
+    lost = numbered(df.where(F.col(question).isNull()), [stage], [ts, tie], "occurrence")
+    return own.unionByName(lost).withColumn(question, F.coalesce(F.col(question).cast("string"), F.lit(unmatched)))
 
 
 def inter_arrival(df: DataFrame, request: str, arrival: str, tie: str) -> DataFrame:
@@ -39,9 +37,9 @@ def output_intervals(df: DataFrame, request: str, arrival: str) -> DataFrame:
 
 
 def alternation(df: DataFrame, kind: str, order: str, methods: Sequence[str] = ("c2d", "d2c")) -> DataFrame:
-    """Methods in turn within each kind."""
-    turn = (F.row_number().over(Window.partitionBy(kind).orderBy(order)) - 1) % len(methods)
-    return df.withColumn("method", F.get(F.array(*map(F.lit, methods)), turn.cast("int")))
+    """Methods in turn within each kind, however many rows a kind has."""
+    turn = (F.col("_place") - 1) % len(methods)
+    return numbered(df, [kind], [order], "_place").withColumn("method", F.get(F.array(*map(F.lit, methods)), turn.cast("int"))).drop("_place")
 
 
 def round_robin(df: DataFrame, bucket: str, order: Column, limit: int, key: str) -> DataFrame:
@@ -73,6 +71,17 @@ def rolling_budget(df: DataFrame, ts: str, amount: str, seconds: int = 60, by: S
 
 def acceptance_trend(df: DataFrame, bucket: str, ordinal: str, accepted: Column, explore: int = 5) -> DataFrame:
     """Smoothed acceptance (s + 1) / (t + 4) of the attempts before each one in its bucket; every ``explore``-th explores."""
-    before = Window.partitionBy(bucket).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, -1)
-    s, t = F.coalesce(F.sum(accepted.cast("int")).over(before), F.lit(0)), F.count("*").over(before)
-    return df.withColumn("acceptance", (s + 1) / (t + 4)).withColumn("explores", F.col(ordinal) % explore == explore - 1)
+    ran = running(df, [bucket], [ordinal], {"_s": F.coalesce(accepted.cast("long"), F.lit(0)), "_t": F.lit(1).cast("long")}, inclusive=False)
+    return ran.withColumn("acceptance", (F.col("_s") + 1) / (F.col("_t") + 4)).withColumn("explores", F.col(ordinal) % explore == explore - 1).drop("_s", "_t")
+
+
+def choose_by_acceptance(attempts: DataFrame, ordinal: str, bucket: str, accepted: Column, limits: DataFrame) -> DataFrame:
+    """(bucket, attempts, accepts, acceptance, turn): which bucket to try next, given what was tried, the best acceptance first and of equal ones the one with the most open.
+
+    ``limits(bucket, quota)``; a bucket whose accepts fill its quota is left out.  This is one turn of a selection loop: its choice depends on all
+    attempts before it, so a loop calls it once for each round of attempts and not once for each attempt.
+    """
+    sums = attempts.groupBy(bucket).agg(F.count(ordinal).alias("attempts"), F.count_if(F.coalesce(accepted, F.lit(False))).alias("accepts"))
+    open_ = limits.join(sums, bucket, "left").fillna(0, ["attempts", "accepts"]).where(F.col("accepts") < F.col("quota"))
+    scored = open_.withColumn("acceptance", (F.col("accepts") + 1) / (F.col("attempts") + 4))
+    return scored.withColumn("turn", F.row_number().over(Window.orderBy(F.desc("acceptance"), F.desc(F.col("quota") - F.col("accepts")), bucket)))

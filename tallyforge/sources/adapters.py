@@ -7,9 +7,12 @@ An adapter is a projection of raw rows to (id, family, domain, type, state, crit
 from __future__ import annotations
 
 import io
+import re
 import tarfile
+import zipfile
 from collections.abc import Callable
 from dataclasses import dataclass
+from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +20,7 @@ from pyspark.sql import types as T
 
 from tallyforge.functions.parse import csv_cell, modal, short_hash, vote_share
 from tallyforge.functions.stats import half_up_level
+from tallyforge.operators.ordered import numbered
 
 COLUMNS = ("id", "family", "domain", "type", "state", "criteria", "target", "distribution", "status", "reason")
 
@@ -227,6 +231,41 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", False).csv(path)
 
 
+_CELL = re.compile(r"([A-Z]+)([0-9]+)")
+
+
+def read_sheet_column(spark: SparkSession, path: str, column: str = "C", first: int = 2, last: int = 61, sheet: int = 1) -> DataFrame:
+    """(path, row, value): the cells of one column of a workbook's sheet, from row ``first`` to ``last``, as texts; empty cells give no row.
+
+    A workbook is a ZIP archive of XML parts: shared texts, and one part for each sheet.  Each file is read in one task, as it is one archive.
+    """
+    space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+    def cells(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"]):
+                rows = []
+                with zipfile.ZipFile(io.BytesIO(content)) as book:
+                    shared = []
+                    if "xl/sharedStrings.xml" in book.namelist():
+                        shared = ["".join(t.text or "" for t in item.iter(space + "t")) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(space + "si")]
+                    for _, cell in ElementTree.iterparse(io.BytesIO(book.read(f"xl/worksheets/sheet{sheet}.xml"))):
+                        if cell.tag != space + "c":
+                            continue
+                        at = _CELL.fullmatch(cell.get("r", ""))
+                        if at and at[1] == column and first <= int(at[2]) <= last:
+                            value = cell.find(space + "v")
+                            inline = "".join(t.text or "" for t in cell.iter(space + "t"))
+                            text = inline if cell.get("t") == "inlineStr" else None if value is None else shared[int(value.text)] if cell.get("t") == "s" else value.text
+                            if text not in (None, ""):
+                                rows.append((name, int(at[2]), text))
+                yield pd.DataFrame(rows, columns=["path", "row", "value"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(cells, "path string, row int, value string")
+
+
 def read_shards(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths)
 
@@ -250,14 +289,8 @@ def read_tar_member(spark: SparkSession, path: str, suffix: str, schema: T.Struc
 
 
 def with_row_index(df: DataFrame, order: str) -> DataFrame:
-    """``df`` with row_index, its place from 0 by an ordering column, from prefix sums over runs of that column's values."""
-    from tallyforge.operators.stages import stage
-
-    from pyspark.sql import Window
-
-    placed = stage(df.repartitionByRange(order).withColumn("_p", F.spark_partition_id()), "indexed")
-    before = placed.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")
-    return placed.join(before, "_p").withColumn("row_index", (F.row_number().over(Window.partitionBy("_p").orderBy(order)) + F.col("_before") - 1).cast("long")).drop("_p", "_before")
+    """``df`` with row_index, its place from 0 by an ordering column, from prefix sums over spans of the order."""
+    return numbered(df, [], [order], "row_index").withColumn("row_index", F.col("row_index") - 1)
 
 
 def cached_responses(requests: DataFrame, cache: DataFrame, rejected: DataFrame, key: str = "request_sha256") -> tuple[DataFrame, DataFrame]:

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import json
-import os
-from pathlib import Path
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,17 +59,62 @@ def split_header(df: DataFrame, marker: str = "__type__", value: str = "meta") -
     return (head[0].asDict(recursive=True) if head else None), df.where(~F.col(marker).eqNullSafe(value))
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) in Hadoop's terms, so that shared and local folders are handled alike."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file that is complete or not there at all: written beside its place and renamed onto it, over what is there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.partial")
+    fs, target = _hadoop(spark, path)
+    out = fs.create(beside, True)
+    try:
+        out.write(data)
+    finally:
+        out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    qualified = fs.makeQualified(target)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), conf).rename(fs.makeQualified(beside), qualified, options)
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file; None where there is none."""
+    fs, at = _hadoop(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _ends_torn(spark: SparkSession, path: str) -> bool:
+    """Whether a file's last byte is no line feed."""
+    fs, at = _hadoop(spark, path)
+    size = fs.getFileStatus(at).getLen()
+    if not size:
+        return False
+    stream = fs.open(at)
+    try:
+        stream.seek(size - 1)
+        return stream.read() != 10
+    finally:
+        stream.close()
+
+
 def read_progress(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Rows of an append-only log; only an unterminated last line may fail to parse, and is left out."""
     rows, rejects = read_with_rejects(spark, path, schema)
     bad = rejects.orderBy("line").limit(2).collect()
     if bad:
         last = numbered_lines(spark, path).agg(F.max("line")).first()[0]
-        size = os.path.getsize(path.removeprefix("file://"))
-        with open(path.removeprefix("file://"), "rb") as f:
-            f.seek(max(0, size - 1))
-            torn = f.read(1) != b"\n"
-        if len(bad) > 1 or bad[0]["line"] != last or not torn:
+        if len(bad) > 1 or bad[0]["line"] != last or not _ends_torn(spark, path):
             raise InvalidRows(f"{path}:{bad[0]['line']}: {bad[0]['reason']}")
     return rows
 
@@ -102,12 +146,9 @@ def append_rows(df: DataFrame, path: str) -> None:
     df.select(json_line("*").alias("value")).write.mode("append").option("lineSep", "\n").text(path)
 
 
-def atomic_json(path: str | Path, value) -> None:
-    """A small document, complete or not there at all."""
-    target = Path(path)
-    temporary = target.with_name(target.name + ".partial")
-    temporary.write_text(json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True) + "\n", encoding="utf-8")
-    os.replace(temporary, target)
+def atomic_json(spark: SparkSession, path: str, value) -> None:
+    """A small document, complete or not there at all, in any folder that Hadoop's file systems reach."""
+    put_bytes(spark, path, (json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True) + "\n").encode())
 
 
 def table_fingerprint(df: DataFrame) -> str:
@@ -120,8 +161,8 @@ def table_fingerprint(df: DataFrame) -> str:
 def write_once(df: DataFrame, path: str) -> bool:
     """Write unless the path already holds the same rows (then False); other rows there stop."""
     spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    fs, at = _hadoop(spark, path)
+    if fs.exists(at):
         if table_fingerprint(spark.read.schema(df.schema).parquet(path)) != table_fingerprint(df):
             raise InvalidRows(f"{path} holds other rows")
         return False
@@ -129,11 +170,26 @@ def write_once(df: DataFrame, path: str) -> bool:
     return True
 
 
-def manifest(df: DataFrame, key: str = "id", facets: tuple[str, ...] = ("type", "label", "domain"), **facts) -> dict:
-    """Counts, histograms, a digest and the id list of a selected subset, whose size the selection bounds."""
-    counts = {f: {str(r[0]): r[1] for r in df.groupBy(f).count().collect()} for f in facets if f in df.columns}
-    ids = [r[0] for r in df.select(key).orderBy(key).collect()]
-    return {"count": len(ids), "dataset_digest": table_fingerprint(df), **counts, **facts, "ids": ids}
+def manifest(df: DataFrame, key: str = "id", facets: tuple[str, ...] = ("type", "label", "domain"), most: int = 100_000, ids_path: str | None = None, **facts) -> dict:
+    """Counts, histograms, a digest and the id list of a selected subset.
+
+    Ids come into the manifest for at most ``most`` rows.  A larger subset stops, or with ``ids_path`` has them written there in order, and
+    the manifest names that table.  A facet of more than ``most`` values stops.
+    """
+    count = df.count()
+    counts = {}
+    for f in (f for f in facets if f in df.columns):
+        values = df.groupBy(f).count().limit(most + 1).collect()
+        if len(values) > most:
+            raise InvalidRows(f"{f} has more than {most} values")
+        counts[f] = {str(r[0]): r[1] for r in values}
+    made = {"count": count, "dataset_digest": table_fingerprint(df), **counts, **facts}
+    if count <= most:
+        return made | {"ids": [r[0] for r in df.select(key).orderBy(key).collect()]}
+    if ids_path is None:
+        raise InvalidRows(f"{count} ids are more than {most}; name an ids_path for them")
+    df.select(key).orderBy(key).write.parquet(ids_path)
+    return made | {"ids_table": ids_path}
 
 
 def manifest_text(value: dict) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,48 +12,61 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tallyforge.functions.parse import delta_text, fold_events
 from tallyforge.functions.parse import events as parsed_events
+from tallyforge.sources.jsonl import get_text, put_bytes
 
 FOLDED = "request_id string, text string, chunks int, ttft_ms double, last_ms double, complete boolean"
 
 
 def fold_stream(events: DataFrame, timeout: str = "10 minutes") -> DataFrame:
-    """(request_id, text, chunks, ttft_ms, last_ms, complete): each request's stream of (request_id, seq, arrival_ms, ts, data).
+    """(request_id, text, chunks, ttft_ms, last_ms, complete): each request's stream of (request_id, seq, arrival_ms, ts, data), where seq counts from 0.
 
-    A request comes out when ``[DONE]`` arrives, or, incomplete but with what had arrived, when nothing came for ``timeout`` of event time.
-    Late events of a finished request are dropped.  State is one row for each open request.
+    Events are taken in order of ``seq``, in whatever order and trigger they arrive: one that comes early waits for those before it.  A request
+    comes out when everything up to ``[DONE]`` is there, or, incomplete but with all that had arrived, when nothing came for ``timeout`` of
+    event time.  Late events of a finished request and repeated ones are dropped.  State is one row for each open request.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state):
-        text, chunks, first, last, done = state.get if state.exists else ("", 0, -1.0, -1.0, False)
+        text, chunks, first, last, done, at, waiting = state.get if state.exists else ("", 0, -1.0, -1.0, False, 0, "{}")
+        early: dict[int, list] = {int(k): v for k, v in json.loads(waiting).items()}
+
+        def take(piece, arrival):
+            nonlocal text, chunks, first, last
+            if piece:
+                text, chunks = text + piece, chunks + 1
+                first = arrival if first < 0 else first
+                last = arrival
+
+        def row(complete):
+            return pd.DataFrame({"request_id": [key[0]], "text": [text], "chunks": [chunks], "ttft_ms": [first if first >= 0 else None], "last_ms": [last if last >= 0 else None], "complete": [complete]})
+
         if state.hasTimedOut:
             state.remove()
             if not done:
-                yield pd.DataFrame({"request_id": [key[0]], "text": [text], "chunks": [chunks], "ttft_ms": [first if first >= 0 else None], "last_ms": [last if last >= 0 else None], "complete": [False]})
+                for _, (piece, arrival, closing) in sorted(early.items()):
+                    if not closing:
+                        take(piece, arrival)
+                yield row(False)
             return
-        latest = 0
-        was_done = done
+        latest, was_done = 0, done
         for batch in batches:
-            batch = batch.sort_values("seq")
             latest = max(latest, int(batch["ts"].max().timestamp() * 1000))
-            for piece, arrival, closing in zip(batch["piece"], batch["arrival_ms"], batch["closing"]):
-                if done:
-                    continue
-                if closing:
-                    done = True
-                    continue
-                if piece:
-                    text, chunks = text + piece, chunks + 1
-                    first = arrival if first < 0 else first
-                    last = arrival
-        state.update((text, chunks, float(first), float(last), done))
+            for seq, piece, arrival, closing in zip(batch["seq"], batch["piece"], batch["arrival_ms"], batch["closing"]):
+                if not done and seq >= at:
+                    early.setdefault(int(seq), [piece if isinstance(piece, str) else None, float(arrival), bool(closing)])
+        while not done and at in early:
+            piece, arrival, closing = early.pop(at)
+            at += 1
+            done = closing
+            take(None if closing else piece, arrival)
+        state.update((text, chunks, float(first), float(last), done, at, json.dumps({} if done else early)))
         state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + int(pd.Timedelta(timeout).total_seconds() * 1000))
         if done and not was_done:
-            yield pd.DataFrame({"request_id": [key[0]], "text": [text], "chunks": [chunks], "ttft_ms": [first if first >= 0 else None], "last_ms": [last if last >= 0 else None], "complete": [True]})
+            yield row(True)
 
     event = F.get(parsed_events(F.concat(F.lit("data: "), F.col("data"))), 0)
     choice = F.get(event["choices"], 0)
-    prepared = events.withWatermark("ts", timeout).select("request_id", "seq", "ts", F.col("arrival_ms").cast("double").alias("arrival_ms"), (F.col("data") == "[DONE]").alias("closing"), F.when(F.col("data") != "[DONE]", delta_text(choice["delta"])).alias("piece"))
-    return prepared.groupBy("request_id").applyInPandasWithState(fold, FOLDED, "text string, chunks int, first double, last double, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    prepared = events.withWatermark("ts", timeout).select("request_id", F.col("seq").cast("long").alias("seq"), "ts", F.col("arrival_ms").cast("double").alias("arrival_ms"), (F.col("data") == "[DONE]").alias("closing"), F.when(F.col("data") != "[DONE]", delta_text(choice["delta"])).alias("piece"))
+    return prepared.groupBy("request_id").applyInPandasWithState(fold, FOLDED, "text string, chunks int, first double, last double, done boolean, at long, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def fold_batch(events: DataFrame) -> DataFrame:
@@ -60,32 +74,55 @@ def fold_batch(events: DataFrame) -> DataFrame:
     return events.select("request_id", fold_events(parsed_events(F.col("body")))["content"].alias("content"))
 
 
-def upsert(target: str, key: str, order: str):
+BUCKETS = 64
+
+
+def _pointer(spark: SparkSession, target: str) -> dict:
+    """What is current: the version of each bucket, the last batch, and folders that nothing names any more."""
+    text = get_text(spark, f"{target}/_current.json")
+    return json.loads(text) if text else {"epoch": -1, "buckets": {}, "stale": []}
+
+
+def upsert(target: str, key: str, order: str, buckets: int = BUCKETS):
     """A ``foreachBatch`` function that keeps the last row of each key in a Parquet table, also if a batch is given twice.
 
-    Each batch writes a new version of the table beside the old one and then names it current.
+    Keys lie in ``buckets`` by their hash.  A batch reads and writes the buckets its keys fall into, and no others, then a pointer file that
+    names each bucket's current version is renamed into place, so readers see the whole batch or nothing of it.  Versions replaced by
+    the batch before are deleted.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        pointer = f"{target}/_current"
+        current = _pointer(spark, target)
+        if current["epoch"] >= epoch:
+            return
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        batch = batch.persist()
+        try:
+            touched = sorted(r[0] for r in batch.select(bucket.alias("b")).distinct().collect())
+            known = [current["buckets"][str(b)] for b in touched if str(b) in current["buckets"]]
+            rows = batch.select("*")
+            if known:
+                rows = spark.read.schema(batch.schema).parquet(*(f"{target}/{v}" for v in known)).unionByName(batch)
+            latest = rows.groupBy(key).agg(F.max_by(F.struct("*"), order).alias("_r")).select("_r.*")
+            if touched:
+                latest.withColumn("_bucket", bucket).write.mode("overwrite").partitionBy("_bucket").parquet(f"{target}/v{epoch}")
+        finally:
+            batch.unpersist()
+        made = {str(b): f"v{epoch}/_bucket={b}" for b in touched}
+        put_bytes(spark, f"{target}/_current.json", json.dumps({"epoch": epoch, "buckets": current["buckets"] | made, "stale": known}).encode())
         fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         fs = fs_path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        rows = batch
-        if fs.exists(fs_path(pointer)):
-            version = spark.read.text(pointer).first()[0]
-            if int(version.rsplit("v", 1)[1]) >= epoch + 1:
-                return
-            rows = spark.read.parquet(f"{target}/{version}").unionByName(batch)
-        latest = rows.groupBy(key).agg(F.max_by(F.struct("*"), order).alias("_r")).select("_r.*")
-        latest.write.mode("overwrite").parquet(f"{target}/v{epoch + 1}")
-        spark.createDataFrame([(f"v{epoch + 1}",)], "value string").coalesce(1).write.mode("overwrite").text(pointer)
+        for old in current["stale"]:
+            fs.delete(fs_path(f"{target}/{old}"), True)
 
     return write
 
 
-def current_table(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.parquet(f"{target}/{spark.read.text(f'{target}/_current').first()[0]}")
+def current_table(spark: SparkSession, target: str, schema) -> DataFrame:
+    """The table as its last whole batch left it; no rows before the first."""
+    paths = [f"{target}/{v}" for v in _pointer(spark, target)["buckets"].values()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def rolling_requests(calls: DataFrame, ts: str = "ts", tokens: str = "tokens", width: str = "60 seconds", step: str = "1 second", late: str = "2 minutes") -> DataFrame:

@@ -147,10 +147,17 @@ def test_files(spark, tmp_path):
         jsonl.write_once(df.withColumn("v", F.lit(1)), table)
     meta, rest = jsonl.split_header(spark.createDataFrame([("meta", 1), (None, 2), (None, 3)], "__type__ string, k int"))
     assert meta["k"] == 1 and rest.count() == 2
-    jsonl.atomic_json(tmp_path / "m.json", jsonl.manifest(spark.createDataFrame([("a", "x"), ("b", "x")], "id string, domain string"), seed=1))
+    jsonl.atomic_json(spark, str(tmp_path / "m.json"), jsonl.manifest(spark.createDataFrame([("a", "x"), ("b", "x")], "id string, domain string"), seed=1))
     m = json.loads((tmp_path / "m.json").read_text())
     assert m["count"] == 2 and m["domain"] == {"x": 2} and json.loads(jsonl.manifest_text(m)) == m
     assert "| a | 1 |" in jsonl.report(spark.createDataFrame([("a", 1)], "k string, n int"), "T", ["k"])
+    jsonl.atomic_json(spark, str(tmp_path / "m.json"), {"count": 3})
+    assert json.loads((tmp_path / "m.json").read_text()) == {"count": 3} and not list(tmp_path.glob("*.partial"))
+    ids = spark.range(20).select(F.col("id").cast("string").alias("id"))
+    with pytest.raises(InvalidRows, match="ids_path"):
+        jsonl.manifest(ids, most=5)
+    large = jsonl.manifest(ids, most=5, ids_path=str(tmp_path / "ids"))
+    assert "ids" not in large and spark.read.parquet(large["ids_table"]).count() == 20 == large["count"]
     with tarfile.open(tmp_path / "x.tar.gz", "w:gz") as tar:
         data = b'{"id": "1", "v": 1}\n\n{"id": "2", "v": 2}\n'
         info = tarfile.TarInfo("top/data/de-DE.jsonl")

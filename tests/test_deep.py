@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.text import _load_deep, dump_json, load_json, parse_container
 from tallyforge.operators.nested import nodes, rejects
-from tallyforge.operators.skew import MOST, hot_keys, spread_join
+from tallyforge.operators import skew
+from tallyforge.operators.skew import MOST, heavy_keys, hot_keys, spread_join
 
 DEEP = 200_000
 
@@ -50,6 +51,9 @@ def test_hot_key_is_spread_and_rows_stay(spark):
     assert hot_keys(counts, ["k"], "n") is None
     hot = hot_keys(counts, ["k"], "n", least=100)
     assert [r[0] for r in hot.collect()] == ["hot"] and MOST > 1
+    skew.LEAST, kept = 100, skew.LEAST
+    assert [r[0] for r in heavy_keys(rows.where("k is not null"), ["k"], 20_000).collect()] == ["hot"]
+    skew.LEAST = kept
     right = counts.select("k", F.col("n").alias("right"))
     joined = spread_join(rows, right, ["k"], hot, "id")
     assert joined.count() == rows.where("k is not null").count() and joined.select("id").distinct().count() == joined.count()

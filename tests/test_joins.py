@@ -139,8 +139,60 @@ def test_label_blind_selection(spark):
     assert selection.family_sample(df, "family", "domain", 0, 4).count() == 0
 
 
-def test_exact_subset():
-    sizes = {"a": (2, frozenset("x"), {"c": 2}), "b": (2, frozenset("y"), {"n": 2}), "c": (3, frozenset("x"), {"c": 3}), "d": (1, frozenset("x"), {"n": 1})}
-    assert selection.exact_subset(sizes, 4, 1) == ["a", "b"]
+def brute_subset(families, count, seed):
+    import hashlib
+    from itertools import combinations
+
+    names = sorted(families, key=lambda f: hashlib.sha256(f"{seed}:{f}".encode()).hexdigest())
+    best = None
+    for r in range(1, len(names) + 1):
+        for chosen in combinations(range(len(names)), r):
+            of = [families[names[i]] for i in chosen]
+            if sum(sum(k.values()) for _, k in of) == count:
+                totals = [sum(k.get(t, 0) for _, k in of) for t in ("choice", "noul", "score")]
+                key = (-len({d for d, _ in of}), sum((3 * n - count) ** 2 for n in totals), chosen)
+                best = min(best or key, key)
+    return None if best is None else sorted(names[i] for i in best[2])
+
+
+def test_exact_subset_equals_all_subsets(spark):
+    for seed in range(25):
+        rng = random.Random(seed)
+        families = {f"f{i}": (rng.choice("uvwx"), {"choice": rng.randrange(4), "noul": rng.randrange(4), "score": rng.randrange(1, 4)}) for i in range(rng.randrange(1, 11))}
+        for count in (1, 5, 12, 20):
+            expected = brute_subset(families, count, seed)
+            if expected is None:
+                with pytest.raises(ValueError):
+                    selection.exact_subset(families, count, seed)
+            else:
+                assert selection.exact_subset(families, count, seed) == expected
+    many = {f"f{i:02}": (f"d{i % 9}", {"choice": i % 3, "noul": 1 + i % 2, "score": i % 4}) for i in range(48)}
+    chosen = selection.exact_subset(many, 60, 1)
+    assert sum(sum(many[f][1].values()) for f in chosen) == 60 and len({many[f][0] for f in chosen}) == 9
+    df = spark.createDataFrame([("a", "x", "choice"), ("a", "x", "noul"), ("b", "y", "score"), ("c", "y", "other"), (None, "y", "noul")], "f string, d string, k string")
+    assert {r["f"] for r in selection.exact_family_split(df, "f", "d", "k", 3, 1).collect()} in ({"a", "b"}, {"a", "c"})
     with pytest.raises(ValueError):
-        selection.exact_subset(sizes, 50, 1)
+        selection.exact_family_split(df, "f", "d", "k", 3, 1, most=2)
+
+
+def test_one_hot_group_meets_in_no_task(spark):
+    from tallyforge.operators import ordered
+
+    df = spark.range(8000).select(F.when(F.col("id") < 6000, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), "id", (F.col("id") % 3 == 0).alias("y"))
+    got = ordered.numbered(df, ["k"], ["id"], "n")
+    expected = df.toPandas().groupby("k").cumcount() + 1
+    assert dict(zip(df.toPandas()["id"], expected)) == {r["id"]: r["n"] for r in got.collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    shares = [r["count"] for r in ordered.spans(df, ["k"], ["id"]).groupBy(ordered.SPAN).count().collect()]
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert max(shares) < 0.3 * sum(shares)
+    sums = ordered.running(df, ["k"], ["id"], {"s": F.col("y").cast("int")}, inclusive=False).where("k = 'hot'").orderBy("id").collect()
+    assert [r["s"] for r in sums] == [(i + 2) // 3 for i in range(6000)]
+
+
+def test_asof_without_times_and_with_maps(spark):
+    calls = spark.createDataFrame([(1, None, {"a": 1}), (2, 5, {}), (3, 0, None)], "id int, t int, m map<string,int>")
+    questions = spark.createDataFrame([(9, 1), (8, None), (7, 4), (6, 4)], "q int, at int")
+    assert {r["id"]: r["matched_q"] for r in joins.asof(calls, questions, "t", "at", ["q"], tie="q").collect()} == {1: None, 2: 6, 3: None}

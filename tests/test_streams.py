@@ -29,7 +29,36 @@ def test_upsert_is_idempotent(spark, tmp_path):
     two = spark.createDataFrame([(2, 2), (3, 1)], "id int, v int")
     for batch, epoch in ((one, 0), (two, 1), (two, 1), (one, 0)):
         write(batch, epoch)
-    assert sorted(map(tuple, calls.current_table(spark, target).collect())) == [(1, 1), (2, 2), (3, 1)]
+    assert sorted(map(tuple, calls.current_table(spark, target, one.schema).collect())) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_upsert_writes_only_the_buckets_of_a_batch(spark, tmp_path):
+    target = str(tmp_path / "t")
+    write = calls.upsert(target, "id", "v", 16)
+    many = spark.range(1000).select(F.col("id").cast("int").alias("id"), F.lit(1).alias("v"))
+    assert calls.current_table(spark, target, many.schema).count() == 0
+    write(many, 0)
+    for epoch in range(1, 4):
+        write(spark.createDataFrame([(7, epoch + 1)], many.schema), epoch)
+        written = [p for p in (tmp_path / "t" / f"v{epoch}").glob("_bucket=*")]
+        assert len(written) == 1
+    got = {r["id"]: r["v"] for r in calls.current_table(spark, target, many.schema).collect()}
+    assert len(got) == 1000 and got[7] == 4 and set(got.values()) == {1, 4}
+    assert len(list((tmp_path / "t" / "v0").glob("_bucket=*"))) == 15
+    write(many.limit(0), 9)
+    assert calls.current_table(spark, target, many.schema).count() == 1000
+
+
+def test_events_are_folded_in_their_order_whenever_they_come(spark, tmp_path):
+    schema = "request_id string, seq int, arrival_ms double, t int, data string"
+    folder = str(tmp_path / "in")
+    batches = [[("a", 2, 7.0, 1002, event("c")), ("a", 0, 5.0, 1000, event("a")), ("b", 1, 2.0, 1000, "[DONE]")], [("a", 3, 8.0, 1003, "[DONE]"), ("a", 2, 9.0, 1004, event("no"))], [("a", 1, 6.0, 1001, event("b")), ("c", 1, 4.0, 1001, event("late"))], [("z", 0, 1.0, 100_000, event("w"))], [("z", 1, 1.0, 200_000, "[DONE]")]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder).withColumn("ts", F.timestamp_seconds("t"))
+    got = {r["request_id"]: r for r in calls.run_available(calls.fold_stream(stream), "ordered", checkpoint=str(tmp_path / "cp")).collect()}
+    assert (got["a"]["text"], got["a"]["chunks"], got["a"]["ttft_ms"], got["a"]["last_ms"], got["a"]["complete"]) == ("abc", 3, 5.0, 7.0, True)
+    assert not got["b"]["complete"] and got["b"]["chunks"] == 0 and got["c"]["text"] == "late" and not got["c"]["complete"] and got["z"]["complete"]
 
 
 def test_coalescing_and_windows(spark, tmp_path):
