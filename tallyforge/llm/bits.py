@@ -1,81 +1,128 @@
-"""A fixed-size bit array of 64-bit hashes, built on the executors.
-
-Two bits are set for each hash.  The array has 2^27 bits, 16 MB, whatever the
-data; each task folds its hashes into its own array, slices of equal number are
-or-ed together, at most FAN of them at once, in as many rounds as that takes, and
-only the finished array, a constant 16 MB, reaches the driver to be broadcast.  It answers "certainly absent" or "maybe present", so a
-probe side may drop what is certainly absent before a shuffle.  When the data
-outgrow it, it drops less; nothing is ever lost.
+"""A bit array of 64-bit hashes, built on the executors.
+
+Two bits are set for each hash.  The array is sized to the number of hashes, at
+least RATIO bits for each, and has at most 2^27 bits, 16 MB; where the hashes
+would need more, none is built, as it would let nearly everything pass.  Each
+task folds its hashes and sends of each slice what is shorter, the slice or the
+numbers of its bits, so that all tasks together send a bounded number of bytes
+however many they are.  Only the finished array reaches the driver, to be
+broadcast.  It answers "certainly absent" or "maybe present", so a probe side may
+drop what is certainly absent before a shuffle; nothing is ever lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
 
-BITS = 1 << 27
-_SHIFT = 65 - BITS.bit_length()
+MOST = 1 << 27
+RATIO = 2
+AIM = 48
 SLICES = 64
-FAN = 64
-_SLICE_BYTES = BITS // 8 // SLICES
 
 
-def bit_positions(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bits_for(n: int) -> int | None:
+    """Bits of the array for ``n`` hashes, a power of two; None where even the largest is too small."""
+    if n * RATIO > MOST:
+        return None
+    return min(MOST, 1 << max(16, (n * AIM).bit_length()))
+
+
+def bit_positions(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Two bit numbers of each uint64 hash, from its two halves."""
+    shift = np.uint64(65 - bits.bit_length())
     h = hashes.astype(np.uint64, copy=False)
     mixed = h * np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(_SHIFT)) & np.uint64(BITS - 1), (mixed >> np.uint64(_SHIFT)) & np.uint64(BITS - 1)
+    return h >> shift, mixed >> shift
+
+
+def packed(at: list[np.ndarray], bits: int) -> np.ndarray:
+    """A bit array in which the bits of these numbers are set."""
+    flags = np.zeros(bits, bool)
+    for numbers in at:
+        flags[numbers] = True
+    return np.packbits(flags, bitorder="little")
+
+
+def shortened(numbers: np.ndarray) -> bytes:
+    """Numbers in order, as compressed steps from one to the next."""
+    steps = np.diff(numbers, prepend=np.uint32(0)).astype(np.uint32)
+    return len(numbers).to_bytes(4, "little") + pa.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
 
 
-def set_bits(array: np.ndarray, hashes: np.ndarray) -> None:
-    for at in bit_positions(hashes):
-        np.bitwise_or.at(array, (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
+def lengthened(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(pa.decompress(data[4:], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.cumsum(planes.T.copy().view(np.uint32).ravel(), dtype=np.uint64).astype(np.uint32)
 
 
 def maybe_present(array: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """A mask over the hashes: False where a hash was certainly never set."""
-    one, two = bit_positions(hashes)
+    one, two = bit_positions(hashes, len(array) * 8)
     read = lambda at: (array[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
     mask = read(one).astype(bool)
     mask[mask] = read(two[mask]).astype(bool)
     return mask
 
 
-def build(source: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterable[np.ndarray]]) -> Broadcast:
-    """The bit array of all hashes that ``hashes_of`` yields for the batches of ``source``, as a broadcast of uint8[BITS / 8]."""
+def build(hashes: DataFrame) -> Broadcast | None:
+    """The bit array of the whole numbers in the only column of a written table, as a broadcast of uint8; None where they are too many."""
+    bits = bits_for(hashes.count())
+    if bits is None:
+        return None
+    width = bits // SLICES
 
     def fold(batches):
-        array, any_set = np.zeros(BITS // 8, np.uint8), False
+        held: list[np.ndarray] = []
+        array, size = None, 0
         for batch in batches:
-            for hashes in hashes_of(batch):
-                if len(hashes):
-                    set_bits(array, hashes)
-                    any_set = True
-        if any_set:
-            for i in range(SLICES):
-                part = array[i * _SLICE_BYTES : (i + 1) * _SLICE_BYTES]
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["slice", "bits"])
-
-    schema = "slice int, part int, bits binary"
-
-    def either(table: pa.Table) -> pa.Table:
-        array = np.zeros(_SLICE_BYTES, np.uint8)
-        for bits in table.column("bits"):
-            array |= np.frombuffer(bits.as_buffer(), np.uint8)
-        return pa.table({"slice": table.column("slice")[:1], "part": table.column("part")[:1], "bits": pa.array([array.tobytes()], pa.binary())})
-
-    slices = source.mapInArrow(fold, "slice int, bits binary").select("slice", F.spark_partition_id().alias("part"), "bits")
-    parts = source.rdd.getNumPartitions()
-    while parts > 1:
-        parts = -(-parts // FAN)
-        slices = slices.withColumn("part", (F.col("part") % parts).cast("int")).groupBy("slice", "part").applyInArrow(either, schema)
-    whole = np.zeros(BITS // 8, np.uint8)
+            held += [at.astype(np.uint32) for at in bit_positions(batch.column(0).to_numpy().view(np.uint64), bits)]
+            size += 2 * len(held[-1])
+            if size * 4 > bits // 2:
+                more = packed(held, bits)
+                array = more if array is None else array | more
+                held, size = [], 0
+        if array is not None or size * 4 > bits // 8:
+            more = packed(held, bits)
+            array = more if array is None else array | more
+        rows = []
+        if array is not None:
+            rows = [(i, True, array[i * width // 8 : (i + 1) * width // 8].tobytes()) for i in range(SLICES)]
+        elif size:
+            numbers = np.sort(np.concatenate(held))
+            cuts = np.searchsorted(numbers, np.arange(SLICES + 1, dtype=np.uint64) * np.uint64(width))
+            rows = [(i, False, shortened(numbers[a:b] - np.uint32(i * width))) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], names=["slice", "dense", "bits"])
+
+    def either(batches):
+        """The slices of one task, or-ed."""
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, dense, data in zip(*(batch.column(c) for c in range(3))):
+                part = made.setdefault(i.as_py(), np.zeros(width // 8, np.uint8))
+                part |= np.frombuffer(data.as_buffer(), np.uint8) if dense.as_py() else packed([lengthened(data.as_py())], width)
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int32()), pa.array([p.tobytes() for p in made.values()], pa.binary())], names=["slice", "bits"])
+
+    slices = hashes.mapInArrow(fold, "slice int, dense boolean, bits binary").repartition("slice").mapInArrow(either, "slice int, bits binary")
+    whole = np.zeros(bits // 8, np.uint8)
     for row in slices.toLocalIterator():
-        whole[row["slice"] * _SLICE_BYTES : (row["slice"] + 1) * _SLICE_BYTES] |= np.frombuffer(row["bits"], np.uint8)
-    return source.sparkSession.sparkContext.broadcast(whole)
+        whole[row["slice"] * width // 8 : (row["slice"] + 1) * width // 8] = np.frombuffer(row["bits"], np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(whole)
+
+
+def only_present(df: DataFrame, hashed: Column, present: Broadcast | None) -> DataFrame:
+    """The rows whose hash, a whole number, may be in the array; all of them without one."""
+    if present is None:
+        return df
+    names = df.columns
+
+    def run(batches):
+        for batch in batches:
+            mask = maybe_present(present.value, batch.column(batch.num_columns - 1).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(mask)).columns[:-1], names=names)
+
+    return df.select("*", hashed.alias("_hash")).mapInArrow(run, df.schema)

@@ -1,8 +1,9 @@
 """Same or near-same records across splits: minwise hashing with banded buckets.
 
 1. Each record's text becomes its set of words, written once to the shared
-   folder with a 64-bit key of the set.  Records with equal sets are one class
-   from here on, so a group of copies costs one signature for each batch.
+   folder with a 128-bit digest.  Records with equal sets, compared in full, are
+   one class from here on, named by the least key, so a group of copies costs one
+   signature, however large it is.
 2. Minwise signatures of BANDS x ROWS hash functions; each band of a signature
    is one bucket.  Only buckets that hold both a train class and an evaluation
    class matter: evaluation buckets go into a fixed-size bit array, and train
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from tallyforge.functions.text import state_words
 from tallyforge.llm import bits
 from tallyforge.llm.components import clean_split
-from tallyforge.operators.stages import spread, stage
+from tallyforge.operators.skew import heavy_keys, hot_keys, spread_join
+from tallyforge.operators.stages import drop_stage, spread, stage
 
 ROWS, BANDS = 11, 88
 THRESHOLD = 0.8
@@ -42,8 +44,10 @@ _CHUNK = 512
 _CELLS = 1 << 16
 
 
-def key64(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+def digest(data: bytes) -> tuple[int, int]:
+    """128 bits of BLAKE2b as two whole numbers."""
+    made = hashlib.blake2b(data, digest_size=16).digest()
+    return int.from_bytes(made[:8], "little", signed=True), int.from_bytes(made[8:], "little", signed=True)
 
 
 def word_hash(word: str) -> int:
@@ -89,54 +93,67 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def word_sets(df: DataFrame, key: str, text: str, side: Column, words_of: Callable[[str | None], list[str]] = state_words) -> DataFrame:
-    """(key, side, cls, words): sorted distinct words as one text and a 64-bit key of it, for the rows with a side and at least one word."""
+    """(key, side, d1, d2, words): sorted distinct words as one text and a 128-bit digest of it, for the rows with a side and at least one word."""
     kind = df.schema[key].dataType.simpleString()
     source = df.select(F.col(key).alias("key"), side.alias("side"), F.col(text).cast("string").alias("text")).where(F.col("side").isNotNull() & F.col("text").isNotNull() & F.col("key").isNotNull())
 
     def run(batches):
         for batch in batches:
-            keep, classes, texts = [], [], []
+            keep, digests, texts = [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 joined = " ".join(sorted(set(words_of(text))))
                 if joined:
                     keep.append(i)
-                    classes.append(key64(joined.encode()))
+                    digests.append(digest(joined.encode()))
                     texts.append(joined)
             rows = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(classes, pa.int64()), pa.array(texts, pa.string())], names=["key", "side", "cls", "words"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(texts, pa.string())], names=["key", "side", "d1", "d2", "words"])
 
-    return spread(source).mapInArrow(run, f"key {kind}, side string, cls long, words string")
+    return spread(source).mapInArrow(run, f"key {kind}, side string, d1 long, d2 long, words string")
 
 
 def _batch_buckets(batch: pa.RecordBatch):
-    """(classes, sizes, buckets uint64[BANDS, sets]) of the distinct classes of a batch (cls, words), in pieces that fit the cache."""
-    distinct = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+    """(places, sizes, buckets uint64[BANDS, sets]) of the classes of a batch (cls, words), in pieces that fit the cache."""
     known: dict[str, int] = {}
-    items = list(distinct.items())
-    for i in range(0, len(items), _CHUNK):
-        part = items[i : i + _CHUNK]
-        lists = [words.split(" ") for _, words in part]
+    texts = batch.column(1).to_pylist()
+    for i in range(0, len(texts), _CHUNK):
+        lists = [words.split(" ") for words in texts[i : i + _CHUNK]]
         for w in {w for ws in lists for w in ws if w not in known}:
             known[w] = word_hash(w)
         sets = [np.fromiter((known[w] for w in ws), np.uint32, len(ws)) for ws in lists]
-        yield np.array([c for c, _ in part], np.int64), np.array([len(ws) for ws in lists], np.int32), band_keys(signatures(sets))
+        yield np.arange(i, i + len(sets)), np.array([len(ws) for ws in lists], np.int32), band_keys(signatures(sets))
         if len(known) > 500_000:
             known.clear()
 
 
-def buckets(sets: DataFrame, only=None) -> DataFrame:
-    """(bucket, cls, size) of the word sets; with the broadcast bit array ``only``, without buckets that are certainly not in it."""
+def buckets(classes: DataFrame, only=None) -> DataFrame:
+    """(bucket, cls, size) of the word sets ``classes(cls, words)``; with the broadcast bit array ``only``, without buckets that are certainly not in it."""
+    kind = classes.schema["cls"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            for classes, sizes, keys in _batch_buckets(batch):
-                flat, owners, lengths = keys.ravel(), np.tile(classes, BANDS), np.tile(sizes, BANDS)
+            for places, sizes, keys in _batch_buckets(batch):
+                flat, owners, lengths = keys.ravel(), np.tile(places, BANDS), np.tile(sizes, BANDS)
                 if only is not None:
                     mask = bits.maybe_present(only.value, flat)
                     flat, owners, lengths = flat[mask], owners[mask], lengths[mask]
-                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(owners), pa.array(lengths)], names=["bucket", "cls", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), batch.column(0).take(pa.array(owners)), pa.array(lengths)], names=["bucket", "cls", "size"])
 
-    return sets.select("cls", "words").mapInArrow(run, "bucket long, cls long, size int")
+    return classes.select("cls", "words").mapInArrow(run, f"bucket long, cls {kind}, size int")
+
+
+def signed(classes: DataFrame) -> DataFrame:
+    """(cls, size, buckets) of the word sets, one row for each class with the buckets of all bands."""
+    kind = classes.schema["cls"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for places, sizes, keys in _batch_buckets(batch):
+                flat = pa.array(np.ascontiguousarray(keys.T).ravel().view(np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(places) + 1, dtype=np.int32) * BANDS), flat)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places)), pa.array(sizes), lists], names=["cls", "size", "buckets"])
+
+    return classes.select("cls", "words").mapInArrow(run, f"cls {kind}, size int, buckets array<long>")
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -154,47 +171,56 @@ class CrossSplitOverlap:
 
     def __init__(self, df: DataFrame, key: str, text: str, side: Column, threshold: float = THRESHOLD, words_of=state_words):
         self.threshold = threshold
-        self.sets = stage(word_sets(df, key, text, side, words_of), "sets")
+        sets = stage(word_sets(df, key, text, side, words_of), "sets")
+        # counted map-side first; rows of one class have the same words and not only the same digest
+        counted = sets.groupBy("d1", "d2", "words").agg(F.min("key").alias("cls"), F.count_if(F.col("side") == "t").alias("t"), F.count_if(F.col("side") == "e").alias("e"))
+        self.classes = stage(counted, "classes")
+        hot = hot_keys(self.classes.select("d1", "d2", (F.col("t") + F.col("e")).alias("n")), ["d1", "d2"], "n")
+        named = spread_join(sets.select("key", "side", "d1", "d2"), self.classes.select("d1", "d2", "cls"), ["d1", "d2"], hot, "key")
+        self._members = stage(named.select("key", "side", "cls"), "members")
+        drop_stage(sets)
 
     def class_pairs(self) -> DataFrame:
         """(cls_t, cls_e, similarity) of pairs of different classes."""
-        train, held = (self.sets.where(F.col("side") == s) for s in "te")
-        present = bits.build(held.select("cls", "words"), lambda batch: (keys.ravel() for _, _, keys in _batch_buckets(batch)))
-        t, e = buckets(train, present).alias("t"), buckets(held).alias("e")
+        held = stage(signed(self.classes.where("e > 0")), "held", "lz4").select("cls", "size", F.explode("buckets").alias("bucket"))
+        t, e = buckets(self.classes.where("t > 0"), bits.build(held.select("bucket"))), held
+        hot = heavy_keys(held, ["bucket"], held.count())
+        t, e = t.select("bucket", F.col("cls").alias("cls_t"), F.col("size").alias("size_t")), e.select("bucket", F.col("cls").alias("cls_e"), F.col("size").alias("size_e"))
         # sets of too different sizes cannot be similar enough
-        least = F.least("t.size", "e.size") >= F.greatest("t.size", "e.size") * (self.threshold - 1e-9)
-        met = t.join(e, (F.col("t.bucket") == F.col("e.bucket")) & (F.col("t.cls") != F.col("e.cls")) & least)
-        pairs = met.select(F.col("t.cls").alias("cls_t"), F.col("e.cls").alias("cls_e")).distinct()
-        pairs = stage(pairs, "candidates")
-        # both word sets of a pair in one pass over the sets: a pair asks for two classes and is put together again
+        near = F.least("size_t", "size_e") >= F.greatest("size_t", "size_e") * (self.threshold - 1e-9)
+        met = spread_join(t, e, ["bucket"], hot, "cls_t").where((F.col("cls_t") != F.col("cls_e")) & near)
+        pairs = stage(met.select("cls_t", "cls_e").distinct(), "candidates")
+        # both word sets of a pair in one pass over the classes: a pair asks for two classes and is put together again
         asked = pairs.select("cls_t", "cls_e", F.explode(F.array("cls_t", "cls_e")).alias("cls"))
-        needed = asked.select("cls").distinct()
-        texts = self.sets.select("cls", "words").join(needed, "cls", "left_semi").groupBy("cls").agg(F.min("words").alias("words"))
+        texts = bits.only_present(self.classes.select("cls", "words"), F.xxhash64("cls"), bits.build(asked.select(F.xxhash64("cls").alias("h"))))
         both = asked.join(texts, "cls").groupBy("cls_t", "cls_e").agg(F.min("words").alias("a"), F.max("words").alias("b"))
         return both.select("cls_t", "cls_e", similarity(F.col("a"), F.col("b")).alias("similarity")).where(F.col("similarity") >= self.threshold)
 
     def linked_classes(self) -> DataFrame:
-        """Class pairs, with each class that is on both sides paired with itself."""
-        own = self.sets.groupBy("cls").agg(F.count_if(F.col("side") == "t").alias("t"), F.count_if(F.col("side") == "e").alias("e")).where("t > 0 and e > 0")
-        return self.class_pairs().unionByName(own.select(F.col("cls").alias("cls_t"), F.col("cls").alias("cls_e"), F.lit(1.0).alias("similarity")))
+        """(cls_t, cls_e, similarity): class pairs, with each class that is on both sides paired with itself; with ``members`` all that there is to say, at a row for each pair of different texts."""
+        own = self.classes.where("t > 0 and e > 0").select(F.col("cls").alias("cls_t"), F.col("cls").alias("cls_e"), F.lit(1.0).alias("similarity"))
+        return self.class_pairs().unionByName(own)
+
+    def members(self) -> DataFrame:
+        """(key, side, cls): the class of each record that has words, named by the least key of its records."""
+        return self._members
 
     def held_counts(self) -> DataFrame:
         """(e, pairs): each record of side ``e`` with the number of its pairs, counted by class; no pair of records is formed."""
-        members = self.sets.select("key", "side", "cls")
-        train = members.where(F.col("side") == "t").groupBy(F.col("cls").alias("cls_t")).agg(F.count("*").alias("n"))
+        train = self.classes.select(F.col("cls").alias("cls_t"), F.col("t").alias("n"))
         by_class = self.linked_classes().join(train, "cls_t").groupBy("cls_e").agg(F.sum("n").alias("pairs"))
-        return members.where(F.col("side") == "e").select(F.col("key").alias("e"), F.col("cls").alias("cls_e")).join(by_class, "cls_e").select("e", "pairs")
-
-    def classes(self) -> DataFrame:
-        """(key, cls): the class of each record that has words."""
-        return self.sets.select("key", "cls")
+        hot = hot_keys(self.classes.select(F.col("cls").alias("cls_e"), F.col("e").alias("n")), ["cls_e"], "n")
+        held = self.members().where("side = 'e'").select(F.col("key").alias("e"), F.col("cls").alias("cls_e"))
+        return spread_join(held, by_class, ["cls_e"], hot, "e").select("e", "pairs")
 
     def record_pairs(self) -> DataFrame:
-        """(t, e, similarity): every pair of records."""
-        members = self.sets.select("key", "side", "cls")
-        train = members.where(F.col("side") == "t").select(F.col("key").alias("t"), F.col("cls").alias("cls_t"))
-        held = members.where(F.col("side") == "e").select(F.col("key").alias("e"), F.col("cls").alias("cls_e"))
-        return self.linked_classes().join(held, "cls_e").join(train, "cls_t").select("t", "e", "similarity")
+        """(t, e, similarity): every pair of records.  ``linked_classes`` and ``members`` say the same in fewer rows."""
+        members, linked = self.members(), self.linked_classes()
+        hot_e, hot_t = (hot_keys(self.classes.select(F.col("cls").alias(f"cls_{s}"), F.col(s).alias("n")), [f"cls_{s}"], "n") for s in "et")
+        held = members.where("side = 'e'").select(F.col("key").alias("e"), F.col("cls").alias("cls_e"))
+        train = members.where("side = 't'").select(F.col("key").alias("t"), F.col("cls").alias("cls_t"))
+        of_held = spread_join(held, linked, ["cls_e"], hot_e, "e").select("e", "cls_t", "similarity")
+        return spread_join(train, of_held, ["cls_t"], hot_t, "t").select("t", "e", "similarity")
 
 
 def decision_overlap(records: DataFrame) -> CrossSplitOverlap:

@@ -2,18 +2,24 @@
 
 1. Every text is cut into non-overlapping blocks of BLOCK characters, half of
    the least span, so that a shared span of SPAN characters holds at least one
-   whole block of either text.  Their hashes are the index.
-2. Every rolling window of BLOCK characters of every text probes the index: at
-   first a fixed-size bit array of all block hashes, next, for what may be in
-   it, the index itself, joined by hash.  A hash is kept with the least and
-   greatest text that has it, which tells whether another text does, so no
-   pairs are formed within a hash, however many texts share it.
-3. Hits are extended: around each, every window of SPAN characters that holds
-   the hit gets a 128-bit hash, and the windows that another text has too are
-   the shared ones.  Their runs are the maximal stretches in which every window
-   of SPAN characters occurs elsewhere; their union is what is shared.
-
-Exact copies of a text are one class throughout.
+   whole block of either text.  Their hashes are the index, written once.
+2. Every rolling window of BLOCK characters of every text probes the index.  A
+   hash is kept with the least and greatest text that has it, which tells whether
+   another text does, so no pairs are formed within a hash, however many texts
+   share it.  Probes whose block is in another text of the same piece of the
+   table are hits at once; the others go through a bit array of all blocks, as
+   long as there are few enough for one, and are joined with the index.  So the
+   hottest passages, which every piece holds many times, are never shuffled.
+3. Hits are extended: texts with hits are laid side by side in order of their
+   least hit, so that texts which share a passage mostly lie in one piece.
+   Around each hit, every window of SPAN characters that may hold it gets a
+   128-bit hash.  Windows that another text of the piece has too are shared;
+   their runs leave the piece as one row each.  Windows not found there are looked
+   up among those of all pieces, to which each piece sends every hash once.
+4. Runs and windows unite to the maximal stretches in which every window of SPAN
+   characters occurs elsewhere; what they cover is what is shared.
+
+Exact copies of a text, told by 128 bits, are one text throughout.
 """
 
 from __future__ import annotations
@@ -23,25 +29,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.rolling import OTHER_BASE, code_points, window_runs
+from tallyforge.functions.rolling import BASE, OTHER_BASE, code_points, mix, window_runs
 from tallyforge.llm import bits
-from tallyforge.llm.overlap import key64
+from tallyforge.llm.overlap import digest
+from tallyforge.operators.skew import heavy_keys, hot_keys, spread_join
 from tallyforge.operators.stages import spread, stage
 
 SPAN = 150
 BLOCK = 75
+# places of hits are kept in steps of so many characters
+STEP = 15
 _PIECE_CHARS = 1_000_000
+_MOST_HOT = 5_000
+_POWERS = np.array([pow(BASE, i, 1 << 64) for i in range(BLOCK)], np.uint64)
+TEXT = ["c1", "c2"]
+RUN, ALONE, SHARED = range(3)
 
 
-def _pieces(keys, texts):
-    """Distinct texts of a batch in runs of about _PIECE_CHARS characters."""
+def _pieces(c1, c2, texts, places=None):
+    """Distinct texts of a batch in runs of about _PIECE_CHARS characters: lists of (c1, c2, text, place)."""
     run, size, seen = [], 0, set()
-    for key, text in zip(keys, texts):
-        if key in seen:
+    for key in zip(c1, c2, texts, places if places is not None else c1):
+        if key[:2] in seen:
             continue
-        seen.add(key)
-        run.append((key, text))
-        size += len(text)
+        seen.add(key[:2])
+        run.append(key)
+        size += len(key[2])
         if size >= _PIECE_CHARS:
             yield run
             run, size = [], 0
@@ -49,13 +62,26 @@ def _pieces(keys, texts):
         yield run
 
 
-def _block_hashes(batch: pa.RecordBatch):
-    """(classes, block hashes) of the texts of a batch (cls, text)."""
-    for piece in _pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        classes = np.array([c for c, _ in piece], np.int64)
-        for hashes, owner, position in window_runs([code_points(t) for _, t in piece], BLOCK):
-            aligned = position % BLOCK == 0
-            yield classes[owner[aligned]], hashes[aligned]
+def block_hashes(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, part) of each non-overlapping block of BLOCK characters: the hashes that ``windows`` gives at multiples of BLOCK."""
+    cut = [p[: len(p) // BLOCK * BLOCK] for p in parts]
+    values = mix(np.concatenate(cut)) if cut else np.empty(0, np.uint64)
+    hashes = (values.reshape(-1, BLOCK) * _POWERS).sum(axis=1, dtype=np.uint64)
+    return hashes, np.repeat(np.arange(len(cut)), [len(c) // BLOCK for c in cut])
+
+
+def _owners(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes in order, least owner, greatest owner)."""
+    order = np.argsort(hashes, kind="stable")
+    ordered, whose = hashes[order], owner[order]
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.empty(0, np.int64)
+    if not len(first):
+        return ordered, whose, whose
+    return ordered[first], np.minimum.reduceat(whose, first), np.maximum.reduceat(whose, first)
+
+
+def _table(names: list[str], *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
 
 class SharedSpans:
@@ -69,106 +95,175 @@ class SharedSpans:
         kind = documents.schema[doc_id].dataType.simpleString()
         source = documents.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text")).where(F.col("doc").isNotNull() & (F.length("text") >= SPAN))
 
-        def classed(batches):
+        def named(batches):
             for batch in batches:
-                keys = [key64(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), batch.column(1)], names=["doc", "cls", "text"])
+                made = [digest(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
+                yield _table(["doc", "c1", "c2", "text"], batch.column(0), pa.array([d[0] for d in made], pa.int64()), pa.array([d[1] for d in made], pa.int64()), batch.column(1))
 
         self.doc_id = doc_id
-        self.documents = spread(source).mapInArrow(classed, f"doc {kind}, cls long, text string")
+        self.documents = spread(source).mapInArrow(named, f"doc {kind}, c1 long, c2 long, text string")
+        self.texts = self.documents.select(*TEXT, "text")
         blankless = F.length(F.regexp_replace("text", r"(?U)[\s\x1c-\x1f]", ""))
-        self.members = stage(self.documents.select("doc", "cls", blankless.alias("blankless")), "members")
-        self.texts = self.documents.select("cls", "text")
+        self.members = stage(self.documents.select("doc", *TEXT, blankless.alias("blankless")), "members")
 
     def hits(self) -> DataFrame:
-        """(cls, positions): the places of a class's text whose window of BLOCK characters is a block of another class."""
-        present = bits.build(self.texts, lambda batch: (h for _, h in _block_hashes(batch)))
+        """(c1, c2, places, anchor): the steps of STEP characters of a text in which a window begins that is a block of another text, and the least hash of such a window.
+
+        As many places as a text has steps at most.
+        """
 
         def index(batches):
             for batch in batches:
-                for classes, hashes in _block_hashes(batch):
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(classes)], names=["hash", "cls"])
+                for piece in _pieces(*(batch.column(i).to_pylist() for i in range(3))):
+                    hashes, owner = block_hashes([code_points(t) for _, _, t, _ in piece])
+                    one, two = (np.array([p[i] for p in piece], np.int64) for i in (0, 1))
+                    yield _table(["hash", *TEXT], hashes.view(np.int64), one[owner], two[owner])
+
+        index_rows = stage(self.texts.mapInArrow(index, "hash long, c1 long, c2 long"), "blocks", "lz4")
+        present = bits.build(index_rows.select("hash"))
 
         def probe(batches):
             for batch in batches:
-                for piece in _pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    classes = np.array([c for c, _ in piece], np.int64)
-                    for hashes, owner, position in window_runs([code_points(t) for _, t in piece], BLOCK):
-                        maybe = bits.maybe_present(present.value, hashes)
-                        yield pa.RecordBatch.from_arrays([pa.array(hashes[maybe].view(np.int64)), pa.array(classes[owner[maybe]]), pa.array(position[maybe].astype(np.int32))], names=["hash", "cls", "at"])
+                for piece in _pieces(*(batch.column(i).to_pylist() for i in range(3))):
+                    parts = [code_points(t) for _, _, t, _ in piece]
+                    one, two = (np.array([p[i] for p in piece], np.int64) for i in (0, 1))
+                    known, least, most = _owners(*block_hashes(parts))
+                    for hashes, owner, position in window_runs(parts, BLOCK):
+                        if present is not None:
+                            maybe = bits.maybe_present(present.value, hashes)
+                            hashes, owner, position = hashes[maybe], owner[maybe], position[maybe]
+                        at = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
+                        hit = (known[at] == hashes) & ((least[at] != owner) | (most[at] != owner)) if len(known) else np.zeros(len(hashes), bool)
+                        # of the hits, one row for each step of each text
+                        code = owner[hit] * (1 << 32) + position[hit] // STEP
+                        _, first = np.unique(code, return_index=True)
+                        keep = np.concatenate((np.flatnonzero(hit)[first], np.flatnonzero(~hit)))
+                        yield _table(["hash", *TEXT, "at", "hit"], hashes[keep].view(np.int64), one[owner[keep]], two[owner[keep]], (position[keep] // STEP).astype(np.int32), np.arange(len(keep)) < len(first))
 
-        blocks = self.texts.mapInArrow(index, "hash long, cls long").groupBy("hash").agg(F.min("cls").alias("least"), F.max("cls").alias("most"))
-        probes = self.texts.mapInArrow(probe, "hash long, cls long, at int")
-        found = probes.join(blocks, "hash").where((F.col("least") != F.col("cls")) | (F.col("most") != F.col("cls")))
-        return found.groupBy("cls").agg(F.sort_array(F.collect_set("at")).alias("positions"))
+        probes = self.texts.mapInArrow(probe, "hash long, c1 long, c2 long, at int, hit boolean")
+        probes = stage(probes, "probes", "lz4") if present is not None else probes
+        span = lambda c: [F.min(c).alias(f"least_{c}"), F.max(c).alias(f"most_{c}")]
+        blocks = index_rows.groupBy("hash").agg(*span("c1"), *span("c2"))
+        asked = probes.where(~F.col("hit"))
+        hot = heavy_keys(asked, ["hash"], asked.count(), _MOST_HOT) if present is not None else None
+        other = F.lit(False)
+        for c in TEXT:
+            other = other | (F.col(f"least_{c}") != F.col(c)) | (F.col(f"most_{c}") != F.col(c))
+        found = spread_join(asked, blocks, ["hash"], hot, "at").where(other).select(*TEXT, "at", "hash")
+        every = found.unionByName(probes.where("hit").select(*TEXT, "at", "hash"))
+        return every.groupBy(*TEXT).agg(F.collect_set("at").alias("places"), F.min("hash").alias("anchor"))
 
     def windows(self) -> DataFrame:
-        """(h1, h2, cls, at, before, upto): each window of SPAN characters that holds a hit.
+        """(kind byte, h1, h2, c1, c2, begin, end, before, upto): what extending the hits gives, written once.
 
-        ``before`` and ``upto`` count the non-blank characters before its begin and its end.
+        RUN: a stretch from ``begin`` to ``end`` whose every window of SPAN characters is in another text.  ALONE: one window that no other text
+        of the piece has.  SHARED: the hash of windows that several texts of the piece have.  ``before`` and ``upto`` count the
+        non-blank characters before begin and end.
         """
-        # one document of each class carries its text to the hits
-        carriers = self.members.groupBy("cls").agg(F.min("doc").alias("doc"))
-        asked = self.hits().join(carriers, "cls")
-        joined = self.documents.drop("cls").join(asked, "doc").select("cls", "text", "positions")
+        # one document of each text carries it to the hits
+        carriers = self.members.groupBy(*TEXT).agg(F.min("doc").alias("doc"))
+        asked = self.hits().join(carriers, TEXT)
+        joined = stage(self.documents.drop(*TEXT).join(asked, "doc").select(*TEXT, "text", "places", "anchor"), "hits")
+        ordered = joined.repartitionByRange("anchor", *TEXT).sortWithinPartitions("anchor", *TEXT)
+        names = ["kind", "h1", "h2", *TEXT, "begin", "end", "before", "upto"]
+
+        def rows(kind, h1, h2, c1, c2, begin, end, before, upto):
+            none = pa.nulls(len(begin), pa.int64())
+            as_long = lambda h: none if h is None else pa.array(h.view(np.int64))
+            return _table(names, pa.array(np.full(len(begin), kind, np.int8)), as_long(h1), as_long(h2), c1, c2, *(pa.array(x.astype(np.int32)) for x in (begin, end, before, upto)))
 
         def extend(batches):
             for batch in batches:
-                places = dict(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()))
-                for piece in _pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    parts = [code_points(t) for _, t in piece]
+                columns = [batch.column(i).to_pylist() for i in range(4)]
+                for piece in _pieces(*columns):
+                    parts = [code_points(t) for _, _, t, _ in piece]
+                    one, two = (np.array([p[i] for p in piece], np.int64) for i in (0, 1))
                     room = np.array([len(p) - SPAN + 1 for p in parts], np.int64)
                     first = np.cumsum(room) - room
                     marks = np.zeros(int(room.sum()) + 1, np.int32)
-                    for i, (cls, _) in enumerate(piece):
-                        at = np.asarray(places[cls], np.int64)
+                    for i, (_, _, _, places) in enumerate(piece):
+                        at = np.asarray(places, np.int64) * STEP
                         np.add.at(marks, first[i] + np.clip(at - (SPAN - BLOCK), 0, room[i]), 1)
-                        np.add.at(marks, first[i] + np.clip(at + 1, 0, room[i]), -1)
+                        np.add.at(marks, first[i] + np.clip(at + STEP, 0, room[i]), -1)
                     wanted = np.cumsum(marks[:-1]) > 0
-                    solid = [np.concatenate(([0], np.cumsum(~np.fromiter(map(str.isspace, t), bool, len(t))))).astype(np.int32) for _, t in piece]
+                    solid = [np.concatenate(([0], np.cumsum(~np.fromiter(map(str.isspace, t), bool, len(t))))).astype(np.int32) for _, _, t, _ in piece]
                     offsets = np.cumsum([len(s) for s in solid]) - np.array([len(s) for s in solid])
                     counts = np.concatenate(solid)
-                    classes = np.array([c for c, _ in piece], np.int64)
+                    kept = []
                     for (h1, owner, position), (h2, _, _) in zip(window_runs(parts, SPAN), window_runs(parts, SPAN, OTHER_BASE, 1)):
                         keep = wanted[first[owner] + position]
-                        owner, position = owner[keep], position[keep]
-                        at = offsets[owner] + position
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(h1[keep].view(np.int64)), pa.array(h2[keep].view(np.int64)), pa.array(classes[owner]), pa.array(position.astype(np.int32)), pa.array(counts[at]), pa.array(counts[at + SPAN])],
-                            names=["h1", "h2", "cls", "at", "before", "upto"],
-                        )
+                        kept.append((h1[keep], h2[keep], owner[keep], position[keep]))
+                    h1, h2, owner, position = (np.concatenate(c) for c in zip(*kept))
+                    order = np.lexsort((h2, h1))
+                    new = np.ones(len(order), bool)
+                    new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+                    starts = np.flatnonzero(new)
+                    if not len(starts):
+                        continue
+                    whose = owner[order]
+                    several = np.minimum.reduceat(whose, starts) != np.maximum.reduceat(whose, starts)
+                    shared = np.empty(len(order), bool)
+                    shared[order] = several[np.cumsum(new) - 1]
+                    base = offsets[owner] + position
+                    alone = ~shared
+                    yield rows(ALONE, h1[alone], h2[alone], one[owner[alone]], two[owner[alone]], position[alone], position[alone] + SPAN, counts[base[alone]], counts[base[alone] + SPAN])
+                    lead = order[starts[several]]
+                    zero = np.zeros(len(lead), np.int32)
+                    yield rows(SHARED, h1[lead], h2[lead], one[owner[lead]], two[owner[lead]], zero, zero, zero, zero)
+                    # windows are kept in order of text and position, so runs are neighbours
+                    at = np.flatnonzero(shared)
+                    if len(at):
+                        breaks = (owner[at][1:] != owner[at][:-1]) | (position[at][1:] != position[at][:-1] + 1)
+                        begin, end = at[np.concatenate(([True], breaks))], at[np.concatenate((breaks, [True]))]
+                        yield rows(RUN, None, None, one[owner[begin]], two[owner[begin]], position[begin], position[end] + SPAN, counts[base[begin]], counts[base[end] + SPAN])
 
-        return joined.mapInArrow(extend, "h1 long, h2 long, cls long, at int, before int, upto int")
+        return stage(ordered.mapInArrow(extend, "kind byte, h1 long, h2 long, c1 long, c2 long, begin int, end int, before int, upto int"), "windows", "lz4")
 
-    def shared_windows(self) -> DataFrame:
-        """The windows that another class has too."""
-        every = stage(self.windows(), "windows")
-        shared = every.groupBy("h1", "h2").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least != most").select("h1", "h2")
-        return every.join(shared, ["h1", "h2"], "left_semi")
+    def shared_runs(self) -> DataFrame:
+        """(c1, c2, begin, end, before, upto): stretches whose every window another text has too; they may overlap and adjoin."""
+        every = self.windows()
+        sent = every.where(F.col("kind") != RUN)
+        span = lambda c: F.min(c) != F.max(c)
+        several = sent.groupBy("h1", "h2").agg((span("c1") | span("c2") | F.max(F.col("kind") == SHARED)).alias("several")).where("several").select("h1", "h2")
+        place = [*TEXT, "begin", "end", "before", "upto"]
+        return every.where(F.col("kind") == RUN).select(*place).unionByName(every.where(F.col("kind") == ALONE).join(several, ["h1", "h2"], "left_semi").select(*place))
 
     def extents(self) -> DataFrame:
         """(doc_id, extent, shared_chars, blankless): how much of each document is shared; documents without a shared span are left out.
 
-        ``blankless`` counts the non-blank characters of a text and ``shared_chars`` those within shared spans.  The text of a class with
-        several documents is shared as a whole.
+        ``blankless`` counts the non-blank characters of a text and ``shared_chars`` those within shared spans.  A text that several documents
+        have is shared as a whole.
         """
-        order = Window.partitionBy("cls").orderBy("at")
-        fresh = F.col("upto") - F.greatest("before", F.coalesce(F.lag("upto").over(order), F.lit(0)))
-        covered = self.shared_windows().select("cls", fresh.alias("fresh")).groupBy("cls").agg(F.sum("fresh").alias("shared_chars"))
-        copies = self.members.groupBy("cls").agg(F.count_distinct("doc").alias("docs")).where("docs > 1")
-        by_class = covered.join(copies, "cls", "full")
+        order = Window.partitionBy(*TEXT).orderBy("begin", "end")
+        earlier = F.max("upto").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        fresh = F.greatest(F.lit(0), F.col("upto") - F.greatest("before", F.coalesce(earlier, F.lit(0))))
+        covered = self.shared_runs().select(*TEXT, fresh.alias("fresh")).groupBy(*TEXT).agg(F.sum("fresh").alias("shared_chars"))
+        by_text = covered.join(self._copied(), TEXT, "full")
         extent = F.when(F.col("docs").isNotNull() | (F.col("shared_chars") == F.col("blankless")), "whole").when(F.col("shared_chars") * 2 >= F.col("blankless"), "most").otherwise("part")
-        return self.members.join(by_class, "cls").select(F.col("doc").alias(self.doc_id), extent.alias("extent"), F.when(F.col("docs").isNull(), F.col("shared_chars")).otherwise(F.col("blankless")).cast("long").alias("shared_chars"), F.col("blankless").cast("long").alias("blankless")).distinct()
+        joined = self._of_documents(by_text)
+        return joined.select(F.col("doc").alias(self.doc_id), extent.alias("extent"), F.when(F.col("docs").isNull(), F.col("shared_chars")).otherwise(F.col("blankless")).cast("long").alias("shared_chars"), F.col("blankless").cast("long").alias("blankless")).distinct()
+
+    def _copied(self) -> DataFrame:
+        """(c1, c2, docs): texts of several documents.  Repeated rows are first made one; the count per text then combines map-side."""
+        return self.members.select("doc", *TEXT).distinct().groupBy(*TEXT).agg(F.count("*").alias("docs")).where("docs > 1")
+
+    def _of_documents(self, by_text: DataFrame) -> DataFrame:
+        """Members with what is known of their text; a text that many documents have is spread over many tasks."""
+        hot = hot_keys(self.members.groupBy(*TEXT).agg(F.count("*").alias("n")), TEXT, "n")
+        return spread_join(self.members, by_text, TEXT, hot, "doc")
 
     def stretches(self) -> DataFrame:
-        """(cls, begin, end): maximal stretches in which each window of SPAN characters occurs in another class."""
-        order = Window.partitionBy("cls").orderBy("at")
-        run = F.col("at") - F.dense_rank().over(order)
-        return self.shared_windows().select("cls", "at", run.alias("run")).groupBy("cls", "run").agg(F.min("at").alias("begin"), (F.max("at") + SPAN).alias("end")).drop("run")
+        """(c1, c2, begin, end): maximal stretches in which each window of SPAN characters occurs in another text."""
+        order = Window.partitionBy(*TEXT).orderBy("begin", "end")
+        earlier = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        # the windows of two runs are neighbours if they share all but one character of a window
+        apart = F.coalesce(F.col("begin") > earlier - SPAN + 1, F.lit(True))
+        numbered = self.shared_runs().withColumn("apart", apart).withColumn("run", F.sum(F.col("apart").cast("long")).over(order))
+        return numbered.groupBy(*TEXT, "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("run")
 
     def document_stretches(self) -> DataFrame:
         """(doc_id, begin, end): the stretches of every document; that of a document with exact copies is its whole text."""
-        copied = self.members.groupBy("cls").agg(F.count_distinct("doc").alias("docs")).where("docs > 1").select("cls")
-        whole = self.documents.join(copied, "cls", "left_semi").select("doc", F.lit(0).alias("begin"), F.length("text").alias("end"))
-        parts = self.members.join(copied, "cls", "left_anti").join(self.stretches(), "cls").select("doc", "begin", "end")
-        return whole.unionByName(parts).select(F.col("doc").alias(self.doc_id), "begin", "end")
+        copied = self._copied().select(*TEXT)
+        whole = self.documents.join(copied, TEXT, "left_semi").select("doc", F.lit(0).alias("begin"), F.length("text").alias("end"))
+        parts = self._of_documents(self.stretches().join(copied, TEXT, "left_anti")).select("doc", "begin", "end")
+        return whole.unionByName(parts).select(F.col("doc").alias(self.doc_id), "begin", "end").distinct()

@@ -86,19 +86,41 @@ def test_signatures_do_not_depend_on_the_other_sets():
         assert (together[7, i] == ((sets[i] ^ ov.XORS[7]) * ov.ODDS[7]).min()).all()
 
 
-def test_bit_array_never_forgets(spark):
+def test_bit_array_never_forgets(spark, monkeypatch):
     hashes = np.random.default_rng(1).integers(0, 1 << 63, 100_000, dtype=np.uint64)
-    array = np.zeros(bits.BITS // 8, np.uint8)
-    bits.set_bits(array, hashes)
+    array = bits.packed(list(bits.bit_positions(hashes, bits.bits_for(100_000))), bits.bits_for(100_000))
     assert bits.maybe_present(array, hashes).all()
     others = np.random.default_rng(2).integers(0, 1 << 63, 100_000, dtype=np.uint64)
-    assert bits.maybe_present(array, others).mean() < 0.01
-    for parts, fan in ((1, 64), (5, 64), (7, 2)):
-        bits.FAN = fan
-        built_bits_hold_every_hash(spark.range(0, 5000, 1, parts))
-    bits.FAN = 64
-
-
-def built_bits_hold_every_hash(df):
-    built = bits.build(df, lambda batch: [batch.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)])
-    assert bits.maybe_present(built.value, np.arange(5000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).all()
+    assert bits.maybe_present(array, others).mean() < 0.05
+    values = spark.range(5000).select((F.col("id") * F.lit(0x1E3779B97F4A7C15 % (1 << 40))).alias("h"))
+    for parts, most in ((1, 1 << 27), (5, 1 << 27), (7, 1 << 16)):
+        monkeypatch.setattr(bits, "MOST", most)
+        built = bits.build(values.repartition(parts))
+        assert bits.maybe_present(built.value, np.array([r[0] for r in values.collect()], np.int64).view(np.uint64)).all()
+    monkeypatch.setattr(bits, "MOST", 1 << 12)
+    assert bits.build(values) is None
+    assert bits.bits_for(0) and not bits.maybe_present(bits.build(values.limit(0)).value, hashes).any()
+
+
+def test_pairs_are_the_same_without_a_bit_array_and_with_hot_keys(spark, rows, monkeypatch):
+    from tallyforge.operators import skew
+
+    monkeypatch.setattr(bits, "MOST", 1)
+    monkeypatch.setattr(skew, "LEAST", 3)
+    assert pairs(frame(spark, rows)) == brute(rows)
+
+
+def test_classes_and_members_say_what_the_pairs_say(spark, rows):
+    made = ov.CrossSplitOverlap(frame(spark, rows), "no", "state", F.col("side"))
+    side, cls = {}, {}
+    for r in made.members().collect():
+        side[r["key"]], cls[r["key"]] = r["side"], r["cls"]
+    linked = {(r["cls_t"], r["cls_e"]) for r in made.linked_classes().collect()}
+    assert {(a, b) for a in cls for b in cls if side[a] == "t" and side[b] == "e" and (cls[a], cls[b]) in linked} == brute(rows)
+    assert len({c for k, c in cls.items() if 2000 <= k < 3000}) == 1
+
+
+def test_numbers_are_sent_short_and_come_back():
+    for n in (0, 1, 5, 100_000):
+        numbers = np.sort(np.random.default_rng(n).integers(0, 1 << 21, n, dtype=np.uint32))
+        assert (bits.lengthened(bits.shortened(numbers)) == numbers).all()

@@ -80,3 +80,32 @@ def test_copies_that_no_third_text_shares_have_counts(spark):
     got = {tuple(r) for r in sp.SharedSpans(frame(spark, [(1, t), (2, t), (3, "z" * 10)])).extents().collect()}
     n = sum(not c.isspace() for c in t)
     assert got == {(1, "whole", n, n), (2, "whole", n, n)}
+
+
+@pytest.mark.parametrize("most", [1 << 27, 1])
+def test_small_pieces_and_no_bit_array_change_nothing(spark, docs, monkeypatch, most):
+    from tallyforge.llm import bits
+    from tallyforge.operators import skew
+
+    monkeypatch.setattr(bits, "MOST", most)
+    monkeypatch.setattr(skew, "LEAST", 3)
+    monkeypatch.setattr(sp, "_MOST_HOT", 20)
+    few = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["doc_id"]: r["extent"] for r in sp.SharedSpans(frame(spark, docs)).extents().collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", few)
+    assert got == brute(docs)
+
+
+def test_block_hashes_are_windows_at_their_places():
+    import numpy as np
+
+    from tallyforge.functions.rolling import code_points, windows
+
+    text = code_points("".join(chr(97 + i * i % 23) for i in range(400)))
+    hashes, part = sp.block_hashes([text[:74], text, text[:150]])
+    assert part.tolist() == [1] * 5 + [2] * 2
+    assert (hashes[:5] == windows(text, sp.BLOCK)[:: sp.BLOCK][:5]).all() and (hashes[5:] == hashes[:2]).all()
+    assert np.unique(hashes[:5]).size == 5
