@@ -62,7 +62,15 @@ def release_stages() -> None:
             pass
 
 
-_NARROW = {"Project", "Filter", "LogicalRelation", "Relation", "SubqueryAlias"}
+_NARROW = {"Project", "Filter", "LogicalRelation"}
+
+
+def _nodes(plan):
+    """Class names of a logical plan's nodes."""
+    yield plan.getClass().getSimpleName()
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _nodes(children.apply(i))
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -71,9 +79,7 @@ def spread(df: DataFrame) -> DataFrame:
     Files of one row group give one task, which Python work would then wait for.  Large inputs have more partitions than cores and are not
     shuffled.  Only scans with projections and filters are looked at: asking others for their partitions would run them.
     """
-    plan = df._jdf.queryExecution().optimizedPlan()
-    names = {line.strip(" +-:|").split(" ")[0].split("[")[0] for line in plan.toString().splitlines() if line.strip()}
-    if not names <= _NARROW:
+    if not _NARROW.issuperset(_nodes(df._jdf.queryExecution().optimizedPlan())):
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -121,10 +121,11 @@ def review_rules(checks: list[Column], agrees: Column, quotes: Column, text: Col
 
 
 def code_block(text: Column) -> Column:
-    """The one fenced Python block of 6 to 24 lines; null if there is none or more."""
+    """The one fenced Python block of 6 to 24 lines, without outer blanks; null if there is none or more."""
     blocks = F.regexp_extract_all(text, F.lit(r"(?s)```python\s*\n(.*?)```"), 1)
-    lines = F.size(F.split(F.rtrim(F.get(blocks, 0)), "\n"))
-    return F.when((F.size(blocks) == 1) & lines.between(6, 24), F.get(blocks, 0))
+    code = F.regexp_replace(F.get(blocks, 0), r"(?U)^\s+|\s+$", "")
+    lines = F.size(F.split(code, r"\r\n|[\n\r]"))
+    return F.when((F.size(blocks) == 1) & lines.between(6, 24), code)
 
 
 def check_settings(saved: Mapping, current: Mapping, keys: list[str]) -> None:

@@ -43,11 +43,15 @@ def rule_overlaps(t):
     return cu.overlapping_rules(rules, "plan")
 
 
-@query("SELECT variant, count(*) AS n, count(DISTINCT target) AS targets FROM (SELECT unnest(['base', 'removed', 'counterfactual', 'paraphrase', 'distractor']) AS variant, CASE WHEN variant = 'removed' THEN 'none' WHEN variant = 'counterfactual' THEN 'no' ELSE 'yes' END AS target FROM orders) GROUP BY variant")
+@query(
+    """WITH o AS (SELECT o_orderkey, 'Order ' || o_orderkey || ' was paid.' AS s FROM orders), v AS (SELECT o_orderkey, s, unnest(['base', 'removed', 'counterfactual', 'paraphrase', 'distractor']) AS variant FROM o)
+    SELECT o_orderkey, variant, CASE variant WHEN 'base' THEN s WHEN 'removed' THEN replace(s, 'was paid', '') WHEN 'counterfactual' THEN replace(s, 'was paid', 'was not paid') WHEN 'paraphrase' THEN replace(s, 'was paid', 'has been settled') ELSE s || chr(10) || chr(10) || 'It rained.' END AS state,
+    CASE WHEN variant = 'removed' THEN 'none' WHEN variant = 'counterfactual' THEN 'no' ELSE 'yes' END AS target FROM v"""
+)
 def contrast_variants(t):
     text = F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" was paid."))
     jobs = t.orders.select("o_orderkey", text.alias("state"), F.lit("was paid").alias("evidence"), F.lit("was not paid").alias("counter_evidence"), F.lit("has been settled").alias("paraphrase"), F.lit("It rained.").alias("distractor"), F.lit("yes").alias("target"), F.lit("no").alias("counter_target"), F.lit("none").alias("missing_target"))
-    return cu.contrast_groups(jobs, "o_orderkey").groupBy("variant").agg(F.count("*").alias("n"), F.count_distinct("target").alias("targets"))
+    return cu.contrast_groups(jobs, "o_orderkey")
 
 
 @query("SELECT l_orderkey, CASE WHEN n <> 2 THEN 'variants' END AS problem FROM (SELECT l_orderkey, count(*) n FROM lineitem GROUP BY 1) WHERE n <> 2")
@@ -64,20 +68,6 @@ def _counted(audit):
     return out
 
 
-@query(
-    """SELECT 'repeated id' AS violation, count(*) AS n FROM (SELECT id FROM decision_records GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'repeated input', count(*) FROM (SELECT sha256(input.state) FROM decision_records GROUP BY 1 HAVING count(*) > 1)
-    UNION ALL SELECT 'held-out family', count(*) FROM decision_records WHERE lower(trim(split)) = 'train' AND family IN (SELECT family FROM decision_records WHERE lower(trim(split)) = 'test')"""
-)
-def release_violations(t):
-    rows = t.decision_records.select("id", "family", F.sha2("input.state", 256).alias("input_sha256"), F.lower(F.trim("split")).alias("split"))
-    full = rows.withColumns({"source_id": F.col("id"), "source_sha256": F.col("input_sha256"), "group_id": F.col("family"), "variant": F.lit("x"), "state": F.col("input_sha256"), "target": F.lit("x")})
-    sources = rows.select("id", "family", F.col("input_sha256").alias("sha256")).dropDuplicates(["id"])
-    audit = cu.release_audit(full, sources, rows.where("split = 'test'").select("family", "input_sha256"), ["x"])
-    train = cu.release_audit(full.where("split = 'train'"), sources, rows.where("split = 'test'").select("family", "input_sha256"), ["x"])
-    parts = {"repeated id": audit["repeated id"], "repeated input": audit["repeated input"], "held-out family": train["held-out family"]}
-    return _counted(parts)
-
-
 @query(
     """WITH r AS (SELECT record_no, id, family, sha256(input.state) AS h, reference.target AS target, lower(trim(split)) AS split FROM decision_records), held AS (SELECT family, h FROM r WHERE split IN ('validation', 'eval', 'test')), train AS (SELECT * FROM r WHERE split = 'train'),
     s AS (SELECT id, family, h FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY record_no) = 1), g AS (SELECT family, count(*) n, count(DISTINCT h) states, count(DISTINCT target) labels FROM r WHERE family IS NOT NULL GROUP BY family)
@@ -97,9 +87,11 @@ def release_audit_counts(t):
     return _counted(audit | {name: train[name] for name in ("held-out family", "held-out input")})
 
 
-@query("SELECT user_id, n AS attempts FROM (SELECT user_id, count(*) n, count(*) FILTER (event_type = 'purchase' AND value > 45) a FROM events GROUP BY 1) WHERE n >= 2 AND a = 0")
+@query("SELECT user_id, n AS attempts FROM (SELECT user_id, count(*) n, count(*) FILTER (event_type = 'signup' AND event_id % 40 = user_id % 40) a FROM events GROUP BY 1) WHERE n >= 2 AND a = 0 AND 10 - user_id % 6 >= 7")
 def refinable_sources(t):
-    rows = t.events.withColumn("accepted", (F.col("event_type") == "purchase") & (F.col("value") > 45)).withColumns({"quota": F.lit(10), "made": F.lit(2)})
+    """Users as sources, events as attempts; some of their quota is made already."""
+    accepted = (F.col("event_type") == "signup") & (F.col("event_id") % 40 == F.col("user_id") % 40)
+    rows = t.events.withColumns({"accepted": accepted, "quota": F.lit(10), "made": (F.col("user_id") % 6).cast("int")})
     return cu.refinable(rows, "user_id", "accepted", "quota", "made").select("user_id", "attempts")
 
 
@@ -126,21 +118,26 @@ def worksheet_with_key(t):
     return sheet.join(key, "place")
 
 
-@query("SELECT 'paws-' || l_orderkey || '-' || l_linenumber AS id, CASE WHEN l_linenumber = 1 THEN 'true' ELSE 'false' END AS target FROM lineitem WHERE l_linenumber <= 2")
+@query("SELECT 'paws-' || l_orderkey || '-' || l_linenumber AS id, CASE WHEN l_linenumber % 2 = 1 THEN 'true' ELSE 'false' END AS target FROM lineitem")
 def converted_pairs(t):
     """Rows of the paws layout through its adapter."""
-    raw = t.lineitem.where("l_linenumber <= 2").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.lit("a").alias("sentence1"), F.lit("b").alias("sentence2"), (F.col("l_linenumber") == 1).cast("int").alias("label"))
+    raw = t.lineitem.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.lit("a").alias("sentence1"), F.lit("b").alias("sentence2"), (F.col("l_linenumber") % 2).cast("int").alias("label"))
     return adapters.accepted(adapters.convert("paws", raw)).select("id", "target")
 
 
-@query("SELECT 'multinli-' || l_orderkey AS id, round(count(*) FILTER (l_returnflag = 'N') / count(*), 9) AS neutral FROM lineitem GROUP BY l_orderkey HAVING count(*) FILTER (l_returnflag = 'N') >= greatest(count(*) FILTER (l_returnflag = 'A'), count(*) FILTER (l_returnflag = 'R')) AND count(*) FILTER (l_returnflag = 'N') > 0")
+@query(
+    """WITH v AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'N') AS b, count(*) FILTER (l_returnflag = 'R') AS c FROM lineitem GROUP BY 1)
+    SELECT CASE WHEN b > 0 AND b >= greatest(a, c) THEN 'ok' WHEN l_orderkey % 2 = 0 THEN 'skip' ELSE 'raise' END AS status, 'multinli-' || l_orderkey AS id, round(b / n, 9) AS neutral FROM v"""
+)
 def converted_votes(t):
-    """Rows of the multinli layout: votes as distributions, and gold only where it is modal."""
+    """Rows of the multinli layout, all of them: votes as distributions, rows without gold skipped, gold that is not modal told apart before it would stop a build."""
     names = F.create_map(*(F.lit(x) for x in ("A", "entailment", "N", "neutral", "R", "contradiction")))
-    raw = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(names[F.col("l_returnflag")]).alias("annotator_labels")).withColumn("gold_label", F.lit("neutral"))
+    raw = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(names[F.col("l_returnflag")]).alias("annotator_labels"))
     n = lambda v: F.size(F.filter("annotator_labels", lambda x: x == v))
-    raw = raw.where((n("neutral") > 0) & (n("neutral") >= F.greatest(n("entailment"), n("contradiction")))).select(F.col("l_orderkey").cast("string").alias("pairID"), F.col("l_orderkey").cast("string").alias("promptID"), F.lit("p").alias("sentence1"), F.lit("h").alias("sentence2"), "gold_label", "annotator_labels")
-    return adapters.accepted(adapters.convert("multinli", raw)).select("id", F.round(F.col("distribution")["neutral"], 9).alias("neutral"))
+    modal = (n("neutral") > 0) & (n("neutral") >= F.greatest(n("entailment"), n("contradiction")))
+    gold = F.when(~modal & (F.col("l_orderkey") % 2 == 0), "-").otherwise("neutral")
+    raw = raw.select(F.col("l_orderkey").cast("string").alias("pairID"), F.col("l_orderkey").cast("string").alias("promptID"), F.lit("p").alias("sentence1"), F.lit("h").alias("sentence2"), gold.alias("gold_label"), "annotator_labels")
+    return adapters.REGISTRY["multinli"].record(raw).select("status", "id", F.round(F.col("distribution")["neutral"], 9).alias("neutral"))
 
 
 @query("SELECT 'squad2-' || l_orderkey || '-' || l_linenumber AS id, CASE WHEN l_quantity > 25 THEN 'true' ELSE 'false' END AS target FROM lineitem")

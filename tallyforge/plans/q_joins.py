@@ -61,19 +61,34 @@ def pending_questions(t):
     return joins.pending(t.gold_template.select("gold_no", "id"), t.results, "id", F.col("error").isNotNull())
 
 
-@query("SELECT r.source_line, CASE WHEN m.id IS NULL THEN 'unknown source' ELSE 'payload_sha256' END AS mismatch FROM disagreements r LEFT JOIN (SELECT id, min(payload_sha256) s FROM results GROUP BY id) m USING (id) WHERE m.id IS NULL OR r.payload_sha256 IS DISTINCT FROM m.s")
+@query(
+    """WITH s AS (SELECT result_no, CASE WHEN result_no % 9 = 0 THEN 'other' ELSE payload_sha256 END AS sha, CASE WHEN result_no % 7 = 0 THEN 'x' ELSE api_url END AS url FROM results WHERE result_no % 11 <> 0)
+    SELECT result_no, 'unknown source' AS mismatch FROM results WHERE result_no NOT IN (SELECT result_no FROM s) UNION ALL SELECT result_no, 'payload_sha256' FROM results JOIN s USING (result_no) WHERE payload_sha256 IS DISTINCT FROM sha
+    UNION ALL SELECT result_no, 'api_url' FROM results JOIN s USING (result_no) WHERE api_url IS DISTINCT FROM url"""
+)
 def provenance_check(t):
-    sources = t.results.groupBy("id").agg(F.min("payload_sha256").alias("sha256"))
-    return joins.provenance_mismatches(t.disagreements.select("source_line", "id", "payload_sha256"), sources, "id", "id", {"payload_sha256": "sha256"}).select("source_line", "mismatch")
+    """Results checked against sources of which some are missing or say something else, in known places."""
+    k = F.col("result_no")
+    sources = t.results.where(k % 11 != 0).select(k.alias("no"), F.when(k % 9 == 0, "other").otherwise(F.col("payload_sha256")).alias("sha"), F.when(k % 7 == 0, "x").otherwise(F.col("api_url")).alias("url"))
+    return joins.provenance_mismatches(t.results.select("result_no", "payload_sha256", "api_url"), sources, "result_no", "no", {"payload_sha256": "sha", "api_url": "url"}).select("result_no", "mismatch")
+
+
+_TALK = "SELECT a.gold_no AS k, 'Asked: ' || upper(a.id) || coalesce(a.question, '') || ' / ' || coalesce(b.question, '') AS q FROM gold_template a LEFT JOIN gold_template b ON b.gold_no = a.gold_no + 1"
+
+
+def _talk(t):
+    """Texts that quote two questions each."""
+    a, b = t.gold_template, t.gold_template.select((F.col("gold_no") - 1).alias("gold_no"), F.col("question").alias("other"))
+    none = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return a.join(b, "gold_no", "left").select("gold_no", F.concat(F.lit("Asked: "), F.upper("id"), none("question"), F.lit(" / "), none("other")).alias("q"))
 
 
 @query(
-    """WITH n AS (SELECT question, min(gold_no) i FROM gold_template WHERE length(question) >= 6 GROUP BY 1), m AS (SELECT d.source_line k, n.i, length(n.question) l FROM (SELECT source_line, lower(question) || ' ' || question q FROM disagreements) d JOIN n ON contains(d.q, n.question))
+    f"""WITH n AS (SELECT question, min(gold_no) i FROM gold_template WHERE length(question) >= 6 GROUP BY 1), m AS (SELECT d.k, n.i, length(n.question) l FROM ({_TALK}) d JOIN n ON contains(d.q, n.question))
     SELECT k AS key, arg_min(i, (-l, i)) AS needle_id, max(l)::INT AS length FROM m GROUP BY k"""
 )
 def longest_question(t):
-    texts = t.disagreements.select("source_line", F.concat_ws(" ", F.lower("question"), "question").alias("q")).where("question is not null")
-    return joins.longest_match(texts, "q", t.gold_template, "question", "gold_no", "source_line", 6)
+    return joins.longest_match(_talk(t), "q", t.gold_template, "question", "gold_no", "gold_no", 6)
 
 
 @query(
@@ -93,12 +108,27 @@ def errors_after_signups(t):
     return joins.asof(calls, views, "ts", "view_ts", ["view_id"], tie="view_id").select("event_id", "matched_view_id")
 
 
-@query()
+_KEY = "regexp_replace(lower(translate({}, '０１２３４５６７８９', '0123456789')), '[^\\p{{L}}\\p{{N}}]', '', 'g')".format
+
+
+@query(
+    f"""WITH times AS (SELECT id, min(called_at) AS said_at FROM results GROUP BY id),
+    q AS (SELECT gold_no, question AS q, {_KEY('question')} AS n, said_at FROM gold_template JOIN times USING (id)),
+    c AS (SELECT source_line, said_at, CASE source_line % 3 WHEN 0 THEN 'He asked ' || g.question || '!' WHEN 1 THEN 'He asked: -- ' || upper(regexp_replace(g.question, ' ', '  ', 'g')) || ' --' ELSE 'nothing known' END AS text FROM disagreements d JOIN times USING (id) JOIN gold_template g ON g.gold_no = d.source_line % 500 + 1 WHERE g.question IS NOT NULL),
+    raw AS (SELECT source_line, arg_min(gold_no, (-length(x.q), gold_no)) g FROM c JOIN (SELECT q, min(gold_no) gold_no FROM q WHERE length(q) >= 1 GROUP BY q) x ON contains(text, x.q) GROUP BY 1),
+    norm AS (SELECT source_line, arg_min(gold_no, (-length(x.n), gold_no)) g FROM (SELECT source_line, {_KEY('text')} AS n FROM c) c JOIN (SELECT n, min(gold_no) gold_no FROM q WHERE length(n) >= 6 GROUP BY n) x ON contains(c.n, x.n) GROUP BY 1),
+    near AS (SELECT source_line, x.g FROM c ASOF JOIN (SELECT said_at, min(gold_no) g FROM q WHERE said_at IS NOT NULL GROUP BY said_at) x ON c.said_at >= x.said_at)
+    SELECT c.source_line, coalesce(raw.g, norm.g, near.g) AS gold_no, CASE WHEN raw.g IS NOT NULL THEN 'raw' WHEN norm.g IS NOT NULL THEN 'normalised' WHEN near.g IS NOT NULL THEN 'as-of' ELSE 'unmatched' END AS method
+    FROM c LEFT JOIN raw USING (source_line) LEFT JOIN norm USING (source_line) LEFT JOIN near USING (source_line)"""
+)
 def matched_calls(t):
-    """Disagreements attributed to the gold questions, by literal text, normalised text or time."""
-    calls = t.disagreements.select("source_line", "question", "id").join(t.results.groupBy("id").agg(F.min("called_at").alias("called_at")), "id")
-    questions = t.gold_template.select("gold_no", F.col("question").alias("q"), "id").join(t.results.groupBy("id").agg(F.min("called_at").alias("asked_at")), "id").drop("id")
-    return joins.cascade(calls.drop("id"), questions, "source_line", "question", "q", "gold_no", "called_at", "asked_at")
+    """Calls attributed to the gold questions, by literal text, normalised text or time; they quote a question, quote it in another spelling, or say nothing of it."""
+    at = t.results.groupBy("id").agg(F.min("called_at").alias("at"))
+    k, q = F.col("source_line") % 3, F.col("question")
+    said = F.when(k == 0, F.concat(F.lit("He asked "), q, F.lit("!"))).when(k == 1, F.concat(F.lit("He asked: -- "), F.upper(F.replace(q, F.lit(" "), F.lit("  "))), F.lit(" --"))).otherwise("nothing known")
+    calls = t.disagreements.select("source_line", "id", (F.col("source_line") % 500 + 1).alias("gold_no")).join(at, "id").join(t.gold_template.select("gold_no", "question"), "gold_no").where(q.isNotNull()).select("source_line", said.alias("text"), F.col("at").alias("called_at"))
+    questions = t.gold_template.select("gold_no", F.col("question").alias("q"), "id").join(at.withColumnRenamed("at", "asked_at"), "id").drop("id")
+    return joins.cascade(calls, questions, "source_line", "text", "q", "gold_no", "called_at", "asked_at")
 
 
 @query("SELECT n_nationkey AS place, n_name AS name, n_regionkey FROM nation")
@@ -113,10 +143,13 @@ def first_results(t):
     return joins.first_wins(t.results.select("result_no", "id"), ["id"], "result_no")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity, 1::BIGINT AS surplus FROM (SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem EXCEPT ALL SELECT l_orderkey, l_linenumber, least(l_quantity, 49) FROM lineitem) WHERE false")
+@query("SELECT l_orderkey, l_linenumber, l_quantity, sum(s)::BIGINT AS surplus FROM (SELECT l_orderkey, l_linenumber, l_quantity, 1 AS s FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 10 = 0 THEN least(l_quantity, 20) ELSE l_quantity END, -1 FROM lineitem) GROUP BY ALL HAVING sum(s) <> 0")
 def reconstruction_check(t):
-    rebuilt = t.orders.select("o_orderkey").join(t.lineitem.withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey").select(F.col("o_orderkey").alias("l_orderkey"), "l_linenumber", "l_quantity")
-    return joins.same_rows(t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber", "l_quantity"), rebuilt)
+    """Lines rebuilt from their orders, with the quantities of every tenth order wrong: the rows by which both differ."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity")
+    rebuilt = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_quantity")).alias("lines")).select("l_orderkey", F.explode("lines").alias("x"))
+    rebuilt = rebuilt.select("l_orderkey", "x.l_linenumber", F.when(F.col("l_orderkey") % 10 == 0, F.least("x.l_quantity", F.lit(20.0))).otherwise(F.col("x.l_quantity")).alias("l_quantity"))
+    return joins.same_rows(rows, rebuilt)
 
 
 _JAC = """WITH s AS (SELECT {k} k, list_sort(list_distinct(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]+'))) w FROM {t} WHERE {c} IS NOT NULL), c AS (SELECT min(k) k, w FROM s WHERE len(w) > 0 GROUP BY w),
@@ -124,9 +157,9 @@ x AS (SELECT k, len(w) n, unnest(w) u FROM c), p AS (SELECT a.k a, b.k b, count(
 SELECT a, b, round(s / (na + nb - s), 9) AS similarity FROM p WHERE s >= 0.8 * (na + nb - s) UNION ALL SELECT c.k, s.k, 1.0 FROM s JOIN c USING (w) WHERE c.k < s.k"""
 
 
-@query(_JAC.format(k="item_id", c="text", t="eval_items"))
-def similar_items(t):
-    return joins.jaccard_pairs(t.eval_items, "item_id", "text").withColumn("similarity", F.round("similarity", 9))
+@query(_JAC.format(k="doc_id", c="text", t="documents"))
+def similar_documents(t):
+    return joins.jaccard_pairs(t.documents, "doc_id", "text").withColumn("similarity", F.round("similarity", 9))
 
 
 @query(_JAC.format(k="gold_no", c="question", t="gold_template"))

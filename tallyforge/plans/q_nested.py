@@ -8,11 +8,66 @@ from tallyforge.operators import nested
 from tallyforge.plans.catalog import query
 
 
-@query()
+def _open(j: str) -> str:
+    """A JSON text that spells a container, as that container."""
+    return f"CASE WHEN json_type({j}) = 'VARCHAR' AND coalesce(json_type(TRY_CAST({j} ->> '$' AS JSON)) IN ('OBJECT', 'ARRAY'), false) THEN TRY_CAST({j} ->> '$' AS JSON) ELSE {j} END"
+
+
+_MESSAGES = f"""r AS (SELECT row_number() OVER () AS rec, source_line, payload AS p FROM disagreements WHERE json_valid(payload)),
+s AS (SELECT rec, source_line, {_open("json_extract(p, '$.state')")} AS st FROM r),
+l AS (SELECT rec, source_line, st, {_open("json_extract(st, '$.history')")} AS h, {_open("json_extract(st, '$.messages')")} AS m FROM s),
+a AS (SELECT rec, source_line, CASE WHEN json_type(h) = 'ARRAY' AND json_array_length(h) > 0 THEN 'history' ELSE 'messages' END AS list, CASE WHEN json_type(h) = 'ARRAY' AND json_array_length(h) > 0 THEN h WHEN json_type(m) = 'ARRAY' THEN m END AS items FROM l),
+e AS (SELECT rec, source_line, list, i AS msg_pos, {_open("json_extract(items, '$[' || i || ']')")} AS j FROM (SELECT *, unnest(range(json_array_length(items)::BIGINT)) AS i FROM a WHERE items IS NOT NULL))"""
+_CALLS = f"""{_MESSAGES},
+tc AS (SELECT *, {_open("json_extract(j, '$.tool_calls')")} AS many, {_open("json_extract(j, '$.function_call')")} AS one FROM e WHERE json_type(j) = 'OBJECT'),
+c AS (SELECT rec, source_line, msg_pos, 'tool_calls' AS call_kind, i AS call_pos, {_open("json_extract(many, '$[' || i || ']')")} AS call FROM (SELECT *, unnest(range(json_array_length(many)::BIGINT)) AS i FROM tc WHERE json_type(many) = 'ARRAY')
+    UNION ALL SELECT rec, source_line, msg_pos, 'function_call', 0, one FROM tc WHERE one IS NOT NULL AND json_type(one) <> 'NULL'),
+f AS (SELECT *, {_open("json_extract(call, '$.function')")} AS fn FROM c),
+k AS (SELECT *, {_open("coalesce(json_extract(fn, '$.arguments'), json_extract(call, '$.arguments'))")} AS args, call ->> '$.id' AS call_id,
+    coalesce((SELECT min(e.msg_pos) FROM e WHERE e.rec = f.rec AND e.msg_pos > f.msg_pos AND json_type(e.j) = 'OBJECT' AND e.j ->> '$.role' = 'tool' AND e.j ->> '$.tool_call_id' = f.call ->> '$.id'), -1) AS reply_pos FROM f)"""
+_FOUND = f"""WITH {_CALLS},
+g AS (SELECT *, {_open("json_extract(args, '$.filters')")} AS filters FROM k),
+x AS (SELECT rec, msg_pos, call_kind, call_pos, row_number() OVER (PARTITION BY rec, msg_pos, call_kind, call_pos ORDER BY t.id) - 1 AS cond_pos FROM g, json_tree(g.filters) t WHERE t.type = 'OBJECT' AND json_exists(t.value, '$.field'))
+SELECT k.source_line, k.msg_pos, k.call_pos, coalesce(x.cond_pos, -1) AS cond_pos, k.reply_pos FROM k LEFT JOIN x USING (rec, msg_pos, call_kind, call_pos)"""
+
+
+@query(_FOUND)
 def p4_found(t):
     return nested.call_conditions(t.disagreements).select("source_line", "msg_pos", "call_pos", "cond_pos", "reply_pos")
 
 
+@query(f"WITH {_MESSAGES} SELECT source_line, msg_pos, list, CASE json_type(j) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS kind, CASE WHEN json_type(j) = 'OBJECT' THEN j ->> '$.role' END AS role, CASE WHEN json_type(j) = 'OBJECT' THEN j ->> '$.tool_call_id' END AS tool_call_id FROM e")
+def p4_message_links(t):
+    """The messages without their contents."""
+    return nested.messages(t.disagreements).select("source_line", "msg_pos", "list", "kind", "role", "tool_call_id")
+
+
+@query(f"WITH {_CALLS} SELECT source_line, msg_pos, call_kind, call_pos, call_id, coalesce(fn ->> '$.name', call ->> '$.name') AS name, reply_pos FROM k")
+def p4_call_links(t):
+    """The calls without their arguments."""
+    return nested.calls(t.disagreements).select("source_line", "msg_pos", "call_kind", "call_pos", "call_id", "name", "reply_pos")
+
+
+@query(f"""WITH {_MESSAGES.split(chr(10) + 'l AS')[0]} SELECT source_line, step_pos, kind, CASE WHEN kind = 'string' THEN j ->> '$' END AS step, CASE WHEN kind = 'object' THEN j ->> '$.skill' END AS skill FROM (SELECT source_line, step_pos, j, CASE json_type(j) WHEN 'OBJECT' THEN 'object' WHEN 'VARCHAR' THEN 'string' ELSE 'other' END AS kind FROM (
+    SELECT source_line, 0 AS step_pos, plan AS j FROM (SELECT source_line, {_open("json_extract(st, '$.current_plan')")} AS plan FROM s) WHERE json_type(plan) NOT IN ('ARRAY', 'NULL') UNION ALL
+    SELECT source_line, i, {_open("json_extract(plan, '$[' || i || ']')")} FROM (SELECT source_line, plan, unnest(range(json_array_length(plan)::BIGINT)) AS i FROM (SELECT source_line, {_open("json_extract(st, '$.current_plan')")} AS plan FROM s) WHERE json_type(plan) = 'ARRAY')))""")
+def p4_steps(t):
+    """The plan steps as texts and skills."""
+    return nested.plan_steps(t.disagreements).select("source_line", "step_pos", "kind", "step", "skill")
+
+
+@query(f"WITH {_MESSAGES.split(chr(10) + 'l AS')[0]} SELECT source_line, CASE WHEN json_type(st) = 'OBJECT' THEN 'object' ELSE 'string' END AS kind, CASE WHEN json_type(st) = 'OBJECT' THEN st ->> '$.question' END AS question FROM s WHERE st IS NOT NULL")
+def p4_state_questions(t):
+    return nested.states(t.disagreements).select("source_line", "kind", "question")
+
+
+@query("SELECT source_line, CASE WHEN source_line % 3 = 0 THEN 'null' WHEN source_line % 3 = 1 THEN 'not JSON' END AS reason FROM disagreements WHERE source_line % 3 < 2")
+def p4_rejects(t):
+    """Payloads of which a third is taken away and a third cut off: each comes out as a reject with its reason."""
+    cut = F.when(F.col("source_line") % 3 == 1, F.expr("substring(payload, 1, length(payload) - 1)")).when(F.col("source_line") % 3 == 2, F.col("payload"))
+    return nested.rejects(t.disagreements.select("source_line", cut.alias("payload")), "source_line", "payload")
+
+
 @query()
 def p4_conditions(t):
     return nested.call_conditions(t.disagreements)

@@ -166,40 +166,12 @@ def path_texts(t):
     return t.disagreements.where(F.try_parse_json("payload").isNotNull()).select("source_line", pr.text_at(F.col("payload"), "$.model").alias("model"))
 
 
-@query()
-def payload_keys(t):
-    """Field names at any depth of each payload, and the fingerprint of its canonical form."""
-    return t.disagreements.select("source_line", pr.nested_keys("payload").alias("keys"), pr.fingerprint(F.col("payload")).alias("sha256"), F.length(pr.flat_text("payload")).alias("chars"))
-
-
-@query()
-def match_keys(t):
-    return t.gold_template.select("gold_no", pr.match_key("question").alias("key"))
-
-
-@query()
-def rewrite_distances(t):
-    """Words changed between each question and the least one of its id."""
-    least = t.gold_template.groupBy("id").agg(F.min("question").alias("least"))
-    return t.gold_template.select("gold_no", "id", "question").join(least, "id").select("gold_no", pr.changed_words("question", "least").alias("changed"))
-
-
 @query("SELECT api_url, count(*) FILTER (error IS NULL) AS accepted, count(*) FILTER (error IS NOT NULL) AS rejected FROM results GROUP BY api_url")
 def success_split(t):
     good = va.success(F.lit(None).cast("int"), F.col("error"), F.lit(None).cast("string"))
     return t.results.groupBy("api_url").agg(F.count_if(good).alias("accepted"), F.count_if(~good).alias("rejected"))
 
 
-@query(
-    """SELECT reason, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN reference.target IS NULL THEN 'target' END, CASE WHEN reference.distribution IS NOT NULL AND NOT abs(list_sum(map_values(reference.distribution)) - 1) <= 1e-6 THEN 'distribution sum' END], lambda x: x IS NOT NULL)) AS reason FROM decision_records) GROUP BY reason"""
-)
-def quarantine_reasons(t):
-    q = F.col("input.questions")["decision"]
-    rules = va.record_rules(q["type"], q["criteria"], F.col("reference.target"), F.col("reference.distribution"))
-    _, rejected = va.quarantine(t.decision_records, {k: v for k, v in rules.items() if k in ("target", "distribution sum")})
-    return rejected.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
-
-
 @query(
     """WITH r AS (SELECT input.questions['decision'].type AS kind, input.questions['decision'].criteria AS c, reference.target AS t, reference.distribution AS d FROM decision_records),
     j AS (SELECT kind, CASE WHEN json_valid(c) THEN c END AS c, CASE WHEN json_valid(t) THEN t END AS t, d FROM r),

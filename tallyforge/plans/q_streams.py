@@ -61,3 +61,18 @@ def stream_folds(t):
     rows = _stream(t, "orders").select(F.col("o_orderkey").cast("string").alias("request_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.posexplode(data).alias("seq", "data"))
     rows = rows.withColumn("arrival_ms", F.col("seq") * 10.0)
     return _result(t, calls.fold_stream(rows, "10000 days")).select("request_id", "text", "chunks", "complete")
+
+
+@query("SELECT o_orderkey::VARCHAR AS request_id, o_orderpriority || CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE ' ' || o_orderstatus END AS text, o_orderkey % 4 <> 0 AS complete FROM orders")
+def stream_late_ends(t):
+    """Event streams in reverse order of their events, a quarter of them without an end: these come out incomplete once nothing came for long."""
+    event = lambda c: F.concat(F.lit('{"choices": [{"index": 0, "delta": {"content": '), F.to_json(F.struct(c.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("v")))) - 6), F.lit("}}]}"))
+    cut = F.col("o_orderkey") % 4 == 0
+    data = F.when(cut, F.array(F.struct(F.lit(0).alias("seq"), event(F.col("o_orderpriority")).alias("data")))).otherwise(F.array(F.struct(F.lit(2).alias("seq"), F.lit("[DONE]").alias("data")), F.struct(F.lit(1).alias("seq"), event(F.concat(F.lit(" "), F.col("o_orderstatus"))).alias("data")), F.struct(F.lit(0).alias("seq"), event(F.col("o_orderpriority")).alias("data"))))
+    rows = t.orders.select(F.col("o_orderkey").cast("string").alias("request_id"), F.explode(data).alias("x")).select("request_id", "x.seq", "x.data", F.lit(1000).alias("t"), (F.col("x.seq") * 10.0).alias("arrival_ms"))
+    folder = f"{shared_folder(t.spark)}/late-{uuid.uuid4().hex}"
+    rows.coalesce(1).write.parquet(folder)
+    for t_end in (100_000, 200_000):
+        t.spark.createDataFrame([("", 0, "[DONE]", t_end, 0.0)], rows.schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder).withColumn("ts", F.timestamp_seconds("t"))
+    return _result(t, calls.fold_stream(stream)).where("request_id <> ''").select("request_id", "text", "complete")

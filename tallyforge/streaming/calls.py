@@ -37,7 +37,8 @@ def fold_stream(events: DataFrame, timeout: str = "10 minutes") -> DataFrame:
                 last = arrival
 
         def row(complete):
-            return pd.DataFrame({"request_id": [key[0]], "text": [text], "chunks": [chunks], "ttft_ms": [first if first >= 0 else None], "last_ms": [last if last >= 0 else None], "complete": [complete]})
+            known = lambda x: pd.array([x if x >= 0 else None], dtype="Float64")
+            return pd.DataFrame({"request_id": [key[0]], "text": [text], "chunks": [chunks], "ttft_ms": known(first), "last_ms": known(last), "complete": [complete]})
 
         if state.hasTimedOut:
             state.remove()
