@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +33,18 @@ def _word_values(tokens: list[str]) -> np.ndarray:
     return np.fromiter(map(hash, tokens), np.int64, len(tokens)).view(np.uint64)
 
 
+_TABLES: dict[str, list[Grams]] = {}
+
+
+def _tables(block: tuple[str, list[Item]]) -> list[Grams]:
+    """The n-gram tables of a block of items, by words and by characters, made once in each worker process and kept for the tasks that follow."""
+    name, items = block
+    if name not in _TABLES:
+        _TABLES.clear()
+        _TABLES[name] = [Grams(items, by_chars) for by_chars in (False, True)]
+    return _TABLES[name]
+
+
 class Grams:
     """The n-grams of one block of items: a sorted hash table with a small presence table before it."""
 
@@ -135,10 +148,10 @@ def leaked_spans(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     source = spread(documents.select(doc_id, F.col(text).cast("string").alias("_text")).where(F.col("_text").isNotNull() & F.col(doc_id).isNotNull()))
     out = None
     for block in _blocks(items, item_id, text, lang):
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
 
         def run(batches, shared=shared):
-            tables = [Grams(shared.value, by_chars) for by_chars in (False, True)]
+            tables = _tables(shared.value)
             for batch in batches:
                 kind, rows = batch.schema.field(0).type, []
                 for piece in _pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
