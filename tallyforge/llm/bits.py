@@ -5,13 +5,15 @@ least RATIO bits for each, and has at most 2^27 bits, 16 MB; where the hashes
 would need more, none is built, as it would let nearly everything pass.  Each
 task folds its hashes and sends of each slice what is shorter, the slice or the
 numbers of its bits, so that all tasks together send a bounded number of bytes
-however many they are.  Only the finished array reaches the driver, to be
+however many they are.  A second array may tell which bits were set twice.  Only the finished array reaches the driver, to be
 broadcast.  It answers "certainly absent" or "maybe present", so a probe side may
 drop what is certainly absent before a shuffle; nothing is ever lost.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
@@ -21,6 +23,7 @@ MOST = 1 << 27
 RATIO = 2
 AIM = 48
 SLICES = 64
+_HELD = 1 << 23
 
 
 def bits_for(n: int) -> int | None:
@@ -46,16 +49,20 @@ def packed(at: list[np.ndarray], bits: int) -> np.ndarray:
     return np.packbits(flags, bitorder="little")
 
 
-def shortened(numbers: np.ndarray) -> bytes:
-    """Numbers in order, as compressed steps from one to the next."""
+def shortened(numbers: np.ndarray, width: int) -> bytes:
+    """Numbers in order below ``width``: compressed steps from one to the next, or the bit array itself where that is shorter."""
     steps = np.diff(numbers, prepend=np.uint32(0)).astype(np.uint32)
-    return len(numbers).to_bytes(4, "little") + pa.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+    made = len(numbers).to_bytes(4, "little") + pa.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+    return b"s" + made if len(made) < width // 8 else b"d" + packed([numbers], width).tobytes()
 
 
-def lengthened(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:4], "little")
-    planes = np.frombuffer(pa.decompress(data[4:], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
-    return np.cumsum(planes.T.copy().view(np.uint32).ravel(), dtype=np.uint64).astype(np.uint32)
+def lengthened(data: bytes, width: int) -> np.ndarray:
+    """The bit array of what ``shortened`` made."""
+    if data[:1] == b"d":
+        return np.frombuffer(data[1:], np.uint8)
+    n = int.from_bytes(data[1:5], "little")
+    planes = np.frombuffer(pa.decompress(data[5:], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return packed([np.cumsum(planes.T.copy().view(np.uint32).ravel(), dtype=np.uint64).astype(np.uint32)], width)
 
 
 def maybe_present(array: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -67,51 +74,74 @@ def maybe_present(array: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return mask
 
 
-def build(hashes: DataFrame) -> Broadcast | None:
-    """The bit array of the whole numbers in the only column of a written table, as a broadcast of uint8; None where they are too many."""
-    bits = bits_for(hashes.count())
+def column(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The whole numbers of a batch's first column, as hashes."""
+    return [batch.column(0).to_numpy().view(np.uint64)]
+
+
+def _united(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct numbers in order, those that occur more than once)."""
+    numbers = np.sort(np.concatenate(parts)) if parts else np.empty(0, np.uint32)
+    new = np.ones(len(numbers), bool)
+    new[1:] = numbers[1:] != numbers[:-1]
+    return numbers[new], np.unique(numbers[~new])
+
+
+def build(source: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterable[np.ndarray]], n: int, twice: bool = False) -> Broadcast | None:
+    """The bit array of the ``n`` hashes that ``hashes_of`` finds in the batches of ``source``, as a broadcast of uint8; None where they are too many.
+
+    With ``twice``, a pair of arrays, the second of the bits that more than one hash has set: a hash that is in it was given at least
+    twice, or its bits by others.
+    """
+    bits = bits_for(n)
     if bits is None:
         return None
     width = bits // SLICES
 
     def fold(batches):
-        held: list[np.ndarray] = []
-        array, size = None, 0
+        held, ones, twos, size = [], [], [], 0
+
+        def gather():
+            one, two = _united([*ones, *held])
+            return [one], [_united([*twos, two])[0]]
+
         for batch in batches:
-            held += [at.astype(np.uint32) for at in bit_positions(batch.column(0).to_numpy().view(np.uint64), bits)]
-            size += 2 * len(held[-1])
-            if size * 4 > bits // 2:
-                more = packed(held, bits)
-                array = more if array is None else array | more
+            for hashes in hashes_of(batch):
+                held += [at.astype(np.uint32) for at in bit_positions(hashes, bits)]
+                size += 2 * len(hashes)
+            if size > _HELD:
+                ones, twos = gather()
                 held, size = [], 0
-        if array is not None or size * 4 > bits // 8:
-            more = packed(held, bits)
-            array = more if array is None else array | more
+        ones, twos = gather()
         rows = []
-        if array is not None:
-            rows = [(i, True, array[i * width // 8 : (i + 1) * width // 8].tobytes()) for i in range(SLICES)]
-        elif size:
-            numbers = np.sort(np.concatenate(held))
+        for numbers, again in ((ones[0], False), (twos[0], True)) if twice else ((ones[0], False),):
             cuts = np.searchsorted(numbers, np.arange(SLICES + 1, dtype=np.uint64) * np.uint64(width))
-            rows = [(i, False, shortened(numbers[a:b] - np.uint32(i * width))) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+            rows += [(i, again, shortened(numbers[a:b] - np.uint32(i * width), width)) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], names=["slice", "dense", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], names=["slice", "again", "bits"])
 
     def either(batches):
         """The slices of one task, or-ed."""
-        made: dict[int, np.ndarray] = {}
+        once: dict[int, np.ndarray] = {}
+        more: dict[int, np.ndarray] = {}
+        none = np.zeros(width // 8, np.uint8)
         for batch in batches:
-            for i, dense, data in zip(*(batch.column(c) for c in range(3))):
-                part = made.setdefault(i.as_py(), np.zeros(width // 8, np.uint8))
-                part |= np.frombuffer(data.as_buffer(), np.uint8) if dense.as_py() else packed([lengthened(data.as_py())], width)
-        if made:
-            yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int32()), pa.array([p.tobytes() for p in made.values()], pa.binary())], names=["slice", "bits"])
-
-    slices = hashes.mapInArrow(fold, "slice int, dense boolean, bits binary").repartition("slice").mapInArrow(either, "slice int, bits binary")
-    whole = np.zeros(bits // 8, np.uint8)
-    for row in slices.toLocalIterator():
-        whole[row["slice"] * width // 8 : (row["slice"] + 1) * width // 8] = np.frombuffer(row["bits"], np.uint8)
-    return hashes.sparkSession.sparkContext.broadcast(whole)
+            for i, again, data in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                part = lengthened(data, width)
+                if again:
+                    more[i] = more.get(i, none) | part
+                else:
+                    more[i] = more.get(i, none) | (once.get(i, none) & part)
+                    once[i] = once.get(i, none) | part
+        rows = [(i, False, p) for i, p in once.items()] + ([(i, True, p) for i, p in more.items() if p.any()] if twice else [])
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2].tobytes() for r in rows], pa.binary())], names=["slice", "again", "bits"])
+
+    schema = "slice int, again boolean, bits binary"
+    arrays = [np.zeros(bits // 8, np.uint8) for _ in range(1 + twice)]
+    for row in source.mapInArrow(fold, schema).repartition("slice").mapInArrow(either, schema).toLocalIterator():
+        arrays[row["again"]][row["slice"] * width // 8 : (row["slice"] + 1) * width // 8] = np.frombuffer(row["bits"], np.uint8)
+    return source.sparkSession.sparkContext.broadcast(tuple(arrays) if twice else arrays[0])
 
 
 def only_present(df: DataFrame, hashed: Column, present: Broadcast | None) -> DataFrame:

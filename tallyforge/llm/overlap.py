@@ -183,8 +183,9 @@ class CrossSplitOverlap:
     def class_pairs(self) -> DataFrame:
         """(cls_t, cls_e, similarity) of pairs of different classes."""
         held = stage(signed(self.classes.where("e > 0")), "held", "lz4").select("cls", "size", F.explode("buckets").alias("bucket"))
-        t, e = buckets(self.classes.where("t > 0"), bits.build(held.select("bucket"))), held
-        hot = heavy_keys(held, ["bucket"], held.count())
+        n = held.count()
+        t, e = buckets(self.classes.where("t > 0"), bits.build(held.select("bucket"), bits.column, n)), held
+        hot = heavy_keys(held, ["bucket"], n)
         t, e = t.select("bucket", F.col("cls").alias("cls_t"), F.col("size").alias("size_t")), e.select("bucket", F.col("cls").alias("cls_e"), F.col("size").alias("size_e"))
         # sets of too different sizes cannot be similar enough
         near = F.least("size_t", "size_e") >= F.greatest("size_t", "size_e") * (self.threshold - 1e-9)
@@ -192,7 +193,7 @@ class CrossSplitOverlap:
         pairs = stage(met.select("cls_t", "cls_e").distinct(), "candidates")
         # both word sets of a pair in one pass over the classes: a pair asks for two classes and is put together again
         asked = pairs.select("cls_t", "cls_e", F.explode(F.array("cls_t", "cls_e")).alias("cls"))
-        texts = bits.only_present(self.classes.select("cls", "words"), F.xxhash64("cls"), bits.build(asked.select(F.xxhash64("cls").alias("h"))))
+        texts = bits.only_present(self.classes.select("cls", "words"), F.xxhash64("cls"), bits.build(asked.select(F.xxhash64("cls").alias("h")), bits.column, asked.count()))
         both = asked.join(texts, "cls").groupBy("cls_t", "cls_e").agg(F.min("words").alias("a"), F.max("words").alias("b"))
         return both.select("cls_t", "cls_e", similarity(F.col("a"), F.col("b")).alias("similarity")).where(F.col("similarity") >= self.threshold)
 

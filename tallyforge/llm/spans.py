@@ -15,7 +15,8 @@
    Around each hit, every window of SPAN characters that may hold it gets a
    128-bit hash.  Windows that another text of the piece has too are shared;
    their runs leave the piece as one row each.  Windows not found there are looked
-   up among those of all pieces, to which each piece sends every hash once.
+   up among those of all pieces: each piece packs its hashes, a bit array tells
+   which of them two pieces have, and only those are unpacked and shuffled.
 4. Runs and windows unite to the maximal stretches in which every window of SPAN
    characters occurs elsewhere; what they cover is what is shared.
 
@@ -43,7 +44,9 @@ _PIECE_CHARS = 1_000_000
 _MOST_HOT = 5_000
 _POWERS = np.array([pow(BASE, i, 1 << 64) for i in range(BLOCK)], np.uint64)
 TEXT = ["c1", "c2"]
-RUN, ALONE, SHARED = range(3)
+ALONE, SHARED = range(2)
+WINDOW = pa.schema([("kind", pa.int8()), ("h1", pa.int64()), ("h2", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("before", pa.int32()), ("upto", pa.int32())])
+_PACK = 200_000
 
 
 def _pieces(c1, c2, texts, places=None):
@@ -120,7 +123,7 @@ class SharedSpans:
                     yield _table(["hash", *TEXT], hashes.view(np.int64), one[owner], two[owner])
 
         index_rows = stage(self.texts.mapInArrow(index, "hash long, c1 long, c2 long"), "blocks", "lz4")
-        present = bits.build(index_rows.select("hash"))
+        present = bits.build(index_rows.select("hash"), bits.column, index_rows.count(), twice=True)
 
         def probe(batches):
             for batch in batches:
@@ -130,7 +133,11 @@ class SharedSpans:
                     known, least, most = _owners(*block_hashes(parts))
                     for hashes, owner, position in window_runs(parts, BLOCK):
                         if present is not None:
-                            maybe = bits.maybe_present(present.value, hashes)
+                            once, twice = present.value
+                            maybe = bits.maybe_present(once, hashes)
+                            # a text's own block is no hit unless it is a block elsewhere too
+                            own = np.flatnonzero(maybe & (position % BLOCK == 0))
+                            maybe[own] = bits.maybe_present(twice, hashes[own])
                             hashes, owner, position = hashes[maybe], owner[maybe], position[maybe]
                         at = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
                         hit = (known[at] == hashes) & ((least[at] != owner) | (most[at] != owner)) if len(known) else np.zeros(len(hashes), bool)
@@ -154,9 +161,10 @@ class SharedSpans:
         return every.groupBy(*TEXT).agg(F.collect_set("at").alias("places"), F.min("hash").alias("anchor"))
 
     def windows(self) -> DataFrame:
-        """(kind byte, h1, h2, c1, c2, begin, end, before, upto): what extending the hits gives, written once.
+        """(c1, c2, begin, end, before, upto, n, packed): what extending the hits gives, written once.
 
-        RUN: a stretch from ``begin`` to ``end`` whose every window of SPAN characters is in another text.  ALONE: one window that no other text
+        A row is a run, or ``n`` rows (kind, h1, h2, c1, c2, begin, end, before, upto) packed as one Arrow message, of which most will not be asked for.
+        Run: a stretch from ``begin`` to ``end`` whose every window of SPAN characters is in another text.  ALONE: one window that no other text
         of the piece has.  SHARED: the hash of windows that several texts of the piece have.  ``before`` and ``upto`` count the
         non-blank characters before begin and end.
         """
@@ -165,12 +173,18 @@ class SharedSpans:
         asked = self.hits().join(carriers, TEXT)
         joined = stage(self.documents.drop(*TEXT).join(asked, "doc").select(*TEXT, "text", "places", "anchor"), "hits")
         ordered = joined.repartitionByRange("anchor", *TEXT).sortWithinPartitions("anchor", *TEXT)
-        names = ["kind", "h1", "h2", *TEXT, "begin", "end", "before", "upto"]
-
-        def rows(kind, h1, h2, c1, c2, begin, end, before, upto):
-            none = pa.nulls(len(begin), pa.int64())
-            as_long = lambda h: none if h is None else pa.array(h.view(np.int64))
-            return _table(names, pa.array(np.full(len(begin), kind, np.int8)), as_long(h1), as_long(h2), c1, c2, *(pa.array(x.astype(np.int32)) for x in (begin, end, before, upto)))
+        names = [*TEXT, "begin", "end", "before", "upto", "n", "packed"]
+
+        def packs(kind, h1, h2, c1, c2, *places):
+            columns = [pa.array(np.full(len(h1), kind, np.int8)), *(pa.array(h.view(np.int64)) for h in (h1, h2)), pa.array(c1), pa.array(c2), *(pa.array(x.astype(np.int32)) for x in places)]
+            whole = pa.RecordBatch.from_arrays(columns, schema=WINDOW)
+            for at in range(0, len(h1), _PACK):
+                part = whole.slice(at, _PACK)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, WINDOW, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(part)
+                none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), *[pa.int32()] * 4)]
+                yield _table(names, *none, pa.array([part.num_rows], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary()))
 
         def extend(batches):
             for batch in batches:
@@ -206,27 +220,49 @@ class SharedSpans:
                     shared[order] = several[np.cumsum(new) - 1]
                     base = offsets[owner] + position
                     alone = ~shared
-                    yield rows(ALONE, h1[alone], h2[alone], one[owner[alone]], two[owner[alone]], position[alone], position[alone] + SPAN, counts[base[alone]], counts[base[alone] + SPAN])
+                    yield from packs(ALONE, h1[alone], h2[alone], one[owner[alone]], two[owner[alone]], position[alone], position[alone] + SPAN, counts[base[alone]], counts[base[alone] + SPAN])
                     lead = order[starts[several]]
                     zero = np.zeros(len(lead), np.int32)
-                    yield rows(SHARED, h1[lead], h2[lead], one[owner[lead]], two[owner[lead]], zero, zero, zero, zero)
+                    yield from packs(SHARED, h1[lead], h2[lead], one[owner[lead]], two[owner[lead]], zero, zero, zero, zero)
                     # windows are kept in order of text and position, so runs are neighbours
                     at = np.flatnonzero(shared)
                     if len(at):
                         breaks = (owner[at][1:] != owner[at][:-1]) | (position[at][1:] != position[at][:-1] + 1)
                         begin, end = at[np.concatenate(([True], breaks))], at[np.concatenate((breaks, [True]))]
-                        yield rows(RUN, None, None, one[owner[begin]], two[owner[begin]], position[begin], position[end] + SPAN, counts[base[begin]], counts[base[end] + SPAN])
+                        runs = (x.astype(np.int32) for x in (position[begin], position[end] + SPAN, counts[base[begin]], counts[base[end] + SPAN]))
+                        yield _table(names, one[owner[begin]], two[owner[begin]], *runs, pa.nulls(len(begin), pa.int32()), pa.nulls(len(begin), pa.binary()))
+
+        return stage(ordered.mapInArrow(extend, "c1 long, c2 long, begin int, end int, before int, upto int, n int, packed binary"), "windows", "lz4")
+
+    @staticmethod
+    def asked_windows(packed: DataFrame) -> DataFrame:
+        """(kind, h1, h2, c1, c2, begin, end, before, upto) of the packed windows, without those whose hash certainly no other piece has sent.
+
+        A bit array tells which hashes were sent twice, as long as there are few enough for one; else all windows come out.
+        """
+
+        def unpacked(batch):
+            for data in batch.column(0):
+                yield from pa.ipc.open_stream(data.as_buffer())
+
+        n = packed.agg(F.sum("n")).first()[0] or 0
+        present = bits.build(packed.select("packed"), lambda batch: (w.column(1).to_numpy().view(np.uint64) for w in unpacked(batch)), n, twice=True)
+
+        def survive(batches):
+            for batch in batches:
+                for w in unpacked(batch):
+                    yield w if present is None else w.filter(pa.array(bits.maybe_present(present.value[1], w.column(1).to_numpy().view(np.uint64))))
 
-        return stage(ordered.mapInArrow(extend, "kind byte, h1 long, h2 long, c1 long, c2 long, begin int, end int, before int, upto int"), "windows", "lz4")
+        return packed.select("packed").mapInArrow(survive, "kind byte, h1 long, h2 long, c1 long, c2 long, begin int, end int, before int, upto int")
 
     def shared_runs(self) -> DataFrame:
         """(c1, c2, begin, end, before, upto): stretches whose every window another text has too; they may overlap and adjoin."""
         every = self.windows()
-        sent = every.where(F.col("kind") != RUN)
+        sent = self.asked_windows(every.where("n is not null"))
         span = lambda c: F.min(c) != F.max(c)
         several = sent.groupBy("h1", "h2").agg((span("c1") | span("c2") | F.max(F.col("kind") == SHARED)).alias("several")).where("several").select("h1", "h2")
         place = [*TEXT, "begin", "end", "before", "upto"]
-        return every.where(F.col("kind") == RUN).select(*place).unionByName(every.where(F.col("kind") == ALONE).join(several, ["h1", "h2"], "left_semi").select(*place))
+        return every.where("n is null").select(*place).unionByName(sent.where(F.col("kind") == ALONE).join(several, ["h1", "h2"], "left_semi").select(*place))
 
     def extents(self) -> DataFrame:
         """(doc_id, extent, shared_chars, blankless): how much of each document is shared; documents without a shared span are left out.

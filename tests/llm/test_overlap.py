@@ -95,11 +95,11 @@ def test_bit_array_never_forgets(spark, monkeypatch):
     values = spark.range(5000).select((F.col("id") * F.lit(0x1E3779B97F4A7C15 % (1 << 40))).alias("h"))
     for parts, most in ((1, 1 << 27), (5, 1 << 27), (7, 1 << 16)):
         monkeypatch.setattr(bits, "MOST", most)
-        built = bits.build(values.repartition(parts))
+        built = bits.build(values.repartition(parts), bits.column, 5000)
         assert bits.maybe_present(built.value, np.array([r[0] for r in values.collect()], np.int64).view(np.uint64)).all()
     monkeypatch.setattr(bits, "MOST", 1 << 12)
-    assert bits.build(values) is None
-    assert bits.bits_for(0) and not bits.maybe_present(bits.build(values.limit(0)).value, hashes).any()
+    assert bits.build(values, bits.column, 5000) is None
+    assert bits.bits_for(0) and not bits.maybe_present(bits.build(values.limit(0), bits.column, 0).value, hashes).any()
 
 
 def test_pairs_are_the_same_without_a_bit_array_and_with_hot_keys(spark, rows, monkeypatch):
@@ -121,6 +121,17 @@ def test_classes_and_members_say_what_the_pairs_say(spark, rows):
 
 
 def test_numbers_are_sent_short_and_come_back():
-    for n in (0, 1, 5, 100_000):
-        numbers = np.sort(np.random.default_rng(n).integers(0, 1 << 21, n, dtype=np.uint32))
-        assert (bits.lengthened(bits.shortened(numbers)) == numbers).all()
+    for n in (0, 1, 5, 100_000, 1_000_000):
+        numbers = np.unique(np.random.default_rng(n).integers(0, 1 << 21, n, dtype=np.uint32))
+        assert (bits.lengthened(bits.shortened(numbers, 1 << 21), 1 << 21) == bits.packed([numbers], 1 << 21)).all()
+
+
+@pytest.mark.parametrize("held", [1 << 23, 100])
+def test_what_was_given_twice(spark, monkeypatch, held):
+    monkeypatch.setattr(bits, "_HELD", held)
+    once = np.random.default_rng(4).integers(-(1 << 63), 1 << 63, 4000, dtype=np.int64)
+    rows = [(int(x),) for x in [*once, *once[:700]]]
+    for parts in (1, 5):
+        built = bits.build(spark.createDataFrame(rows, "h long").repartition(parts), bits.column, len(rows), twice=True).value
+        assert bits.maybe_present(built[0], once.view(np.uint64)).all() and bits.maybe_present(built[1], once[:700].view(np.uint64)).all()
+        assert bits.maybe_present(built[1], once[700:].view(np.uint64)).mean() < 0.05
