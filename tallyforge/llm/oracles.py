@@ -105,6 +105,18 @@ _COPIES = "SELECT min(no) AS kept_no, count(*) AS copies FROM (SELECT {no} AS no
 P6_QUESTION_COPIES = _COPIES(no="gold_no", bare=_BARE("question"), source="gold_template WHERE question IS NOT NULL")
 P6_TEXT_COPIES = _COPIES(no="record_no", bare=_BARE("input.state"), source=r"decision_records WHERE input.state IS NOT NULL AND NOT regexp_matches(input.state, '^\s*[{\[]')")
 
+# every node of a JSON state under its path of bare names and places, all of them sorted: equal exactly where the structures are
+_FORMS = rf"""WITH RECURSIVE r AS (SELECT 'decision_records' AS t, record_no AS no, input.state AS x FROM decision_records WHERE input.state IS NOT NULL UNION ALL SELECT 'gold_template', gold_no, question FROM gold_template WHERE question IS NOT NULL),
+k AS (SELECT row_number() OVER () AS i, t, no, x, regexp_matches(x, '^\s*[{{\[]') AND json_valid(x) AS js FROM r),
+n AS (SELECT k.i, j.id, j.parent, j.key, j.type, CASE WHEN j.type = 'VARCHAR' THEN j.atom ->> '$' ELSE j.atom::VARCHAR END AS leaf FROM k, json_tree(CASE WHEN k.js THEN k.x END) j WHERE k.js),
+p AS (SELECT i, id, type, leaf, '' AS path FROM n WHERE parent IS NULL UNION ALL SELECT n.i, n.id, n.type, n.leaf, p.path || CASE WHEN p.type = 'ARRAY' THEN '[' || n.key || ']' ELSE '.' || {_BARE("n.key")} END FROM n JOIN p ON n.i = p.i AND n.parent = p.id),
+f AS (SELECT k.t, k.no, 'j' || string_agg(path || '|' || CASE WHEN type IN ('OBJECT', 'ARRAY') THEN type ELSE '=' || {_BARE("coalesce(leaf, 'null')")} END, chr(10) ORDER BY path || '|' || CASE WHEN type IN ('OBJECT', 'ARRAY') THEN type ELSE '=' || {_BARE("coalesce(leaf, 'null')")} END) AS form,
+    bool_or({_BARE("coalesce(leaf, '')")} <> '' OR type = 'NULL' OR regexp_matches(path, '[^\.\[\]0-9]|\.[0-9]')) AS has_text FROM p JOIN k USING (i) GROUP BY k.t, k.no, k.i
+    UNION ALL SELECT t, no, 't' || {_BARE("x")}, {_BARE("x")} <> '' FROM k WHERE NOT js),
+g AS (SELECT t, form, min(no) AS kept_no, count(*) AS copies FROM f WHERE has_text GROUP BY t, form)"""
+P6_FOUND = f"{_FORMS} SELECT t AS source_table, kept_no, no AS copy_no FROM f JOIN g USING (t, form) WHERE no > kept_no"
+P6_RECORDS = f"{_FORMS} SELECT t AS source_table, kept_no, copies FROM g"
+
 P2_BOUNDS_KEPT = f"""WITH v AS (SELECT raw_response.model AS model, list_sort(list(latency_ms)) l, count(*) n FROM results WHERE {_VALID.format('latency_ms')} GROUP BY 1)
 SELECT model, n, {', '.join(f"l[floor({q} * (n - 1))::BIGINT + 1] AS exact_p{q * 100:g}, true AS kept_p{q * 100:g}" for q in (0.5, 0.9, 0.95, 0.99))} FROM v"""
 
@@ -147,6 +159,8 @@ def oracle_sql() -> dict[str, str]:
         "p3_counts": P3_COUNTS,
         "p5_found": P5_FOUND,
         "p5_targets_met": P5_TARGETS_MET,
+        "p6_found": P6_FOUND,
+        "p6_records": P6_RECORDS,
         "p6_question_copies": P6_QUESTION_COPIES,
         "p6_text_copies": P6_TEXT_COPIES,
         "p7_found": P7_FOUND,

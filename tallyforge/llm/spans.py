@@ -10,8 +10,8 @@
    table are hits at once; the others go through a bit array of all blocks, as
    long as there are few enough for one, and are joined with the index.  So the
    hottest passages, which every piece holds many times, are never shuffled.
-3. Hits are extended: texts with hits are laid side by side in order of their
-   least hit, so that texts which share a passage mostly lie in one piece.
+3. Hits are extended: the segments around them are laid side by side in order of
+   their least hash, so that copies of a passage mostly lie in one piece.
    Around each hit, every window of SPAN characters that may hold it gets a
    128-bit hash.  Windows that another text of the piece has too are shared;
    their runs leave the piece as one row each.  Windows not found there are looked
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.rolling import BASE, OTHER_BASE, code_points, mix, window_runs
+from tallyforge.functions.rolling import BASE, OTHER_BASE, code_points, mix, window_runs, windows
 from tallyforge.llm import bits
 from tallyforge.llm.overlap import digest
 from tallyforge.operators.skew import heavy_keys, hot_keys, spread_join
@@ -49,15 +49,21 @@ WINDOW = pa.schema([("kind", pa.int8()), ("h1", pa.int64()), ("h2", pa.int64()),
 _PACK = 200_000
 
 
-def _pieces(c1, c2, texts, places=None):
-    """Distinct texts of a batch in runs of about _PIECE_CHARS characters: lists of (c1, c2, text, place)."""
-    run, size, seen = [], 0, set()
-    for key in zip(c1, c2, texts, places if places is not None else c1):
-        if key[:2] in seen:
-            continue
-        seen.add(key[:2])
-        run.append(key)
-        size += len(key[2])
+def _distinct(*columns):
+    """Rows of a batch, the first of each text."""
+    seen = set()
+    for row in zip(*columns):
+        if row[:2] not in seen:
+            seen.add(row[:2])
+            yield row
+
+
+def _runs(rows):
+    """Rows with a text in runs of about _PIECE_CHARS characters, so that memory doesn't follow the batch."""
+    run, size = [], 0
+    for row in rows:
+        run.append(row)
+        size += max(len(x) for x in row if isinstance(x, str))
         if size >= _PIECE_CHARS:
             yield run
             run, size = [], 0
@@ -104,21 +110,20 @@ class SharedSpans:
                 yield _table(["doc", "c1", "c2", "text"], batch.column(0), pa.array([d[0] for d in made], pa.int64()), pa.array([d[1] for d in made], pa.int64()), batch.column(1))
 
         self.doc_id = doc_id
-        self.documents = spread(source).mapInArrow(named, f"doc {kind}, c1 long, c2 long, text string")
-        self.texts = self.documents.select(*TEXT, "text")
         blankless = F.length(F.regexp_replace("text", r"(?U)[\s\x1c-\x1f]", ""))
-        self.members = stage(self.documents.select("doc", *TEXT, blankless.alias("blankless")), "members")
+        made = spread(source).mapInArrow(named, f"doc {kind}, c1 long, c2 long, text string")
+        # read by every step that follows, each of the columns it needs
+        self.documents = stage(made.select("doc", *TEXT, blankless.alias("blankless"), "text"), "documents")
+        self.texts = self.documents.select(*TEXT, "text")
+        self.members = self.documents.select("doc", *TEXT, "blankless")
 
     def hits(self) -> DataFrame:
-        """(c1, c2, places, anchor): the steps of STEP characters of a text in which a window begins that is a block of another text, and the least hash of such a window.
-
-        As many places as a text has steps at most.
-        """
+        """(c1, c2, places): the steps of STEP characters of a text in which a window begins that is a block of another text; as many as a text has steps at most."""
 
         def index(batches):
             for batch in batches:
-                for piece in _pieces(*(batch.column(i).to_pylist() for i in range(3))):
-                    hashes, owner = block_hashes([code_points(t) for _, _, t, _ in piece])
+                for piece in _runs(_distinct(*(batch.column(i).to_pylist() for i in range(3)))):
+                    hashes, owner = block_hashes([code_points(t) for _, _, t in piece])
                     one, two = (np.array([p[i] for p in piece], np.int64) for i in (0, 1))
                     yield _table(["hash", *TEXT], hashes.view(np.int64), one[owner], two[owner])
 
@@ -127,8 +132,8 @@ class SharedSpans:
 
         def probe(batches):
             for batch in batches:
-                for piece in _pieces(*(batch.column(i).to_pylist() for i in range(3))):
-                    parts = [code_points(t) for _, _, t, _ in piece]
+                for piece in _runs(_distinct(*(batch.column(i).to_pylist() for i in range(3)))):
+                    parts = [code_points(t) for _, _, t in piece]
                     one, two = (np.array([p[i] for p in piece], np.int64) for i in (0, 1))
                     known, least, most = _owners(*block_hashes(parts))
                     for hashes, owner, position in window_runs(parts, BLOCK):
@@ -156,9 +161,38 @@ class SharedSpans:
         other = F.lit(False)
         for c in TEXT:
             other = other | (F.col(f"least_{c}") != F.col(c)) | (F.col(f"most_{c}") != F.col(c))
-        found = spread_join(asked, blocks, ["hash"], hot, "at").where(other).select(*TEXT, "at", "hash")
-        every = found.unionByName(probes.where("hit").select(*TEXT, "at", "hash"))
-        return every.groupBy(*TEXT).agg(F.collect_set("at").alias("places"), F.min("hash").alias("anchor"))
+        found = spread_join(asked, blocks, ["hash"], hot, "at").where(other).select(*TEXT, "at")
+        every = found.unionByName(probes.where("hit").select(*TEXT, "at"))
+        return every.groupBy(*TEXT).agg(F.collect_set("at").alias("places"))
+
+    def segments(self) -> DataFrame:
+        """(c1, c2, at, before, text, places, anchor): the parts of a text that windows with hits cover, from character ``at`` on, with ``before`` non-blank
+        characters before them, the places of hits relative to ``at``, and the least hash of a window of BLOCK characters between the first hit and the last, which copies of a passage mostly have in common."""
+        # one document of each text carries it to the hits
+        carriers = self.members.groupBy(*TEXT).agg(F.min("doc").alias("doc"))
+        asked = stage(self.hits().join(carriers, TEXT).select("doc", "places"), "hits")
+        key = F.xxhash64("doc")
+        holders = bits.only_present(self.documents.select("doc", *TEXT, "text"), key, bits.build(asked.select(key.alias("h")), bits.column, asked.count()))
+        joined = holders.join(asked, "doc").select(*TEXT, "text", "places")
+
+        def cut(batches):
+            for batch in batches:
+                out = []
+                for c1, c2, text, places in _distinct(*(batch.column(i).to_pylist() for i in range(4))):
+                    points = code_points(text)
+                    hashes = windows(points, BLOCK)
+                    at = np.sort(np.asarray(places, np.int64)) * STEP
+                    parts = np.split(at, np.flatnonzero(np.diff(at) > SPAN - BLOCK + STEP) + 1)
+                    solid = np.concatenate(([0], np.cumsum(~np.fromiter(map(str.isspace, text), bool, len(text)))))
+                    for hit in parts:
+                        begin, end = max(0, int(hit[0]) - (SPAN - BLOCK)), min(len(points), int(hit[-1]) + STEP + SPAN)
+                        if end - begin >= SPAN:
+                            anchor = int(hashes[hit[0] : hit[-1] + STEP].view(np.int64).min())
+                            out.append((c1, c2, begin, int(solid[begin]), text[begin:end], (hit - begin).tolist(), anchor))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.int64()))], names=[*TEXT, "at", "before", "text", "places", "anchor"])
+
+        return joined.mapInArrow(cut, "c1 long, c2 long, at int, before int, text string, places array<int>, anchor long")
 
     def windows(self) -> DataFrame:
         """(c1, c2, begin, end, before, upto, n, packed): what extending the hits gives, written once.
@@ -168,11 +202,7 @@ class SharedSpans:
         of the piece has.  SHARED: the hash of windows that several texts of the piece have.  ``before`` and ``upto`` count the
         non-blank characters before begin and end.
         """
-        # one document of each text carries it to the hits
-        carriers = self.members.groupBy(*TEXT).agg(F.min("doc").alias("doc"))
-        asked = self.hits().join(carriers, TEXT)
-        joined = stage(self.documents.drop(*TEXT).join(asked, "doc").select(*TEXT, "text", "places", "anchor"), "hits")
-        ordered = joined.repartitionByRange("anchor", *TEXT).sortWithinPartitions("anchor", *TEXT)
+        ordered = stage(self.segments(), "segments").repartitionByRange("anchor", *TEXT).sortWithinPartitions("anchor", *TEXT, "at")
         names = [*TEXT, "begin", "end", "before", "upto", "n", "packed"]
 
         def packs(kind, h1, h2, c1, c2, *places):
@@ -188,20 +218,22 @@ class SharedSpans:
 
         def extend(batches):
             for batch in batches:
-                columns = [batch.column(i).to_pylist() for i in range(4)]
-                for piece in _pieces(*columns):
-                    parts = [code_points(t) for _, _, t, _ in piece]
-                    one, two = (np.array([p[i] for p in piece], np.int64) for i in (0, 1))
+                for piece in _runs(zip(*(batch.column(i).to_pylist() for i in range(6)))):
+                    parts = [code_points(x[4]) for x in piece]
+                    one, two, start, lead = (np.array([x[i] for x in piece], np.int64) for i in range(4))
+                    # segments of one text are one owner
+                    _, whose = np.unique(np.stack([one, two], axis=1), axis=0, return_inverse=True)
+                    whose = whose.ravel()
                     room = np.array([len(p) - SPAN + 1 for p in parts], np.int64)
                     first = np.cumsum(room) - room
                     marks = np.zeros(int(room.sum()) + 1, np.int32)
-                    for i, (_, _, _, places) in enumerate(piece):
-                        at = np.asarray(places, np.int64) * STEP
+                    for i, x in enumerate(piece):
+                        at = np.asarray(x[5], np.int64)
                         np.add.at(marks, first[i] + np.clip(at - (SPAN - BLOCK), 0, room[i]), 1)
                         np.add.at(marks, first[i] + np.clip(at + STEP, 0, room[i]), -1)
                     wanted = np.cumsum(marks[:-1]) > 0
-                    solid = [np.concatenate(([0], np.cumsum(~np.fromiter(map(str.isspace, t), bool, len(t))))).astype(np.int32) for _, _, t, _ in piece]
-                    offsets = np.cumsum([len(s) for s in solid]) - np.array([len(s) for s in solid])
+                    solid = [np.concatenate(([0], np.cumsum(~np.fromiter(map(str.isspace, x[4]), bool, len(x[4]))))).astype(np.int32) for x in piece]
+                    offsets = np.cumsum([len(c) for c in solid]) - np.array([len(c) for c in solid])
                     counts = np.concatenate(solid)
                     kept = []
                     for (h1, owner, position), (h2, _, _) in zip(window_runs(parts, SPAN), window_runs(parts, SPAN, OTHER_BASE, 1)):
@@ -214,22 +246,24 @@ class SharedSpans:
                     starts = np.flatnonzero(new)
                     if not len(starts):
                         continue
-                    whose = owner[order]
-                    several = np.minimum.reduceat(whose, starts) != np.maximum.reduceat(whose, starts)
+                    texts = whose[owner[order]]
+                    several = np.minimum.reduceat(texts, starts) != np.maximum.reduceat(texts, starts)
                     shared = np.empty(len(order), bool)
                     shared[order] = several[np.cumsum(new) - 1]
                     base = offsets[owner] + position
                     alone = ~shared
-                    yield from packs(ALONE, h1[alone], h2[alone], one[owner[alone]], two[owner[alone]], position[alone], position[alone] + SPAN, counts[base[alone]], counts[base[alone] + SPAN])
-                    lead = order[starts[several]]
-                    zero = np.zeros(len(lead), np.int32)
-                    yield from packs(SHARED, h1[lead], h2[lead], one[owner[lead]], two[owner[lead]], zero, zero, zero, zero)
+                    placed = lambda x: (one[owner[x]], two[owner[x]], start[owner[x]] + position[x], start[owner[x]] + position[x] + SPAN, lead[owner[x]] + counts[base[x]], lead[owner[x]] + counts[base[x] + SPAN])
+                    yield from packs(ALONE, h1[alone], h2[alone], *placed(np.flatnonzero(alone)))
+                    sample = order[starts[several]]
+                    zero = np.zeros(len(sample), np.int32)
+                    yield from packs(SHARED, h1[sample], h2[sample], one[owner[sample]], two[owner[sample]], zero, zero, zero, zero)
                     # windows are kept in order of text and position, so runs are neighbours
                     at = np.flatnonzero(shared)
                     if len(at):
                         breaks = (owner[at][1:] != owner[at][:-1]) | (position[at][1:] != position[at][:-1] + 1)
                         begin, end = at[np.concatenate(([True], breaks))], at[np.concatenate((breaks, [True]))]
-                        runs = (x.astype(np.int32) for x in (position[begin], position[end] + SPAN, counts[base[begin]], counts[base[end] + SPAN]))
+                        origin = owner[begin]
+                        runs = (x.astype(np.int32) for x in (start[origin] + position[begin], start[origin] + position[end] + SPAN, lead[origin] + counts[base[begin]], lead[origin] + counts[base[end] + SPAN]))
                         yield _table(names, one[owner[begin]], two[owner[begin]], *runs, pa.nulls(len(begin), pa.int32()), pa.nulls(len(begin), pa.binary()))
 
         return stage(ordered.mapInArrow(extend, "c1 long, c2 long, begin int, end int, before int, upto int, n int, packed binary"), "windows", "lz4")
