@@ -1,6 +1,6 @@
 """A bit array of 64-bit hashes, built on the executors.
 
-Two bits are set for each hash.  The array is sized to the number of hashes, at
+Two bits or more are set for each hash.  The array is sized to the number of hashes, at
 least RATIO bits for each, and has at most 2^27 bits, 16 MB; where the hashes
 would need more, none is built, as it would let nearly everything pass.  Each
 task folds its hashes and sends of each slice what is shorter, the slice or the
@@ -23,22 +23,22 @@ MOST = 1 << 27
 RATIO = 2
 AIM = 48
 SLICES = 64
+_FACTORS = np.array([1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _HELD = 1 << 23
 
 
-def bits_for(n: int) -> int | None:
-    """Bits of the array for ``n`` hashes, a power of two; None where even the largest is too small."""
-    if n * RATIO > MOST:
+def bits_for(n: int, ratio: int = RATIO) -> int | None:
+    """Bits of the array for ``n`` hashes, a power of two; None where even the largest has fewer than ``ratio`` bits for each."""
+    if n * ratio > MOST:
         return None
     return min(MOST, 1 << max(16, (n * AIM).bit_length()))
 
 
-def bit_positions(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two bit numbers of each uint64 hash, from its two halves."""
+def bit_positions(hashes: np.ndarray, bits: int, marks: int = 2) -> list[np.ndarray]:
+    """``marks`` bit numbers of each uint64 hash."""
     shift = np.uint64(65 - bits.bit_length())
     h = hashes.astype(np.uint64, copy=False)
-    mixed = h * np.uint64(0x9E3779B97F4A7C15)
-    return h >> shift, mixed >> shift
+    return [(h if i == 0 else h * _FACTORS[i]) >> shift for i in range(marks)]
 
 
 def packed(at: list[np.ndarray], bits: int) -> np.ndarray:
@@ -65,12 +65,15 @@ def lengthened(data: bytes, width: int) -> np.ndarray:
     return packed([np.cumsum(planes.T.copy().view(np.uint32).ravel(), dtype=np.uint64).astype(np.uint32)], width)
 
 
-def maybe_present(array: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def maybe_present(array: np.ndarray, hashes: np.ndarray, marks: int = 2) -> np.ndarray:
     """A mask over the hashes: False where a hash was certainly never set."""
-    one, two = bit_positions(hashes, len(array) * 8)
-    read = lambda at: (array[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-    mask = read(one).astype(bool)
-    mask[mask] = read(two[mask]).astype(bool)
+    left = np.arange(len(hashes))
+    shift = np.uint64(65 - (len(array) * 8).bit_length())
+    for i in range(marks):
+        at = (hashes[left] if i == 0 else hashes[left] * _FACTORS[i]) >> shift
+        left = left[((array[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)]
+    mask = np.zeros(len(hashes), bool)
+    mask[left] = True
     return mask
 
 
@@ -87,13 +90,13 @@ def _united(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return numbers[new], np.unique(numbers[~new])
 
 
-def build(source: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterable[np.ndarray]], n: int, twice: bool = False) -> Broadcast | None:
-    """The bit array of the ``n`` hashes that ``hashes_of`` finds in the batches of ``source``, as a broadcast of uint8; None where they are too many.
+def build(source: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterable[np.ndarray]], n: int, twice: bool = False, marks: int = 2, ratio: int = RATIO) -> Broadcast | None:
+    """The bit array of the ``n`` hashes that ``hashes_of`` finds in the batches of ``source``, ``marks`` bits for each, as a broadcast of uint8; None where they are too many.
 
     With ``twice``, a pair of arrays, the second of the bits that more than one hash has set: a hash that is in it was given at least
     twice, or its bits by others.
     """
-    bits = bits_for(n)
+    bits = bits_for(n, ratio)
     if bits is None:
         return None
     width = bits // SLICES
@@ -107,8 +110,8 @@ def build(source: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterable[np.n
 
         for batch in batches:
             for hashes in hashes_of(batch):
-                held += [at.astype(np.uint32) for at in bit_positions(hashes, bits)]
-                size += 2 * len(hashes)
+                held += [at.astype(np.uint32) for at in bit_positions(hashes, bits, marks)]
+                size += marks * len(hashes)
             if size > _HELD:
                 ones, twos = gather()
                 held, size = [], 0

@@ -3,7 +3,8 @@
 1. Every text is cut into non-overlapping blocks of BLOCK characters, half of
    the least span, so that a shared span of SPAN characters holds at least one
    whole block of either text.  Their hashes are the index, written once.
-2. Every rolling window of BLOCK characters of every text probes the index.  A
+2. Every rolling window of BLOCK characters of every text probes the index: a bit
+   array, where the blocks are few enough for one that hardly errs.  Else a
    hash is kept with the least and greatest text that has it, which tells whether
    another text does, so no pairs are formed within a hash, however many texts
    share it.  Probes whose block is in another text of the same piece of the
@@ -42,6 +43,7 @@ BLOCK = 75
 STEP = 15
 _PIECE_CHARS = 1_000_000
 _MOST_HOT = 5_000
+_MARKS, _RATIO = 4, 24
 _POWERS = np.array([pow(BASE, i, 1 << 64) for i in range(BLOCK)], np.uint64)
 TEXT = ["c1", "c2"]
 ALONE, SHARED = range(2)
@@ -71,6 +73,29 @@ def _runs(rows):
         yield run
 
 
+def _segments(rows):
+    """Record batches of the segments of texts (c1, c2, text, places)."""
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.int64())
+    pack = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[*TEXT, "at", "before", "text", "places", "anchor"])
+    out, size = [], 0
+    for c1, c2, text, places in rows:
+        points = code_points(text)
+        hashes = windows(points, BLOCK)
+        at = np.sort(np.asarray(places, np.int64)) * STEP
+        solid = np.concatenate(([0], np.cumsum(~np.fromiter(map(str.isspace, text), bool, len(text)))))
+        for hit in np.split(at, np.flatnonzero(np.diff(at) > SPAN - BLOCK + STEP) + 1):
+            begin, end = max(0, int(hit[0]) - (SPAN - BLOCK)), min(len(points), int(hit[-1]) + STEP + SPAN)
+            if end - begin >= SPAN:
+                anchor = int(hashes[hit[0] : hit[-1] + STEP].view(np.int64).min())
+                out.append((c1, c2, begin, int(solid[begin]), text[begin:end], (hit - begin).tolist(), anchor))
+                size += end - begin
+        if size >= _PIECE_CHARS:
+            yield pack(out)
+            out, size = [], 0
+    if out:
+        yield pack(out)
+
+
 def block_hashes(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(hash, part) of each non-overlapping block of BLOCK characters: the hashes that ``windows`` gives at multiples of BLOCK."""
     cut = [p[: len(p) // BLOCK * BLOCK] for p in parts]
@@ -167,32 +192,41 @@ class SharedSpans:
 
     def segments(self) -> DataFrame:
         """(c1, c2, at, before, text, places, anchor): the parts of a text that windows with hits cover, from character ``at`` on, with ``before`` non-blank
-        characters before them, the places of hits relative to ``at``, and the least hash of a window of BLOCK characters between the first hit and the last, which copies of a passage mostly have in common."""
+        characters before them, the places of hits relative to ``at``, and the least hash of a window of BLOCK characters between the first hit and the last, which copies of a passage mostly have in common.
+
+        Where all blocks fit a bit array that errs once in a thousand times, what it says are hits, and one pass over the texts gives the segments: a false hit
+        costs some windows more, which the next step finds alone.  Else hits are those of ``hits``, found by a join.
+        """
+        schema = "c1 long, c2 long, at int, before int, text string, places array<int>, anchor long"
+        n = self.documents.agg(F.sum(F.floor(F.length("text") / BLOCK))).first()[0] or 0
+        pieces = lambda batch: _runs(_distinct(*(batch.column(i).to_pylist() for i in range(3))))
+        present = bits.build(self.texts, lambda batch: (block_hashes([code_points(x[2]) for x in piece])[0] for piece in pieces(batch)), n, twice=True, marks=_MARKS, ratio=_RATIO)
+        if present is not None:
+
+            def find(batches):
+                once, twice = present.value
+                for batch in batches:
+                    for piece in pieces(batch):
+                        found = []
+                        for hashes, owner, position in window_runs([code_points(x[2]) for x in piece], BLOCK):
+                            maybe = bits.maybe_present(once, hashes, _MARKS)
+                            # a text's own block is no hit unless it is a block elsewhere too
+                            own = np.flatnonzero(maybe & (position % BLOCK == 0))
+                            maybe[own] = bits.maybe_present(twice, hashes[own], _MARKS)
+                            found.append(np.unique(owner[maybe] * (1 << 32) + position[maybe] // STEP))
+                        steps = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+                        owners, first = np.unique(steps >> 32, return_index=True)
+                        for i, places in zip(owners.tolist(), np.split(steps & 0xFFFFFFFF, first[1:])):
+                            yield (*piece[i], places)
+
+            return self.texts.mapInArrow(lambda batches: _segments(find(batches)), schema)
         # one document of each text carries it to the hits
         carriers = self.members.groupBy(*TEXT).agg(F.min("doc").alias("doc"))
         asked = stage(self.hits().join(carriers, TEXT).select("doc", "places"), "hits")
         key = F.xxhash64("doc")
         holders = bits.only_present(self.documents.select("doc", *TEXT, "text"), key, bits.build(asked.select(key.alias("h")), bits.column, asked.count()))
         joined = holders.join(asked, "doc").select(*TEXT, "text", "places")
-
-        def cut(batches):
-            for batch in batches:
-                out = []
-                for c1, c2, text, places in _distinct(*(batch.column(i).to_pylist() for i in range(4))):
-                    points = code_points(text)
-                    hashes = windows(points, BLOCK)
-                    at = np.sort(np.asarray(places, np.int64)) * STEP
-                    parts = np.split(at, np.flatnonzero(np.diff(at) > SPAN - BLOCK + STEP) + 1)
-                    solid = np.concatenate(([0], np.cumsum(~np.fromiter(map(str.isspace, text), bool, len(text)))))
-                    for hit in parts:
-                        begin, end = max(0, int(hit[0]) - (SPAN - BLOCK)), min(len(points), int(hit[-1]) + STEP + SPAN)
-                        if end - begin >= SPAN:
-                            anchor = int(hashes[hit[0] : hit[-1] + STEP].view(np.int64).min())
-                            out.append((c1, c2, begin, int(solid[begin]), text[begin:end], (hit - begin).tolist(), anchor))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.int64()))], names=[*TEXT, "at", "before", "text", "places", "anchor"])
-
-        return joined.mapInArrow(cut, "c1 long, c2 long, at int, before int, text string, places array<int>, anchor long")
+        return joined.mapInArrow(lambda batches: _segments(row for batch in batches for row in _distinct(*(batch.column(i).to_pylist() for i in range(4)))), schema)
 
     def windows(self) -> DataFrame:
         """(c1, c2, begin, end, before, upto, n, packed): what extending the hits gives, written once.
@@ -216,9 +250,18 @@ class SharedSpans:
                 none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), *[pa.int32()] * 4)]
                 yield _table(names, *none, pa.array([part.num_rows], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary()))
 
+        last = [None]
+
+        def unlike(rows):
+            """Without the same segment of further documents with the same text, which lie next to each other."""
+            for row in rows:
+                if row[:3] != last[0]:
+                    last[0] = row[:3]
+                    yield row
+
         def extend(batches):
             for batch in batches:
-                for piece in _runs(zip(*(batch.column(i).to_pylist() for i in range(6)))):
+                for piece in _runs(unlike(zip(*(batch.column(i).to_pylist() for i in range(6))))):
                     parts = [code_points(x[4]) for x in piece]
                     one, two, start, lead = (np.array([x[i] for x in piece], np.int64) for i in range(4))
                     # segments of one text are one owner

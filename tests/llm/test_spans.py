@@ -82,12 +82,14 @@ def test_copies_that_no_third_text_shares_have_counts(spark):
     assert got == {(1, "whole", n, n), (2, "whole", n, n)}
 
 
-@pytest.mark.parametrize("most", [1 << 27, 1])
+@pytest.mark.parametrize("most", [1 << 27, 1 << 16, 1])
 def test_small_pieces_and_no_bit_array_change_nothing(spark, docs, monkeypatch, most):
     from tallyforge.llm import bits
     from tallyforge.operators import skew
 
     monkeypatch.setattr(bits, "MOST", most)
+    if most == 1 << 16:  # too few bits for hits, enough for a filter
+        monkeypatch.setattr(sp, "_RATIO", 1 << 16)
     monkeypatch.setattr(skew, "LEAST", 3)
     monkeypatch.setattr(sp, "_MOST_HOT", 20)
     few = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
@@ -109,3 +111,17 @@ def test_block_hashes_are_windows_at_their_places():
     assert part.tolist() == [1] * 5 + [2] * 2
     assert (hashes[:5] == windows(text, sp.BLOCK)[:: sp.BLOCK][:5]).all() and (hashes[5:] == hashes[:2]).all()
     assert np.unique(hashes[:5]).size == 5
+
+
+def test_copies_of_a_text_in_many_batches_are_one_text(spark):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    a, b = text(400), text(300)
+    docs = [(i, a) for i in range(40)] + [(100, text(50) + b), (101, b + text(50)), (102, text(500))]
+    few = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {tuple(r) for r in sp.SharedSpans(frame(spark, docs)).extents().collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", few)
+    assert got == {(i, "whole", 400, 400) for i in range(40)} | {(100, "most", 300, 350), (101, "most", 300, 350)}
