@@ -107,6 +107,24 @@ def least_used(df: DataFrame, by: Sequence[str], source: str, uses: str) -> Data
     return df.groupBy(*by).agg(F.min_by(source, F.struct(uses, source)).alias(source))
 
 
+def choose_source(pool: DataFrame, by: Sequence[str], source: str, attempted: str, selected: str, family_uses: str, ordinal: str, start: str, attempted_before: str | None = None, accepted_before: str | None = None, explore: int = 5) -> DataFrame:
+    """(by, source): the source that each bucket tries next, from what its sources have tried and given.
+
+    ``pool`` has a row for each bucket and source; ``ordinal`` and ``start`` are the bucket's.  Up to ``start``, where it is null, and at every ``explore``-th turn after it, the source
+    with the fewest attempts is taken, then the one whose family has the fewest uses, that gave least, the first by name.  At other turns the best smoothed
+    acceptance (s + 1) / (t + 4) wins, then fewest uses, gifts and attempts, then the name; attempts and gifts before a window are taken off first.  Counts that the
+    window makes negative, or more gifts than attempts, stop.  A loop over turns calls this once for each turn of all buckets.
+    """
+    t = F.col(attempted) - (F.coalesce(F.col(attempted_before), F.lit(0)) if attempted_before else 0)
+    s = F.col(selected) - (F.coalesce(F.col(accepted_before), F.lit(0)) if accepted_before else 0)
+    rate = F.when((t < 0) | (s < 0) | (s > t), F.raise_error(F.lit("the acceptance window does not fit the history")).cast("double")).otherwise((s + 1) / (t + 4))
+    explores = F.col(start).isNull() | (F.col(ordinal) < F.col(start)) | ((F.col(ordinal) - F.col(start)) % explore == explore - 1)
+    plain = F.struct(F.col(attempted).alias("a"), F.col(family_uses).alias("f"), F.col(selected).alias("g"), F.col(source).alias("name"))
+    scored = F.when(~explores, F.struct((-rate).alias("r"), F.col(family_uses).alias("f"), F.col(selected).alias("g"), F.col(attempted).alias("a"), F.col(source).alias("name")))
+    best = pool.groupBy(*by).agg(F.min(plain).alias("plain"), F.min(scored).alias("scored"))
+    return best.select(*by, F.coalesce("scored.name", "plain.name").alias(source))
+
+
 def top_by(df: DataFrame, value: str, key: str, n: int) -> DataFrame:
     return df.orderBy(F.col(value).desc_nulls_last(), key).limit(n)
 

@@ -73,15 +73,3 @@ def acceptance_trend(df: DataFrame, bucket: str, ordinal: str, accepted: Column,
     """Smoothed acceptance (s + 1) / (t + 4) of the attempts before each one in its bucket; every ``explore``-th explores."""
     ran = running(df, [bucket], [ordinal], {"_s": F.coalesce(accepted.cast("long"), F.lit(0)), "_t": F.lit(1).cast("long")}, inclusive=False)
     return ran.withColumn("acceptance", (F.col("_s") + 1) / (F.col("_t") + 4)).withColumn("explores", F.col(ordinal) % explore == explore - 1).drop("_s", "_t")
-
-
-def choose_by_acceptance(attempts: DataFrame, ordinal: str, bucket: str, accepted: Column, limits: DataFrame) -> DataFrame:
-    """(bucket, attempts, accepts, acceptance, turn): which bucket to try next, given what was tried, the best acceptance first and of equal ones the one with the most open.
-
-    ``limits(bucket, quota)``; a bucket whose accepts fill its quota is left out.  This is one turn of a selection loop: its choice depends on all
-    attempts before it, so a loop calls it once for each round of attempts and not once for each attempt.
-    """
-    sums = attempts.groupBy(bucket).agg(F.count(ordinal).alias("attempts"), F.count_if(F.coalesce(accepted, F.lit(False))).alias("accepts"))
-    open_ = limits.join(sums, bucket, "left").fillna(0, ["attempts", "accepts"]).where(F.col("accepts") < F.col("quota"))
-    scored = open_.withColumn("acceptance", (F.col("accepts") + 1) / (F.col("attempts") + 4))
-    return scored.withColumn("turn", F.row_number().over(Window.orderBy(F.desc("acceptance"), F.desc(F.col("quota") - F.col("accepts")), bucket)))

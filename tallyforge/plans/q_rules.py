@@ -457,3 +457,16 @@ def similar_to_earlier(t):
     later, earlier = t.gold_template.where(F.col("phase") != "initial"), t.gold_template.where(first)
     return joins.jaccard_pairs(later, "gold_no", "question", prior=earlier).withColumn("similarity", F.round("similarity", 9))
 
+
+
+@query(
+    """WITH p AS (SELECT n_regionkey AS bucket, n_name AS source, count(c_custkey) AS attempted, count(*) FILTER (c_acctbal > 4000) AS selected, count(*) FILTER (c_mktsegment = 'BUILDING') AS uses FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL),
+    e AS (SELECT *, bucket = 0 OR bucket + 7 < 9 OR (bucket + 7 - 9) % 5 = 4 AS explores, -(selected + 1) / (attempted + 4) AS rate FROM p)
+    SELECT bucket, CASE WHEN bool_or(explores) THEN arg_min(source, (attempted, uses, selected, source)) ELSE arg_min(source, (rate, uses, selected, attempted, source)) END AS source FROM e GROUP BY bucket"""
+)
+def chosen_sources(t):
+    """Regions as buckets, nations as sources: who is tried next, by fewest attempts or by best acceptance."""
+    customers = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    pool = customers.groupBy(F.col("n_regionkey").alias("bucket"), F.col("n_name").alias("source")).agg(F.count("*").alias("attempted"), F.count_if(F.col("c_acctbal") > 4000).alias("selected"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("uses"))
+    pool = pool.withColumns({"ordinal": F.col("bucket") + 7, "start": F.when(F.col("bucket") > 0, F.lit(9))})
+    return selection.choose_source(pool, ["bucket"], "source", "attempted", "selected", "uses", "ordinal", "start")

@@ -4,10 +4,11 @@ import io
 import math
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import parse, stats
-from tallyforge.operators import windows
+from tallyforge.operators import selection
 from tallyforge.sources import adapters
 
 
@@ -56,8 +57,11 @@ def test_p_values_of_small_and_large_counts(spark):
         assert abs(r["p"] - expected) <= (1e-12 if r["a"] < 10_000 else 1e-6) * max(expected, 1e-300)
 
 
-def test_next_bucket_by_acceptance(spark):
-    attempts = spark.createDataFrame([("a", 1, True), ("a", 2, True), ("b", 3, False), ("b", 4, None), ("c", 5, True)], "k string, i int, ok boolean")
-    limits = spark.createDataFrame([("a", 2), ("b", 5), ("c", 5), ("d", 5)], "k string, quota int")
-    got = {r["k"]: (r["turn"], r["attempts"], r["accepts"]) for r in windows.choose_by_acceptance(attempts, "i", "k", F.col("ok"), limits).collect()}
-    assert got == {"c": (1, 1, 1), "d": (2, 0, 0), "b": (3, 2, 0)}
+def test_sources_by_attempts_and_by_acceptance(spark):
+    schema = "b string, s string, a int, g int, f int, o int, z int, a0 int, g0 int"
+    rows = [("early", "x", 2, 2, 0, 3, 5, 0, 0), ("early", "y", 1, 0, 9, 3, 5, 0, 0), ("rate", "x", 9, 8, 0, 6, 5, None, None), ("rate", "y", 1, 0, 0, 6, 5, 0, 0), ("window", "x", 9, 8, 0, 6, 5, 9, 8), ("window", "y", 3, 2, 0, 6, 5, 0, 0), ("turn", "x", 9, 8, 0, 9, 5, 0, 0), ("turn", "y", 1, 0, 0, 9, 5, 0, 0), ("none", "y", 1, 0, 0, 9, None, 0, 0), ("none", "x", 1, 0, 0, 9, None, 0, 0)]
+    df = spark.createDataFrame(rows, schema)
+    choose = lambda d: {r["b"]: r["s"] for r in selection.choose_source(d, ["b"], "s", "a", "g", "f", "o", "z", "a0", "g0").collect()}
+    assert choose(df) == {"early": "y", "rate": "x", "window": "y", "turn": "y", "none": "x"}
+    with pytest.raises(Exception, match="does not fit"):
+        choose(df.withColumn("a0", F.lit(99)))
