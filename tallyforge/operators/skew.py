@@ -18,10 +18,16 @@ LEAST = 50_000
 SALTS = 64
 
 
-def hot_keys(counts: DataFrame, on: Sequence[str], n: str, most: int = MOST, least: int | None = None) -> DataFrame | None:
-    """The keys of ``counts(on, n)``, one row for each key, that hold more than 1 / ``most`` of all rows and more than ``least`` of them; None if there are none."""
-    total, largest = counts.agg(F.sum(n), F.max(n)).first()
-    bound = max((total or 0) / most, LEAST if least is None else least)
+def hot_keys(counts: DataFrame, on: Sequence[str], n: str, most: int = MOST, least: int | None = None, known: tuple[int, int] | None = None) -> DataFrame | None:
+    """The keys of ``counts(on, n)``, one row for each key, that hold more than 1 / ``most`` of all rows and more than ``least`` of them; None if there are none.
+
+    ``known`` gives the number of all rows and of the largest key's, or a bound of the latter, where they need not be counted again.
+    """
+    least = LEAST if least is None else least
+    if known is not None and (known[1] or 0) <= least:
+        return None
+    total, largest = known or counts.agg(F.sum(n), F.max(n)).first()
+    bound = max((total or 0) / most, least)
     return counts.where(F.col(n) > F.lit(bound)).select(*on) if (largest or 0) > bound else None
 
 
