@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.operators import skew
 from tallyforge.operators.skew import hot_keys, spread_join
 from tallyforge.operators.stages import drop_stage, stage
 
@@ -49,19 +50,21 @@ def hash_to_min(edges: DataFrame) -> DataFrame:
     pairs = edges.select(F.explode(F.array(*(F.struct(F.col(x).alias("node"), F.col(y).alias("member")) for x, y in ("ab", "ba", "aa", "bb")))).alias("p")).select("p.*")
     clusters = stage(pairs.distinct().withColumn("open", F.lit(True)), "clusters")
     for _ in range(MAX_ROUNDS):
-        minimum = stage(clusters.groupBy("node").agg(F.min("member").alias("least"), F.count("*").alias("n"), F.max("open").alias("open")), "minimum")
-        if not minimum.agg(F.max("open")).first()[0]:
-            drop_stage(clusters)
-            return minimum.select("node", F.col("least").alias("component"))
-        # the least node of a giant component holds most rows
-        hot = hot_keys(minimum, ["node"], "n")
+        is_any_open, n = clusters.agg(F.max("open"), F.count("*")).first()
+        if not is_any_open:
+            return clusters.groupBy("node").agg(F.min("member").alias("component"))
+        minimum, hot = clusters.groupBy("node").agg(F.min("member").alias("least"), F.count("*").alias("n")), None
+        if n > skew.LEAST:  # the least node of a giant component holds most rows
+            minimum = stage(minimum, "minimum")
+            hot = hot_keys(minimum, ["node"], "n")
         # open: a node that is not the least of its cluster holds more than that least one
         is_open = (F.col("node") != F.col("least")) & (F.col("member") != F.col("least"))
         known = spread_join(clusters.select("node", "member"), minimum.select("node", "least"), ["node"], hot, "member").select("member", "least", is_open.alias("open"))
         sent = known.select(F.explode(F.array(F.struct(F.col("least").alias("node"), F.col("member")), F.struct(F.col("member").alias("node"), F.col("least").alias("member")))).alias("p"), "open").select("p.*", "open")
         after = stage(sent.groupBy("node", "member").agg(F.max("open").alias("open")), "clusters")
         drop_stage(clusters)
-        drop_stage(minimum)
+        if n > skew.LEAST:
+            drop_stage(minimum)
         clusters = after
     raise RuntimeError(f"clusters still change after {MAX_ROUNDS} rounds")
 
@@ -83,13 +86,16 @@ class RelatedSets:
         linked = self.rows.where(F.coalesce("v0", "v1").isNotNull())
         pairs = linked.groupBy("v0", "v1").agg(F.min("key").alias("key"), F.bit_or("bit").alias("bits"), F.count("*").alias("n"))
         self.pairs = stage(pairs, "pairs")
+        # no key has more rows than there are
+        n_pairs, n_rows = self.pairs.agg(F.count("*"), F.sum("n")).first()
+        self.most_pairs, self.most_rows = (n_pairs, n_pairs), (n_rows, n_rows)
         name = lambda i: F.struct(F.col(f"v{i}").alias("value"), (F.col("key") * 2 + i).alias("id"))
         values = self.pairs.select(F.explode(F.array(name(0), name(1))).alias("x")).select("x.*").where(F.col("value").isNotNull()).groupBy("value").agg(F.min("id").alias("node"))
         self.values = stage(values, "values")
         edges = self.pairs
         for i in (0, 1):
             ends = self.values.select(F.col("value").alias(f"v{i}"), F.col("node").alias(f"n{i}"))
-            hot = hot_keys(self.pairs.where(F.col(f"v{i}").isNotNull()).groupBy(f"v{i}").agg(F.count("*").alias("_n")), [f"v{i}"], "_n")
+            hot = hot_keys(self.pairs.where(F.col(f"v{i}").isNotNull()).groupBy(f"v{i}").agg(F.count("*").alias("_n")), [f"v{i}"], "_n", known=self.most_pairs)
             edges = spread_join(edges, ends, [f"v{i}"], hot, "key", "left")
         edges = edges.select(F.coalesce("n0", "n1").alias("a"), F.coalesce("n1", "n0").alias("b"))
         self.labels = stage(self.values.join(hash_to_min(edges), "node").select("value", F.shiftright("component", 1).alias("set_no")), "labels")
@@ -101,7 +107,7 @@ class RelatedSets:
     def sets(self) -> DataFrame:
         """(set_no, n_records, bits): size and splits of each set."""
         valued = self.pairs.withColumn("value", F.coalesce("v0", "v1"))
-        hot = hot_keys(valued.groupBy("value").agg(F.count("*").alias("_n")), ["value"], "_n")
+        hot = hot_keys(valued.groupBy("value").agg(F.count("*").alias("_n")), ["value"], "_n", known=self.most_pairs)
         labelled = spread_join(valued, self.labels, ["value"], hot, "key")
         return labelled.groupBy("set_no").agg(F.sum("n").alias("n_records"), F.bit_or("bits").alias("bits"))
 
@@ -109,7 +115,7 @@ class RelatedSets:
         """(key, set_no), of all records with a value or of those in ``sets(set_no)``."""
         labels = self.labels if sets is None else self.labels.join(sets.select("set_no"), "set_no", "left_semi")
         rows = self.rows.where(F.coalesce("v0", "v1").isNotNull()).select("key", F.coalesce("v0", "v1").alias("value"))
-        hot = hot_keys(self.pairs.groupBy(F.coalesce("v0", "v1").alias("value")).agg(F.sum("n").alias("_n")), ["value"], "_n")
+        hot = hot_keys(self.pairs.groupBy(F.coalesce("v0", "v1").alias("value")).agg(F.sum("n").alias("_n")), ["value"], "_n", known=self.most_rows)
         return spread_join(rows, labels, ["value"], hot, "key").select("key", "set_no")
 
     def torn(self) -> DataFrame:

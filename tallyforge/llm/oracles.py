@@ -126,7 +126,7 @@ sh AS (SELECT s FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1),
 x AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) p FROM w JOIN sh USING (s)),
 isl AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 150 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) k FROM x),
 sp AS (SELECT doc_id, min(i) b, max(i) + 149 e FROM isl GROUP BY doc_id, k),
-c AS (SELECT doc_id, sum(length(regexp_replace(substr(text, b, e - b + 1), '\s', '', 'g'))) n, any_value(length(regexp_replace(text, '\s', '', 'g'))) t FROM sp JOIN documents USING (doc_id) GROUP BY doc_id)
+c AS (SELECT doc_id, sum(length(regexp_replace(substr(text, b, e - b + 1), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]', '', 'g'))) n, any_value(length(regexp_replace(text, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]', '', 'g'))) t FROM sp JOIN documents USING (doc_id) GROUP BY doc_id)
 """
 P9_FOUND = f"""{_P9}
 SELECT doc_id, CASE WHEN n = t THEN 'whole' WHEN n * 2 >= t THEN 'most' ELSE 'part' END AS extent FROM c
