@@ -36,11 +36,16 @@ def rule_enumeration(t):
     return cu.decide(every, "facts", cu.rule_literal(_RULES)).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@query('SELECT 1::INT AS plan, * FROM (VALUES (0, 2), (1, 2)) v("left", "right")')
+@query(
+    """WITH r AS (SELECT p_brand, p_partkey, p_type, p_size > 25 AS big, CASE WHEN p_partkey % 2 = 0 THEN p_retailprice > 1000 END AS dear, split_part(p_name, ' ', 1) AS target FROM part)
+    SELECT a.p_brand, a.p_partkey AS "left", b.p_partkey AS "right" FROM r a JOIN r b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND a.target <> b.target AND a.big = b.big AND coalesce(a.dear = b.dear, true)"""
+)
 def rule_overlaps(t):
-    rows = [(1, i, target, when) for i, (when, target) in enumerate(_RULES)]
-    rules = t.spark.createDataFrame(rows, "plan int, rule int, target string, `when` map<string,string>")
-    return cu.overlapping_rules(rules, "plan")
+    """Parts as rules of their brand's plan: a size asked for, for every second one a price, and its type; the pairs of different targets that some facts satisfy both."""
+    state = lambda c: F.when(c, "supported").otherwise("refuted")
+    when = F.map_concat(F.create_map(F.lit("big"), state(F.col("p_size") > 25), F.col("p_type"), F.lit("supported")), F.when(F.col("p_partkey") % 2 == 0, F.create_map(F.lit("dear"), state(F.col("p_retailprice") > 1000))).otherwise(F.create_map().cast("map<string,string>")))
+    rules = t.part.select("p_brand", F.col("p_partkey").alias("rule"), F.split("p_name", " ")[0].alias("target"), when.alias("when"))
+    return cu.overlapping_rules(rules, "p_brand")
 
 
 @query(

@@ -36,6 +36,19 @@ def p4_found(t):
     return nested.call_conditions(t.disagreements).select("source_line", "msg_pos", "call_pos", "cond_pos", "reply_pos")
 
 
+@query(
+    f"""WITH {_CALLS},
+    g AS (SELECT *, {_open("json_extract(args, '$.filters')")} AS filters FROM k)
+    SELECT source_line, msg_pos, call_kind, call_pos, row_number() OVER (PARTITION BY rec, msg_pos, call_kind, call_pos ORDER BY t.id) - 1 AS cond_pos, CASE WHEN json_type(t.value, '$.field') IN ('OBJECT', 'ARRAY') THEN '' ELSE t.value ->> '$.field' END AS field, t.value ->> '$.operator' AS operator,
+    CASE WHEN json_type(t.value, '$.values') = 'ARRAY' THEN json_array_length(t.value, '$.values')::INT END AS n_values FROM g, json_tree(g.filters) t WHERE t.type = 'OBJECT' AND json_exists(t.value, '$.field')"""
+)
+def p4_condition_parts(t):
+    """The conditions with field, operator and how many values each lists."""
+    rows = nested.call_conditions(t.disagreements).where("cond_pos >= 0")
+    listed = F.when(F.col("values").startswith("["), F.size(nested.entries(F.col("values"))))
+    return rows.select("source_line", "msg_pos", "call_kind", "call_pos", "cond_pos", F.when(F.col("field").startswith("{") | F.col("field").startswith("["), "").otherwise(F.col("field")).alias("field"), "operator", listed.alias("n_values"))
+
+
 @query(f"WITH {_MESSAGES} SELECT source_line, msg_pos, list, CASE json_type(j) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS kind, CASE WHEN json_type(j) = 'OBJECT' THEN j ->> '$.role' END AS role, CASE WHEN json_type(j) = 'OBJECT' THEN j ->> '$.tool_call_id' END AS tool_call_id FROM e")
 def p4_message_links(t):
     """The messages without their contents."""

@@ -126,7 +126,7 @@ def massive(raw: DataFrame, locale: str | None = None) -> DataFrame:
 
     Rows of other partitions and locales and blank utterances are skipped; an unknown scenario stops.  Without ``locale`` the table must be of one locale, else every row stops.
     """
-    of_one = raw.crossJoin(F.broadcast(raw.agg((F.count_distinct("locale") > 1).alias("_several")))) if locale is None else raw.withColumn("_several", F.lit(False))
+    of_one = raw.withColumn("_several", F.lit(locale is None and raw.select("locale").distinct().limit(2).count() > 1))
     known = F.coalesce(_c("scenario").isin(list(MASSIVE_CRITERIA)), F.lit(False))
     elsewhere = ~_c("partition").eqNullSafe(F.lit("test")) | (F.lit(False) if locale is None else ~_c("locale").eqNullSafe(F.lit(locale)))
     blank = F.coalesce(_c("utt").rlike(r"(?U)^[\s\x1c-\x1f]*$"), F.lit(True))
