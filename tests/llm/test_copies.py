@@ -73,3 +73,12 @@ def test_deep_and_long_records(spark):
     df = spark.createDataFrame([(1, deep), (2, deep.replace("x", "X ")), (3, "a b " * 300_000), (4, "A,b" * 300_000)], "n long, t string")
     assert sorted(map(tuple, cp.copy_pairs(cp.forms(df, "n", "t")).collect())) == [(1, 2), (3, 4)]
     assert defaultdict(int)[0] == 0
+
+
+def test_a_hot_group_of_copies_is_spread_and_whole(spark, monkeypatch):
+    from tallyforge.operators import skew
+
+    monkeypatch.setattr(skew, "LEAST", 5)
+    df = spark.createDataFrame([(i, "Same  Text!" if i % 2 else f"text {i}") for i in range(400)] + [(500, "text 0"), (501, "TEXT-0")], "no long, t string")
+    got = {tuple(r) for r in cp.copy_pairs(cp.forms(df, "no", "t")).collect()}
+    assert got == {(1, i) for i in range(3, 400, 2)} | {(0, 500), (0, 501)}
