@@ -106,12 +106,19 @@ def p4_arguments(t):
     return nested.call_arguments(t.disagreements)
 
 
-@query()
+_ENTRIES = "SELECT *, unnest(range(CASE WHEN json_type({0}) = 'ARRAY' THEN json_array_length({0})::BIGINT ELSE 1 END)) AS i FROM {1} WHERE {0} IS NOT NULL AND json_type({0}) <> 'NULL'".format
+_ENTRY = "CASE WHEN json_type({0}) = 'ARRAY' THEN {0} ->> ('$[' || i || ']') ELSE {0} ->> '$' END".format
+
+
+@query(f"""WITH {_CALLS}, c2 AS (SELECT *, {_open("json_extract(args, '$.fields')")} AS fs FROM k WHERE json_type(args) = 'OBJECT'), b AS ({_ENTRIES("fs", "c2")})
+    SELECT source_line, msg_pos, call_kind, call_pos, i::INT AS field_pos, {_ENTRY("fs")} AS field FROM b""")
 def p4_argument_fields(t):
     return nested.argument_fields(t.disagreements)
 
 
-@query()
+@query(f"""WITH {_CALLS}, g AS (SELECT *, {_open("json_extract(args, '$.filters')")} AS filters FROM k),
+    c2 AS (SELECT source_line, msg_pos, call_kind, call_pos, row_number() OVER (PARTITION BY rec, msg_pos, call_kind, call_pos ORDER BY t.id) - 1 AS cond_pos, {_open("json_extract(t.value, '$.values')")} AS vs FROM g, json_tree(g.filters) t WHERE t.type = 'OBJECT' AND json_exists(t.value, '$.field')), b AS ({_ENTRIES("vs", "c2")})
+    SELECT source_line, msg_pos, call_kind, call_pos, cond_pos, i::INT AS value_pos, {_ENTRY("vs")} AS value FROM b""")
 def p4_condition_values(t):
     return nested.condition_values(t.disagreements)
 
