@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from tallyforge.functions import stats
 from tallyforge.operators.joins import provenance_mismatches
 from tallyforge.operators.selection import label_blind_order
+from tallyforge.operators.skew import hot_keys, spread_join
+from tallyforge.operators.stages import stage
 from tallyforge.operators.validate import demand_none
 
 STATES = ("supported", "refuted", "unknown")
+#: so many pairs of rules are left to one task
+PAIRS = 5_000_000
 
 
 def rule_literal(rules: Sequence[tuple[Mapping[str, str], str]]) -> Column:
@@ -56,12 +60,24 @@ def decide(df: DataFrame, facts: str, rules: Column | Sequence[tuple[Mapping[str
 def overlapping_rules(rules: DataFrame, plan: str) -> DataFrame:
     """(plan, left, right) of rules with different targets that some facts satisfy both: no atom they share is asked for in different states.
 
-    ``rules`` has rows (plan, rule, target, when map<atom, state>).
+    ``rules`` has rows (plan, rule, target, when map<atom, state>).  Rules of one plan, target and conditions are one class.  Only classes are
+    compared, and each pair of classes that can meet gives all pairs of its rules, so the work is in proportion to the result.  The rules of the
+    larger class are repeated for each smaller one, and pairs of classes with many pairs of rules are joined in shares.  A rule without conditions holds
+    always; a rule without a plan, name or target is in no pair.
     """
-    a, b = rules.alias("a"), rules.alias("b")
-    pairs = a.join(b, (F.col(f"a.{plan}") == F.col(f"b.{plan}")) & (F.col("a.rule") < F.col("b.rule")) & (F.col("a.target") != F.col("b.target")))
-    clash = F.exists(F.map_keys("a.when"), lambda k: F.coalesce(F.element_at("b.when", k) != F.element_at("a.when", k), F.lit(False)))
-    return pairs.where(~clash).select(F.col(f"a.{plan}").alias(plan), F.col("a.rule").alias("left"), F.col("b.rule").alias("right"))
+    when = F.coalesce("when", F.create_map().cast(rules.schema["when"].dataType))
+    known = stage(rules.where(F.col(plan).isNotNull() & F.col("rule").isNotNull() & F.col("target").isNotNull()).select(F.col(plan).alias("plan"), "target", F.array_sort(F.map_entries(when)).alias("c"), "rule"), "rules")
+    classes = stage(known.groupBy("plan", "target", "c").agg(F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), "rule-classes")
+    members = stage(spread_join(known, classes, ["plan", "target", "c"], hot_keys(classes, ["plan", "target", "c"], "n"), "rule").select("id", "rule"), "class-members")
+    a, b = (classes.select("plan", F.struct("n", "id").alias(s), F.col("target").alias(f"t{s}"), F.map_from_entries("c").alias(f"c{s}")) for s in "lr")
+    clash = F.exists(F.map_keys("cl"), lambda k: F.coalesce(F.element_at("cr", k) != F.element_at("cl", k), F.lit(False)))
+    plans = classes.groupBy("plan").agg(F.count("*").alias("n"))
+    meet = spread_join(a, b, ["plan"], hot_keys(plans, ["plan"], "n"), "l").where((F.col("l") > F.col("r")) & (F.col("tl") != F.col("tr")) & ~clash)
+    pairs = stage(meet.select("plan", F.col("l.id").alias("l"), F.col("r.id").alias("r"), (F.col("l.n") * F.col("r.n")).alias("n")), "class-pairs")
+    x, y = members.select(F.col("id").alias("l"), F.col("rule").alias("x")), members.select(F.col("id").alias("r"), F.col("rule").alias("y"))
+    left = spread_join(x, pairs.drop("n"), ["l"], hot_keys(classes.withColumnRenamed("id", "l"), ["l"], "n"), "x")
+    every = spread_join(left, y.hint("merge"), ["r"], hot_keys(pairs.groupBy("r").agg(F.sum("n").alias("n")), ["r"], "n", least=PAIRS), "x")
+    return every.where(F.col("x") != F.col("y")).select(F.col("plan").alias(plan), F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right"))
 
 
 def assignments(spark, atoms: Sequence[str]) -> DataFrame:

@@ -1,11 +1,14 @@
 import io
 import json
+import random
 import tarfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.operators import curation as cu
+from tallyforge.operators import skew
 from tallyforge.operators.validate import InvalidRows
 from tallyforge.sources import adapters, jsonl
 
@@ -28,6 +31,26 @@ def test_pairwise_overlap_agrees_with_enumeration(spark):
     assert every.count() == 9 and every.where("outcome = 'conflict'").count() == 2
 
 
+def test_overlaps_equal_brute_force_also_in_shares(spark, monkeypatch):
+    rng = random.Random(5)
+    rules = [(rng.choice("pq"), i, rng.choice(["x", "y", "z", None]), rng.choice([None, {}, {a: rng.choice(["supported", "refuted"]) for a in rng.sample("abc", rng.randrange(1, 3))}])) for i in range(120)]
+    clash = lambda v, w: any(v[k] != w[k] for k in set(v or {}) & set(w or {}))
+    expected = sorted((p, i, j) for p, i, s, v in rules for q, j, t, w in rules if p == q and i < j and s and t and s != t and not clash(v, w))
+    df = spark.createDataFrame(rules, "plan string, rule int, target string, `when` map<string,string>")
+    assert sorted(map(tuple, cu.overlapping_rules(df, "plan").collect())) == expected
+    monkeypatch.setattr(cu, "PAIRS", 10)
+    monkeypatch.setattr(skew, "LEAST", 2)
+    assert sorted(map(tuple, cu.overlapping_rules(df, "plan").collect())) == expected
+
+
+def test_rules_that_never_meet_cost_no_pairs(spark):
+    side = F.col("id") % 2 == 0
+    df = spark.range(60_000).select(F.lit("p").alias("plan"), F.col("id").alias("rule"), F.when(side, "x").otherwise("y").alias("target"), F.create_map(F.lit("a"), F.when(side, "supported").otherwise("refuted")).alias("when"))
+    began = time.monotonic()
+    assert cu.overlapping_rules(df, "plan").count() == 0
+    assert time.monotonic() - began < 60
+
+
 def test_plan_audit_and_facts(spark):
     lit_map = lambda d: F.create_map(*(F.lit(x) for kv in d.items() for x in kv))
     rules = cu.rule_literal([({"a": "supported"}, "yes"), ({"a": "refuted"}, "no")])
