@@ -229,10 +229,16 @@ def order_report(t):
     (SELECT string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) FROM customer WHERE c_mktsegment = 'BUILDING') AS ids, true AS read_back"""
 )
 def subset_manifest(t):
-    """The manifest of a selected subset, by its text."""
+    """The manifest of a selected subset, by its text; the ids of a large one from the table that the manifest names."""
     chosen = t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("domain"))
-    made = jsonl.manifest(chosen, seed=7)
-    path = f"{_place(t, 'manifest')}/m.json"
+    place = _place(t, "manifest")
+    made = jsonl.manifest(chosen, seed=7, ids_path=f"{place}/ids")
+    path = f"{place}/m.json"
     jsonl.put_bytes(t.spark, path, jsonl.manifest_text(made).encode())
     read = json.loads(jsonl.get_text(t.spark, path))
-    return t.spark.createDataFrame([(read["count"], len(read["domain"]), ",".join(map(str, read["ids"])), read == made and read["seed"] == 7)], "rows long, domains long, ids string, read_back boolean")
+    if "ids" in read:
+        ids = t.spark.createDataFrame([(",".join(map(str, read["ids"])),)], "ids string")
+    else:
+        listed = t.spark.read.schema(chosen.select("id").schema).parquet(read["ids_table"])
+        ids = listed.agg(F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ",").alias("ids"))
+    return ids.select(F.lit(read["count"]).cast("long").alias("rows"), F.lit(len(read["domain"])).cast("long").alias("domains"), "ids", F.lit(read == made and read["seed"] == 7).alias("read_back"))

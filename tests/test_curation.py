@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators import curation as cu
 from tallyforge.operators import skew
 from tallyforge.operators.validate import InvalidRows
+from tallyforge.plans import queries
 from tallyforge.sources import adapters, jsonl
 
 
@@ -202,3 +203,10 @@ def test_cache(spark):
     assert hits.count() == 1 and [r[0] for r in pending.collect()] == ["k3"]
     with pytest.raises(Exception, match="digest"):
         adapters.cached_responses(requests, cache.withColumn("response_sha256", F.lit("0")), rejected)[0].collect()
+
+
+def test_manifest_of_a_large_subset_names_its_ids_and_lists_them(spark, tmp_path):
+    segment = F.when(F.col("id") < 120_000, "BUILDING").otherwise("OTHER")
+    spark.range(120_010).select((120_010 - F.col("id")).alias("c_custkey"), segment.alias("c_mktsegment"), (F.col("id") % 3).cast("int").alias("c_nationkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    row = queries.queries()["subset_manifest"](spark, str(tmp_path)).first()
+    assert (row["rows"], row["domains"], row["read_back"]) == (120_000, 3, True) and row["ids"] == ",".join(map(str, range(11, 120_011)))
