@@ -17,57 +17,71 @@ from tallyforge.sources.jsonl import get_text, put_bytes
 FOLDED = "request_id string, text string, chunks int, ttft_ms double, last_ms double, complete boolean"
 
 
-def fold_stream(events: DataFrame, timeout: str = "10 minutes") -> DataFrame:
+def fold_stream(events: DataFrame, timeout: str = "10 minutes", groups: int = 1024) -> DataFrame:
     """(request_id, text, chunks, ttft_ms, last_ms, complete): each request's stream of (request_id, seq, arrival_ms, ts, data), where seq counts from 0.
 
     Events are taken in order of ``seq``, in whatever order and trigger they arrive: one that comes early waits for those before it.  A request
     comes out when everything up to ``[DONE]`` is there, or, incomplete but with all that had arrived, when nothing came for ``timeout`` of
-    event time.  Late events of a finished request and repeated ones are dropped.  State is one row for each open request.
+    event time.  Late events of a finished request and repeated ones are dropped.  State is one row for each of ``groups`` groups of requests by
+    their hash, with all of the open ones and the ids of the finished ones until their timeout: a call of Python for each request would cost far
+    more than its events, and a trigger writes the groups that it has events of.  ``groups`` stays as it is for the life of a checkpoint.
     """
+    patience = int(pd.Timedelta(timeout).total_seconds() * 1000)
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state):
-        text, chunks, first, last, done, at, waiting = state.get if state.exists else ("", 0, -1.0, -1.0, False, 0, "{}")
-        early: dict[int, list] = {int(k): v for k, v in json.loads(waiting).items()}
+        # by id: [deadline] of a finished request, [deadline, text, chunks, first, last, at, early] of an open one
+        known: dict[str | None, list] = {i: held for i, *held in json.loads(state.get[0])} if state.exists else {}
+        watermark = state.getCurrentWatermarkMs()
+        latest: dict[str | None, int] = {}
+        out: list[tuple] = []
 
-        def take(piece, arrival):
-            nonlocal text, chunks, first, last
+        def take(held, piece, arrival):
             if piece:
-                text, chunks = text + piece, chunks + 1
-                first = arrival if first < 0 else first
-                last = arrival
-
-        def row(complete):
-            known = lambda x: pd.array([x if x >= 0 else None], dtype="Float64")
-            return pd.DataFrame({"request_id": [key[0]], "text": [text], "chunks": [chunks], "ttft_ms": known(first), "last_ms": known(last), "complete": [complete]})
-
-        if state.hasTimedOut:
-            state.remove()
-            if not done:
-                for _, (piece, arrival, closing) in sorted(early.items()):
+                held[1], held[2] = held[1] + piece, held[2] + 1
+                held[3] = arrival if held[3] < 0 else held[3]
+                held[4] = arrival
+
+        for batch in batches if not state.hasTimedOut else ():
+            times = batch["ts"].astype("datetime64[ms]").astype("int64").tolist()
+            for i, seq, ms, piece, arrival, closing in zip(batch["request_id"].tolist(), batch["seq"].tolist(), times, batch["piece"].tolist(), batch["arrival_ms"].tolist(), batch["closing"].tolist()):
+                latest[i] = max(latest.get(i, 0), ms)
+                held = known.get(i)
+                if held is None:
+                    held = known[i] = [0, "", 0, -1.0, -1.0, 0, {}]
+                if len(held) > 1 and seq >= held[5]:
+                    held[6].setdefault(str(int(seq)), [piece if isinstance(piece, str) else None, arrival, bool(closing)])
+        for i, ms in latest.items():
+            held = known[i]
+            held[0] = max(ms, watermark) + patience
+            while len(held) > 1 and (event := held[6].pop(str(held[5]), None)):
+                piece, arrival, closing = event
+                held[5] += 1
+                take(held, None if closing else piece, arrival)
+                if closing:
+                    out.append((i, *held[1:5], True))
+                    del held[1:]
+        for i in [i for i, held in known.items() if held[0] < watermark]:
+            held = known.pop(i)
+            if len(held) > 1:
+                for _, (piece, arrival, closing) in sorted(held[6].items(), key=lambda x: int(x[0])):
                     if not closing:
-                        take(piece, arrival)
-                yield row(False)
-            return
-        latest, was_done = 0, done
-        for batch in batches:
-            latest = max(latest, int(batch["ts"].max().timestamp() * 1000))
-            for seq, piece, arrival, closing in zip(batch["seq"], batch["piece"], batch["arrival_ms"], batch["closing"]):
-                if not done and seq >= at:
-                    early.setdefault(int(seq), [piece if isinstance(piece, str) else None, float(arrival), bool(closing)])
-        while not done and at in early:
-            piece, arrival, closing = early.pop(at)
-            at += 1
-            done = closing
-            take(None if closing else piece, arrival)
-        state.update((text, chunks, float(first), float(last), done, at, json.dumps({} if done else early)))
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + int(pd.Timedelta(timeout).total_seconds() * 1000))
-        if done and not was_done:
-            yield row(True)
+                        take(held, piece, arrival)
+                out.append((i, *held[1:5], False))
+        if known:
+            state.update((json.dumps([[i, *held] for i, held in known.items()]),))
+            state.setTimeoutTimestamp(min(held[0] for held in known.values()))
+        else:
+            state.remove()
+        if out:
+            ids, texts, chunks, first, last, complete = map(list, zip(*out))
+            times = lambda xs: pd.array([x if x >= 0 else None for x in xs], dtype="Float64")
+            yield pd.DataFrame({"request_id": ids, "text": texts, "chunks": chunks, "ttft_ms": times(first), "last_ms": times(last), "complete": complete})
 
     event = F.get(parsed_events(F.concat(F.lit("data: "), F.col("data"))), 0)
-    choice = F.get(event["choices"], 0)
-    prepared = events.withWatermark("ts", timeout).select("request_id", F.col("seq").cast("long").alias("seq"), "ts", F.col("arrival_ms").cast("double").alias("arrival_ms"), (F.col("data") == "[DONE]").alias("closing"), F.when(F.col("data") != "[DONE]", delta_text(choice["delta"])).alias("piece"))
-    return prepared.groupBy("request_id").applyInPandasWithState(fold, FOLDED, "text string, chunks int, first double, last double, done boolean, at long, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
+    group = F.pmod(F.xxhash64("request_id"), F.lit(groups)).cast("int")
+    parsed = events.withWatermark("ts", timeout).select("request_id", group.alias("group"), F.col("seq").cast("long").alias("seq"), "ts", F.col("arrival_ms").cast("double").alias("arrival_ms"), (F.col("data") == "[DONE]").alias("closing"), F.when(F.col("data") != "[DONE]", F.get(event["choices"], 0)["delta"]).alias("delta"))
+    prepared = parsed.withColumn("delta", F.when(~F.col("closing"), delta_text(F.col("delta")))).withColumnRenamed("delta", "piece")
+    return prepared.groupBy("group").applyInPandasWithState(fold, FOLDED, "requests string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def fold_batch(events: DataFrame) -> DataFrame:

@@ -68,3 +68,18 @@ def test_coalescing_and_windows(spark, tmp_path):
     assert calls.run_available(calls.coalesced(stream), "one", checkpoint=str(tmp_path / "a")).count() == 2
     rows = calls.run_available(calls.rolling_requests(stream, width="60 seconds", step="60 seconds"), "two", "complete", str(tmp_path / "b")).orderBy("start").collect()
     assert [(r["requests"], r["tokens"]) for r in rows] == [(2, 12), (1, 1)]
+
+
+def test_many_requests_share_state_and_calls_and_come_out_alone(spark, tmp_path):
+    schema = "request_id string, seq int, arrival_ms double, t int, data string"
+    folder = str(tmp_path / "in")
+    rows = [(f"r{i}", seq, 10.0 * seq, 1000 + seq, "[DONE]" if seq == 2 else event(f"{i}.{seq} ")) for i in range(3000) for seq in range(3) if i % 4 or seq < 2]
+    first, second = [r for r in rows if r[1] != int(r[0][1:]) % 3], [r for r in rows if r[1] == int(r[0][1:]) % 3 or r[1] == 1]
+    for part in (first, second, [("x", 0, 1.0, 100_000, event("w"))], [("x", 1, 1.0, 200_000, "[DONE]")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder).withColumn("ts", F.timestamp_seconds("t"))
+    query = calls.fold_stream(stream).writeStream.format("memory").queryName("many").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    query.awaitTermination()
+    got = sorted((r["request_id"], r["text"], r["chunks"], r["ttft_ms"], r["last_ms"], r["complete"]) for r in spark.table("many").collect())
+    assert got == sorted([(f"r{i}", f"{i}.0 {i}.1 ", 2, 0.0, 10.0, bool(i % 4)) for i in range(3000)] + [("x", "w", 1, 1.0, 1.0, True)])
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 1024
