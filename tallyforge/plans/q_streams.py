@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tallyforge.operators.stages import shared_folder
+from tallyforge.operators.stages import shared_folder, spread
 from tallyforge.plans.catalog import query
 from tallyforge.streaming import calls
 
@@ -69,10 +69,12 @@ def stream_late_ends(t):
     event = lambda c: F.concat(F.lit('{"choices": [{"index": 0, "delta": {"content": '), F.to_json(F.struct(c.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("v")))) - 6), F.lit("}}]}"))
     cut = F.col("o_orderkey") % 4 == 0
     data = F.when(cut, F.array(F.struct(F.lit(0).alias("seq"), event(F.col("o_orderpriority")).alias("data")))).otherwise(F.array(F.struct(F.lit(2).alias("seq"), F.lit("[DONE]").alias("data")), F.struct(F.lit(1).alias("seq"), event(F.concat(F.lit(" "), F.col("o_orderstatus"))).alias("data")), F.struct(F.lit(0).alias("seq"), event(F.col("o_orderpriority")).alias("data"))))
-    rows = t.orders.select(F.col("o_orderkey").cast("string").alias("request_id"), F.explode(data).alias("x")).select("request_id", "x.seq", "x.data", F.lit(1000).alias("t"), (F.col("x.seq") * 10.0).alias("arrival_ms"))
+    rows = spread(t.orders.select("o_orderkey", "o_orderpriority", "o_orderstatus")).select(F.col("o_orderkey").cast("string").alias("request_id"), F.explode(data).alias("x")).select("request_id", "x.seq", "x.data", F.lit(1000).alias("t"), (F.col("x.seq") * 10.0).alias("arrival_ms"))
     folder = f"{shared_folder(t.spark)}/late-{uuid.uuid4().hex}"
-    rows.coalesce(1).write.parquet(folder)
-    for t_end in (100_000, 200_000):
-        t.spark.createDataFrame([("", 0, "[DONE]", t_end, 0.0)], rows.schema).coalesce(1).write.mode("append").parquet(folder)
-    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder).withColumn("ts", F.timestamp_seconds("t"))
+    rows.write.parquet(folder)
+    files = len(t.spark.read.schema(rows.schema).parquet(folder).inputFiles())
+    for t_end in (100_000, 200_000):  # as many files each, so that a trigger takes what one write made
+        end = t.spark.range(0, files, 1, files).select(F.lit("").alias("request_id"), F.lit(0).alias("seq"), F.lit("[DONE]").alias("data"), F.lit(t_end).alias("t"), F.lit(0.0).alias("arrival_ms"))
+        end.write.mode("append").parquet(folder)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder).withColumn("ts", F.timestamp_seconds("t"))
     return _result(t, calls.fold_stream(stream)).where("request_id <> ''").select("request_id", "text", "complete")

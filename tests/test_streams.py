@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from tallyforge.plans import q_streams
 from tallyforge.streaming import calls
 
 
@@ -83,3 +84,12 @@ def test_many_requests_share_state_and_calls_and_come_out_alone(spark, tmp_path)
     got = sorted((r["request_id"], r["text"], r["chunks"], r["ttft_ms"], r["last_ms"], r["complete"]) for r in spark.table("many").collect())
     assert got == sorted([(f"r{i}", f"{i}.0 {i}.1 ", 2, 0.0, 10.0, bool(i % 4)) for i in range(3000)] + [("x", "w", 1, 1.0, 1.0, True)])
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 1024
+
+
+def test_late_ends_are_written_by_many_tasks_and_each_write_is_one_trigger(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(q_streams, "shared_folder", lambda spark: str(tmp_path))
+    orders = spark.range(400).select(F.col("id").alias("o_orderkey"), F.lit("HIGH").alias("o_orderpriority"), F.lit("F").alias("o_orderstatus"))
+    orders.coalesce(1).write.parquet(str(tmp_path / "tables/orders.parquet"))
+    got = sorted(map(tuple, q_streams.stream_late_ends(spark, str(tmp_path / "tables")).collect()))
+    assert got == sorted((str(i), "HIGH" if i % 4 == 0 else "HIGH F", i % 4 != 0) for i in range(400))
+    assert len(list(next(tmp_path.glob("late-*")).glob("*.parquet"))) == 3 * spark.sparkContext.defaultParallelism > 3
