@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import struct
 import uuid
+import zlib
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,10 +19,13 @@ from tallyforge.functions.parse import match_key, token_set
 from tallyforge.operators import aggregates
 from tallyforge.operators.ordered import SPAN, same, spans
 from tallyforge.operators.skew import hot_keys, spread_join
-from tallyforge.operators.stages import spread, stage
+from tallyforge.operators.stages import drop_stage, spread, stage
 from tallyforge.operators.validate import demand_none, demand_unique
 
 NEEDLE_BYTES = 64_000_000
+#: tokens whose counts order those of a set, and the 64-bit parts of a set's signature
+COMMON = 20_000
+_SIGNS = ("s0", "s1", "s2")
 
 
 def with_results(rows: DataFrame, results: DataFrame, key: str = "id", prefix: str = "result_") -> DataFrame:
@@ -235,11 +242,33 @@ def gated_gold(rows: DataFrame, gold: DataFrame, key: str, digest: str, label: s
     return rows.join(demand_unique(gold, key, digest).select(key, digest, label), [key, digest], "left")
 
 
+def _heads(frequency: Mapping[str, int], threshold: float):
+    """A function of token sets: their first tokens from rare to common, and their signature."""
+
+    @F.pandas_udf("head array<string>, " + ", ".join(f"{x} long" for x in _SIGNS))
+    def heads(sets: pd.Series) -> pd.DataFrame:
+        bit: dict[str, int] = {}
+        out = []
+        for tokens in sets:
+            sign = 0
+            for w in tokens:
+                if (b := bit.get(w)) is None:
+                    b = bit[w] = 1 << zlib.crc32(w.encode()) % (64 * len(_SIGNS))
+                sign ^= b
+            first = sorted(tokens, key=lambda w: (frequency.get(w, 0), w))[: len(tokens) - math.ceil(len(tokens) * threshold - 1e-9) + 1]
+            out.append((first, *struct.unpack(f"<{len(_SIGNS)}q", sign.to_bytes(8 * len(_SIGNS), "little"))))
+        return pd.DataFrame(out, columns=["head", *_SIGNS])
+
+    return heads
+
+
 def jaccard_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, prior: DataFrame | None = None) -> DataFrame:
     """(a, b, similarity), a < b: pairs of rows whose token sets have a Jaccard similarity of at least ``threshold``; with ``prior``, pairs (prior row, row).
 
     Exact, by prefix filtering: tokens are ordered from rare to common, and sets that are similar enough share a token among the first
-    n - ceil(threshold n) + 1 of each, so only rare tokens are joined on.  Only keys, sizes and places are joined, pairs are made one each,
+    n - ceil(threshold n) + 1 of each, so only rare tokens are joined on.  The counts of the ``COMMON`` most frequent tokens order them; all others come
+    before, by themselves.  Only keys, sizes, places and signatures are joined: a bit of a signature tells whether an odd number of the set's tokens fall on it, so two
+    signatures differ in no more bits than the sets in tokens, which drops nearly all pairs before they are shuffled.  Pairs are made one each,
     and then the sets of those that are left are fetched.  Rows with equal token sets are one class, and come out as pairs with
     the least key of the class, not as all pairs within it.  A token that is among the rarest of very many sets, as where one pattern fills a
     third of the table, is joined in shares.  Null texts and texts without tokens are left out.
@@ -249,23 +278,26 @@ def jaccard_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, pr
         rows = side.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.array_sort(token_set(F.col(text))).alias("t")).where(F.size("t") > 0)
         return rows.withColumn("h", F.sha2(F.array_join("t", " "), 256)).withColumn("side", F.lit(name))
 
-    rows = stage(base(df, "new") if prior is None else base(df, "new").unionByName(base(prior, "old")), "token-sets")
-    every = stage(rows.groupBy("h", "side", "t").agg(F.min("k").alias("k")), "classes")
-    tokens = every.select("k", "side", F.size("t").alias("n"), F.explode("t").alias("w"))
-    frequency = tokens.groupBy("w").agg(F.count("*").alias("f"))
-    ordered = tokens.join(frequency, "w").groupBy("k", "side", "n").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("t"))
-    n = F.col("n")
-    head = F.slice("t", F.lit(1), (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))
-    prefix = stage(ordered.select("k", "side", "n", F.posexplode(head).alias("i", "x")).select("k", "side", "n", "i", F.col("x.w").alias("w")), "prefixes")
-    a, b = (prefix.select("w", *(F.col(c).alias(f"{c}_{s}") for c in ("k", "side", "n", "i"))) for s in "ab")
+    sets = stage(base(df, "new") if prior is None else base(df, "new").unionByName(base(prior, "old")), "token-sets")
+    every = stage(sets.groupBy("h", "side", "t").agg(F.min("k").alias("k")), "classes")
+    rows = stage(sets.select("h", "k"), "keys")
+    drop_stage(sets)
+    frequency = every.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("f")).orderBy(F.desc("f"), "w").limit(COMMON)
+    heads = _heads({r["w"]: r["f"] for r in frequency.collect()}, threshold)
+    signed = spread(every.select("k", "side", F.size("t").alias("n"), "t")).select("k", "side", "n", heads("t").alias("p"))
+    prefix = stage(signed.select("k", "side", "n", *(F.col(f"p.{x}") for x in _SIGNS), F.posexplode("p.head").alias("i", "w")), "prefixes")
+    a, b = (prefix.select("w", *(F.col(c).alias(f"{c}_{s}") for c in ("k", "side", "n", "i", *_SIGNS))) for s in "ab")
     sides = F.lit(True) if prior is None else (F.col("side_a") == "old") & (F.col("side_b") == "new")
     order = F.col("k_a") < F.col("k_b") if prior is None else F.lit(True)
     sizes = (F.col("n_a") >= F.col("n_b") * threshold - 1e-9) & (F.col("n_b") >= F.col("n_a") * threshold - 1e-9)
     # the tokens before and after the shared one bound the overlap
     most = F.least("i_a", "i_b") + F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
     enough = most >= (F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9
+    # tokens that only one of the sets has: at least as many as the signatures differ in
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in _SIGNS))
+    enough = enough & (apart <= (F.col("n_a") + F.col("n_b")) * ((1 - threshold) / (1 + threshold)) + 1e-9)
     hot = hot_keys(prefix.groupBy("w").agg(F.count("*").alias("c")), ["w"], "c")
-    candidates = spread_join(a, b, ["w"], hot, "k_a").where(order & sides & sizes & enough).select(F.col("k_a").alias("a"), F.col("k_b").alias("b")).distinct()
+    candidates = stage(spread_join(a, b, ["w"], hot, "k_a").where(order & sides & sizes & enough).select(F.col("k_a").alias("a"), F.col("k_b").alias("b")).distinct(), "candidates")
     old = every.where(F.col("side") == ("new" if prior is None else "old")).select(F.col("k").alias("a"), F.col("t").alias("ta"))
     new = every.where("side = 'new'").select(F.col("k").alias("b"), F.col("t").alias("tb"))
     both = candidates.join(old, "a").join(new, "b")

@@ -31,6 +31,27 @@ def test_jaccard_pairs_equal_brute_force(spark):
     assert got == {(a, b) for a in reps if a < 25 for b in sorted({min(i for i in sets_ if sets_[i] == sets_[j] and i >= 25) for j in sets_ if j >= 25}) if len(sets_[a] & sets_[b]) >= 0.8 * len(sets_[a] | sets_[b])}
 
 
+def test_jaccard_pairs_of_common_words_drop_what_is_apart_before_the_shuffle(spark, monkeypatch):
+    rng = random.Random(11)
+    sets_ = [set(rng.sample(range(160), 40)) for _ in range(300)]
+    sets_ += [(s - set(rng.sample(sorted(s), 3))) | {500 + i} for i, s in enumerate(sets_[:20])]
+    df = spark.createDataFrame([(i, " ".join(f"w{x}" for x in s)) for i, s in enumerate(sets_)], "k int, t string")
+    counts = {}
+    write = joins.stage
+
+    def kept(frame, label="stage", *more):
+        made = write(frame, label, *more)
+        counts[label] = made.count()
+        return made
+
+    monkeypatch.setattr(joins, "stage", kept)
+    expected = {(a, b) for b in range(len(sets_)) for a in range(b) if len(sets_[a] & sets_[b]) >= 0.8 * len(sets_[a] | sets_[b])}
+    for common in (joins.COMMON, 7):
+        monkeypatch.setattr(joins, "COMMON", common)
+        assert {(r["a"], r["b"]) for r in joins.jaccard_pairs(df, "k", "t").collect()} == expected and len(expected) >= 20
+        assert len(expected) <= counts.pop("candidates") < 400
+
+
 def test_longest_match_and_blocks(spark, monkeypatch):
     texts = spark.createDataFrame([(1, "say abc and abcd"), (2, "nothing"), (3, None), (4, "xy zz")], "k int, t string")
     needles = spark.createDataFrame([(10, "abc"), (11, "abcd"), (9, "zz"), (8, "xy"), (7, None), (6, "")], "i int, n string")
