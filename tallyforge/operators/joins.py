@@ -26,6 +26,8 @@ NEEDLE_BYTES = 64_000_000
 #: tokens whose counts order those of a set, and the 64-bit parts of a set's signature
 COMMON = 20_000
 _SIGNS = ("s0", "s1", "s2")
+#: rows of a class of equal token sets beyond which its pairs are made in shares, and one over the number of such classes
+SHARED, CLASSES = 2_000, 5_000
 
 
 def with_results(rows: DataFrame, results: DataFrame, key: str = "id", prefix: str = "result_") -> DataFrame:
@@ -262,16 +264,39 @@ def _heads(frequency: Mapping[str, int], threshold: float):
     return heads
 
 
-def jaccard_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, prior: DataFrame | None = None) -> DataFrame:
+def _rows_of_classes(pairs: DataFrame, end: str, copies: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Pairs whose column ``end`` is the least key of a class of ``c_<end>`` rows, as pairs with every row of the class; ``copies`` has those of classes of more than one."""
+    one, more = pairs.where(F.col(f"c_{end}") == 1), pairs.where(F.col(f"c_{end}") > 1)
+    members = copies.select(F.col("least").alias(end), F.col("k").alias("_k"))
+    return one.unionByName(spread_join(members, more, [end], hot, "_k").drop(end).withColumnRenamed("_k", end))
+
+
+def _with_copies(near: DataFrame, classes: DataFrame, rows: DataFrame, prior: bool) -> DataFrame:
+    """Near pairs of classes as pairs of their rows and, within one table, the pairs of rows of each class."""
+    large = classes.where("c > 1").select("h", "side", F.col("k").alias("least"), "c")
+    hot = hot_keys(large, ["least"], "c", CLASSES, SHARED)
+    members = stage(spread_join(rows.where("k is not null"), large.drop("c"), ["h", "side"], hot_keys(large, ["h", "side"], "c"), "k").select("least", "side", "k"), "copies")
+    for end, side in (("a", "old" if prior else "new"), ("b", "new")):
+        near = _rows_of_classes(near, end, members.where(F.col("side") == side), None if hot is None else hot.withColumnRenamed("least", end))
+    if prior:
+        return near.select("a", "b", "similarity")
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+    first, second = (members.select("least", F.col("k").alias(x)) for x in "ab")
+    return near.unionByName(spread_join(first, second, ["least"], hot, "a").where("a < b").select("a", "b", F.lit(1.0).alias("similarity")))
+
+
+def jaccard_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, prior: DataFrame | None = None, copies: bool = False) -> DataFrame:
     """(a, b, similarity), a < b: pairs of rows whose token sets have a Jaccard similarity of at least ``threshold``; with ``prior``, pairs (prior row, row).
 
     Exact, by prefix filtering: tokens are ordered from rare to common, and sets that are similar enough share a token among the first
     n - ceil(threshold n) + 1 of each, so only rare tokens are joined on.  The counts of the ``COMMON`` most frequent tokens order them; all others come
     before, by themselves.  Only keys, sizes, places and signatures are joined: a bit of a signature tells whether an odd number of the set's tokens fall on it, so two
     signatures differ in no more bits than the sets in tokens, which drops nearly all pairs before they are shuffled.  Pairs are made one each,
-    and then the sets of those that are left are fetched.  Rows with equal token sets are one class, and come out as pairs with
-    the least key of the class, not as all pairs within it.  A token that is among the rarest of very many sets, as where one pattern fills a
-    third of the table, is joined in shares.  Null texts and texts without tokens are left out.
+    and then the sets of those that are left are fetched.  Rows with equal token sets are one class, and classes are compared by their least keys.  With ``copies``, every
+    pair of rows comes out, within a class and between the rows of two that are near, so the result grows with the square of a class, and those of more than
+    ``SHARED`` rows are joined in shares.  Without, a near pair stands for those of its classes, and the rows of a class come out as pairs with its least key.
+    A token that is among the rarest of very many sets, as where one pattern fills a third of the table, is joined in shares.  Null texts and texts without tokens
+    are left out.
     """
 
     def base(side: DataFrame, name: str) -> DataFrame:
@@ -279,8 +304,8 @@ def jaccard_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, pr
         return rows.withColumn("h", F.sha2(F.array_join("t", " "), 256)).withColumn("side", F.lit(name))
 
     sets = stage(base(df, "new") if prior is None else base(df, "new").unionByName(base(prior, "old")), "token-sets")
-    every = stage(sets.groupBy("h", "side", "t").agg(F.min("k").alias("k")), "classes")
-    rows = stage(sets.select("h", "k"), "keys")
+    every = stage(sets.groupBy("h", "side", "t").agg(F.min("k").alias("k"), F.count("k").alias("c")), "classes")
+    rows = stage(sets.select("h", "side", "k"), "keys")
     drop_stage(sets)
     frequency = every.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("f")).orderBy(F.desc("f"), "w").limit(COMMON)
     heads = _heads({r["w"]: r["f"] for r in frequency.collect()}, threshold)
@@ -298,11 +323,14 @@ def jaccard_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, pr
     enough = enough & (apart <= (F.col("n_a") + F.col("n_b")) * ((1 - threshold) / (1 + threshold)) + 1e-9)
     hot = hot_keys(prefix.groupBy("w").agg(F.count("*").alias("c")), ["w"], "c")
     candidates = stage(spread_join(a, b, ["w"], hot, "k_a").where(order & sides & sizes & enough).select(F.col("k_a").alias("a"), F.col("k_b").alias("b")).distinct(), "candidates")
-    old = every.where(F.col("side") == ("new" if prior is None else "old")).select(F.col("k").alias("a"), F.col("t").alias("ta"))
-    new = every.where("side = 'new'").select(F.col("k").alias("b"), F.col("t").alias("tb"))
+    old = every.where(F.col("side") == ("new" if prior is None else "old")).select(F.col("k").alias("a"), F.col("t").alias("ta"), F.col("c").alias("c_a"))
+    new = every.where("side = 'new'").select(F.col("k").alias("b"), F.col("t").alias("tb"), F.col("c").alias("c_b"))
     both = candidates.join(old, "a").join(new, "b")
     shared = F.size(F.array_intersect("ta", "tb"))
-    near = both.select("a", "b", (shared / (F.size("ta") + F.size("tb") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
+    near = both.select("a", "b", (shared / (F.size("ta") + F.size("tb") - shared)).alias("similarity"), "c_a", "c_b").where(F.col("similarity") >= threshold)
+    if copies:
+        return _with_copies(stage(near, "near"), every, rows, prior is not None)
+    near = near.drop("c_a", "c_b")
     if prior is not None:
         return near
     repeated = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("k").alias("a")).where("c > 1")

@@ -157,9 +157,14 @@ x AS (SELECT k, len(w) n, unnest(w) u FROM c), p AS (SELECT a.k a, b.k b, count(
 SELECT a, b, round(s / (na + nb - s), 9) AS similarity FROM p WHERE s >= 0.8 * (na + nb - s) UNION ALL SELECT c.k, s.k, 1.0 FROM s JOIN c USING (w) WHERE c.k < s.k"""
 
 
-@query(_JAC.format(k="doc_id", c="text", t="documents"))
+@query(
+    """WITH s AS (SELECT doc_id k, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) w FROM documents WHERE text IS NOT NULL),
+    x AS (SELECT k, len(w) n, unnest(w) u FROM s), p AS (SELECT a.k a, b.k b, count(*) s, any_value(a.n) na, any_value(b.n) nb FROM x a JOIN x b ON a.u = b.u AND a.k < b.k GROUP BY ALL)
+    SELECT a, b, round(s / (na + nb - s), 9) AS similarity FROM p WHERE s >= 0.8 * (na + nb - s)"""
+)
 def similar_documents(t):
-    return joins.jaccard_pairs(t.documents, "doc_id", "text").withColumn("similarity", F.round("similarity", 9))
+    """All pairs of documents that are near, copies among them."""
+    return joins.jaccard_pairs(t.documents, "doc_id", "text", copies=True).withColumn("similarity", F.round("similarity", 9))
 
 
 @query(_JAC.format(k="gold_no", c="question", t="gold_template"))

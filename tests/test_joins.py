@@ -2,12 +2,14 @@ import random
 import re
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.operators import joins, selection, sets, windows
 from tallyforge.operators import validate as va
 from tallyforge.operators.validate import InvalidRows
+from tallyforge.plans import oracles, queries
 
 
 def tokens(t):
@@ -52,6 +54,29 @@ def test_jaccard_pairs_of_common_words_drop_what_is_apart_before_the_shuffle(spa
         assert len(expected) <= counts.pop("candidates") < 400
 
 
+def test_similar_documents_pairs_every_copy(spark, tmp_path, monkeypatch):
+    rng = random.Random(29)
+    base = [[f"w{x}" for x in rng.sample(range(300), 20)] for _ in range(12)]
+    texts = [" ".join(b) for b in base for _ in range(4)] + [" ".join(reversed(b)).upper() for b in base[:6]]
+    texts += [" ".join([*b[1:], "new"]) for b in base for _ in range(3)] + ["solo", None, "", "..."]
+    rng.shuffle(texts)
+    df = spark.createDataFrame([(i, t, i % 3 > 0) for i, t in enumerate(texts)], "doc_id long, text string, later boolean")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    sets_ = {i: tokens(t) for i, t in enumerate(texts) if t and tokens(t)}
+    alike = {(a, b): round(len(sets_[a] & sets_[b]) / len(sets_[a] | sets_[b]), 9) for a in sets_ for b in sets_}
+    alike = {p: x for p, x in alike.items() if x >= 0.8}
+    split = lambda rows: sorted((r["a"], r["b"], round(r["similarity"], 9)) for r in rows)
+    query = queries.queries()["similar_documents"]
+    for shared in (joins.SHARED, 1):  # at 1, all classes are joined in shares
+        monkeypatch.setattr(joins, "SHARED", shared)
+        assert split(query(spark, str(tmp_path)).collect()) == sorted((a, b, x) for (a, b), x in alike.items() if a < b)
+        got = joins.jaccard_pairs(df.where("later"), "doc_id", "text", prior=df.where("not later"), copies=True).collect()
+        assert split(got) == sorted((a, b, x) for (a, b), x in alike.items() if a % 3 == 0 and b % 3 > 0)
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(c.execute(oracles.oracle_sql()["similar_documents"]).fetchall()) == sorted((a, b, x) for (a, b), x in alike.items() if a < b)
+
+
 def test_longest_match_and_blocks(spark, monkeypatch):
     texts = spark.createDataFrame([(1, "say abc and abcd"), (2, "nothing"), (3, None), (4, "xy zz")], "k int, t string")
     needles = spark.createDataFrame([(10, "abc"), (11, "abcd"), (9, "zz"), (8, "xy"), (7, None), (6, "")], "i int, n string")
