@@ -303,8 +303,8 @@ def text_at(json_text: Column, path: str) -> Column:
 
 
 def token_set(text: Column) -> Column:
-    """Distinct lower-case words, Unicode letters, digits and underscore."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), 0))
+    """Distinct lower-case words, Unicode letters, numbers and underscore.  Letters are lowered one by one: a final sigma as any other, a dotted I as an i."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.translate(text, "\u03a3\u0130", "\u03c3i")), F.lit(r"[\p{L}\p{N}_]+"), 0))
 
 
 def canonical_state(text: Column) -> Column:

@@ -77,6 +77,16 @@ def test_similar_documents_pairs_every_copy(spark, tmp_path, monkeypatch):
     assert sorted(c.execute(oracles.oracle_sql()["similar_documents"]).fetchall()) == sorted((a, b, x) for (a, b), x in alike.items() if a < b)
 
 
+def test_similar_documents_have_the_words_of_their_sql(spark, tmp_path):
+    texts = ["cafe\u0301 a b", "cafe\u0300 a b", "c\u203fd e f", "c d e f", "g\u0130h i", "gih i", "\u039f\u0394\u039f\u03a3 j", "\u03bf\u03b4\u03bf\u03c3 j", "k\u00b2 l", "k l", "\u00bd m n o p", "m n o p", "\u0928\u092e\u0938\u094d\u200d\u0924\u0947 q", "\u0928\u092e\u0938\u094d \u0924\u0947 q"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r["a"], r["b"], r["similarity"]) for r in queries.queries()["similar_documents"](spark, str(tmp_path)).collect())
+    assert got == [(0, 1, 1.0), (2, 3, 1.0), (4, 5, 1.0), (6, 7, 1.0), (10, 11, 0.8), (12, 13, 1.0)]
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(c.execute(oracles.oracle_sql()["similar_documents"]).fetchall()) == got
+
+
 def test_longest_match_and_blocks(spark, monkeypatch):
     texts = spark.createDataFrame([(1, "say abc and abcd"), (2, "nothing"), (3, None), (4, "xy zz")], "k int, t string")
     needles = spark.createDataFrame([(10, "abc"), (11, "abcd"), (9, "zz"), (8, "xy"), (7, None), (6, "")], "i int, n string")
